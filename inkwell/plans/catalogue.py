@@ -1,19 +1,702 @@
-"""All queries of the library, but for those of its optional parts."""
+"""All queries of the library, but for those of its optional parts.
+
+A query's name begins with what it shows; ``SQL`` has the same rows in DuckDB
+where SQL can express them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from inkwell.functions import pricing, text as T
+from inkwell.operators import detect, evaluate, generation, library, ner, relational, review, search, usage
+from inkwell.plans import oracles as O
+from inkwell.plans import tables as S
+from inkwell.sources import documents as D
+from inkwell.sources import notes as N
+from inkwell.streaming import dictation as V
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _evidence(spark, d):
+    return detect.detect(N.notes(spark, d))
+
+
+def _labelled(spark, d):
+    notes = N.notes(spark, d)
+    return notes, review.label(review.merge(detect.detect(notes)), notes)
+
+
+def _decided(spark, d):
+    notes, items = _labelled(spark, d)
+    g = F.col("group") % 5
+    decision = F.when(g == 0, "pending").when(g == 1, "accept").when(g == 2, "keep").when(g == 3, "remove").otherwise("edit")
+    chosen = items.select("doc_id", "group").distinct().select("doc_id", "group", decision.alias("decision"), F.concat(F.lit("[EDITED_"), F.col("group").cast("string"), F.lit("]")).alias("label"))
+    return notes, review.decide(items, chosen)
+
+
+# Sources and predicates
+
+
+@query(f"WITH {N.NOTES_SQL} SELECT doc_id, (trim(text) <> '' AND length(text) <= 100000) AS valid, length(text)::INT AS chars, strlen(text)::INT AS bytes FROM notes")
+def source_validity(spark, d):
+    t = F.col("text")
+    return N.notes(spark, d).select("doc_id", N.source_valid(t).alias("valid"), F.length(t).alias("chars"), F.octet_length(t).alias("bytes"))
+
+
+@query(f"WITH {N.NOTES_SQL}, {S.ORIGINALS_SQL} SELECT n.doc_id, n.title, p.patient_reference, p.name AS patient_name, substr(n.text, 1, 180) AS preview, o.name AS document_name, o.format, n.created_at FROM notes n LEFT JOIN patients p USING (patient_id) LEFT JOIN originals o ON o.doc_id = n.doc_id")
+def note_listing(spark, d):
+    return relational.note_listing(N.notes(spark, d), N.patients(spark, d), S.originals(spark, d))
+
+
+@query(f"WITH {N.NOTES_SQL}, {S.ORIGINALS_SQL} SELECT n.doc_id, n.title, p.patient_reference, p.name AS patient_name, substr(n.text, 1, 180) AS preview, o.name AS document_name, o.format, n.created_at FROM notes n LEFT JOIN patients p USING (patient_id) LEFT JOIN originals o ON o.doc_id = n.doc_id WHERE n.patient_id = 7")
+def note_listing_scoped(spark, d):
+    return relational.note_listing(N.notes(spark, d), N.patients(spark, d), S.originals(spark, d), patient_id=7)
+
+
+# Detection
+
+
+@query(f'WITH {O.EVIDENCE_SQL} SELECT doc_id, seq, category, start, "end", phrase, confidence, stage FROM evidence')
+def rule_evidence(spark, d):
+    return _evidence(spark, d)
+
+
+@query(f"WITH {O.EVIDENCE_SQL} SELECT category, count(*) AS hits, count(DISTINCT doc_id) AS documents FROM evidence GROUP BY category")
+def rule_hits_by_category(spark, d):
+    # Two counts from one pass: first a row for each document and category.
+    per = _evidence(spark, d).groupBy("category", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("category").agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("documents"))
+
+
+@query(f"WITH {O.EVIDENCE_SQL} SELECT doc_id, phrase, confidence FROM evidence WHERE category = 'NHS_NUMBER'")
+def nhs_checksum(spark, d):
+    return _evidence(spark, d).where("category = 'NHS_NUMBER'").select("doc_id", "phrase", "confidence")
+
+
+@query(f"WITH {O.EVIDENCE_SQL} SELECT upper(substr(phrase, 1, 2)) AS prefix, count(*) AS hits FROM evidence WHERE category = 'NI_NUMBER' GROUP BY 1")
+def ni_denylist(spark, d):
+    return _evidence(spark, d).where("category = 'NI_NUMBER'").groupBy(F.upper(F.substring("phrase", 1, 2)).alias("prefix")).agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query(f"WITH {O.EVIDENCE_SQL} SELECT doc_id, phrase AS url FROM evidence WHERE category = 'URL'")
+def url_trim(spark, d):
+    return _evidence(spark, d).where("category = 'URL'").select("doc_id", F.col("phrase").alias("url"))
+
+
+@query(f"""WITH {O.EVIDENCE_SQL} SELECT doc_id, start, "end", phrase FROM evidence WHERE category = 'LOCATION'""")
+def address_leads(spark, d):
+    return _evidence(spark, d).where("category = 'LOCATION'").select("doc_id", "start", "end", "phrase")
+
+
+@query(f"""WITH {O.EVIDENCE_SQL} SELECT doc_id, seq, start AS start_byte, "end" AS end_byte, start AS start_utf16, "end" AS end_utf16 FROM evidence""")
+def evidence_offsets(spark, d):
+    return detect.output_offsets(_evidence(spark, d), N.notes(spark, d)).select("doc_id", "seq", "start_byte", "end_byte", "start_utf16", "end_utf16")
+
+
+@query(r"SELECT doc_id, u AS phrase FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\b[A-Z0-9._%+-]{1,64}@[A-Z0-9.-]{1,253}\.[A-Z]{2,24}\b')) AS u FROM documents)")
+def corpus_emails(spark, d):
+    docs = N.table(spark, d, "documents")
+    found = docs.select("doc_id", F.explode(detect.rule_spans(F.col("text"), detect.RULES[0])).alias("e"))
+    return found.select("doc_id", "e.phrase")
+
+
+# Review
+
+_POOL = f"""{O.EVIDENCE_SQL}, pool AS (SELECT * FROM evidence), {O.ITEMS_SQL}"""
+
+
+@query(f'WITH {_POOL} SELECT doc_id, item, start, "end", category, stages, confidence, n_evidence FROM items')
+def merged_items(spark, d):
+    items = review.merge(_evidence(spark, d))
+    return items.select("doc_id", "item", "start", "end", "category", F.array_join("stages", ",").alias("stages"), "confidence", "n_evidence")
+
+
+@query(f"WITH {_POOL} SELECT doc_id, item, grp, category, phrase, number, replacement FROM labelled")
+def label_allocation(spark, d):
+    _, items = _labelled(spark, d)
+    return items.select("doc_id", "item", F.col("group").alias("grp"), "category", "phrase", "number", "replacement")
+
+
+@query(f"WITH {_POOL}, {O.DECIDED_SQL} SELECT doc_id, output, pending, retained FROM shown_text")
+def rendered_text(spark, d):
+    notes, items = _decided(spark, d)
+    return review.render(notes, items).select("doc_id", "output", "pending", "retained")
+
+
+@query(f"WITH {_POOL}, {O.DECIDED_SQL} SELECT category, decision, count(*) AS items, count(DISTINCT doc_id) AS documents FROM decided GROUP BY ALL")
+def decision_summary(spark, d):
+    _, items = _decided(spark, d)
+    per = items.groupBy("category", "decision", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("category", "decision").agg(F.sum("n").alias("items"), F.count(F.lit(1)).alias("documents"))
+
+
+@query(f"""WITH {_POOL}, {O.DECIDED_SQL}, placed AS (SELECT *, (start + coalesce(sum(length(out) - ("end" - start)) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS output_start FROM outs)
+SELECT doc_id, item, output_start, (output_start + length(out))::BIGINT AS output_end, out FROM placed WHERE decision IN ('accept', 'edit')""")
+def egress_spans(spark, d):
+    _, items = _decided(spark, d)
+    out = review.written_as(F.col("phrase"), F.col("decision"), F.col("replacement"))
+    return review.egress(items).select("doc_id", "item", "output_start", "output_end", out.alias("out"))
+
+
+@query(f"""WITH {_POOL}, {O.DECIDED_SQL} SELECT doc_id, item, CASE WHEN bool_or(decision = 'pending') OVER (PARTITION BY doc_id, category) THEN 'pending' ELSE decision END AS decision FROM decided""")
+def reopened_groups(spark, d):
+    _, items = _decided(spark, d)
+    # Groups as wide as a category, so that members differ in their decisions.
+    wide = items.withColumn("group", F.hash("category"))
+    return review.reopen(wide).select("doc_id", "item", "decision")
+
+
+@query(f"""WITH {_POOL}, top AS (SELECT doc_id, category, max(number) AS m FROM labelled GROUP BY ALL)
+SELECT l.doc_id, l.item, CASE WHEN l.item = 2 THEN '[' || l.category || '_' || (m + 1) || ']' ELSE replacement END AS replacement FROM labelled l JOIN top USING (doc_id, category)""")
+def split_groups(spark, d):
+    _, items = _labelled(spark, d)
+    pending = items.withColumn("decision", F.lit("accept"))
+    second = items.where("item = 2").select("doc_id", "item")
+    return review.split_item(pending, second).select("doc_id", "item", "replacement")
+
+
+@query()
+def rescan_gate(spark, d):
+    notes, items = _labelled(spark, d)
+    kept = items.withColumn("decision", F.when(F.col("category") == "DATE", "keep").when(F.col("category") == "PHONE", "remove").otherwise("accept"))
+    return review.gate(notes, kept).select("doc_id", "pending", "found_again", "may_copy")
+
+
+@query()
+def snapshot_restore(spark, d):
+    notes, items = _decided(spark, d)
+    back = review.restore(review.snapshot(items), notes)
+    return back.select("doc_id", "item", "start", "end", "category", "replacement", "decision")
+
+
+@query(f"WITH {N.NOTES_SQL} SELECT doc_id, 1 + doc_id % 2 = revision AS accepted FROM notes")
+def revision_check(spark, d):
+    notes = N.notes(spark, d)
+    edits = notes.select("doc_id", (1 + F.col("doc_id") % 2).alias("revision"))
+    return review.check_revision(edits, notes).select("doc_id", "accepted")
+
+
+# Saved phrases
+
+_WORD = "[A-Za-z0-9_]"
+_MATCHES = f"""{N.NOTES_SQL}, {S.MAPPINGS_SQL}, {S.PATIENT_MAPPINGS_SQL},
+phrases AS (SELECT NULL::BIGINT AS patient_id, phrase, normalized_phrase, category, replacement, 0 AS level FROM mappings UNION ALL SELECT patient_id, phrase, normalized_phrase, category, replacement, 1 FROM patient_mappings),
+pairs AS (SELECT n.doc_id, n.text, p.* FROM notes n JOIN phrases p ON p.patient_id IS NULL OR p.patient_id = n.patient_id WHERE contains(lower(n.text), lower(p.phrase))),
+hits AS (SELECT doc_id, phrase, category, replacement, level, normalized_phrase, i::INT AS start, (i + length(phrase))::INT AS "end", text FROM (SELECT *, unnest(range(0, length(text))) AS i FROM pairs) WHERE lower(substr(text, (i + 1)::INT, length(phrase))) = lower(phrase)),
+matches AS (SELECT * FROM hits WHERE NOT regexp_matches(CASE WHEN start = 0 THEN '' ELSE substr(text, start, 1) END, '{_WORD}') AND NOT regexp_matches(substr(text, "end" + 1, 1), '{_WORD}'))"""
+
+
+@query(f'WITH {_MATCHES} SELECT doc_id, phrase, category, start, "end" FROM matches WHERE level = 0')
+def phrase_matches(spark, d):
+    return library.phrase_matches(N.notes(spark, d), S.mappings(spark).select("phrase", "category"))
+
+
+@query(f'WITH {_MATCHES} SELECT doc_id, start, "end", category, arg_max(replacement, level) AS replacement FROM matches GROUP BY ALL')
+def library_matches(spark, d):
+    return library.library_evidence(N.notes(spark, d), S.mappings(spark), S.patient_mappings(spark, d)).select("doc_id", "start", "end", "category", "replacement")
+
+
+@query(f"""WITH {O.EVIDENCE_SQL}, {_MATCHES.replace(N.NOTES_SQL + ", ", "")},
+lib AS (SELECT doc_id, start, "end", category, arg_max(replacement, level) AS replacement FROM matches GROUP BY ALL),
+pool AS (SELECT * FROM evidence UNION ALL SELECT doc_id, 1000000 + row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", category), category, start, "end", '', 1.0, 'library' FROM lib),
+{O.ITEMS_SQL}, exact AS (SELECT l.doc_id, l.grp, arg_max(b.replacement, {{'a': b.start, 'b': b."end"}}) AS new FROM labelled l JOIN lib b ON l.doc_id = b.doc_id AND l.start = b.start AND l."end" = b."end" AND l.category = b.category GROUP BY ALL)
+SELECT l.doc_id, l.item, l.category, l.stages, coalesce(e.new, l.replacement) AS replacement, CASE WHEN e.new IS NULL THEN 'pending' ELSE 'accept' END AS decision FROM labelled l LEFT JOIN exact e ON e.doc_id = l.doc_id AND e.grp = l.grp""")
+def library_defaults(spark, d):
+    notes = N.notes(spark, d)
+    saved = library.library_evidence(notes, S.mappings(spark), S.patient_mappings(spark, d))
+    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "end", "category")).cast("bigint")
+    evidence = detect.detect(notes).drop("phrase")
+    pool = detect.combined(evidence, saved.withColumn("seq", seq).select(*evidence.columns))
+    items = review.label(review.merge(pool), notes).withColumn("decision", F.lit("pending"))
+    out = library.apply_defaults(items, saved)
+    return out.select("doc_id", "item", "category", F.array_join("stages", ",").alias("stages"), "replacement", "decision")
+
+
+_NEW_MAPPINGS = [("Fictional row", "fictional row", "LOCATION", "[ROAD]", 1), ("No change", "no change", "MISC", "[STEADY]", 2), ("June", "june", "DATE", "[MONTH]", 3), ("June", "june", "DATE", "[SUMMER]", 4)]
+
+
+@query(f"""WITH {S.MAPPINGS_SQL} SELECT id, phrase, normalized_phrase, category, replacement, updated_at FROM mappings WHERE id > 2
+UNION ALL SELECT * FROM (VALUES (1::BIGINT, 'Fictional row', 'fictional row', 'LOCATION', '[ROAD]', 9::BIGINT), (2, 'No change', 'no change', 'MISC', '[STEADY]', 9), (5, 'June', 'june', 'DATE', '[SUMMER]', 9))""")
+def mapping_upsert(spark, d):
+    new = spark.createDataFrame(_NEW_MAPPINGS, "phrase string, normalized_phrase string, category string, replacement string, seq int")
+    return library.upsert(S.mappings(spark), new, ("normalized_phrase", "category"), 9).drop("created_at")
+
+
+@query(f"WITH {N.NOTES_SQL}, {S.MAPPINGS_SQL}, {S.PATIENT_MAPPINGS_SQL} SELECT patient_id, phrase, EXISTS (SELECT 1 FROM mappings m WHERE lower(m.phrase) = lower(p.phrase) AND m.category = p.category) AS overrides FROM patient_mappings p")
+def override_flags(spark, d):
+    return library.override_flags(S.patient_mappings(spark, d), S.mappings(spark)).select("patient_id", "phrase", "overrides")
+
+
+@query(f"WITH {_POOL}, {O.DECIDED_SQL} SELECT DISTINCT doc_id, phrase, lower(phrase) AS normalized_phrase, category, shown AS replacement FROM decided WHERE decision IN ('accept', 'edit')")
+def mapping_drafts(spark, d):
+    _, items = _decided(spark, d)
+    return library.drafts(items)
+
+
+# Search
+
+
+def _bm25_sql(phrases: list[list[str]], scope: str = "") -> str:
+    parts, joins, score = [], [], []
+    for i, words in enumerate(phrases):
+        body = " JOIN ".join(f"postings p{j}" + (f" ON p{j}.doc_id = p0.doc_id AND p{j}.col = p0.col AND p{j}.pos = p0.pos + {j} AND p{j}.term = '{w}'" if j else "") for j, w in enumerate(words))
+        parts.append(f"h{i} AS (SELECT p0.doc_id, count(*) AS f FROM {body} WHERE p0.term = '{words[0]}' GROUP BY 1), s{i} AS (SELECT count(*) AS n FROM h{i})")
+        joins.append(f"JOIN h{i} ON h{i}.doc_id = z.doc_id CROSS JOIN s{i}")
+        idf = f"ln((st.nd - s{i}.n + 0.5) / (s{i}.n + 0.5))"
+        score.append(f"(CASE WHEN {idf} > 0 THEN {idf} ELSE 1e-6 END) * h{i}.f * 2.2 / (h{i}.f + 1.2 * (0.25 + 0.75 * z.tokens / st.mean))")
+    return f"WITH {S.CORPUS_SQL}, {', '.join(parts)}, st AS (SELECT count(*) AS nd, avg(tokens) AS mean FROM sizes) SELECT z.doc_id, round(-({' + '.join(score)}), 6) AS score FROM sizes z CROSS JOIN st {' '.join(joins)} {scope}"
+
+
+def _searched(spark, d, words, scope=None):
+    found = search.search(S.corpus(spark, d), search.compile_query(words), scope=scope)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(_bm25_sql([["the"], ["thing"]]))
+def bm25_term(spark, d):
+    return _searched(spark, d, "The thing")
+
+
+@query(_bm25_sql([["of", "the"]]))
+def bm25_phrase(spark, d):
+    return _searched(spark, d, '"of the"')
+
+
+@query(_bm25_sql([["license"]], "JOIN corpus c ON c.doc_id = z.doc_id WHERE c.patient_reference = 'en'"))
+def search_scoped(spark, d):
+    return _searched(spark, d, "license", F.col("patient_reference") == "en")
+
+
+@query("SELECT doc_id, source AS title, substr(text, 1, 180) AS preview FROM documents")
+def search_blank(spark, d):
+    assert search.compile_query("   ") is None
+    return S.corpus(spark, d).select("doc_id", "title", F.substring("text", 1, 180).alias("preview")).orderBy(F.desc("doc_id"))
+
+
+@query()
+def search_snippets(spark, d):
+    hits = search.search(S.corpus(spark, d), search.compile_query("license"))
+    return hits.join(S.corpus(spark, d), "doc_id").select("doc_id", search.snippet(F.col("text"), ["license"]).alias("snippet"))
+
+
+@query(f"WITH {S.CORPUS_SQL} SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM postings GROUP BY term")
+def search_vocabulary(spark, d):
+    per = search.postings(S.corpus(spark, d)).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("term").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("documents"))
+
+
+# The library as tables
+
+_LIBRARY = f"{N.NOTES_SQL}, {S.ORIGINALS_SQL}, {S.DOCUMENTS_SQL}, {S.PATIENT_MAPPINGS_SQL}, {S.REPORTS_SQL}"
+
+
+@query(f"""WITH {_LIBRARY} SELECT patient_id, name, patient_reference, (SELECT count(*) FROM notes n WHERE n.patient_id = p.patient_id) AS n_notes,
+(SELECT count(*) FROM patient_mappings m WHERE m.patient_id = p.patient_id) AS n_mappings, (SELECT count(*) FROM patient_documents x WHERE x.patient_id = p.patient_id AND materialized) AS n_documents FROM patients p""")
+def patient_counts(spark, d):
+    return relational.patient_counts(N.patients(spark, d), N.notes(spark, d), S.patient_mappings(spark, d), S.documents(spark, d))
+
+
+@query(f"""WITH {_LIBRARY}, {S.ATTEMPTS_SQL}, u AS (SELECT document_id, count(*) AS attempts, coalesce(sum(cost_nanos), 0)::BIGINT AS known_nanos, count(*) FILTER (cost_nanos IS NULL) AS unknown FROM attempts GROUP BY 1)
+SELECT x.document_id, x.title, p.name, coalesce(attempts, 0) AS attempts, coalesce(known_nanos, 0) AS known_nanos, coalesce(unknown, 0) AS unknown, updated_at FROM patient_documents x JOIN patients p USING (patient_id) LEFT JOIN u USING (document_id) WHERE materialized""")
+def document_library(spark, d):
+    return relational.document_library(S.documents(spark, d), N.patients(spark, d), S.attempts(spark, d))
+
+
+@query("SELECT c_custkey AS patient_id, c_name AS name FROM customer WHERE contains(lower(c_name || ' ' || 'SYN-' || lpad(c_custkey::VARCHAR, 6, '0')), 'syn-00001')")
+def list_filters(spark, d):
+    return N.patients(spark, d).where(relational.contains_text(" SYN-00001 ", "name", "patient_reference")).select("patient_id", "name").orderBy("name")
+
+
+@query("SELECT p_partkey AS id, p_name AS name, p_size > 40 AS archived FROM part WHERE p_size <= 40")
+def template_listing(spark, d):
+    t = N.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_size") > 40).alias("archived"))
+    return relational.template_listing(t)
+
+
+def _sources(spark, d):
+    o = N.table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("document_id"), (F.col("o_orderkey") + 1).alias("doc_id"), F.lit(False).alias("deleted_warning"))
+
+
+@query(f"""WITH {N.NOTES_SQL} SELECT o_orderkey AS document_id, CASE WHEN (o_orderkey + 1) % 10 = 0 AND EXISTS (SELECT 1 FROM notes n WHERE n.doc_id = o_orderkey + 1) THEN NULL ELSE o_orderkey + 1 END AS doc_id,
+(o_orderkey + 1) % 10 = 0 AND EXISTS (SELECT 1 FROM notes n WHERE n.doc_id = o_orderkey + 1) AS deleted_warning FROM orders""")
+def note_delete_cascade(spark, d):
+    notes = N.notes(spark, d)
+    out = relational.delete_notes({"notes": notes, "document_sources": _sources(spark, d)}, notes.where("doc_id % 10 = 0"))
+    return out["document_sources"]
+
+
+@query(f"""WITH {_LIBRARY} SELECT 'notes' AS kind, count(*) AS n FROM notes WHERE patient_id % 4 <> 0 UNION ALL SELECT 'patients', count(*) FROM patients WHERE patient_id % 4 <> 0
+UNION ALL SELECT 'documents', count(*) FROM patient_documents WHERE patient_id % 4 <> 0 UNION ALL SELECT 'originals', count(*) FROM originals o WHERE NOT EXISTS (SELECT 1 FROM notes n WHERE n.doc_id = o.doc_id AND n.patient_id % 4 = 0)
+UNION ALL SELECT 'patient_mappings', count(*) FROM patient_mappings WHERE patient_id % 4 <> 0 UNION ALL SELECT 'detached_reports', count(*) FROM usage_reports r JOIN patient_documents x USING (document_id) WHERE patient_id % 4 = 0""")
+def patient_delete_cascade(spark, d):
+    p = N.patients(spark, d)
+    before = {"patients": p, "notes": N.notes(spark, d), "originals": S.originals(spark, d), "documents": S.documents(spark, d), "patient_mappings": S.patient_mappings(spark, d), "usage_reports": S.reports(spark, d)}
+    after = relational.delete_patients(before, p.where("patient_id % 4 = 0"))
+    out = None
+    for name in ("notes", "patients", "documents", "originals", "patient_mappings", "usage_reports"):
+        rows = after[name].where("document_id is null") if name == "usage_reports" else after[name]
+        one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit("detached_reports" if name == "usage_reports" else name).alias("kind"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH {N.NOTES_SQL} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Renamed ' || doc_id ELSE title END AS title, 1 + (doc_id % 2 = 0)::BIGINT AS revision FROM notes UNION ALL SELECT -1, 'Renamed -1', 1")
+def note_merge(spark, d):
+    notes = N.notes(spark, d)
+    changed = notes.where("doc_id % 2 = 0").select("doc_id").unionByName(spark.range(-1, 0).select(F.col("id").alias("doc_id")))
+    changes = changed.withColumn("title", F.concat(F.lit("Renamed "), F.col("doc_id").cast("string")))
+    return relational.merge_notes(notes.select("doc_id", "title", "revision"), changes)
+
+
+@query("SELECT s_suppkey AS patient_id, lower(s_name) AS normalized_name FROM supplier")
+def patient_create(spark, d):
+    new = N.table(spark, d, "supplier").select(F.col("s_suppkey").alias("patient_id"), F.col("s_name").alias("name"))
+    clash = N.patients(spark, d).limit(5).select("patient_id", F.upper("name").alias("name"))
+    accepted, _ = relational.create_patients(N.patients(spark, d), new.unionByName(clash))
+    return accepted.select("patient_id", "normalized_name")
+
+
+@query(f"WITH {N.NOTES_SQL} SELECT patient_id, doc_id, created_at FROM notes QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY created_at DESC, doc_id DESC) <= 2")
+def latest_notes(spark, d):
+    return relational.latest(N.notes(spark, d), n=2).select("patient_id", "doc_id", "created_at")
+
+
+# Usage
+
+
+@query(f"WITH {S.ATTEMPTS_SQL} SELECT document_id, attempt_id, model, input_tokens, cached_tokens, output_tokens, priced_nanos FROM attempts")
+def cost_nanos(spark, d):
+    return S.attempts(spark, d).select("document_id", "attempt_id", "model", "input_tokens", "cached_tokens", "output_tokens", "priced_nanos")
+
+
+_SUMMARY = "count(*) AS attempts, coalesce(sum(cost_nanos), 0)::BIGINT AS known_nanos, count(*) FILTER (cost_nanos IS NULL) AS unknown, arg_max_null(cost_nanos, {'a': attempted_at, 'b': attempt_id}) AS latest_nanos"
+
+
+@query(f"WITH {S.ATTEMPTS_SQL} SELECT {_SUMMARY} FROM attempts")
+def usage_summary(spark, d):
+    return usage.summary(S.attempts(spark, d))
+
+
+@query(f"WITH {S.ATTEMPTS_SQL} SELECT document_id, {_SUMMARY} FROM attempts GROUP BY document_id")
+def latest_cost(spark, d):
+    return usage.summary(S.attempts(spark, d), ("document_id",))
+
+
+@query(f"WITH {S.ATTEMPTS_SQL}, {S.REPORTS_SQL} SELECT count(*) AS attempts, coalesce(sum(cost_nanos), 0)::BIGINT AS known_nanos, count(*) FILTER (cost_nanos IS NULL) AS unknown, (SELECT count(*) FROM usage_reports WHERE first_completed_at >= 820454400 AND first_completed_at < 852076800) AS reports FROM attempts WHERE attempted_at >= 820454400 AND attempted_at < 852076800")
+def usage_by_period(spark, d):
+    period = lambda c: relational.in_period(c, 820454400, 852076800)
+    made = usage.reports_created(S.reports(spark, d), period("first_completed_at"))
+    return usage.summary(S.attempts(spark, d).where(period("attempted_at"))).drop("latest_nanos").join(made)
+
+
+@query(f"WITH {S.ATTEMPTS_SQL} SELECT date_trunc('month', make_timestamp(attempted_at * 1000000))::DATE AS month, count(*) AS attempts, coalesce(sum(cost_nanos), 0)::BIGINT AS known_nanos FROM attempts GROUP BY 1")
+def usage_by_month(spark, d):
+    return S.attempts(spark, d).groupBy(usage.month_of(F.col("attempted_at")).alias("month")).agg(F.count(F.lit(1)).alias("attempts"), F.coalesce(F.sum("cost_nanos"), F.lit(0)).alias("known_nanos"))
+
+
+@query(f"""WITH {S.ATTEMPTS_SQL}, {S.REPORTS_SQL}, a AS (SELECT document_id, sum(cost_nanos) AS known, count(*) FILTER (cost_nanos IS NULL) AS unknown FROM attempts GROUP BY 1), r AS (SELECT document_id, count(*) FILTER (first_completed_at IS NOT NULL) AS reports FROM usage_reports GROUP BY 1)
+SELECT document_id, CASE WHEN reports > 0 AND unknown = 0 THEN known::DOUBLE / reports END AS average_nanos FROM a JOIN r USING (document_id)""")
+def average_cost(spark, d):
+    a = usage.summary(S.attempts(spark, d), ("document_id",))
+    r = S.reports(spark, d).groupBy("document_id").agg(F.count("first_completed_at").alias("reports"))
+    return a.join(r, "document_id").select("document_id", usage.average_nanos(F.col("known_nanos"), F.col("unknown"), F.col("reports")).cast("double").alias("average_nanos"))
+
+
+@query(f"""WITH {N.NOTES_SQL}, {S.MODELS_SQL} SELECT doc_id, model, strlen(title) + strlen(text) + 128 AS allowance, (strlen(title) + strlen(text) + 128) * (CASE WHEN long_context THEN input_nanos * 5 // 4 ELSE input_nanos END) + 4096 * output_nanos AS estimate_nanos FROM notes JOIN models ON model LIKE 'gpt-4.1%' OR model = 'gpt-6-sol'""")
+def cost_estimate(spark, d):
+    chosen = pricing.models(spark).where("model like 'gpt-4.1%' or model = 'gpt-6-sol'")
+    allowance, cost = pricing.estimate_nanos(F.col("title"), F.col("text"))
+    return N.notes(spark, d).join(F.broadcast(chosen)).select("doc_id", "model", allowance.alias("allowance"), cost.alias("estimate_nanos"))
+
+
+@query(f"WITH {S.ATTEMPTS_SQL} SELECT attempt_id, '$' || (cost_nanos // 1000000000) || '.' || CASE WHEN length(rtrim(lpad((cost_nanos % 1000000000)::VARCHAR, 9, '0'), '0')) < 2 THEN rpad(rtrim(lpad((cost_nanos % 1000000000)::VARCHAR, 9, '0'), '0'), 2, '0') ELSE rtrim(lpad((cost_nanos % 1000000000)::VARCHAR, 9, '0'), '0') END AS cost FROM attempts")
+def currency_format(spark, d):
+    return S.attempts(spark, d).select("attempt_id", usage.currency(F.col("cost_nanos")).alias("cost"))
+
+
+@query("""WITH e AS (SELECT event_id, user_id AS attempt_id, epoch_us(ts) AS at, event_type FROM events), k AS (SELECT *, CASE WHEN event_type IN ('signup', 'view') THEN 'started' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'completed' ELSE 'note' END AS outcome FROM e)
+SELECT attempt_id, coalesce(arg_min(outcome, {'a': at, 'b': event_id}) FILTER (outcome IN ('completed', 'failed')), 'started') AS outcome, min(at) FILTER (outcome = 'started') AS attempted_at FROM k GROUP BY attempt_id""")
+def attempt_lifecycle(spark, d):
+    e = N.table(spark, d, "events")
+    kind = F.when(F.col("event_type").isin("signup", "view"), "started").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").otherwise("note")
+    rows = e.select(F.col("user_id").alias("attempt_id"), kind.alias("outcome"), F.lit("gpt-6-luna").alias("model"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"), F.lit(None).cast("bigint").alias("cost_nanos"))
+    return usage.lifecycle(rows).select("attempt_id", "outcome", "attempted_at")
+
+
+# Preparation and restoration
+
+_PREPARED = f"""{_POOL}, {O.DECIDED_SQL}, placed AS (SELECT *, (start + coalesce(sum(length(out) - ("end" - start)) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS output_start FROM outs),
+chosen AS (SELECT doc_id, row_number() OVER (ORDER BY created_at, doc_id) AS ordinal FROM notes WHERE patient_id = 7),
+tok AS (SELECT p.*, ordinal, row_number() OVER (ORDER BY ordinal, output_start DESC) AS n FROM placed p JOIN chosen USING (doc_id) WHERE decision IN ('accept', 'edit') AND regexp_matches(out, '^\\[[A-Z0-9_]+\\]$')),
+named AS (SELECT *, '⟪CV_prep_' || CASE WHEN n < 10000 THEN lpad(n::VARCHAR, 4, '0') ELSE n::VARCHAR END || '⟫' AS token FROM tok)"""
+
+
+def _prepared(spark, d):
+    notes, items = _decided(spark, d)
+    chosen = notes.where("patient_id = 7").select("doc_id", F.row_number().over(Window.partitionBy("patient_id").orderBy("created_at", "doc_id")).alias("ordinal"))
+    tokens = generation.token_items(review.egress(items), chosen, "prep")
+    texts = review.render(notes, items).select("doc_id", "output").join(chosen.select("doc_id"), "doc_id", "left_semi")
+    return notes, chosen, tokens, texts
+
+
+@query(f"WITH {_PREPARED} SELECT doc_id, item, n AS number, token, phrase FROM named")
+def payload_tokens(spark, d):
+    _, _, tokens, _ = _prepared(spark, d)
+    return tokens.select("doc_id", "item", "number", "token", "phrase")
+
+
+@query()
+def payload_digest(spark, d):
+    _, chosen, tokens, texts = _prepared(spark, d)
+    payload = generation.assemble(generation.tokenised(texts, tokens), chosen)
+    parts = [F.lit("Write a letter."), F.col("input"), F.lit("gpt-6-luna"), F.lit("origin"), F.lit("purpose")]
+    return payload.select("input", "fits", generation.digest(*parts).alias("digest"))
+
+
+@query()
+def restore_tokens(spark, d):
+    _, chosen, tokens, texts = _prepared(spark, d)
+    known = tokens.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "phrase"))).alias("tokens"))
+    prepared = generation.tokenised(texts, tokens).join(known, "doc_id", "left").withColumn("text", F.concat("prepared", F.lit(" ⟪CV_prep_9999⟫ ⟪CV_open")))
+    return generation.restore(prepared, "doc_id")
+
+
+@query()
+def restore_tokens_native(spark, d):
+    _, chosen, tokens, texts = _prepared(spark, d)
+    known = tokens.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "phrase"))).alias("tokens"))
+    prepared = generation.tokenised(texts, tokens).join(known, "doc_id", "left").withColumn("text", F.concat("prepared", F.lit(" ⟪CV_prep_9999⟫ ⟪CV_open")))
+    out, count, unknown = generation.restore_native(F.col("text"), F.coalesce("tokens", F.create_map().cast("map<string,string>")))
+    return prepared.select("doc_id", out.alias("restored"), count.alias("exact_replacements"), unknown.alias("unknown_tokens"))
+
+
+@query(f"""WITH {N.NOTES_SQL} SELECT o_orderkey AS preparation_id, (o_orderkey % 4 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 2 AND EXISTS (SELECT 1 FROM notes n WHERE n.doc_id = o_orderkey)) AS usable FROM orders""")
+def stale_submissions(spark, d):
+    o = N.table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    submissions = o.select(k.alias("preparation_id"), (k % 3).alias("template_id"), F.lit(1).alias("template_version"), F.when(k % 4 == 0, 1).alias("consumed_at"))
+    sources = o.select(k.alias("preparation_id"), k.alias("doc_id"), F.when(k % 5 == 0, 2).otherwise(1).alias("revision"))
+    templates = spark.createDataFrame([(0, 1, False), (1, 1, False), (2, 2, False)], "template_id bigint, version int, archived boolean")
+    return generation.stale(submissions, sources, N.notes(spark, d), templates).select("preparation_id", "usable")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 4 <> 3 AND text <> '' THEN text || chr(10) || 'end' END AS text, CASE WHEN turn % 5 <> 4 THEN length(text) + 10 END AS input_tokens FROM conversations""")
+def response_parse(spark, d):
+    c = S.conversations(spark, d)
+    part = lambda t: F.struct(F.lit("output_text").alias("type"), t.alias("text"))
+    other = F.struct(F.lit("refusal").alias("type"), F.lit("no").alias("text"))
+    out = F.array(F.struct(F.lit("message").alias("type"), F.array(part(F.col("text")), other).alias("content")), F.struct(F.lit("message").alias("type"), F.array(part(F.lit("end"))).alias("content")))
+    details = F.struct(F.lit(5).alias("cached_tokens"), F.when(F.col("turn") % 5 == 4, 3).otherwise(0).alias("cache_write_tokens"))
+    counts = F.struct((F.length("text") + 10).alias("input_tokens"), F.lit(7).alias("output_tokens"), details.alias("input_tokens_details"))
+    body = F.to_json(F.struct(F.when(F.col("turn") % 4 == 3, "incomplete").otherwise("completed").alias("status"), out.alias("output"), counts.alias("usage")))
+    parsed = usage.parse_responses(c.select("conv_id", "turn", body.alias("body")))
+    return parsed.select("conv_id", "turn", "text", "input_tokens")
+
+
+@query(f"WITH {_POOL}, {O.DECIDED_SQL} SELECT doc_id, NOT contains(output, '⟪CV_') AS reviewable FROM shown_text")
+def reviewed_gate(spark, d):
+    notes, items = _decided(spark, d)
+    return review.render(notes, items).select("doc_id", generation.may_be_reviewed(F.col("output")).alias("reviewable"))
+
+
+# Evaluation
+
+_GOLD = f"""{O.EVIDENCE_SQL}, pool AS (SELECT * FROM evidence), {O.ITEMS_SQL},
+entities AS (SELECT doc_id, 'CASE_REFERENCE' AS category, patient_reference AS phrase, text FROM notes UNION ALL SELECT n.doc_id, 'EMAIL', replace(lower(p.name), '#', '.') || '@example.invalid', text FROM notes n JOIN patients p USING (patient_id) UNION ALL SELECT doc_id, 'MANUAL', 'No change', text FROM notes),
+cuts AS (SELECT *, string_split(text, phrase) AS gs FROM entities),
+gold AS (SELECT doc_id, category, u::INT AS start, (u + length(phrase))::INT AS "end" FROM (SELECT doc_id, category, phrase, unnest(list_transform(range(1, len(gs)), lambda i: list_sum(list_transform(gs[1:i], lambda g: length(g))) + (i - 1) * length(phrase))) AS u FROM cuts))"""
+
+
+def _gold(spark, d):
+    notes, items = _labelled(spark, d)
+    p = N.patients(spark, d).select("patient_id", "name")
+    cols = notes.join(p, "patient_id")
+    pair = lambda c, v: F.struct(F.lit(c).alias("category"), v.alias("phrase"))
+    named = F.array(pair("CASE_REFERENCE", F.col("patient_reference")), pair("EMAIL", F.concat(F.replace(F.lower("name"), F.lit("#"), F.lit(".")), F.lit("@example.invalid"))), pair("MANUAL", F.lit("No change")))
+    entities = cols.select("doc_id", F.inline(named))
+    return notes, items, evaluate.occurrences(notes, entities)
+
+
+@query(f"""WITH {_GOLD}, g AS (SELECT category, count(*) AS gold, count(*) FILTER (EXISTS (SELECT 1 FROM items i WHERE i.doc_id = g.doc_id AND i.start <= g.start AND g."end" <= i."end")) AS covered, count(*) FILTER (EXISTS (SELECT 1 FROM items i WHERE i.doc_id = g.doc_id AND i.start = g.start AND g."end" = i."end" AND i.category = g.category)) AS exact FROM gold g GROUP BY 1),
+p AS (SELECT category, count(*) AS proposals, count(*) FILTER (NOT EXISTS (SELECT 1 FROM gold g WHERE i.doc_id = g.doc_id AND i.start < g."end" AND g.start < i."end")) AS unexpected FROM items i GROUP BY 1)
+SELECT coalesce(g.category, p.category) AS category, coalesce(gold, 0) AS gold, coalesce(covered, 0) AS covered, coalesce(exact, 0) AS exact, coalesce(proposals, 0) AS proposals, coalesce(unexpected, 0) AS unexpected FROM g FULL OUTER JOIN p ON g.category = p.category""")
+def eval_by_category(spark, d):
+    _, items, gold = _gold(spark, d)
+    return evaluate.by_category(gold, items)
+
+
+@query(f"""WITH {_GOLD}, t AS (SELECT doc_id, start, start + length(value) AS "end" FROM ({O.spans("notes", "[^ " + chr(10) + "]+")})), free AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = t.doc_id AND g.start < t."end" AND t.start < g."end"))
+SELECT count(*) AS negative_tokens, count(*) FILTER (EXISTS (SELECT 1 FROM items i WHERE i.doc_id = free.doc_id AND i.start < free."end" AND free.start < i."end")) AS false_positive_tokens FROM free""")
+def token_fpr(spark, d):
+    notes, items, gold = _gold(spark, d)
+    return evaluate.token_fpr(notes, gold, items).drop("rate")
+
+
+@query(f"""WITH {_GOLD} SELECT stage, count(DISTINCT (g.doc_id, g.category, g.start)) AS covered FROM gold g JOIN evidence e ON e.doc_id = g.doc_id AND e.start <= g.start AND g."end" <= e."end" GROUP BY stage""")
+def stage_contribution(spark, d):
+    notes, _, gold = _gold(spark, d)
+    return evaluate.stage_contribution(gold, detect.detect(notes))
+
+
+@query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n, event_id FROM events)
+SELECT event_type, max(value) FILTER (k = n // 2 + 1) AS median, max(value) AS max, arg_min(value, event_id) AS first FROM r GROUP BY event_type""")
+def timing_summary(spark, d):
+    return evaluate.timing_summary(N.table(spark, d, "events"), ("event_type",), "value", "event_id")
+
+
+# Token classification
+
+
+@query("""WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '[^ \\n]+'))::BIGINT AS n FROM documents), s AS (SELECT doc_id, n, unnest(range(0, greatest(n, 1), 446)) AS s FROM n)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS "window", s AS start, least(n, s + 510) AS "end" FROM s WHERE s = 0 OR s + 64 < n""".replace("\\\\n", "\\n"))
+def window_plan(spark, d):
+    n = F.regexp_count(F.col("text"), F.lit("[^ \\n]+")).cast("bigint")
+    return ner.window_plan(N.table(spark, d, "documents").select("doc_id", n.alias("n_tokens")))
+
+
+_CONV = "conv AS (SELECT conv_id * 1000 + turn AS doc_id, any_value(text) AS text FROM conversations GROUP BY 1)"
+
+
+def _scored_tokens(spark, d):
+    from inkwell.functions.spans import find_spans
+
+    c = S.conversations(spark, d).groupBy((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id")).agg(F.first("text").alias("text"))
+    words = c.select("doc_id", F.posexplode(find_spans(F.col("text"), "[A-Za-z]+", context=0)).alias("position", "w"))
+    length = F.length("w.value")
+    logits = F.array(*[((F.col("position") * 7 + length * 3 + j * 5) % 11).cast("double") for j in range(9)])
+    return c, words.select("doc_id", F.lit(0).alias("window"), "position", "w.start", "w.end", logits.alias("logits"))
+
+
+@query(f"""WITH {_CONV}, w AS (SELECT doc_id, value, start, start + length(value) AS "end", row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS position FROM ({O.spans("conv", "[A-Za-z]+")})),
+l AS (SELECT *, list_transform(range(0, 9), lambda j: (position * 7 + length(value) * 3 + j * 5) % 11) AS g FROM w),
+m AS (SELECT *, list_max(list_filter(range(0, 9), lambda j: g[j + 1] = list_max(g)))::INT AS label, 1 / list_sum(list_transform(g, lambda x: exp((x - list_max(g))::DOUBLE))) AS conf FROM l),
+c AS (SELECT m.*, [NULL, 'MISC', 'MISC', 'PERSON', 'PERSON', 'ORGANISATION', 'ORGANISATION', 'LOCATION', 'LOCATION'][label + 1] AS category, lag([NULL, 'MISC', 'MISC', 'PERSON', 'PERSON', 'ORGANISATION', 'ORGANISATION', 'LOCATION', 'LOCATION'][label + 1]) OVER q AS pc, lag("end") OVER q AS pe, conv.text FROM m JOIN conv USING (doc_id) WINDOW q AS (PARTITION BY m.doc_id ORDER BY position)),
+o AS (SELECT *, CASE WHEN category IS NOT NULL AND coalesce(pc = category AND label % 2 = 0 AND regexp_matches(substr(text, pe + 1, start - pe), '^\\s*$'), false) THEN 0 ELSE 1 END AS opens FROM c),
+i AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS island FROM o),
+e AS (SELECT doc_id, island, any_value(category) AS category, min(start) AS s, max("end") AS e, min(conf) AS conf, any_value(text) AS text FROM i WHERE category IS NOT NULL GROUP BY doc_id, island)
+SELECT doc_id, category, (s - length(regexp_extract(substr(text, 1, s), '[\\pL\\pN''’\\-]*$')))::INT AS start, (e + length(regexp_extract(substr(text, e + 1), '^[\\pL\\pN''’\\-]*')))::INT AS "end", round(conf, 6) AS confidence FROM e""")
+def bio_decode(spark, d):
+    texts, tokens = _scored_tokens(spark, d)
+    return ner.decode(tokens, texts).select("doc_id", "category", "start", "end", F.round("confidence", 6).alias("confidence"))
+
+
+# Documents as sources
+
+
+@query()
+def html_blocks(spark, d):
+    blocks = D.html_blocks(F.col("html"))
+    return N.table(spark, d, "pages").select("page_id", F.size(blocks).alias("n_blocks"), D.flatten(blocks).alias("text"))
+
+
+@query("SELECT doc_id, lang || chr(10) || source || chr(9) || n_chars || chr(10) || 'x' || chr(9) || 'y' || chr(10) || 'end' AS text FROM documents")
+def block_flatten(spark, d):
+    docs = N.table(spark, d, "documents")
+    none = F.lit(None).cast("array<array<string>>")
+    block = lambda k, t, r: F.struct(F.lit(k).alias("kind"), t.alias("text"), r.alias("rows"))
+    table = F.array(F.array(F.col("source"), F.col("n_chars").cast("string")), F.array(F.lit("x"), F.lit("y")))
+    blocks = F.array(block("heading", F.col("lang"), none), block("table", F.lit(""), table), block("paragraph", F.lit("end"), none))
+    return docs.select("doc_id", D.flatten(blocks).alias("text"))
+
+
+@query("""WITH p AS (SELECT conv_id AS doc_id, turn AS page_no, CASE WHEN turn % 3 = 1 THEN '' ELSE text END AS text FROM conversations)
+SELECT doc_id, count(*) AS page_count, count(*) FILTER (trim(text) = '') AS empty_pages, string_agg(text, chr(10) ORDER BY page_no) FILTER (trim(text) <> '') AS text FROM p GROUP BY doc_id HAVING count(*) FILTER (trim(text) <> '') > 0""")
+def page_text(spark, d):
+    c = S.conversations(spark, d)
+    pages = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), F.when(F.col("turn") % 3 == 1, "").otherwise(F.col("text")).alias("text"))
+    return D.from_pages(pages).where("error is null").select("doc_id", "page_count", F.size("empty_pages").cast("bigint").alias("empty_pages"), "text")
+
+
+# Dictation
+
+
+@query()
+def utterances(spark, d):
+    return V.segment(S.frames(spark, d))
+
+
+@query("""WITH r AS (SELECT conv_id AS stream_id, turn AS seq, turn // 2 + 1 AS utterance, role = 'assistant' AS is_final, text FROM conversations),
+x AS (SELECT *, coalesce(max(CASE WHEN is_final THEN utterance END) OVER (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM r)
+SELECT stream_id, seq, utterance, is_final FROM x WHERE text IS NOT NULL AND (is_final OR utterance > done)""")
+def provisional_filter(spark, d):
+    c = S.conversations(spark, d)
+    results = c.select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.expr("turn div 2 + 1").alias("utterance"), (F.col("role") == "assistant").alias("is_final"), "text")
+    return V.accept(results).select("stream_id", "seq", "utterance", "is_final")
+
+
+@query(r"""WITH s AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) % 10 <= 6 AND regexp_matches(x, '[\pL\pN]') AND NOT regexp_matches(x, '^(\[.*\]|\(.*\))$')) AS p FROM conversations)
+SELECT conv_id, turn, CASE WHEN len(p) > 0 THEN array_to_string(p, ' ') END AS text FROM s""")
+def transcript_clean(spark, d):
+    c = S.conversations(spark, d)
+    segments = F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("text"), ((F.length(T.collapsed(x)) % 10) / 10).alias("no_speech")))
+    return c.select("conv_id", "turn", T.cleaned(segments).alias("text"))
+
+
+@query("""WITH j AS (SELECT conv_id AS stream_id, turn AS seq, role = 'assistant' AS is_final FROM conversations), k AS (SELECT *, max(seq) FILTER (NOT is_final) OVER (PARTITION BY stream_id) AS last FROM j)
+SELECT stream_id, seq, is_final, row_number() OVER (PARTITION BY stream_id ORDER BY is_final DESC, seq) AS turn FROM k WHERE is_final OR seq = last""")
+def job_queue(spark, d):
+    c = S.conversations(spark, d)
+    jobs = c.select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), (F.col("role") == "assistant").alias("is_final"))
+    return V.queue_order(jobs)
+
+
+@query("""WITH s AS (SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value / 1000 AS v FROM events), m AS (SELECT stream_id, pos // 16 AS "window", avg(v * v) AS m FROM s GROUP BY 1, 2)
+SELECT stream_id, "window", round(CASE WHEN m > 0 THEN least(1, greatest(0, (10 * log10(m) + 60) / 60)) ELSE 0 END, 6) AS level FROM m""")
+def level_meter(spark, d):
+    e = N.table(spark, d, "events")
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    samples = e.select(F.col("user_id").alias("stream_id"), n.cast("bigint").alias("pos"), (F.col("value") / 1000).alias("sample"))
+    return V.level_meter(samples, 16).withColumn("level", F.round("level", 6))
+
+
+@query()
+def resampled_audio(spark, d):
+    f = S.frames(spark, d)
+    chunk = F.floor(F.col("frame_no") / 64)
+    chunks = f.groupBy("stream_id", chunk.alias("chunk")).agg(F.transform(F.sort_array(F.collect_list(F.struct("frame_no", "probability"))), lambda x: x["probability"]).alias("samples"))
+    return V.resample(chunks, 48_000).select("stream_id", "chunk", F.size("samples").alias("n_samples"))
+
+
+@query("SELECT c_custkey AS id, '[' || upper(replace(c_name, '#', '_')) || ']' AS label, upper(substr(c_mktsegment, 1, 1)) || substr(c_mktsegment, 2) AS title FROM customer")
+def placeholder_labels(spark, d):
+    c = N.table(spark, d, "customer")
+    return c.select(F.col("c_custkey").alias("id"), T.placeholder(F.col("c_name")).alias("label"), T.title_of(F.concat(F.col("c_mktsegment"), F.lit(". Next [PERSON_1]."))).alias("title"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Detection, merging, labels and the rewritten text of every note."""
+    notes, items = _labelled(spark, sf_dir)
+    accepted = items.withColumn("decision", F.lit("accept"))
+    kinds = items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.sort_array(F.collect_set("category")), ",").alias("categories"))
+    return review.render(notes, accepted).select("doc_id", "output").join(kinds, "doc_id", "left").select("doc_id", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("categories", F.lit("")).alias("categories"), "output")
+
+
+QUERIES["deidentified_notes"] = flagship
+SQL["deidentified_notes"] = f"""WITH {_POOL}, cut AS (SELECT l.*, substr(n.text, coalesce(lag(l."end") OVER w, 0) + 1, l.start - coalesce(lag(l."end") OVER w, 0)) AS gap, n.text FROM labelled l JOIN notes n USING (doc_id) WINDOW w AS (PARTITION BY l.doc_id ORDER BY l.start))
+SELECT doc_id, count(*) AS n_items, array_to_string(list_sort(list(DISTINCT category)), ',') AS categories, string_agg(gap || replacement, '' ORDER BY start) || substr(any_value(text), max("end") + 1) AS output FROM cut GROUP BY doc_id"""
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
