@@ -12,8 +12,8 @@ from .common import literal_table, table
 # The rules of the URL query.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
-DOMAIN = "CASE WHEN CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) < 10 THEN 'web' ELSE 'reference' END"
-MIX_WEIGHTS = {("web",): "0.6", ("reference",): "0.4", **{(d, lang): w for d in ("web", "reference") for lang, w in (("en", "4"), ("de", "2"), ("fr", "2"), ("es", "2"))}}
+DOMAIN = "CASE WHEN TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) < 10 THEN 'web' ELSE 'reference' END"
+MIX_WEIGHTS = {("web",): "6", ("reference",): "4", **{(d, lang): w for d in ("web", "reference") for lang, w in (("en", "4"), ("de", "2"), ("fr", "2"), ("es", "2"))}}
 
 
 def tokenizer_path(name: str) -> str:
@@ -92,11 +92,16 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def source_mix():
+    from . import mixing
+
+    return mixing.Mix(levels=(DOMAIN, "lang", "source"), weights=MIX_WEIGHTS, share="0.5", max_epochs=2)
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
-    mix = mixing.Mix(levels=(DOMAIN, "lang", "source"), weights=MIX_WEIGHTS, share="0.5", max_epochs=2)
-    return mixing.mix_sources(table(spark, sf_dir, "documents"), mix).select("doc_id", "epoch", "leaf", "n_tokens")
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), source_mix()).select("doc_id", "epoch", "leaf", "n_tokens")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -105,6 +110,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .oracles import ORACLES
+    from .oracles import oracles
 
-    return dict(ORACLES)
+    return oracles(URL_RULES, source_mix())
