@@ -18,11 +18,13 @@ from __future__ import annotations
 
 import itertools
 import struct
+import unicodedata
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +32,15 @@ from pyspark.sql import functions as F
 from .common import shared_dir, written
 
 MASK_ADD = 0xA282EAD8
+#: Stands in a file for an id that is null; reading gives the null back.
+NULL_ID = -(1 << 63)
 HEADER = struct.Struct("<QI")
 TRIPLE = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("length", "<i8")])
 #: Characters for each file, about; words that a worker's cache holds.
-FILE_CHARS, CACHE = 32_000_000, 120_000
+FILE_CHARS, CACHE = 32_000_000, 200_000
 READ = 4 << 20
+#: Bytes of text that are encoded together.
+AT_ONCE = 2 << 20
 MANIFEST = "part int, path string, first bigint, n_docs bigint, n_tokens bigint"
 
 
@@ -77,54 +83,101 @@ def read_index(path: str) -> np.ndarray:
         return np.frombuffer(file.read(), TRIPLE)
 
 
-class WordCache:
-    """Encodes texts word by word with a bounded cache.
+#: Marks that end a word. Where one follows another sign a run of signs could
+#: be cut; marks that combine with a letter make it another one; and special
+#: tokens begin with ``<|``. Such texts are left as they are.
+_ENDS = ".,!?;:*%$&#|"
+_TAIL = f"([{_ENDS}]+)([ \\n]|$)"
+_UNSAFE = f"(?:_|[^\\pL\\pN \\n\\t\\r{_ENDS}])[{_ENDS}]|[\\x{{300}}-\\x{{36f}}\\x{{130}}]|<[|]"
+
+
+def parts_of(texts: pa.Array) -> pa.Array:
+    """Texts in parts that the tokenizer encodes one by one as it would the
+    whole: it drops white space and never joins what a space or a line feed
+    separates, nor a letter and a sign. Where that is safe, A-Z is lowered and
+    the signs behind a word stand apart, so that parts recur more often."""
+    texts = pc.fill_null(texts, "")
+    plain = pc.replace_substring_regex(pc.ascii_lower(texts), _TAIL, r" \1\2")
+    texts = pc.if_else(pc.match_substring_regex(texts, _UNSAFE), texts, plain)
+    return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+
+
+def slices(texts: pa.Array, limit: int):
+    """(begin, length) of runs of texts with about ``limit`` bytes each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(ends):
+        base = ends[begin - 1] if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield begin, stop - begin
+        begin = stop
 
-    The tokenizer drops white space and never joins what a space or a line
-    feed separates, so a text's ids are those of its words in turn.
-    """
+
+class WordCache:
+    """Encodes texts part by part with a bounded cache."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.size = len(vocabulary)
+        #: Ids that end a word.
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
         self.flat, self.begin, self.count = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
+    def _store(self, parts: list[str], ids: np.ndarray, count: np.ndarray) -> None:
+        self.index.update(zip(parts, range(len(self.count), len(self.count) + len(parts)), strict=True))
+        self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(count) - count))
+        self.count = np.concatenate((self.count, count))
+        self.flat = np.concatenate((self.flat, ids))
+
+    def _add(self, fresh: list[str]) -> None:
+        """Plain words are encoded side by side and told apart by the ids that
+        end a word; all else goes through the library's own word numbers."""
+        plain = [w for w in fresh if w.isalpha() and w.islower() and unicodedata.is_normalized("NFC", w)]
+        if plain:
+            texts = (" ".join(plain[i : i + 2000]) for i in range(0, len(plain), 2000))
+            ids = np.concatenate([np.array(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.uint32) for t in texts])
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(plain):
+                self._store(plain, ids, np.diff(ends, prepend=0))
+                fresh = [w for w in fresh if w not in self.index]
+        if fresh:
+            got = self.tokenizer.encode(fresh, is_pretokenized=True, add_special_tokens=False)
+            self._store(fresh, np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(fresh)))
+
+    def encode(self, texts: pa.Array, end: int) -> list[np.ndarray]:
         """Ids of every text with ``end`` behind them."""
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        parts = parts_of(texts)
+        coded = parts.flatten().dictionary_encode()
+        known = coded.dictionary.to_pylist()
         if len(self.index) >= CACHE:
             self._reset()
-        if fresh := [w for w in dict.fromkeys(itertools.chain.from_iterable(split)) if w not in self.index]:
-            got = self.tokenizer.encode(fresh, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, np.uint32)
-            count = np.bincount(np.array(got.word_ids, np.int64), minlength=len(fresh)) if len(ids) else np.zeros(len(fresh), np.int64)
-            self.index.update(zip(fresh, range(len(self.count), len(self.count) + len(fresh)), strict=True))
-            self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(count) - count))
-            self.count = np.concatenate((self.count, count))
-            self.flat = np.concatenate((self.flat, ids))
-        out = []
-        for own in split:
-            which = np.fromiter(map(self.index.__getitem__, own), np.int64, len(own))
-            begin, count = self.begin[which], self.count[which]
-            ends = np.cumsum(count)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = np.empty(total + 1, np.uint32)
-            ids[:-1] = self.flat[np.repeat(begin - (ends - count), count) + np.arange(total)]
-            ids[-1] = end
-            out.append(ids)
-        return out
+        if fresh := [w for w in known if w not in self.index]:
+            self._add(fresh)
+        slots = np.fromiter(map(self.index.__getitem__, known), np.int64, len(known))
+        which = slots[coded.indices.to_numpy()]
+        count = self.count[which]
+        ends = np.cumsum(count)
+        ids = self.flat[np.repeat(self.begin[which] - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        # Where each text's parts, and so its ids, end.
+        upto = np.cumsum(parts.value_lengths().to_numpy())
+        stops = np.concatenate(([0], ends))[upto]
+        ids = np.insert(ids, stops, end)
+        return np.split(ids, stops[:-1] + np.arange(1, len(stops)))
 
 
 def _bounds(docs: DataFrame, parts: int) -> list[int]:
     """Ids that cut the id column into ``parts`` of about equal counts."""
     if parts < 2:
         return []
-    cuts = docs.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts)
+    cuts = docs.select("doc_id").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts)
     return sorted({int(x) for x in cuts})
 
 
@@ -132,14 +185,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = 1, key
     """Encode, frame and write; returns the manifest, one row for each file.
 
     Null and empty texts become a record with the end id alone; equal ids stand
-    side by side, in no order among them; a null id is refused. No rows, no
-    files. ``parts`` follows from the characters unless given.
+    side by side, in no order among them; a null id stands as ``NULL_ID``, before
+    all others. No rows, no files. ``parts`` follows from the characters unless given.
     """
-    own = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    own = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).alias("text"))
     if parts is None:
-        n, chars, nulls = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(F.isnull("doc_id"))).first()
-        if nulls:
-            raise ValueError("a document has no id")
+        n, chars = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
         parts = max(1, min(n, -(-chars // FILE_CHARS)))
     cuts = _bounds(own, parts)
     which = F.lit(0)
@@ -154,21 +205,21 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = 1, key
 
     def run(batches):
         cache = WordCache(tokenizer)
-        narrow = cache.tokenizer.get_vocab_size() <= 1 << 16
+        narrow = cache.size <= 1 << 16
         system, base = fs.FileSystem.from_uri(folder)
         system.create_dir(base, recursive=True)
         data = index = None
         at = n_docs = n_tokens = first = part = 0
         name = f"{base}/.{uuid.uuid4().hex}"
         for batch in batches:
-            for begin in range(0, batch.num_rows, 200):
-                rows = batch.slice(begin, 200)
+            for begin, length in slices(batch["text"], AT_ONCE):
+                rows = batch.slice(begin, length)
                 ids = rows["doc_id"].to_pylist()
                 if data is None:
                     part, first = rows["part"][0].as_py(), ids[0]
                     data, index = system.open_output_stream(name), system.open_output_stream(f"{name}.index")
                 triples = []
-                for doc, got in zip(ids, cache.encode(rows["text"].to_pylist(), end), strict=True):
+                for doc, got in zip(ids, cache.encode(rows["text"], end), strict=True):
                     record = struct.pack("<q", doc) + got.astype("<u2" if narrow else "<u4").tobytes()
                     data.write(frame(record))
                     triples.append((doc, at, len(record)))
@@ -212,7 +263,8 @@ def read_tokens(manifest: DataFrame, width: int = 2) -> DataFrame:
                             start += len(ids)
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    read = files.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return read.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
 
 def token_files(docs: DataFrame, tokenizer: str, end: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
