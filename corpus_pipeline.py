@@ -23,10 +23,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate group."""
-    groups = near_dup.near_duplicates(docs)
-    kept = groups.where("kept").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Keep the document with the smallest id of each near-duplicate group.
+    Documents without an id belong to no group and stay; of rows that repeat
+    an id one stays."""
+    named = docs.where("doc_id is not null")
+    kept = near_dup.near_duplicates(named).where("kept").select("doc_id").distinct()
+    one = named.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where("doc_id is null"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -178,12 +178,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     smallest id that links reach. Null, empty and blank texts have the empty
     set and are linked with nothing. Rows that repeat an id belong together:
     they should hold one text; each gets its row, and all but the first of a
-    repeated id have the same values. A null id is refused.
+    repeated id have the same values. A row without an id is compared through
+    an equal set only: it has that class, or none, and is kept if it has none.
     """
     own = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     signed = written(own.mapInArrow(_sign, SIGNATURE), "signatures")
     # A repeated id is told apart by its set; the digest stands for it in classes.
-    classes = written(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")), "classes")
+    classes = written(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")).where("class_id is not null"), "classes")
     facts = _facts(classes)
     banded = classes.select(F.explode("bands").alias("band"), F.col("class_id").alias("id"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -218,4 +219,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classed = classed.withColumn("class_id", F.coalesce("class_id", "doc_id"))
     out = classed.join(final.select(F.col("node").alias("class_id"), F.col("component").alias("component_id")), "class_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "class_id"))
-    return out.select("doc_id", "n_shingles", "class_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "class_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
