@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # What recognisers make of noise, folded.
 HALLUCINATIONS = ("thank you for watching", "thanks for watching", "please subscribe", "like and subscribe", "subtitles by the amaraorg community", "subtitles by the amara org community")
@@ -13,7 +14,7 @@ SPACE = r"[\s\x{85}\p{Z}]"
 ALNUM = r"[\p{IsAlphabetic}\p{N}]"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def decomposed(values):
     """Compatibility decomposition (NFKD), which Spark has no function for."""
     import unicodedata

@@ -424,7 +424,9 @@ def average_cost(spark, d):
 def cost_estimate(spark, d):
     chosen = pricing.models(spark).where("model like 'gpt-4.1%' or model = 'gpt-6-sol'")
     allowance, cost = pricing.estimate_nanos(F.col("title"), F.col("text"))
-    return N.notes(spark, d).join(F.broadcast(chosen)).select("doc_id", "model", allowance.alias("allowance"), cost.alias("estimate_nanos"))
+    # A few constant rates for each note: an array beside it, no join.
+    rates = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in r.asDict().items()]) for r in chosen.collect()])
+    return N.notes(spark, d).select("doc_id", "title", "text", F.inline(rates)).select("doc_id", "model", allowance.alias("allowance"), cost.alias("estimate_nanos"))
 
 
 @query(f"WITH {S.ATTEMPTS_SQL} SELECT attempt_id, '$' || (cost_nanos // 1000000000) || '.' || CASE WHEN length(rtrim(lpad((cost_nanos % 1000000000)::VARCHAR, 9, '0'), '0')) < 2 THEN rpad(rtrim(lpad((cost_nanos % 1000000000)::VARCHAR, 9, '0'), '0'), 2, '0') ELSE rtrim(lpad((cost_nanos % 1000000000)::VARCHAR, 9, '0'), '0') END AS cost FROM attempts")
@@ -432,8 +434,8 @@ def currency_format(spark, d):
     return S.attempts(spark, d).select("attempt_id", usage.currency(F.col("cost_nanos")).alias("cost"))
 
 
-@query("""WITH e AS (SELECT event_id, user_id AS attempt_id, epoch_us(ts) AS at, event_type FROM events), k AS (SELECT *, CASE WHEN event_type IN ('signup', 'view') THEN 'started' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'completed' ELSE 'note' END AS outcome FROM e)
-SELECT attempt_id, coalesce(arg_min(outcome, {'a': at, 'b': event_id}) FILTER (outcome IN ('completed', 'failed')), 'started') AS outcome, min(at) FILTER (outcome = 'started') AS attempted_at FROM k GROUP BY attempt_id""")
+@query("""WITH e AS (SELECT event_id, user_id AS attempt_id, epoch_us(ts) AS t_us, event_type FROM events), k AS (SELECT *, CASE WHEN event_type IN ('signup', 'view') THEN 'started' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'completed' ELSE 'note' END AS outcome FROM e)
+SELECT attempt_id, coalesce(arg_min(outcome, {'a': t_us, 'b': event_id}) FILTER (WHERE outcome IN ('completed', 'failed')), 'started') AS outcome, min(t_us) FILTER (WHERE outcome = 'started') AS attempted_at FROM k GROUP BY attempt_id""")
 def attempt_lifecycle(spark, d):
     e = N.table(spark, d, "events")
     kind = F.when(F.col("event_type").isin("signup", "view"), "started").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").otherwise("note")

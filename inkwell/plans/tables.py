@@ -6,7 +6,7 @@ SQL that checks it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.pricing import MODELS, cost_nanos, models
@@ -101,9 +101,8 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Speech probabilities of each user's events, in their order."""
-    from pyspark.sql import Window
-
-    e = N.table(spark, sf_dir, "events")
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return e.select(F.col("user_id").alias("stream_id"), n.cast("bigint").alias("frame_no"), F.least(F.col("value") / 200, F.lit(1.0)).alias("probability"))
+    """Speech probabilities: the events of one user in seven are a recording."""
+    stream = (F.col("user_id") % 7).alias("stream_id")
+    e = N.table(spark, sf_dir, "events").withColumn("stream_id", stream)
+    n = F.row_number().over(Window.partitionBy("stream_id").orderBy("ts", "event_id")) - 1
+    return e.select("stream_id", n.cast("bigint").alias("frame_no"), F.least(F.col("value") / 120, F.lit(1.0)).alias("probability"))

@@ -224,7 +224,7 @@ def accept(results: DataFrame) -> DataFrame:
 
 def level(samples: Column) -> Column:
     """Loudness of samples: -60 to 0 dBFS as 0 to 1; silence and NaN are 0."""
-    mean = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) / F.size(samples)
+    mean = F.try_divide(F.aggregate(samples, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), F.size(samples))
     db = 10 * F.log10(mean)
     return F.when((F.size(samples) > 0) & (mean > 0) & ~F.isnan(mean), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (db + 60) / 60))).otherwise(0.0)
 
@@ -239,7 +239,7 @@ def level_meter(samples: DataFrame, size: int = 1024) -> DataFrame:
 
 def downmix(channels: Column) -> Column:
     """Mean over channels of interleaved frames (array of arrays)."""
-    return F.transform(channels, lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size(c))
+    return F.transform(channels, lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.greatest(F.lit(1), F.size(c)))
 
 
 class Resampler:
