@@ -78,6 +78,7 @@ TEMPLATES = {
     ),
     "proprietary": (
         "copyright all rights reserved",
+        "all rights reserved",
         "all rights reserved no part of this publication may be reproduced without the prior written permission of the publisher",
         "this software is proprietary and confidential unauthorized copying is prohibited copyright",
     ),

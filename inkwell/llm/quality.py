@@ -5,7 +5,8 @@ for each stratum (language): labelled documents are the holdout, and a cutoff
 is used only if the exact (Clopper-Pearson) upper bound on the share of good
 documents that it rejects stays within the allowed risk. The cutoffs of a
 signal are tested from the mildest on, ending at the first that fails (fixed
-sequence, so a grid costs no correction); strata and signals are corrected by
+sequence, so a grid costs no correction), and of those that pass the mildest is
+used that rejects as many labelled bad documents as the last; strata and signals are corrected by
 Bonferroni, and the risk is divided among the signals, so that all of them
 together stay within it.
 """
@@ -96,31 +97,33 @@ def certified(k: int, n: int, risk: float, delta: float) -> bool:
 
 
 def choose_cutoffs(measures: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA, key: str = "doc_id") -> list[tuple[str, str, int]]:
-    """(stratum, signal, cutoff) for all that may be used.
+    """(stratum, signal, cutoff) for all that are used.
 
     ``labels`` has ``key`` and ``quality`` (1: good); repeated labels of a
-    document count once, as good if any says so. Documents that the base rules
+    document count once, as good if any says so, and null ones don't count. A
+    signal that no labelled bad document shows gets no cutoff. Documents that the base rules
     reject aren't part of the holdout. What comes to the driver are counts,
     one row for each stratum with enough labels to certify anything.
     """
-    good = labels.groupBy(key).agg(F.max("quality").alias("_good")).where("_good = 1").select(key)
-    held = measures.where(~base_failed()).join(good, key, "left_semi").withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
-    counts = {f"{s}_{c}": F.count_if(F.expr(e) >= c) for s, e in SIGNALS.items() for c in GRID}
+    marks = labels.groupBy(key).agg((F.max("quality") == 1).alias("_good")).where("_good is not null")
+    held = measures.where(~base_failed()).join(marks, key).withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
+    counts = {f"{s}_{c}_{g}": F.count_if((F.expr(e) >= c) & (F.col("_good") == bool(g))) for s, e in SIGNALS.items() for c in GRID for g in (0, 1)}
     each = risk / len(SIGNALS)
     least = math.ceil(math.log(delta / len(SIGNALS)) / math.log1p(-each))
-    per = held.groupBy("_stratum").agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in counts.items()])
+    per = held.groupBy("_stratum").agg(F.count_if("_good").alias("n"), *[v.alias(k) for k, v in counts.items()])
     rows = per.where(F.col("n") >= least).orderBy(F.desc("n"), "_stratum").limit(MAX_STRATA).collect()
     level = delta / (len(SIGNALS) * max(1, len(rows)))
     chosen = []
     for row in rows:
         for s in SIGNALS:
-            best = None
+            usable = []
             for c in GRID:
-                if not certified(row[f"{s}_{c}"], row["n"], each, level):
+                if not certified(row[f"{s}_{c}_1"], row["n"], each, level):
                     break
-                best = c
-            if best is not None:
-                chosen.append((row["_stratum"], s, best))
+                usable.append(c)
+            caught = row[f"{s}_{usable[-1]}_0"] if usable else 0
+            if caught:
+                chosen.append((row["_stratum"], s, next(c for c in usable if row[f"{s}_{c}_0"] == caught)))
     return chosen
 
 

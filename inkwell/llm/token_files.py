@@ -248,7 +248,10 @@ def read_tokens(manifest: DataFrame, width: int = 2) -> DataFrame:
 
     # One row for each file, and a running sum over these few rows.
     base = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = manifest.select("path", base.alias("base")).repartition("path")
+    files = manifest.select("path", base.alias("base"))
+    # A number that is named isn't merged at run time: file lists are tiny rows
+    # that stand for large reads.
+    files = files.repartition(max(1, manifest.count()), "path")
 
     def run(batches):
         for batch in batches:
