@@ -109,7 +109,7 @@ ANCHOR = r"licen[sc]|copyright|warrant|permission|redistribut|apache|\bbsd\b|moz
 GATE = r"(?i)licen[sc]|copyright|warrant|permission|redistribut|apache|bsd|mozilla|creative|commons|cc[^a-z0-9]+by|gpl|cc0|reserved|proprietary|attribution"
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: Labelled rows that the model is fitted on, at most.
-TRAINING_ROWS, SEED, PASSES = 900, 11, 25
+TRAINING_ROWS, SEED, PASSES = 1800, 11, 40
 COVERED = 60  # percent of a template's n-grams
 FALSE_KNOWN = 0.02  # share of held-out strangers that may pass as known
 
