@@ -1,9 +1,9 @@
 """License scans: a trained paragraph classifier, confirmed by templates.
 
 A multinomial logistic regression over sparse word n-grams (one to three
-words) names the licence family of a paragraph, or ``none``. Its temperature
-and the threshold under which a licence-like paragraph is ``unknown`` are
-calibrated on held-out rows. A prediction counts as confirmed when the
+words) names the licence family of a paragraph, ``unknown`` for a licence of no family,
+or ``none``. Its temperature and the threshold under which a family becomes
+``unknown`` too are calibrated on held-out rows. A prediction counts as confirmed when the
 paragraph holds enough of a template of that family. The model is fitted on
 the driver from a bounded set of labelled rows made from the templates here;
 paragraphs are scored in SQL: n-grams are joined with the weights.
@@ -90,6 +90,10 @@ STRANGE = (
     "distributed under the terms of the vendor source license",
     "use is governed by the blue sky research license agreement",
     "this dataset is licensed under a custom data license",
+    "made available under the river valley license",
+    "distributed under the artistic license 2.0",
+    "you may use this file under the terms of the sample vendor license",
+    "licensed under the academic research license see the license text",
 )
 PLAIN = (
     "she renewed her driving license last week and drove home",
@@ -104,6 +108,7 @@ PLAIN = (
     "the wealth was redistributed among the heirs",
 )
 NONE, UNKNOWN = "none", "unknown"
+CLASSES = (*TEMPLATES, UNKNOWN, NONE)
 ANCHOR = r"licen[sc]|copyright|warrant|permission|redistribut|apache|\bbsd\b|mozilla|creative|commons|\bcc by|\bgpl\b|\bcc0|reserved|proprietary|attribution"
 #: The same over raw text: whatever the n-gram form has, this has.
 GATE = r"(?i)licen[sc]|copyright|warrant|permission|redistribut|apache|bsd|mozilla|creative|commons|cc[^a-z0-9]+by|gpl|cc0|reserved|proprietary|attribution"
@@ -151,13 +156,13 @@ def _softmax(score: dict[str, float], heat: float = 1.0) -> dict[str, float]:
 def fit(n: int = TRAINING_ROWS, seed: int = SEED) -> tuple[dict[tuple[str, str], float], dict[str, float], float, float, float]:
     """Weights by (family, n-gram), biases, temperature, threshold, held-out accuracy.
 
-    A third of the rows is held out for the temperature and the threshold.
-    ``unknown`` isn't a class of its own: strangers calibrate the threshold.
+    A third of the rows is held out for the temperature and the threshold: of
+    the strangers there, which are of no family, few may pass as one.
     """
     rows = [(f, grams(t)) for f, t in training_rows(n, seed)]
     random.Random(seed).shuffle(rows)
-    held, train = rows[: n // 3], [r for r in rows[n // 3 :] if r[0] != UNKNOWN]
-    classes = [*TEMPLATES, NONE]
+    held, train = rows[: n // 3], rows[n // 3 :]
+    classes = CLASSES
     weights: dict[tuple[str, str], float] = {}
     # Without any n-gram a paragraph is no licence, whatever its length.
     bias = {c: 0.0 for c in classes} | {NONE: 2.0}
@@ -174,9 +179,9 @@ def fit(n: int = TRAINING_ROWS, seed: int = SEED) -> tuple[dict[tuple[str, str],
                 error = (c == family) - chance[c]
                 for g in features:
                     weights[c, g] = weights.get((c, g), 0.0) * (1 - 1e-4) + scale * error
-    known = [(f, score(g)) for f, g in held if f != UNKNOWN]
+    known = [(f, score(g)) for f, g in held]
     heat = min((x / 4 for x in range(2, 21)), key=lambda h: -sum(math.log(max(1e-12, _softmax(s, h)[f])) for f, s in known))
-    best = sorted(max((p, c) for c, p in _softmax(score(g), heat).items() if c != NONE)[0] for f, g in held if f == UNKNOWN)
+    best = sorted(max((p, c) for c, p in _softmax(score(g), heat).items() if c in TEMPLATES)[0] for f, g in held if f == UNKNOWN)
     threshold = max(0.5, best[min(len(best) - 1, int((1 - FALSE_KNOWN) * len(best)))]) if best else 0.5
     threshold = min(threshold, 0.9)
     right = sum(max(s, key=s.get) == f for f, s in known) / max(1, len(known))
@@ -187,7 +192,7 @@ def fit(n: int = TRAINING_ROWS, seed: int = SEED) -> tuple[dict[tuple[str, str],
 def model_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """Weights (gram, w: map by family) and templates (gram, template, family, size)."""
     weights, *_ = fit()
-    classes = [*TEMPLATES, NONE]
+    classes = CLASSES
     by: dict[str, list[float]] = {}
     for (c, g), w in weights.items():
         by.setdefault(g, [0.0] * len(classes))[classes.index(c)] = w
@@ -221,7 +226,7 @@ def classify_paragraphs(paragraphs: DataFrame, key: str = "digest", text: str =
     spark = paragraphs.sparkSession
     weights, templates = model_tables(spark)
     _, bias, heat, threshold, _ = fit()
-    classes = [*TEMPLATES, NONE]
+    classes = CLASSES
     found = paragraphs.select(key, F.explode(paragraph_grams(F.col(text))).alias("gram"))
     sums = [F.sum(F.get("w", F.lit(i))).alias(f"s{i}") for i in range(len(classes))]
     scored = found.join(F.broadcast(weights), "gram").groupBy(key).agg(*sums)
@@ -233,7 +238,7 @@ def classify_paragraphs(paragraphs: DataFrame, key: str = "digest", text: str =
     covers = found.join(F.broadcast(templates), "gram").groupBy(key, "family", "template").agg((100 * F.count(F.lit(1))).alias("n"), F.max("size").alias("size"))
     covers = covers.where(F.col("n") >= COVERED * F.col("size")).select(key, "family").distinct().withColumn("confirmed", F.lit(True))
     joined = scored.join(covers.withColumnRenamed("family", "best"), [key, "best"], "left")
-    family = F.when(F.col("best") == NONE, NONE).when(F.col("confirmed") | (F.col("confidence") >= threshold), F.col("best")).otherwise(UNKNOWN)
+    family = F.when(F.col("best").isin(NONE, UNKNOWN), F.col("best")).when(F.col("confirmed") | (F.col("confidence") >= threshold), F.col("best")).otherwise(UNKNOWN)
     return joined.withColumn("confirmed", F.coalesce("confirmed", F.lit(False))).select(key, family.alias("family"), "confidence", "confirmed")
 
 
