@@ -49,9 +49,12 @@ def label(items: DataFrame, notes: DataFrame, text: str = "text") -> DataFrame:
 
 
 def reason(stages: Column) -> Column:
-    """Why an item is there, by the strongest stage."""
+    """Why an item is there, by the strongest stage. The wordings."""
     has = lambda s: F.array_contains(stages, s)
-    return F.when(has("manual"), "Added by hand").when(has("library"), "Saved phrase").when(has("rules"), "Matched a pattern").otherwise("Suggested by the model")
+    return (
+        F.when(has("manual"), "Manually selected for review.").when(has("library"), "Matches a saved local mapping.")
+        .when(has("rules"), "Matches a structured identifier pattern.").otherwise("The local model marked this as a possible named entity.")
+    )
 
 
 def valid_label(value: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import pricing, text as T
-from inkwell.operators import detect, evaluate, generation, library, ner, relational, review, search, usage
+from inkwell.operators import detect, evaluate, generation, library, lifecycle, ner, relational, review, search, usage
 from inkwell.plans import oracles as O
 from inkwell.plans import tables as S
 from inkwell.sources import documents as D
@@ -193,6 +193,73 @@ def revision_check(spark, d):
     return review.check_revision(edits, notes).select("doc_id", "accepted")
 
 
+@query(f"""WITH {_POOL} SELECT doc_id, item, 'Matches a structured identifier pattern.' AS reason FROM items""")
+def item_reasons(spark, d):
+    items = review.merge(_evidence(spark, d))
+    return items.select("doc_id", "item", review.reason(F.col("stages")).alias("reason"))
+
+
+@query(f"""WITH {N.NOTES_SQL}, {S.MODELS_SQL} SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 7 = 0 THEN 'model' WHEN o_orderkey % 3 <> 1 THEN 'template' WHEN NOT EXISTS (SELECT 1 FROM notes n WHERE n.doc_id = o_orderkey) OR o_orderkey % 2 = 0 THEN 'notes' END AS refused FROM orders""")
+def preparation_gates(spark, d):
+    o = N.table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    requests = o.select(k.alias("request_id"), F.when(k % 2 == 0, -1).otherwise(F.col("o_custkey")).alias("patient_id"), (k % 3).alias("template_id"), F.when(k % 7 == 0, "none").otherwise("gpt-6-luna").alias("model"))
+    uses = o.select(k.alias("request_id"), k.alias("doc_id"))
+    templates = spark.createDataFrame([(1, False), (2, True)], "id bigint, archived boolean")
+    return lifecycle.gates(requests, uses, N.notes(spark, d), templates, pricing.models(spark))
+
+
+@query("""WITH t AS (SELECT p_partkey + 1 AS id, 1 + (p_partkey % 2 = 0)::BIGINT AS version, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_name END AS name, p_size > 40 AS archived FROM part),
+n AS (SELECT count(*) AS n FROM part) SELECT id, version, name, archived FROM t UNION ALL SELECT (n + row_number() OVER (ORDER BY t.id))::BIGINT, 1, name || ' copy', false FROM t, n WHERE t.id <= 3""")
+def template_versions(spark, d):
+    p = N.table(spark, d, "part")
+    base = p.select((F.col("p_partkey") + 1).alias("id"), F.lit(1).cast("bigint").alias("version"), F.col("p_name").alias("name"), F.lit("d").alias("description"), F.lit("i").alias("instructions"), F.lit(False).alias("archived"), F.lit(0).cast("bigint").alias("created_at"), F.lit(0).cast("bigint").alias("updated_at"))
+    changes = p.where("p_partkey % 2 = 0").select((F.col("p_partkey") + 1).alias("id"), F.col("p_brand").alias("name"), F.lit("d").alias("description"), F.lit("i").alias("instructions"))
+    flags = p.where("p_size > 40").select((F.col("p_partkey") + 1).alias("id"), F.lit(True).alias("archived"))
+    now = lifecycle.archive_templates(lifecycle.update_templates(base, changes, 5), flags, 6)
+    return lifecycle.duplicate_templates(now, now.where("id <= 3"), 7).select("id", "version", "name", "archived")
+
+
+@query("""SELECT o_orderkey AS document_id, CASE WHEN o_orderkey % 3 = 0 AND NOT (o_orderkey % 2 = 0 AND o_orderkey % 5 = 0) THEN 2 ELSE 1 END::BIGINT AS revision,
+o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0 AS reviewed, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0 THEN 'Dr' END AS clinician_snapshot,
+CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 4 = 0 THEN 'sig' END AS signature_snapshot FROM orders""")
+def document_save(spark, d):
+    o, k = N.table(spark, d, "orders"), F.col("o_orderkey")
+    none = F.lit(None).cast("string")
+    old = o.select(k.alias("document_id"), F.lit("t").alias("title"), F.lit("x").alias("text"), F.lit(1).cast("bigint").alias("revision"), F.lit(False).alias("reviewed"), F.lit(False).alias("include_signature"), none.alias("clinician_snapshot"), none.alias("signature_snapshot"), F.lit(0).cast("bigint").alias("updated_at"))
+    text = F.when(k % 5 == 0, "left ⟪CV_x_0001⟫").otherwise("done")
+    edits = o.where(k % 3 == 0).select(k.alias("document_id"), F.lit("u").alias("title"), text.alias("text"), (k % 2 == 0).alias("reviewed"), (k % 4 == 0).alias("include_signature"))
+    return lifecycle.save_documents(old, edits, F.lit("Dr"), F.lit("sig"), 9).select("document_id", "revision", "reviewed", "clinician_snapshot", "signature_snapshot")
+
+
+@query("""SELECT l_orderkey AS preparation_id, l_linenumber AS seq, l_partkey AS part, l_orderkey % 2 = 0 AND row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 1000000 + l_partkey) = 1 AS granted FROM lineitem""")
+def submission_consume(spark, d):
+    x = N.table(spark, d, "lineitem")
+    held = N.table(spark, d, "orders").select(F.col("o_orderkey").alias("preparation_id"), (F.col("o_orderkey") % 2 == 0).alias("usable"))
+    asked = x.select(F.col("l_orderkey").alias("preparation_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("seq"))
+    return lifecycle.consume(held, asked).select("preparation_id", F.expr("cast(seq div 1000000 as int)").alias("seq"), (F.col("seq") % 1000000).alias("part"), "granted")
+
+
+@query(f"WITH {S.CORPUS_SQL} SELECT doc_id, count(*) AS tokens FROM postings WHERE doc_id % 3 <> 0 GROUP BY 1 UNION ALL SELECT doc_id, count(*) FROM postings WHERE doc_id % 3 = 0 AND doc_id % 2 = 0 AND col = 1 GROUP BY 1")
+def index_maintenance(spark, d):
+    docs = S.corpus(spark, d)
+    old = search.postings(docs)
+    changed = docs.where("doc_id % 3 = 0 and doc_id % 2 = 0").select("doc_id", "title", F.lit(None).cast("string").alias("patient_reference"), F.lit("").alias("text"))
+    # Of the changed notes the title alone is left; every other third note is deleted.
+    now = lifecycle.reindex(old, changed, docs.where("doc_id % 3 = 0"))
+    return now.where((F.col("col") < 2) | (F.col("doc_id") % 3 != 0)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"))
+
+
+@query("SELECT doc_id, 0::BIGINT AS seq, 1::INT AS start, 4::INT AS \"end\" FROM documents WHERE length(text) >= 4")
+def manual_selections(spark, d):
+    docs = N.table(spark, d, "documents").select("doc_id", F.concat(F.lit("😀"), "text").alias("text"))
+    # Behind a character of two units; the second selection splits it.
+    first = docs.select("doc_id", F.lit(0).alias("seq"), F.lit(2).alias("start_utf16"), F.lit(5).alias("end_utf16"))
+    second = docs.select("doc_id", F.lit(1).alias("seq"), F.lit(1).alias("start_utf16"), F.lit(5).alias("end_utf16"))
+    found = lifecycle.manual_evidence(first.unionByName(second), docs)
+    return found.join(docs.where("length(text) >= 5"), "doc_id", "left_semi").select("doc_id", "seq", "start", "end")
+
+
 # Saved phrases
 
 _WORD = "[A-Za-z0-9_]"

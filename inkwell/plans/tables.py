@@ -105,4 +105,4 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = (F.col("user_id") % 7).alias("stream_id")
     e = N.table(spark, sf_dir, "events").withColumn("stream_id", stream)
     n = F.row_number().over(Window.partitionBy("stream_id").orderBy("ts", "event_id")) - 1
-    return e.select("stream_id", n.cast("bigint").alias("frame_no"), F.least(F.col("value") / 120, F.lit(1.0)).alias("probability"))
+    return e.select("stream_id", n.cast("bigint").alias("frame_no"), F.least(F.col("value") / 40, F.lit(1.0)).alias("probability"))

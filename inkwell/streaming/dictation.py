@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RATE, FRAME = 16_000, 512
@@ -196,6 +196,13 @@ def segment_stream(frames_stream: DataFrame, policy: Policy = Policy(), idle_ms:
     return clean.groupBy("stream_id").applyInPandasWithState(run, EVENTS, "state string, seq bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def replay(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+    """Frames (stream_id, frame_no, probability) of recorded files as a stream,
+    so many files in each batch."""
+    schema = "stream_id bigint, frame_no bigint, probability double"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
 def queue_order(jobs: DataFrame) -> DataFrame:
     """Jobs in the order that a recogniser takes them: final ones first, in
     turn; of provisional ones only the latest of a recording is left."""

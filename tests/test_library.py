@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions import pricing, text as T
-from inkwell.operators import generation, library, ner, relational, search, usage
+from inkwell.operators import generation, library, lifecycle, ner, relational, search, usage
 from inkwell.sources import documents as D
 from inkwell.streaming import dictation as V
 
@@ -284,3 +284,42 @@ def test_queue(spark):
     rows = [(1, 1, False), (1, 2, True), (1, 3, False), (1, 4, True)]
     got = V.queue_order(spark.createDataFrame(rows, "stream_id long, seq long, is_final boolean")).orderBy("turn").collect()
     assert [r.seq for r in got] == [2, 4, 3]
+
+
+def test_gold_json(spark, tmp_path):
+    from inkwell.operators import detect, evaluate
+
+    path = tmp_path / "gold.json"
+    path.write_text('[{"id": "n1", "text": "Ann wrote a@b.org, Ann.", "entities": [{"text": "Ann", "category": "PERSON"}, {"text": "a@b.org", "category": "EMAIL"}]}, {"id": "n2", "text": "none", "entities": []}]')
+    notes, entities = D.read_gold(spark, str(path))
+    gold = evaluate.occurrences(notes, entities)
+    assert sorted((r.start, r.end) for r in gold.collect()) == [(0, 3), (10, 17), (19, 22)]
+    got = {r.category: (r.gold, r.covered) for r in evaluate.by_category(gold, detect.detect(notes)).collect()}
+    assert got == {"PERSON": (2, 0), "EMAIL": (1, 1)}
+
+
+def test_templates(spark):
+    seeded = lifecycle.seed_templates(lifecycle.no_templates(spark), 1)
+    assert [r.name for r in seeded.orderBy("id").collect()] == ["GP letter", "Referral letter", "Progress report"]
+    assert lifecycle.seed_templates(seeded, 2) is seeded
+    new = spark.createDataFrame([(1, " X ", None, "do"), (2, "", "d", "do"), (3, "Y", "d", "z" * 8001)], "seq long, name string, description string, instructions string")
+    assert [(r.id, r.name) for r in lifecycle.create_templates(seeded, new, 3).where("id > 3").collect()] == [(4, "X")]
+
+
+def test_selections(spark):
+    notes = spark.createDataFrame([(0, "a😀b")], "doc_id long, text string")
+    rows = [(0, i, a, b) for i, (a, b) in enumerate([(0, 1), (1, 3), (1, 2), (3, 4), (4, 4), (0, 5), (-1, 2)])]
+    got = lifecycle.manual_evidence(spark.createDataFrame(rows, "doc_id long, seq long, start_utf16 int, end_utf16 int"), notes)
+    assert sorted((r.seq, r.start, r.end) for r in got.collect()) == [(0, 0, 1), (1, 1, 2), (3, 2, 3)]
+
+
+def test_replay(spark, tmp_path):
+    spark.createDataFrame([(1, 0, 0.5)], "stream_id long, frame_no long, probability double").write.parquet(f"{tmp_path}/in")
+    q = V.replay(spark, f"{tmp_path}/in").writeStream.format("memory").queryName("replayed").trigger(availableNow=True).start()
+    assert q.awaitTermination(60) and spark.sql("select * from replayed").count() == 1
+
+
+def test_mapping_updates(spark):
+    old = spark.createDataFrame([(1, "a", "[A]", 0), (2, "b", "[B]", 0)], "id long, phrase string, replacement string, updated_at long")
+    changes = spark.createDataFrame([(1, "[NEW]"), (2, "bad")], "id long, replacement string")
+    assert sorted((r.id, r.replacement, r.updated_at) for r in lifecycle.update_replacements(old, changes, 5).collect()) == [(1, "[NEW]", 5), (2, "[B]", 0)]
