@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import mixing, near_dup, quality, secrets, sentencepiece
-from inkwell.llm.common import shared_dir, table
+from inkwell.llm.common import hinted, shared_dir, table, written
 from inkwell.llm.queries import DOMAIN, MIX_WEIGHTS, tokenizer_path
 
 #: Share of the words that reach the mixing stage and leave it, at most.
@@ -16,10 +16,12 @@ MIX_SHARE = "0.8"
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that a quality rule rejects. Rows that repeat an id are
     judged by their own texts; a null text fails."""
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    judged = quality.judge_quality(hashed, table(spark, sf_dir, "labels"), carry=("_hash",)).where("kept")
-    kept = judged.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_kept"))
-    return hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_kept")), "left_semi").select(*docs.columns)
+    counts = quality.measured(docs.select("doc_id", "lang", F.col("text").alias("_text")), "_text").drop("_text")
+    cutoffs = quality.choose_cutoffs(written(counts, "quality"), table(spark, sf_dir, "labels"))
+    # Counting again costs less than moving the texts to join the verdicts.
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "lang", F.col("text").alias("_text"))
+    kept = quality.measured(rows, "_text").where(~quality.base_failed() & ~quality.method_rejects(cutoffs))
+    return kept.select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +29,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without an id belong to no group and stay; of rows that repeat
     an id one stays."""
     named = docs.where("doc_id is not null")
-    kept = near_dup.near_duplicates(named).where("kept").select("doc_id").distinct()
-    one = named.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    groups = written(near_dup.near_duplicates(named).select("doc_id", "kept"), "groups")
+    gone = hinted(groups.where(~F.col("kept")).select("doc_id").distinct())
+    one = named.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if groups.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        one = one.dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id is null"))
 
 
@@ -36,6 +41,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret by a label; all documents stay."""
     found, _ = secrets.scan_versions(docs, "doc_id", "text")
     hits = found.where(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
+    hits = hinted(written(hits, "hits"), 1 + F.size("findings"))
     joined = docs.withColumn("blob", secrets.blob_of(F.col("text"))).join(hits, "blob", "left")
     clean = F.when(F.size("findings") > 0, secrets.redact(F.col("text"), F.col("findings"))).otherwise(F.col("text"))
     out = joined.withColumn("text", clean).withColumn("n_chars", F.when(F.size("findings") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))

@@ -25,6 +25,19 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")))
 
 
+#: Rows of ids and digests (under 150 bytes each) that are sent to all
+#: executors rather than joined by a shuffle of the texts: 15 MB at most.
+BROADCAST_ROWS = 100_000
+
+
+def hinted(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it is counted and found small, else as it
+    is, for a join by shuffle. ``weight`` counts a row as several. The count
+    runs ``df``'s plan, so that should be a written table or close to one."""
+    size = df.agg(F.coalesce(F.sum(F.lit(1) if weight is None else weight), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_ROWS else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder that the driver and every executor can reach.
 

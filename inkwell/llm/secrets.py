@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.spans import find_spans
 
-from .common import written
+from .common import hinted, written
 
 RULE_VERSION = "2"
 
@@ -83,13 +83,15 @@ def scan_versions(versions: DataFrame, path: str, text: str, ledger: DataFrame |
     """
     docs = versions.select(F.col(path).alias("path"), F.col(text).alias("text")).withColumn("blob", blob_of(F.col("text")))
     seen = written(docs.select("path", "blob"), "versions")
-    fresh = seen.groupBy("blob").agg(F.min("path").alias("path"))
+    # What needs no scan: versions that repeat a blob, and blobs that the ledger
+    # has. Few as a rule, so that the texts needn't move to drop them.
+    shared = written(seen.groupBy("blob").agg(F.min("path").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared")
+    skip = seen.join(hinted(shared), "blob").where(~F.col("path").eqNullSafe(F.col("first"))).select("path", "blob")
     if ledger is not None:
         known = ledger.where(F.col("rule_version") == rule_version)
-        fresh = fresh.join(known, "blob", "left_anti")
-    first = fresh.select(F.col("path").alias("_path"), F.col("blob").alias("_blob"))
-    # One text for each unseen blob moves; the scan follows the join.
-    texts = docs.join(first, docs["path"].eqNullSafe(first["_path"]) & (docs["blob"] == first["_blob"]), "left_semi")
+        skip = skip.unionByName(seen.join(known.select("blob"), "blob", "left_semi").select("path", "blob"))
+    skip = hinted(written(skip.distinct().select(F.col("path").alias("_path"), F.col("blob").alias("_blob")), "skip"))
+    texts = docs.join(skip, docs["path"].eqNullSafe(skip["_path"]) & (docs["blob"] == skip["_blob"]), "left_anti")
     scanned = texts.select("blob", scan(F.col("text"), rules).alias("findings"))
     rows = written(scanned.withColumn("rule_version", F.lit(rule_version)).select("blob", "rule_version", "findings"), "ledger")
     every = rows if ledger is None else rows.unionByName(known.select("blob", "rule_version", "findings"))
