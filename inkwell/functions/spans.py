@@ -55,13 +55,15 @@ def running_sums(lengths: Column) -> Column:
     return F.flatten(shifted)
 
 
-def find_spans(text: Column, pattern: str, cue: Column | None = None, context: int = 40) -> Column:
+def find_spans(text: Column, pattern: str, cue: Column | None = None, context: int = 40, probe: bool = True) -> Column:
     """All leftmost non-overlapping matches: start, end, value and up to
     ``context`` code points on either side (cut at the neighbouring match).
 
     ``pattern`` must match neither the empty string nor private-use
     characters. ``cue`` is a cheap condition that every text with a match
-    meets; other texts are not searched. A null text has no spans.
+    meets; other texts are not searched. ``probe`` tests the pattern before it
+    is marked: better where few texts match, a second pass where most do. A
+    null text has no spans.
     """
     safe = F.replace(text, F.lit(MARK), F.lit(STAND_IN))
 
@@ -84,8 +86,22 @@ def find_spans(text: Column, pattern: str, cue: Column | None = None, context: i
             ),
         )
 
-    found = let(F.split(F.regexp_replace(safe, pattern, f"{MARK}$0{MARK}"), MARK, -1), spans)
-    has = text.rlike(pattern) if cue is None else cue & text.rlike(pattern)
+    def plain(pieces: Column) -> Column:
+        """The same in one fold, for few pieces and no context."""
+        span = lambda a, x: F.struct(a["at"].alias("start"), (a["at"] + F.length(x)).alias("end"), x.alias("value"), F.lit("").alias("left"), F.lit("").alias("right"))
+        return F.aggregate(
+            pieces,
+            F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.array().cast(SPAN).alias("out")),
+            lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), (~a["match"]).alias("match"), F.when(a["match"], F.concat(a["out"], F.array(span(a, x)))).otherwise(a["out"]).alias("out")),
+            lambda a: a["out"],
+        )
+
+    def marked(pieces: Column) -> Column:
+        return spans(pieces) if context else F.when(F.size(pieces) <= BLOCK, plain(pieces)).otherwise(spans(pieces))
+
+    found = let(F.split(F.regexp_replace(safe, pattern, f"{MARK}$0{MARK}"), MARK, -1), marked)
+    has = text.isNotNull() if cue is None else cue
+    has = has & text.rlike(pattern) if probe else has
     return F.when(has, found).otherwise(F.array().cast(SPAN))
 
 

@@ -46,10 +46,13 @@ EVIDENCE = "array<struct<category:string,start:int,end:int,phrase:string,confide
 
 def valid_nhs(value: Column) -> Column:
     """Ten digits, not all alike, whose weighted sum modulo 11 fits the last."""
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    at = lambda i: F.substring(digits, i + 1, 1).cast("int")
-    check = (11 - sum((at(i) * (10 - i) for i in range(9)), F.lit(0)) % 11) % 11
-    return (F.length(digits) == 10) & ~digits.rlike(r"^(.)\1{9}$") & (check < 10) & (check == at(9))
+
+    def check(digits: Column) -> Column:
+        at = lambda i: F.substring(digits, i + 1, 1).cast("int")
+        due = (11 - sum((at(i) * (10 - i) for i in range(9)), F.lit(0)) % 11) % 11
+        return (F.length(digits) == 10) & ~digits.rlike(r"^(.)\1{9}$") & (due < 10) & (due == at(9))
+
+    return let(F.regexp_replace(value, "[^0-9]", ""), check)
 
 
 def ni_allowed(value: Column) -> Column:
@@ -59,7 +62,7 @@ def ni_allowed(value: Column) -> Column:
 def rule_spans(text: Column, rule: Rule) -> Column:
     """A rule's evidence in a text, by position."""
     cue = text.contains(rule.cue) if rule.cue else None
-    found = find_spans(text, rule.pattern, cue, context=0)
+    found = find_spans(text, rule.pattern, cue, context=0, probe=False)
 
     def evidence(x: Column) -> Column:
         value = F.regexp_extract(x["value"], rule.pattern, 1) if rule.tail else x["value"]
