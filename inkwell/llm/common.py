@@ -38,6 +38,15 @@ def hinted(df: DataFrame, weight: Column | None = None) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_ROWS else df
 
 
+def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Let Arrow batches hold ``limit`` bytes at most, from now on in this
+    session. The default of 64 MB, doubled while a batch grows and held twice,
+    in the JVM and in Python, is much for an executor with many cores."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m"))) > limit:
+        spark.conf.set(key, str(limit))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder that the driver and every executor can reach.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 from .components import connected_components
 
 WORDS = 5
@@ -181,6 +181,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     repeated id have the same values. A row without an id is compared through
     an equal set only: it has that class, or none, and is kept if it has none.
     """
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     signed = written(own.mapInArrow(_sign, SIGNATURE), "signatures")
     # A repeated id is told apart by its set; the digest stands for it in classes.

@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 SPACE = "▁"
 CHUNK = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 #: Chunks that a worker's cache holds, chunks encoded at once, longest chunk
@@ -355,6 +357,7 @@ def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text
     """
     from pyspark.sql import functions as F
 
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     key_type = own.schema["_key"].dataType.simpleString()
 

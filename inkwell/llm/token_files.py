@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import shared_dir, small_batches, written
 
 MASK_ADD = 0xA282EAD8
 #: Stands in a file for an id that is null; reading gives the null back.
@@ -188,6 +188,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = 1, key
     side by side, in no order among them; a null id stands as ``NULL_ID``, before
     all others. No rows, no files. ``parts`` follows from the characters unless given.
     """
+    small_batches(docs.sparkSession)
     own = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).alias("text"))
     if parts is None:
         n, chars = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
