@@ -8,6 +8,8 @@ from pyspark.sql.functions import pandas_udf
 
 # The token's marks, its longest offset, the payload's limit.
 OPEN, CLOSE, REACH, MAX_BYTES = "⟪CV_", "⟫", 96, 512 * 1024
+#: The column that tells submissions apart, in every table here.
+KEY = "preparation_id"
 
 
 def eligible(value: Column) -> Column:
@@ -15,38 +17,40 @@ def eligible(value: Column) -> Column:
     return F.coalesce(value.rlike(r"^\[[A-Z0-9_]+\]$") & F.octet_length(value).between(3, 66), F.lit(False))
 
 
-def token_items(items: DataFrame, ordinals: DataFrame, preparation: str) -> DataFrame:
-    """Tokens of a submission's eligible items: numbered against the text's
-    direction within a note, and on across notes (``ordinals``: doc_id, ordinal).
+def token_items(items: DataFrame, ordinals: DataFrame) -> DataFrame:
+    """Tokens of each submission's eligible items: numbered against the text's
+    direction within a note, and on across the submission's notes
+    (``ordinals``: preparation_id, doc_id, ordinal).
 
-    A submission is a person's choice of notes and limited in bytes, so one
-    window over its items is small.
+    A submission is a person's choice of notes and limited in bytes, so the
+    window over its items is small, however many submissions there are.
     """
     own = items.drop("number").where(eligible(F.col("replacement"))).join(ordinals, "doc_id")
-    number = F.row_number().over(Window.orderBy("ordinal", F.desc("output_start")))
-    token = F.concat(F.lit(f"{OPEN}{preparation}_"), F.when(F.length(F.col("_n").cast("string")) < 4, F.lpad(F.col("_n").cast("string"), 4, "0")).otherwise(F.col("_n").cast("string")), F.lit(CLOSE))
-    return own.withColumn("_n", number).withColumn("token", token).withColumnRenamed("_n", "number")
+    number = F.row_number().over(Window.partitionBy(KEY).orderBy("ordinal", F.desc("output_start")))
+    digits = F.col("number").cast("string")
+    token = F.concat(F.lit(OPEN), F.col(KEY), F.lit("_"), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits), F.lit(CLOSE))
+    return own.withColumn("number", number).withColumn("token", token)
 
 
 def tokenised(texts: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Rendered texts (doc_id, output) with their tokens in place."""
+    """Rendered texts (preparation_id, doc_id, output) with their tokens in place."""
     piece = F.struct(F.col("output_start").cast("int").alias("s"), F.col("output_end").cast("int").alias("e"), F.col("token").alias("t"))
-    by = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_list(piece)).alias("_p"))
-    joined = texts.join(by, "doc_id", "left").withColumn("_p", F.coalesce("_p", F.array().cast("array<struct<s:int,e:int,t:string>>")))
+    by = tokens.groupBy(KEY, "doc_id").agg(F.sort_array(F.collect_list(piece)).alias("_p"))
+    joined = texts.join(by, [KEY, "doc_id"], "left").withColumn("_p", F.coalesce("_p", F.array().cast("array<struct<s:int,e:int,t:string>>")))
     out = F.aggregate(
         "_p",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, x: F.struct(x["e"].alias("at"), F.concat(a["out"], F.substring(F.col("output"), a["at"] + 1, x["s"] - a["at"]), x["t"]).alias("out")),
         lambda a: F.concat(a["out"], F.substring(F.col("output"), a["at"] + 1, F.length("output"))),
     )
-    return joined.select("doc_id", out.alias("prepared"))
+    return joined.select(KEY, "doc_id", out.alias("prepared"))
 
 
 def assemble(prepared: DataFrame, ordinals: DataFrame) -> DataFrame:
-    """One row: the notes' blocks in order, and whether they fit the limit."""
+    """A row for each submission: its notes' blocks in order, and whether they fit the limit."""
     block = F.concat(F.lit('<reviewed-note index="'), F.col("ordinal").cast("string"), F.lit('">\n'), F.col("prepared"), F.lit("\n</reviewed-note>"))
-    rows = prepared.join(ordinals, "doc_id").select("ordinal", block.alias("block"))
-    joined = rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "block"))), lambda x: x["block"]), "\n\n").alias("input"))
+    rows = prepared.join(ordinals, [KEY, "doc_id"]).select(KEY, "ordinal", block.alias("block"))
+    joined = rows.groupBy(KEY).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "block"))), lambda x: x["block"]), "\n\n").alias("input"))
     return joined.withColumn("fits", F.octet_length("input") <= MAX_BYTES)
 
 
@@ -81,9 +85,18 @@ def restore_text(text: str | None, known: dict[str, str]) -> tuple[str | None, i
     return "".join([*out, text[at:]]), count, unknown
 
 
-def restore(responses: DataFrame, key: str = "response_id", text: str = "text", tokens: str = "tokens") -> DataFrame:
+def with_known(responses: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``responses`` with ``tokens``, the map from all tokens of their
+    submission (``preparation_id``) to the originals."""
+    known = tokens.groupBy(KEY).agg(F.map_from_entries(F.collect_list(F.struct("token", "phrase"))).alias("tokens"))
+    return responses.join(known, KEY, "left")
+
+
+def restore(responses: DataFrame, key: str | tuple[str, ...] = "response_id", text: str = "text", tokens: str = "tokens") -> DataFrame:
     """restored, exact_replacements, unknown_tokens of each response; its
-    column ``tokens`` maps tokens to originals. Exact, in Arrow batches."""
+    column ``tokens`` maps tokens to originals. ``key`` names the columns that
+    are kept. Exact, in Arrow batches."""
+    keys = (key,) if isinstance(key, str) else key
 
     @pandas_udf("struct<restored:string,exact_replacements:bigint,unknown_tokens:array<string>>")
     def run(texts, maps):
@@ -92,7 +105,7 @@ def restore(responses: DataFrame, key: str = "response_id", text: str = "text",
         rows = [restore_text(t, dict(m) if m is not None else {}) for t, m in zip(texts, maps, strict=True)]
         return pd.DataFrame(rows, columns=["restored", "exact_replacements", "unknown_tokens"])
 
-    return responses.select(key, run(F.col(text), F.col(tokens)).alias("r")).select(key, "r.*")
+    return responses.select(*keys, run(F.col(text), F.col(tokens)).alias("r")).select(*keys, "r.*")
 
 
 def restore_native(text: Column, tokens: Column) -> tuple[Column, Column, Column]:

@@ -518,43 +518,62 @@ tok AS (SELECT p.*, ordinal, row_number() OVER (ORDER BY ordinal, output_start D
 named AS (SELECT *, '⟪CV_prep_' || CASE WHEN n < 10000 THEN lpad(n::VARCHAR, 4, '0') ELSE n::VARCHAR END || '⟫' AS token FROM tok)"""
 
 
-def _prepared(spark, d):
+#: The same for all patients, one submission for each.
+_SUBMITTED = f"""{_POOL}, {O.DECIDED_SQL}, placed AS (SELECT *, (start + coalesce(sum(length(out) - ("end" - start)) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS output_start FROM outs),
+chosen AS (SELECT doc_id, 'prep-' || patient_id AS preparation_id, row_number() OVER (PARTITION BY patient_id ORDER BY created_at, doc_id) AS ordinal FROM notes),
+tok AS (SELECT p.*, preparation_id, ordinal, row_number() OVER (PARTITION BY preparation_id ORDER BY ordinal, output_start DESC) AS n FROM placed p JOIN chosen USING (doc_id) WHERE decision IN ('accept', 'edit') AND regexp_matches(out, '^\\[[A-Z0-9_]+\\]$')),
+named AS (SELECT *, '⟪CV_' || preparation_id || '_' || CASE WHEN n < 10000 THEN lpad(n::VARCHAR, 4, '0') ELSE n::VARCHAR END || '⟫' AS token FROM tok)"""
+
+
+def _prepared(spark, d, patient=None):
+    """Each patient's notes as a submission, or those of one ``patient`` as
+    the submission ``prep``."""
     notes, items = _decided(spark, d)
-    chosen = notes.where("patient_id = 7").select("doc_id", F.row_number().over(Window.partitionBy("patient_id").orderBy("created_at", "doc_id")).alias("ordinal"))
-    tokens = generation.token_items(review.egress(items), chosen, "prep")
-    texts = review.render(notes, items).select("doc_id", "output").join(chosen.select("doc_id"), "doc_id", "left_semi")
+    ordinal = F.row_number().over(Window.partitionBy("patient_id").orderBy("created_at", "doc_id")).alias("ordinal")
+    name = F.concat(F.lit("prep-"), F.col("patient_id").cast("string")) if patient is None else F.lit("prep")
+    chosen = (notes if patient is None else notes.where(F.col("patient_id") == patient)).select(name.alias(generation.KEY), "doc_id", ordinal)
+    tokens = generation.token_items(review.egress(items), chosen)
+    texts = review.render(notes, items).select("doc_id", "output").join(chosen.select(generation.KEY, "doc_id"), "doc_id")
     return notes, chosen, tokens, texts
 
 
 @query(f"WITH {_PREPARED} SELECT doc_id, item, n AS number, token, phrase FROM named")
 def payload_tokens(spark, d):
-    _, _, tokens, _ = _prepared(spark, d)
+    # Its SQL has one patient; payload_tokens_all has all.
+    _, _, tokens, _ = _prepared(spark, d, 7)
     return tokens.select("doc_id", "item", "number", "token", "phrase")
 
 
+@query(f"WITH {_SUBMITTED} SELECT preparation_id, doc_id, item, n AS number, token, phrase FROM named")
+def payload_tokens_all(spark, d):
+    _, _, tokens, _ = _prepared(spark, d)
+    return tokens.select("preparation_id", "doc_id", "item", "number", "token", "phrase")
+
+
 @query()
 def payload_digest(spark, d):
     _, chosen, tokens, texts = _prepared(spark, d)
     payload = generation.assemble(generation.tokenised(texts, tokens), chosen)
     parts = [F.lit("Write a letter."), F.col("input"), F.lit("gpt-6-luna"), F.lit("origin"), F.lit("purpose")]
-    return payload.select("input", "fits", generation.digest(*parts).alias("digest"))
+    return payload.select("preparation_id", "input", "fits", generation.digest(*parts).alias("digest"))
+
+
+def _responses(spark, d):
+    """Prepared texts with a token that isn't known and a mark that isn't closed."""
+    _, _, tokens, texts = _prepared(spark, d)
+    prepared = generation.tokenised(texts, tokens).withColumn("text", F.concat("prepared", F.lit(" ⟪CV_prep_9999⟫ ⟪CV_open")))
+    return generation.with_known(prepared, tokens)
 
 
 @query()
 def restore_tokens(spark, d):
-    _, chosen, tokens, texts = _prepared(spark, d)
-    known = tokens.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "phrase"))).alias("tokens"))
-    prepared = generation.tokenised(texts, tokens).join(known, "doc_id", "left").withColumn("text", F.concat("prepared", F.lit(" ⟪CV_prep_9999⟫ ⟪CV_open")))
-    return generation.restore(prepared, "doc_id")
+    return generation.restore(_responses(spark, d), ("preparation_id", "doc_id"))
 
 
 @query()
 def restore_tokens_native(spark, d):
-    _, chosen, tokens, texts = _prepared(spark, d)
-    known = tokens.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "phrase"))).alias("tokens"))
-    prepared = generation.tokenised(texts, tokens).join(known, "doc_id", "left").withColumn("text", F.concat("prepared", F.lit(" ⟪CV_prep_9999⟫ ⟪CV_open")))
     out, count, unknown = generation.restore_native(F.col("text"), F.coalesce("tokens", F.create_map().cast("map<string,string>")))
-    return prepared.select("doc_id", out.alias("restored"), count.alias("exact_replacements"), unknown.alias("unknown_tokens"))
+    return _responses(spark, d).select("preparation_id", "doc_id", out.alias("restored"), count.alias("exact_replacements"), unknown.alias("unknown_tokens"))
 
 
 @query(f"""WITH {N.NOTES_SQL} SELECT o_orderkey AS preparation_id, (o_orderkey % 4 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 2 AND EXISTS (SELECT 1 FROM notes n WHERE n.doc_id = o_orderkey)) AS usable FROM orders""")

@@ -95,6 +95,38 @@ def test_restore(spark):
     assert generation.restore_text(long, {})[0] == long
 
 
+def test_submissions_have_their_own_numbers(spark):
+    items = spark.createDataFrame([(1, "A1", "[X]", 0), (1, "A2", "[X]", 4), (2, "B1", "[X]", 0), (3, "C1", "[X]", 0)], "doc_id long, phrase string, replacement string, output_start long")
+    items = items.withColumn("output_end", F.col("output_start") + 3)
+    ordinals = spark.createDataFrame([("p", 1, 1), ("p", 2, 2), ("q", 3, 1), ("q", 1, 2)], "preparation_id string, doc_id long, ordinal int")
+    tokens = generation.token_items(items, ordinals)
+    got = sorted((r.preparation_id, r.number, r.token, r.phrase) for r in tokens.collect())
+    assert got == [(p, n, f"⟪CV_{p}_000{n}⟫", x) for p, own in (("p", "A2 A1 B1"), ("q", "C1 A2 A1")) for n, x in enumerate(own.split(), 1)]
+    texts = spark.createDataFrame([(1, "[X] [X]"), (2, "[X]"), (3, "[X]")], "doc_id long, output string").join(ordinals.drop("ordinal"), "doc_id")
+    prepared = generation.tokenised(texts, tokens)
+    inputs = {r.preparation_id: r.input for r in generation.assemble(prepared, ordinals).collect()}
+    block = lambda i, t: f'<reviewed-note index="{i}">\n{t}\n</reviewed-note>'
+    assert inputs == {"p": block(1, "⟪CV_p_0002⟫ ⟪CV_p_0001⟫") + "\n\n" + block(2, "⟪CV_p_0003⟫"), "q": block(1, "⟪CV_q_0001⟫") + "\n\n" + block(2, "⟪CV_q_0003⟫ ⟪CV_q_0002⟫")}
+    responses = spark.createDataFrame([("p", 1, "⟪CV_p_0003⟫ ⟪CV_q_0001⟫"), ("q", 2, "⟪CV_q_0001⟫"), ("r", 3, "⟪CV_p_0001⟫")], "preparation_id string, response_id long, text string")
+    back = {r.response_id: (r.preparation_id, r.restored, r.exact_replacements) for r in generation.restore(generation.with_known(responses, tokens), ("preparation_id", "response_id")).collect()}
+    assert back == {1: ("p", "B1 ⟪CV_q_0001⟫", 1), 2: ("q", "C1", 1), 3: ("r", "⟪CV_p_0001⟫", 0)}
+
+
+def test_payloads_take_every_note(spark):
+    from inkwell.plans import catalogue
+    from inkwell.sources import notes as N
+
+    folder = "/root/testdata/sf0.001"
+    notes = N.notes(spark, folder).select("doc_id", "patient_id").collect()
+    payloads = catalogue.QUERIES["payload_digest"](spark, folder).collect()
+    assert {r.preparation_id for r in payloads} == {f"prep-{r.patient_id}" for r in notes}
+    assert sum(r.input.count("<reviewed-note") for r in payloads) == len(notes)
+    restored = catalogue.QUERIES["restore_tokens"](spark, folder).collect()
+    assert {r.doc_id for r in restored} == {r.doc_id for r in notes} and all(r.unknown_tokens == ["⟪CV_prep_9999⟫"] for r in restored)
+    native = catalogue.QUERIES["restore_tokens_native"](spark, folder).collect()
+    assert sorted(map(tuple, native)) == sorted(map(tuple, restored))
+
+
 def test_digest(spark):
     import hashlib
 
