@@ -11,6 +11,8 @@ from inkwell.llm.queries import DOMAIN, MIX_WEIGHTS, tokenizer_path
 
 #: Share of the words that reach the mixing stage and leave it, at most.
 MIX_SHARE = "0.8"
+#: Percent of similarity from which documents are near duplicates.
+NEAR = near_dup.THRESHOLD
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without an id belong to no group and stay; of rows that repeat
     an id one stays."""
     named = docs.where("doc_id is not null")
-    groups = written(near_dup.near_duplicates(named).select("doc_id", "kept"), "groups")
+    groups = written(near_dup.near_duplicates(named, threshold=NEAR).select("doc_id", "kept"), "groups")
     gone = hinted(groups.where(~F.col("kept")).select("doc_id").distinct())
     one = named.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if groups.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count():

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,24 +28,41 @@ from .common import small_batches, written
 from .components import connected_components
 
 WORDS = 5
-#: Links: 100 * intersection >= THRESHOLD * union.
+#: Links: 100 * intersection >= threshold * union. This one is op2's.
 THRESHOLD = 85
 ROWS, BANDS = 5, 24  # at a similarity of 0.85 all bands miss a pair with a chance below 1e-6
+MISS = 1e-6
 BITS = 256
 #: Bits of the second bitmap, over all shingles of a set. Its XOR has no more
 #: bits than the sets have differing shingles, so it never drops a link.
 PARITY = 2048
-#: An estimate this far below the threshold drops a pair: above five standard errors.
+#: An estimate this far below the threshold drops a pair: above five standard
+#: errors at a threshold of 0.85 with 24 bands, and at 0.80 with 35.
 SLACK = 0.27
 CACHE = 200_000
 SIGNATURE = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>, parity array<bigint>"
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_MUL = _rng.integers(1, 1 << 32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_ADD = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32)
+_rng.integers(1, 1 << 32, ROWS * BANDS, dtype=np.uint64)
+_rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint64)
 _WORD = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
-_BAND = _rng.integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
-_SKETCH = _rng.integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
+
+
+def bands_for(threshold: int) -> int:
+    """Bands that all miss a pair at the threshold with a chance below ``MISS``:
+    24 at 85, 35 at 80."""
+    return math.ceil(math.log(MISS) / math.log1p(-((threshold / 100) ** ROWS)))
+
+
+@lru_cache
+def _hashing(bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Factors and summands of the MinHash values, factors of bands and sketch."""
+    rng = np.random.Generator(np.random.PCG64(20240229))
+    mul = rng.integers(1, 1 << 32, ROWS * bands, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+    add = rng.integers(0, 1 << 32, ROWS * bands, dtype=np.uint64).astype(np.uint32)
+    rng.integers(1, 1 << 63, WORDS, dtype=np.uint64)
+    band = rng.integers(1, 1 << 63, (bands, ROWS), dtype=np.uint64) | np.uint64(1)
+    return mul, add, band, rng.integers(1, 1 << 63, ROWS * bands, dtype=np.uint64) | np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -89,18 +107,19 @@ def folded(flips: np.ndarray, bits: int) -> list[int]:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
 
-def signature(s: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+def signature(s: np.ndarray, bands: int = BANDS) -> tuple[list[int], list[int], list[int]]:
     """Band keys, odd sketch of the MinHash values, parity bitmap of the set."""
-    low = np.full(ROWS * BANDS, 0xFFFFFFFF, np.uint32)
+    mul, add, band, sketch = _hashing(bands)
+    low = np.full(ROWS * bands, 0xFFFFFFFF, np.uint32)
     small = (s >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(small), 1024):
-        np.minimum(low, (small[at : at + 1024, None] * _MUL + _ADD).min(axis=0), out=low)
+        np.minimum(low, (small[at : at + 1024, None] * mul + add).min(axis=0), out=low)
     low = low.astype(np.uint64)
-    keys = mix((mix(low.reshape(BANDS, ROWS) + np.uint64(1)) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-    return keys.view(np.int64).tolist(), folded(mix(low * _SKETCH + _SKETCH) % np.uint64(BITS), BITS), folded(s % np.uint64(PARITY), PARITY)
+    keys = mix((mix(low.reshape(bands, ROWS) + np.uint64(1)) * band).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
+    return keys.view(np.int64).tolist(), folded(mix(low * sketch + sketch) % np.uint64(BITS), BITS), folded(s % np.uint64(PARITY), PARITY)
 
 
-def _sign(batches):
+def _sign(batches, bands: int):
     hashes = WordHashes()
     for batch in batches:
         rows: list[tuple] = []
@@ -108,7 +127,7 @@ def _sign(batches):
             s = shingle_set(text.as_py(), hashes)
             if len(s):
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                rows.append((doc, len(s), digest, *signature(s)))
+                rows.append((doc, len(s), digest, *signature(s, bands)))
             else:
                 rows.append((doc, 0, None, None, None, None))
         names = ["doc_id", "n_shingles", "digest", "bands", "sketch", "parity"]
@@ -123,19 +142,19 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.large_binary()).cast(pa.binary())], ["doc_id", "shingles"])
 
 
-def _confirm(batches):
+def _confirm(batches, threshold: int):
     for batch in batches:
         keep = []
         for a, b in zip(batch["a_set"], batch["b_set"], strict=True):
             x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (a, b))
             both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= THRESHOLD * (len(x) + len(y) - both))
+            keep.append(100 * both >= threshold * (len(x) + len(y) - both))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def most_bits() -> int:
+def most_bits(threshold: int = THRESHOLD) -> int:
     """The largest population count of an XOR that isn't ruled out."""
-    differ = 2 * ROWS * BANDS * (1 - (THRESHOLD / 100 - SLACK))
+    differ = 2 * ROWS * bands_for(threshold) * (1 - (threshold / 100 - SLACK))
     return math.ceil(BITS / 2 * (1 - (1 - 2 / BITS) ** differ))
 
 
@@ -146,15 +165,15 @@ def _facts(classes: DataFrame) -> DataFrame:
     return classes.select(F.col("class_id").alias("id"), *[F.coalesce(v, F.lit(0)).alias(k) for k, v in [("n_shingles", F.col("n_shingles")), *words]])
 
 
-def _near(x: str, y: str) -> Column:
+def _near(x: str, y: str, threshold: int) -> Column:
     """Whether set sizes and bitmaps leave room for a link."""
 
     def differ(kind: str, bits: int) -> Column:
         return sum((F.bit_count(F.col(f"{x}{kind}{i}").bitwiseXOR(F.col(f"{y}{kind}{i}"))) for i in range(bits // 64)), F.lit(0))
 
     n, m = F.col(f"{x}n_shingles"), F.col(f"{y}n_shingles")
-    sizes = 100 * F.least(n, m) >= THRESHOLD * F.greatest(n, m)
-    return sizes & (differ("s", BITS) <= most_bits()) & ((100 + THRESHOLD) * differ("p", PARITY) <= (100 - THRESHOLD) * (n + m))
+    sizes = 100 * F.least(n, m) >= threshold * F.greatest(n, m)
+    return sizes & (differ("s", BITS) <= most_bits(threshold)) & ((100 + threshold) * differ("p", PARITY) <= (100 - threshold) * (n + m))
 
 
 def _side(facts: DataFrame, name: str, key: str | None = None) -> DataFrame:
@@ -162,28 +181,29 @@ def _side(facts: DataFrame, name: str, key: str | None = None) -> DataFrame:
     return facts.select(*[F.col(c).alias(key if key and c == "id" else f"{name}{c}") for c in facts.columns])
 
 
-def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) whose full sets link."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = written(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id bigint, shingles binary"), "sets")
     one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("a_set")), "a")
     two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("b_set")), "b")
-    return two.select("a", "b", "a_set", "b_set").mapInArrow(_confirm, "a bigint, b bigint")
+    return two.select("a", "b", "a_set", "b_set").mapInArrow(lambda batches: _confirm(batches, threshold), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``class_id``, ``component_id`` and ``kept`` of every row.
 
     ``class_id`` is the smallest id with an equal set, ``component_id`` the
-    smallest id that links reach. Null, empty and blank texts have the empty
+    smallest id that links reach; sets link from ``threshold`` percent on. Null, empty and blank texts have the empty
     set and are linked with nothing. Rows that repeat an id belong together:
     they should hold one text; each gets its row, and all but the first of a
     repeated id have the same values. A row without an id is compared through
     an equal set only: it has that class, or none, and is kept if it has none.
     """
     small_batches(docs.sparkSession)
+    bands = bands_for(threshold)
     own = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    signed = written(own.mapInArrow(_sign, SIGNATURE), "signatures")
+    signed = written(own.mapInArrow(lambda batches: _sign(batches, bands), SIGNATURE), "signatures")
     # A repeated id is told apart by its set; the digest stands for it in classes.
     classes = written(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")).where("class_id is not null"), "classes")
     facts = _facts(classes)
@@ -198,10 +218,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def close(pairs: DataFrame) -> DataFrame:
         """(a, b) with a sketch that leaves room for a link."""
-        return pairs.join(_side(facts, "x_", "a"), "a").join(_side(facts, "y_", "b"), "b").where(_near("x_", "y_")).select("a", "b")
+        return pairs.join(_side(facts, "x_", "a"), "a").join(_side(facts, "y_", "b"), "b").where(_near("x_", "y_", threshold)).select("a", "b")
 
     stars = close(buckets.where("id <> head").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct())
-    first = written(_links(written(stars, "stars"), own), "links")
+    first = written(_links(written(stars, "stars"), own, threshold), "links")
     known = written(connected_components(first), "components")
 
     # What is left: members of one bucket in different components. Of those in
@@ -211,9 +231,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rest = written(placed.join(open_bands, "band").join(facts, "id"), "open")
     x, y = _side(rest, "x_"), _side(rest, "y_")
     fresh = (F.col("x_id") < F.col("y_id")) & (F.col("x_component") != F.col("y_component")) & (F.col("x_id") != F.col("x_head")) & (F.col("y_id") != F.col("x_head"))
-    across = x.join(y, (F.col("x_band") == F.col("y_band")) & fresh & _near("x_", "y_"))
+    across = x.join(y, (F.col("x_band") == F.col("y_band")) & fresh & _near("x_", "y_", threshold))
     pairs = across.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
-    second = written(_links(written(pairs, "across"), own), "links")
+    second = written(_links(written(pairs, "across"), own, threshold), "links")
     final = written(connected_components(first.unionByName(second)), "components")
 
     classed = signed.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "class_id"), "digest", "left")

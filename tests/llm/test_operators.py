@@ -83,6 +83,32 @@ def test_near_copies_around_the_threshold(spark):
     assert got == brute.components(texts)
 
 
+def test_threshold_is_a_parameter(spark):
+    # One changed word in the middle: 5 of 49 shingles a side differ, 44 of 54 are shared (0.815).
+    base = ["w%d" % i for i in range(53)]
+    copy = [*base[:26], "other", *base[27:]]
+    far = [*base[:20], "x", *base[21:34], "y", *base[35:]]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(copy)), (3, " ".join(far))], "doc_id long, text string")
+    assert len(brute.shingles(" ".join(base)) & brute.shingles(" ".join(copy))) == 44
+    assert {r.doc_id for r in near_dup.near_duplicates(docs, threshold=80).collect() if r.kept} == {1, 3}
+    assert all(r.kept for r in near_dup.near_duplicates(docs).collect())
+
+
+def test_bounds_at_each_threshold():
+    rng = np.random.default_rng(3)
+    assert near_dup.bands_for(85) == near_dup.BANDS and near_dup.bands_for(80) == 35
+    for _ in range(300):
+        n = int(rng.integers(40, 900))
+        d = n // 9  # shared: n - d of n + d, 0.80 at least
+        pool = np.unique(rng.integers(0, 1 << 63, n + d, dtype=np.uint64))
+        rng.shuffle(pool)
+        a, b = np.unique(pool[:n]), np.unique(pool[d:])
+        assert 100 * (n - d) >= 80 * (n + d)
+        sa, sb = (near_dup.signature(x, near_dup.bands_for(80)) for x in (a, b))
+        differ = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(sa[1], sb[1], strict=True))
+        assert differ <= near_dup.most_bits(80) and set(sa[0]) & set(sb[0])
+
+
 def test_sketch_bounds():
     rng = np.random.default_rng(1)
     for _ in range(200):
