@@ -41,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret by a label; all documents stay."""
-    found, _ = secrets.scan_versions(docs, "doc_id", "text")
+    found, _ = secrets.scan_versions(docs, "doc_id", "text", rules=secrets.WHOLE)
     hits = found.where(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
     hits = hinted(written(hits, "hits"), 1 + F.size("findings"))
     joined = docs.withColumn("blob", secrets.blob_of(F.col("text"))).join(hits, "blob", "left")

@@ -83,6 +83,17 @@ def test_near_copies_around_the_threshold(spark):
     assert got == brute.components(texts)
 
 
+def test_long_tokens_are_found_whole(spark):
+    import corpus_pipeline as P
+
+    jwt = "eyJ" + "a" * 9000 + ".eyJ" + "b" * 9000 + "." + "c" * 9000
+    texts = [f"x {t} y" for t in (jwt, "ghp_" + "D" * 300, "xoxb-" + "7" * 300)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    spans = {r.doc_id: [(x.kind, x.start, x.end) for x in r.findings if x.kind != "hex"] for r in secrets.scan_versions(docs, "doc_id", "text")[0].collect()}
+    assert spans[0] == [("jwt", 2, 2 + len(jwt))]
+    assert {r.text for r in P.secret_scan(spark, docs, "").collect()} == {"x [SECRET] y"}
+
+
 def test_threshold_is_a_parameter(spark):
     # One changed word in the middle: 5 of 49 shingles a side differ, 44 of 54 are shared (0.815).
     base = ["w%d" % i for i in range(53)]
