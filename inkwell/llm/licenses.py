@@ -34,12 +34,23 @@ TEMPLATES = {
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
         "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
         "this project is available under the terms of the mit license",
+        "veroffentlicht unter der mit lizenz es gilt die mit lizenz",
+        "publie sous licence mit voir la licence mit",
+        "publicado bajo la licencia mit vea la licencia mit",
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability",
+        "in no event shall the authors be liable",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+        "spdx license identifier mit released under the mit license",
     ),
     "apache": (
         "licensed under the apache license version 2.0",
         "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license",
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind",
         "released under the apache 2.0 license",
+        "veroffentlicht unter der apache lizenz 2.0 es gilt die apache lizenz",
+        "publie sous licence apache 2.0 voir la licence apache",
+        "publicado bajo la licencia apache 2.0 vea la licencia apache",
+        "spdx license identifier apache 2.0 apache license",
     ),
     "gpl": (
         "this work is licensed under the gnu general public license version 3",
@@ -47,21 +58,35 @@ TEMPLATES = {
         "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability",
         "you should have received a copy of the gnu general public license along with this program",
         "released under the gpl version 2 or later license",
+        "distributed under gpl v2.1 this file is gpl 3",
+        "this library is licensed under the gnu lesser general public license",
+        "veroffentlicht unter der gpl lizenz es gilt die gpl lizenz",
+        "publie sous licence gpl voir la licence gpl",
+        "publicado bajo la licencia gpl vea la licencia gpl",
+        "spdx license identifier gpl 3.0 or later",
     ),
     "bsd": (
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
         "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
         "licensed under the bsd 3-clause license",
         "use of this source code is governed by a bsd style license",
+        "veroffentlicht unter der bsd lizenz es gilt die bsd lizenz",
+        "publie sous licence bsd voir la licence bsd",
+        "publicado bajo la licencia bsd vea la licencia bsd",
     ),
     "mpl": (
         "this source code form is subject to the terms of the mozilla public license v 2.0",
         "licensed under the mozilla public license version 2.0",
+        "veroffentlicht unter der mozilla lizenz es gilt die mozilla lizenz",
+        "publie sous licence mozilla voir la licence mozilla",
+        "publicado bajo la licencia mozilla vea la licencia mozilla",
     ),
     "cc-by": (
         "this work is licensed under a creative commons attribution 4.0 international license",
         "licensed under cc by 4.0",
         "text is available under the creative commons attribution license",
+        "dieser text steht unter der creative commons lizenz namensnennung",
+        "ce texte est sous licence creative commons attribution",
     ),
     "cc-by-sa": (
         "this work is licensed under a creative commons attribution-sharealike 4.0 international license",
@@ -82,6 +107,10 @@ TEMPLATES = {
         "all rights reserved",
         "all rights reserved no part of this publication may be reproduced without the prior written permission of the publisher",
         "this software is proprietary and confidential unauthorized copying is prohibited copyright",
+        "todos los derechos reservados",
+        "tous droits reserves",
+        "alle rechte vorbehalten",
+        "este software es propietario todos los derechos reservados",
     ),
 }
 #: Licence-like wordings of no family, and plain sentences with the anchors.
@@ -95,6 +124,9 @@ STRANGE = (
     "distributed under the artistic license 2.0",
     "you may use this file under the terms of the sample vendor license",
     "licensed under the academic research license see the license text",
+    "veroffentlicht unter der hafen gemeinschaft lizenz es gilt die hafen lizenz",
+    "publie sous licence ouverte du port voir la licence ouverte",
+    "publicado bajo la licencia comunitaria del puerto vea la licencia comunitaria",
 )
 PLAIN = (
     "she renewed her driving license last week and drove home",
@@ -107,12 +139,38 @@ PLAIN = (
     "the licence fee rose again and viewers complained",
     "copyright lawyers met for lunch",
     "the wealth was redistributed among the heirs",
+    "the driver was held liable for the damage to the fence",
+    "she was liable to forget the keys",
+    "guests are liable for late fees",
+    "the court found them liable",
+    "der trainer verlor seine lizenz im herbst",
+    "unter der lizenz fuhr er weiter",
+    "la mesa estaba reservada para las ocho",
+    "les places sont reserves aux enfants",
+    "der zutritt bleibt mitgliedern vorbehalten",
+    "perdio su licencia de conducir en mayo",
+    "il a perdu sa licence de football",
 )
 NONE, UNKNOWN = "none", "unknown"
 CLASSES = (*TEMPLATES, UNKNOWN, NONE)
-ANCHOR = r"licen[sc]|copyright|warrant|permission|redistribut|apache|\bbsd\b|mozilla|creative|commons|\bcc by|\bgpl\b|\bcc0|reserved|proprietary|attribution"
+ANCHOR = (
+    r"licen[sc]|lizenz|copyright|urheberrecht|warrant|permission|redistribut|apache|(?<![a-z0-9])(?:bsd|gpl|mpl)(?![a-z0-9])|mozilla|creative|commons|(?<![a-z0-9])cc by|(?<![a-z0-9])cc0"
+    r"|reserved|reservad|reserves|vorbehalten|proprietary|proprietaire|propietari|attribution|namensnennung|(?<![a-z0-9])liable|liabilit|merchantab|noninfring"
+)
 #: The same over raw text: whatever the n-gram form has, this has.
-GATE = r"(?i)licen[sc]|copyright|warrant|permission|redistribut|apache|bsd|mozilla|creative|commons|cc[^a-z0-9]+by|gpl|cc0|reserved|proprietary|attribution"
+GATE = (
+    r"(?iu)licen[sc]|lizenz|copyright|urheberrecht|warrant|permission|redistribut|apache|bsd|gpl|mpl(?![a-z])|mozilla|creative|commons|cc[^a-z0-9]+by|cc[^a-z0-9]?0"
+    r"|reserved|reservad|r[eé]serv[eé]s|vorbehalten|proprietary|propri[eé]taire|propietari|attribution|namensnennung|liable|liabilit|merchantab|noninfring"
+)
+#: Letters with marks lose them, and spellings of one licence become one.
+MARKED, BARE = "äöüàáâçèéêëîïíñóôùúû", "aouaaaceeeeiiinoouuu"
+SPELLINGS = (
+    (r"(?<![a-z0-9])[al]?gpl-?v?(?![a-z])", "gpl "),
+    (r"(?<![a-z0-9])cc[^a-z0-9]+by", "cc by"),
+    (r"(?<![a-z0-9])cc[^a-z0-9]0(?![.0-9])", "cc0"),
+    (r"-(?=lizenz|licen[sc])", " "),
+    (r"(?:(?<=licen[sc]e)|(?<=apache)|(?<=mpl))-", " "),
+)
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: Labelled rows that the model is fitted on, at most.
 TRAINING_ROWS, SEED, PASSES = 1800, 11, 40
@@ -127,7 +185,10 @@ def grams(tokens: list[str]) -> set[str]:
 
 
 def tokens_of(text: str) -> list[str]:
-    return re.findall(TOKEN, text.lower())
+    text = text.lower().translate(str.maketrans(MARKED, BARE))
+    for pattern, spelling in SPELLINGS:
+        text = re.sub(pattern, spelling, text)
+    return re.findall(TOKEN, text)
 
 
 def training_rows(n: int = TRAINING_ROWS, seed: int = SEED) -> list[tuple[str, list[str]]]:
@@ -207,7 +268,10 @@ def model_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 def paragraph_grams(text: Column) -> Column:
     """Distinct n-grams with an anchor, as ``grams`` finds them."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    plain = F.translate(F.lower(text), MARKED, BARE)
+    for pattern, spelling in SPELLINGS:
+        plain = F.regexp_replace(plain, pattern, spelling)
+    tokens = F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0))
     def every(t: Column) -> Column:
         # Past the end zip_with meets a null, and so does what it makes.
         spaced = lambda a, b: F.concat(a, F.lit(" "), b)

@@ -161,6 +161,18 @@ def test_native_scores_equal_the_models(spark):
     assert row.confidence == pytest.approx(max(chance.values()))
 
 
+def test_license_short_forms_and_languages(spark):
+    want = {
+        "Released under GPLv3.": "gpl", "Distributed under LGPL v2.1": "gpl", "This file is AGPLv3": "gpl", "GPL-3.0-or-later license": "gpl", "This text is available under CC-BY-SA 4.0.": "cc-by-sa", "Licensed under CC-BY 4.0": "cc-by",
+        "Veröffentlicht unter der MIT-Lizenz.": "mit", "Publié sous licence MIT.": "mit", "Publicado bajo la licencia MIT.": "mit", "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM": "mit",
+        "Todos los derechos reservados": "proprietary", "Tous droits réservés": "proprietary", "Alle Rechte vorbehalten": "proprietary",
+        "Der Trainer verlor seine Lizenz im Herbst.": None, "Sie ging mit dem Hund in den Wald.": None,
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(df).collect()}
+    assert {t: got[i] for i, t in enumerate(want)} == {t: [f] if f else [] for t, f in want.items()}
+
+
 def test_license_lines(spark):
     texts = ["Released under the MIT License.\nprose here", "x\nLicensed under the Apache License, Version 2.0.\nThis work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-SA 4.0.", "just prose", "", None, "she asked for permission to leave", "license " * 20000]
     df = spark.createDataFrame([(i, t, "a", "b") for i, t in enumerate(texts)] + [(0, texts[0], "a", "b")], "doc_id long, text string, digest string, family string")
