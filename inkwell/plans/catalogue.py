@@ -489,7 +489,17 @@ def average_cost(spark, d):
 
 @query(f"""WITH {N.NOTES_SQL}, {S.MODELS_SQL} SELECT doc_id, model, strlen(title) + strlen(text) + 128 AS allowance, (strlen(title) + strlen(text) + 128) * (CASE WHEN long_context THEN input_nanos * 5 // 4 ELSE input_nanos END) + 4096 * output_nanos AS estimate_nanos FROM notes JOIN models ON model LIKE 'gpt-4.1%' OR model = 'gpt-6-sol'""")
 def cost_estimate(spark, d):
-    chosen = pricing.models(spark).where("model like 'gpt-4.1%' or model = 'gpt-6-sol'")
+    # Its SQL has three models; cost_estimate_all has all.
+    return _estimates(spark, d, pricing.models(spark).where("model like 'gpt-4.1%' or model = 'gpt-6-sol'"))
+
+
+@query(f"""WITH {N.NOTES_SQL}, {S.MODELS_SQL}, a AS (SELECT doc_id, model, input_nanos, output_nanos, long_context, strlen(title) + strlen(text) + 128 AS allowance FROM notes CROSS JOIN models)
+SELECT doc_id, model, allowance, allowance * (CASE WHEN long_context THEN input_nanos * 5 // 4 ELSE input_nanos END) * (CASE WHEN long_context AND allowance > 272000 THEN 2 ELSE 1 END) + 4096 * output_nanos * (CASE WHEN long_context AND allowance > 272000 THEN 3 ELSE 2 END) // 2 AS estimate_nanos FROM a""")
+def cost_estimate_all(spark, d):
+    return _estimates(spark, d, pricing.models(spark))
+
+
+def _estimates(spark, d, chosen):
     allowance, cost = pricing.estimate_nanos(F.col("title"), F.col("text"))
     # A few constant rates for each note: an array beside it, no join.
     rates = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in r.asDict().items()]) for r in chosen.collect()])

@@ -95,6 +95,13 @@ def test_restore(spark):
     assert generation.restore_text(long, {})[0] == long
 
 
+def test_estimates_have_every_model(spark):
+    from inkwell.plans import catalogue
+
+    got = {r.model for r in catalogue.QUERIES["cost_estimate_all"](spark, "/root/testdata/sf0.001").select("model").distinct().collect()}
+    assert got == {m[0] for m in pricing.MODELS}
+
+
 def test_submissions_have_their_own_numbers(spark):
     items = spark.createDataFrame([(1, "A1", "[X]", 0), (1, "A2", "[X]", 4), (2, "B1", "[X]", 0), (3, "C1", "[X]", 0)], "doc_id long, phrase string, replacement string, output_start long")
     items = items.withColumn("output_end", F.col("output_start") + 3)
