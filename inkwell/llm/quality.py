@@ -112,7 +112,9 @@ def choose_cutoffs(measures: DataFrame, labels: DataFrame, stratum: str = "lang"
     each = risk / len(SIGNALS)
     least = math.ceil(math.log(delta / len(SIGNALS)) / math.log1p(-each))
     per = held.groupBy("_stratum").agg(F.count_if("_good").alias("n"), *[v.alias(k) for k, v in counts.items()])
-    rows = per.where(F.col("n") >= least).orderBy(F.desc("n"), "_stratum").limit(MAX_STRATA).collect()
+    rows = per.where(F.col("n") >= least).orderBy(F.desc("n"), "_stratum").limit(MAX_STRATA + 1).collect()
+    if len(rows) > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata have enough labels for a cutoff")
     level = delta / (len(SIGNALS) * max(1, len(rows)))
     chosen = []
     for row in rows:

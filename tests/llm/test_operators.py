@@ -83,6 +83,15 @@ def test_near_copies_around_the_threshold(spark):
     assert got == brute.components(texts)
 
 
+def test_too_many_strata_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MAX_STRATA", 1)
+    words = " ".join("word%d" % i for i in range(20))
+    docs = spark.range(4000).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'en', 'de') AS lang").withColumn("text", F.lit(words))
+    labels = spark.range(4000).selectExpr("id AS doc_id", "1 AS quality")
+    with pytest.raises(ValueError, match="strata"):
+        quality.judge_quality(docs, labels)
+
+
 def test_long_tokens_are_found_whole(spark):
     import corpus_pipeline as P
 
