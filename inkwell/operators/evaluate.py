@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.spans import MARK, STAND_IN, find_spans
+from inkwell.functions.spans import MARK, STAND_IN, find_spans, let, running_sums
 
 
 def occurrences(notes: DataFrame, entities: DataFrame, text: str = "text") -> DataFrame:
     """Gold spans: every non-overlapping place of each annotated string."""
     own = entities.join(notes.select("doc_id", F.col(text).alias("_text")), "doc_id").where("phrase <> ''")
     parts = F.split(F.replace(F.replace(F.col("_text"), F.lit(MARK), F.lit(STAND_IN)), F.col("phrase"), F.lit(MARK)), MARK, -1)
-    # Lengths of the gaps before a place, and of the places among them.
-    starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)) + (i - 1) * F.length("phrase"))
-    spots = own.select("doc_id", "category", "phrase", F.explode(F.slice(starts, F.lit(1), F.size(starts) - 1)).alias("start"))
+    # A place begins where the gaps before it and the places among them end.
+    sizes = let(parts, lambda p: running_sums(F.transform(p, F.length)))
+    own = own.select("doc_id", "category", "phrase", sizes.alias("_ends"))
+    spots = own.select("doc_id", "category", "phrase", F.posexplode(F.slice("_ends", F.lit(1), F.size("_ends") - 1)).alias("_i", "_end"))
+    spots = spots.select("doc_id", "category", "phrase", (F.col("_end") + F.col("_i") * F.length("phrase")).alias("start"))
     return spots.withColumn("end", F.col("start") + F.length("phrase"))
 
 

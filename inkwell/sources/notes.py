@@ -42,10 +42,14 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.replace(F.lower("name"), F.lit("#"), F.lit(".")), F.lit("@example.invalid confirmed. No change to "), F.col("o_orderpriority"), F.lit("."),
     )
     joined = o.join(p, F.col("o_custkey") == F.col("patient_id"))
-    return joined.select(
+    made = joined.select(
         k.alias("doc_id"), "patient_id", F.concat(F.lit("Note "), k.cast("string")).alias("title"), "patient_reference",
         F.unix_timestamp("o_orderdate").alias("created_at"), F.lit(1).cast("bigint").alias("revision"), text.alias("text"),
     )
+    # A few small files hold all orders. Dealt by id the notes keep all cores
+    # busy, each text is made once, and later steps by document stay in place.
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return made.repartition(parts, "doc_id")
 
 
 #: The same notes in DuckDB.
