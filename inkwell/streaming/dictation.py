@@ -249,45 +249,107 @@ def downmix(channels: Column) -> Column:
     return F.transform(channels, lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.greatest(F.lit(1), F.size(c)))
 
 
+HALF = TAPS // 2
+
+
+def outputs_after(samples: int, source: int, target: int = RATE) -> int:
+    """How many output samples exist once ``samples`` of input are there: those
+    whose position lies more than half a filter before the end."""
+    return max(0, -(-(samples - HALF) * target // source))
+
+
+def resampled(samples: np.ndarray, first: int, source: int, target: int, begin: int, end: int) -> np.ndarray:
+    """Output samples ``begin`` to ``end`` of a recording of which ``samples``
+    are those from number ``first`` on: a windowed sinc over the inputs around
+    each position. Inputs before the recording's start don't exist and the
+    weights of the others are scaled to one."""
+    if source == target:
+        return samples[begin - first : end - first]
+    if end <= begin:
+        return np.empty(0)
+    at = np.arange(begin, end, dtype=np.int64) * source
+    whole, part = at // target, (at % target) / target
+    offset = np.arange(1 - HALF, HALF + 1)
+    taps, x = whole[:, None] + offset, part[:, None] - offset
+    weight = np.sinc(x * CUTOFF * min(1.0, target / source)) * (0.5 + 0.5 * np.cos(np.pi * x / HALF))
+    weight[taps < 0] = 0.0
+    total = weight.sum(axis=1)
+    mean = (samples[np.clip(taps - first, 0, len(samples) - 1)] * weight).sum(axis=1)
+    return np.divide(mean, total, out=np.zeros_like(mean), where=np.abs(total) >= 1e-9)
+
+
 class Resampler:
-    """Windowed-sinc resampling with what a chunk leaves over kept for the next."""
+    """The same for chunks as they come; what later outputs need is kept."""
 
     def __init__(self, source: int, target: int = RATE):
-        self.step, self.at = source / target, 0.0
-        self.cut = CUTOFF * min(1.0, target / source)
-        self.kept = np.zeros(TAPS // 2)
+        self.source, self.target = source, target
+        self.kept, self.seen = np.empty(0), 0
 
     def push(self, samples: np.ndarray) -> np.ndarray:
-        """Output samples whose taps are all there by now."""
-        self.kept = np.concatenate((self.kept, samples))
-        half = TAPS // 2
-        last = len(self.kept) - half - 1
-        n = int((last - half - self.at) / self.step) + 1 if last - half >= self.at else 0
-        if n <= 0:
-            return np.empty(0)
-        centre = half + self.at + self.step * np.arange(n)
-        base = np.floor(centre).astype(np.int64)
-        taps = base[:, None] + np.arange(-half + 1, half + 1)[None, :]
-        x = taps - centre[:, None]
-        weight = np.sinc(x * self.cut) * self.cut * (0.5 + 0.5 * np.cos(np.pi * np.clip(x / half, -1, 1)))
-        weight /= weight.sum(axis=1, keepdims=True)
-        out = (self.kept[taps] * weight).sum(axis=1)
-        self.at += self.step * n
-        whole = int(self.at)
-        self.kept, self.at = self.kept[whole:], self.at - whole
+        """Output samples whose inputs are all there by now."""
+        first = self.seen - len(self.kept)
+        held = np.concatenate((self.kept, samples))
+        if self.source == self.target:
+            return held
+        done, self.seen = outputs_after(self.seen, self.source, self.target), self.seen + len(samples)
+        out = resampled(held, first, self.source, self.target, done, outputs_after(self.seen, self.source, self.target))
+        self.kept = held[max(0, len(held) - TAPS) :]
         return out
 
 
 def resample(chunks: DataFrame, source: int, target: int = RATE) -> DataFrame:
-    """Resampled chunks of each recording, from (stream_id, chunk, samples)."""
-    import pandas as pd
+    """Resampled chunks of each recording, from (stream_id, chunk, samples).
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = Resampler(source, target)
-        for part in parts:
-            yield pd.DataFrame([(key[0], c, machine.push(np.asarray(s, float)).tolist()) for c, s in zip(part["chunk"], part["samples"], strict=True)], columns=["stream_id", "chunk", "samples"])
-
-    def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat(list(run(key, iter([pdf.sort_values("chunk")]))))
-
-    return chunks.groupBy("stream_id").applyInPandas(whole, "stream_id bigint, chunk bigint, samples array<double>")
+    A chunk needs its first sample's number and the last ``TAPS`` samples
+    before it, no more: both come from window functions over the ends of
+    chunks, so chunks are independent and no recording is held in one place.
+    An empty or null chunk gives an empty one.
+    """
+    import pyarrow as pa
+
+    by = Window.partitionBy("stream_id").orderBy("chunk")
+    size = F.coalesce(F.size("samples"), F.lit(0))
+    own = chunks.select("stream_id", "chunk", F.coalesce(F.col("samples").cast("array<double>"), F.array().cast("array<double>")).alias("samples"))
+    # Of chunks that are shorter than the filter, as many as it can reach.
+    ends = F.flatten(F.collect_list(F.when(size > 0, F.slice("samples", F.greatest(F.lit(1), size - TAPS + 1), F.lit(TAPS)))).over(by.rowsBetween(-TAPS, -1)))
+    full = own.where(size > 0).withColumn("_first", F.coalesce(F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_tail", ends)
+    full = full.withColumn("_tail", F.slice("_tail", F.greatest(F.lit(1), F.size("_tail") - TAPS + 1), F.lit(TAPS)))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for first, tail, own in zip(batch["_first"].to_pylist(), batch["_tail"], batch["samples"], strict=True):
+                before, now = (x.values.to_numpy(zero_copy_only=False) for x in (tail, own))
+                held, start = np.concatenate((before, now)), first - len(before)
+                begin, end = (first, first + len(now)) if source == target else (outputs_after(n, source, target) for n in (first, first + len(now)))
+                out.append(resampled(held, start, source, target, begin, end))
+            lists = pa.array(out, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch["stream_id"], batch["chunk"], lists], ["stream_id", "chunk", "samples"])
+
+    shape = "stream_id bigint, chunk bigint, samples array<double>"
+    made = full.select(F.col("stream_id").cast("bigint").alias("stream_id"), F.col("chunk").cast("bigint").alias("chunk"), "samples", "_first", "_tail").mapInArrow(run, shape)
+    return made.unionByName(own.where(size == 0).select(F.col("stream_id").cast("bigint").alias("stream_id"), F.col("chunk").cast("bigint").alias("chunk"), "samples"))
+
+
+HOP, CONTEXT = 8, 16
+
+
+def hop_plan(recordings: DataFrame) -> DataFrame:
+    """How voice detection takes each recording of (stream_id, n_samples):
+    (stream_id, hop, first, n_frames, context). Hops of ``HOP`` frames, at the
+    end the whole frames that are left; samples of a frame that isn't whole go.
+    Each hop is scored behind up to ``CONTEXT`` frames before it, whose own
+    scores are left out."""
+    whole = F.expr(f"n_samples div {FRAME}")
+    hops = recordings.where(whole > 0).select("stream_id", whole.alias("_n"), F.posexplode(F.sequence(F.lit(0).cast("bigint"), whole - 1, F.lit(HOP).cast("bigint"))).alias("hop", "first"))
+    return hops.select("stream_id", "hop", "first", F.least(F.lit(HOP), F.col("_n") - F.col("first")).cast("bigint").alias("n_frames"), F.least(F.lit(CONTEXT), F.col("first")).cast("bigint").alias("context"))
+
+
+def terminal(events: DataFrame) -> DataFrame:
+    """One last event for each recording of (stream_id, seq, kind, message):
+    ``cancelled`` if it was cancelled, else ``failed`` with the first failure's
+    message, else ``finished``."""
+    first = F.min(F.when(F.col("kind") == "fail", F.struct("seq", "message")))["message"]
+    failed, cancelled = F.count_if(F.col("kind") == "fail") > 0, F.count_if(F.col("kind") == "cancel") > 0
+    kind = F.when(cancelled, "cancelled").when(failed, "failed").otherwise("finished")
+    return events.groupBy("stream_id").agg(kind.alias("kind"), F.when(~cancelled, first).alias("message"))
