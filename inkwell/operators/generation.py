@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from inkwell.operators.review import spliced
+
 # The token's marks, its longest offset, the payload's limit.
 OPEN, CLOSE, REACH, MAX_BYTES = "⟪CV_", "⟫", 96, 512 * 1024
 #: The column that tells submissions apart, in every table here.
@@ -34,16 +36,10 @@ def token_items(items: DataFrame, ordinals: DataFrame) -> DataFrame:
 
 def tokenised(texts: DataFrame, tokens: DataFrame) -> DataFrame:
     """Rendered texts (preparation_id, doc_id, output) with their tokens in place."""
-    piece = F.struct(F.col("output_start").cast("int").alias("s"), F.col("output_end").cast("int").alias("e"), F.col("token").alias("t"))
+    piece = F.struct(F.col("output_start").cast("int").alias("start"), F.col("output_end").cast("int").alias("end"), "token")
     by = tokens.groupBy(KEY, "doc_id").agg(F.sort_array(F.collect_list(piece)).alias("_p"))
-    joined = texts.join(by, [KEY, "doc_id"], "left").withColumn("_p", F.coalesce("_p", F.array().cast("array<struct<s:int,e:int,t:string>>")))
-    out = F.aggregate(
-        "_p",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.struct(x["e"].alias("at"), F.concat(a["out"], F.substring(F.col("output"), a["at"] + 1, x["s"] - a["at"]), x["t"]).alias("out")),
-        lambda a: F.concat(a["out"], F.substring(F.col("output"), a["at"] + 1, F.length("output"))),
-    )
-    return joined.select(KEY, "doc_id", out.alias("prepared"))
+    joined = texts.join(by, [KEY, "doc_id"], "left").withColumn("_p", F.coalesce("_p", F.array().cast("array<struct<start:int,end:int,token:string>>")))
+    return joined.select(KEY, "doc_id", spliced(F.col("output"), F.col("_p"), lambda x: x["token"]).alias("prepared"))
 
 
 def assemble(prepared: DataFrame, ordinals: DataFrame) -> DataFrame:

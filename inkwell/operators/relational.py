@@ -120,13 +120,55 @@ def merge_notes(old: DataFrame, changes: DataFrame) -> DataFrame:
 def create_patients(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, conflicts): a normalised name must be new, and of equal new
     ones the first by id is taken."""
-    named = new.withColumn("normalized_name", F.lower(F.trim(F.regexp_replace("name", r"\s+", " "))))
+    named = new.withColumn("normalized_name", normalised_name("name"))
     ranked = named.withColumn("_n", F.row_number().over(Window.partitionBy("normalized_name").orderBy("patient_id")))
     known = old.select("normalized_name").distinct().withColumn("_known", F.lit(True))
     checked = ranked.join(known, "normalized_name", "left").withColumn("_ok", F.col("_known").isNull() & (F.col("_n") == 1) & (F.col("normalized_name") != ""))
     return tuple(checked.where(F.col("_ok") == ok).drop("_n", "_known", "_ok") for ok in (True, False))
 
 
+def normalised_name(name: str) -> Column:
+    return F.lower(F.trim(F.regexp_replace(name, r"\s+", " ")))
+
+
+def update_patients(old: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(patients, conflicts) after renaming by (patient_id, name,
+    patient_reference). A name that another patient has, or gets in the same
+    call from a smaller id, is a conflict; an id that isn't there changes
+    nothing. Notes and documents stay attached through the id."""
+    new = changes.select("patient_id", F.col("name").alias("_name"), F.col("patient_reference").alias("_ref"), normalised_name("name").alias("_norm"))
+    asked = new.join(old.select("patient_id"), "patient_id", "left_semi")
+    holders = old.select(F.col("normalized_name").alias("_norm"), F.col("patient_id").alias("_owner")).groupBy("_norm").agg(F.min("_owner").alias("_owner"))
+    ranked = asked.withColumn("_n", F.row_number().over(Window.partitionBy("_norm").orderBy("patient_id"))).join(holders, "_norm", "left")
+    checked = ranked.withColumn("_ok", (F.col("_norm") != "") & (F.col("_n") == 1) & F.coalesce(F.col("_owner") == F.col("patient_id"), F.lit(True)))
+    joined = old.join(checked.where("_ok").select("patient_id", "_name", "_ref", "_norm"), "patient_id", "left")
+    hit = F.col("_norm").isNotNull()
+    put = {"name": "_name", "normalized_name": "_norm", "patient_reference": "_ref"}
+    now = joined.select(*[F.when(hit, F.col(put[c])).otherwise(F.col(c)).alias(c) if c in put else F.col(c) for c in old.columns])
+    return now, checked.where(~F.col("_ok")).select("patient_id", F.col("_name").alias("name"))
+
+
+def patient_listing(patients: DataFrame) -> DataFrame:
+    return patients.orderBy("normalized_name")
+
+
+def insert_notes(tables: dict[str, DataFrame], new: DataFrame, originals: DataFrame | None = None) -> dict[str, DataFrame]:
+    """``notes``, ``postings`` and ``originals`` after saving ``new`` notes: all
+    of a note comes in or nothing. A note of a patient who isn't there is left
+    out with its original and its index rows; one without a reference takes the
+    patient's. Write the tables that come back as one version."""
+    from inkwell.operators.search import postings
+
+    known = tables["patients"].select("patient_id", F.col("patient_reference").alias("_ref"))
+    ok = new.join(known, "patient_id").withColumn("patient_reference", F.coalesce("patient_reference", "_ref")).drop("_ref")
+    out = dict(tables)
+    out["notes"] = tables["notes"].unionByName(ok.select(*tables["notes"].columns))
+    out["postings"] = tables["postings"].unionByName(postings(ok))
+    if originals is not None:
+        out["originals"] = tables["originals"].unionByName(originals.join(ok.select("doc_id"), "doc_id", "left_semi").select(*tables["originals"].columns))
+    return out
+
+
 def latest(notes: DataFrame, keys: tuple[str, ...] = ("patient_id",), n: int = 1) -> DataFrame:
     """The last n notes of each key by (created_at, id)."""
     order = Window.partitionBy(*keys).orderBy(F.desc("created_at"), F.desc("doc_id"))

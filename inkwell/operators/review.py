@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.operators import detect
+from inkwell.sources.shared import written
 
 DOC = "doc_id"
 
@@ -111,26 +112,28 @@ def output_positions(items: DataFrame) -> DataFrame:
     return items.withColumn("output_start", (F.col("start") + before).cast("bigint")).withColumn("output_end", (F.col("start") + before + F.length(out)).cast("bigint"))
 
 
-_PIECE = "array<struct<start:int,end:int,out:string,replaced:boolean>>"
+_PIECE = "array<struct<start:int,end:int,out:string,replaced:boolean,category:string>>"
 
 
 def pieces(items: DataFrame) -> DataFrame:
     """Each document's items as one array, by position."""
     out = written_as(F.col("phrase"), F.col("decision"), F.col("replacement"))
-    piece = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), out.alias("out"), (F.col("decision") != "keep").alias("replaced"))
+    piece = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), out.alias("out"), (F.col("decision") != "keep").alias("replaced"), "category")
     return items.groupBy(DOC).agg(F.sort_array(F.collect_list(piece)).alias("pieces"), F.count_if(F.col("decision") == "pending").alias("pending"), F.count_if(F.col("decision") == "keep").alias("retained"))
 
 
-def _spliced(text: Column, parts: Column, masked: bool) -> Column:
-    def put(x: Column) -> Column:
-        return F.when(x["replaced"], F.repeat(F.lit(" "), F.length(x["out"]))).otherwise(x["out"]) if masked else x["out"]
+def spliced(text: Column, parts: Column, put) -> Column:
+    """``text`` with ``put(part)`` in place of each of ``parts`` (ordered, with
+    ``start`` and ``end``). Pieces are cut out side by side and joined once."""
+    # Each part beside the one before it: the text between them, then what is put in.
+    pairs = F.arrays_zip(parts.alias("own"), F.slice(F.concat(F.array(F.lit(0)), F.transform(parts, lambda x: x["end"])), F.lit(1), F.size(parts)).alias("after"))
+    cut = F.transform(pairs, lambda z: F.concat(F.substring(text, z["after"] + 1, z["own"]["start"] - z["after"]), put(z["own"])))
+    tail = F.substring(text, F.coalesce(F.try_element_at(parts, F.lit(-1))["end"], F.lit(0)) + 1, F.length(text))
+    return F.concat(F.array_join(cut, ""), tail)
 
-    return F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), put(x)).alias("out")),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
+
+def _masked(x: Column) -> Column:
+    return F.when(x["replaced"], F.repeat(F.lit(" "), F.length(x["out"]))).otherwise(x["out"])
 
 
 def render(notes: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
@@ -140,46 +143,116 @@ def render(notes: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     joined = notes.select(DOC, F.col(text).alias("_text")).join(pieces(items), DOC, "left")
     parts = F.coalesce("pieces", F.array().cast(_PIECE))
     out = joined.withColumn("pieces", parts).withColumn("pending", F.coalesce("pending", F.lit(0))).withColumn("retained", F.coalesce("retained", F.lit(0)))
-    return out.select(DOC, _spliced(F.col("_text"), F.col("pieces"), False).alias("output"), F.when(F.col("pending") == 0, _spliced(F.col("_text"), F.col("pieces"), True)).alias("scan_text"), "pending", "retained", "pieces", F.length("_text").alias("n_chars"))
-
+    return out.select(DOC, spliced(F.col("_text"), F.col("pieces"), lambda x: x["out"]).alias("output"), F.when(F.col("pending") == 0, spliced(F.col("_text"), F.col("pieces"), _masked)).alias("scan_text"), "pending", "retained", "pieces", F.length("_text").alias("n_chars"))
 
-def rescan(notes: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """Evidence that the rendered text still shows, at positions of the source.
 
-    What lies wholly in generated text, or inside a kept item, is dropped.
-    """
-    shown = render(notes, items, text).where("scan_text is not null")
-    found = detect.detect(shown.select(DOC, F.col("scan_text").alias("text")))
+def _found_again(shown: DataFrame, find) -> DataFrame:
+    """``find``'s evidence in the texts of ``render``, at positions of the source."""
+    ready = shown.where("scan_text is not null")
+    found = find(ready.select(DOC, F.col("scan_text").alias("text")))
     # Unreplaced pieces of source and output, the gaps between items among them.
-    cut = shown.select(DOC, "n_chars", F.posexplode(F.concat("pieces", F.array(F.struct(F.col("n_chars").alias("start"), F.col("n_chars").alias("end"), F.lit("").alias("out"), F.lit(True).alias("replaced"))))).alias("n", "p"))
+    last = F.struct(F.col("n_chars").alias("start"), F.col("n_chars").alias("end"), F.lit("").alias("out"), F.lit(True).alias("replaced"), F.lit("").alias("category"))
+    cut = ready.select(DOC, F.posexplode(F.concat("pieces", F.array(last))).alias("n", "p"))
     by = Window.partitionBy(DOC).orderBy("n")
     gap_start = F.coalesce(F.lag("p.end").over(by), F.lit(0))
     cut = cut.withColumn("gap_start", gap_start).withColumn("size", F.col("p.start") - F.col("gap_start") + F.length("p.out"))
     cut = cut.withColumn("out_start", F.coalesce(F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    gaps = cut.select(DOC, F.col("gap_start").alias("s"), F.col("p.start").alias("e"), F.col("out_start").alias("os"))
-    kept = cut.where(~F.col("p.replaced")).select(DOC, F.col("p.start").alias("s"), F.col("p.end").alias("e"), (F.col("out_start") + F.col("p.start") - F.col("gap_start")).alias("os"))
-    plain = gaps.unionByName(kept).where("e > s").withColumn("oe", F.col("os") + F.col("e") - F.col("s"))
+    gap = F.struct(F.col("gap_start").alias("s"), F.col("p.start").alias("e"), F.col("out_start").alias("os"), F.lit(False).alias("kept"))
+    kept = F.struct(F.col("p.start").alias("s"), F.col("p.end").alias("e"), (F.col("out_start") + F.col("p.start") - F.col("gap_start")).alias("os"), F.lit(True).alias("kept"))
+    plain = cut.select(DOC, F.inline(F.array(gap, F.when(~F.col("p.replaced"), kept)))).where("e > s").withColumn("oe", F.col("os") + F.col("e") - F.col("s"))
     touched = found.join(plain, DOC).where((F.col("os") < F.col("end")) & (F.col("start") < F.col("oe")))
-    first, last = F.min(F.struct("os", "s")).alias("f"), F.max(F.struct("os", "oe", "s")).alias("l")
-    mapped = touched.groupBy(DOC, "seq", "category", "start", "end", "confidence").agg(first, last).select(
-        DOC, "seq", "category", "confidence",
+    first, last = F.min(F.struct("os", "s")).alias("f"), F.max(F.struct("os", "oe", "s", "e", "kept")).alias("l")
+    mapped = touched.groupBy(DOC, "seq", "category", "start", "end", "confidence", "stage").agg(first, last).select(
+        DOC, "seq", "category", "confidence", "stage",
         (F.col("f.s") + F.greatest("start", "f.os") - F.col("f.os")).cast("int").alias("start"),
         (F.col("l.s") + F.least("end", "l.oe") - F.col("l.os")).cast("int").alias("end"),
+        F.col("l.s").alias("_s"), F.col("l.kept").alias("_kept"),
     )
-    keeps = items.where("decision = 'keep'").select(F.col(DOC).alias("_doc"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    inside = (F.col(DOC) == F.col("_doc")) & (F.col("_s") <= F.col("start")) & (F.col("end") <= F.col("_e"))
-    return mapped.join(keeps, inside, "left_anti").withColumn("stage", F.lit("rules"))
+    # A span inside a kept item touches that piece alone.
+    return mapped.where(~(F.col("_kept") & (F.col("_s") <= F.col("start")))).drop("_s", "_kept")
+
 
+def rescan(notes: DataFrame, items: DataFrame, text: str = "text", find=detect.detect) -> DataFrame:
+    """Evidence that the rendered text still shows, at positions of the source.
+
+    ``find`` takes (doc_id, text) and gives evidence: the rules, or those with
+    recognised entities and saved phrases (``detect.combined``). What lies
+    wholly in generated text, or inside a kept item, is dropped; notes with
+    anything pending aren't scanned.
+    """
+    return _found_again(written(render(notes, items, text), "shown"), find)
 
-def gate(notes: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+
+def gate(notes: DataFrame, items: DataFrame, text: str = "text", find=detect.detect) -> DataFrame:
     """doc_id, pending, found_again, may_copy: a text may be copied only when
     nothing is pending and the rescan finds nothing."""
-    again = rescan(notes, items, text).groupBy(DOC).agg(F.count(F.lit(1)).alias("found_again"))
-    shown = render(notes, items, text).select(DOC, "pending", "retained")
-    out = shown.join(again, DOC, "left").withColumn("found_again", F.coalesce("found_again", F.lit(0)))
+    shown = written(render(notes, items, text), "shown")
+    again = _found_again(shown, find).groupBy(DOC).agg(F.count(F.lit(1)).alias("found_again"))
+    out = shown.select(DOC, "pending", "retained").join(again, DOC, "left").withColumn("found_again", F.coalesce("found_again", F.lit(0)))
     return out.withColumn("may_copy", (F.col("pending") == 0) & (F.col("found_again") == 0))
 
 
+def add_evidence(items: DataFrame, evidence: DataFrame, notes: DataFrame, text: str = "text") -> DataFrame:
+    """Labelled, decided items after more evidence (doc_id, seq, category,
+    start, end, confidence, stage) has come in, as by a rescan or by hand.
+
+    Evidence that overlaps an item becomes part of it and makes it pending. An
+    item that grows, or whose category a rule now decides, leaves its group and
+    its label. Items without a label take that of an equal phrase in their
+    category, else a new one that no item has; a pending member reopens its
+    whole group. Items are numbered anew, groups that stay keep their numbers.
+    """
+    none = lambda t: F.lit(None).cast(t)
+    old = items.select(DOC, "start", "end", "category", "stages", F.col("confidence").cast("double").alias("confidence"), F.col("group").cast("bigint").alias("group"), F.col("number").cast("bigint").alias("number"), "replacement", "decision", F.lit(0).alias("_new"), F.col("item").cast("bigint").alias("_seq"))
+    new = evidence.select(DOC, "start", "end", "category", F.array("stage").alias("stages"), F.col("confidence").cast("double").alias("confidence"), none("bigint").alias("group"), none("bigint").alias("number"), none("string").alias("replacement"), F.lit("pending").alias("decision"), F.lit(1).alias("_new"), F.col("seq").cast("bigint").alias("_seq"))
+    doc = Window.partitionBy(DOC)
+    pool = old.unionByName(new).withColumn("_top", F.coalesce(F.max("group").over(doc), F.lit(0))).withColumn("_used", F.collect_set("replacement").over(doc))
+    counters = old.groupBy(DOC, "category").agg(F.max("number").alias("_count"))
+    rank = F.struct("start", "end", "_new", "_seq")
+    ruled = F.when(F.array_contains("stages", "rules"), F.struct("start", "end", "_new", "_seq", "category"))
+    parts = islands(pool, ("start", "end", "_new", "_seq")).groupBy(DOC, F.col("island").alias("item")).agg(
+        F.min_by(F.struct("start", "end", "category", "group", "number", "replacement", "decision"), rank).alias("f"), F.max("end").alias("end"), F.min(ruled)["category"].alias("_rule"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("stages")))).alias("stages"), F.max("confidence").alias("confidence"),
+        F.max((F.col("decision") == "pending").cast("int")).alias("_open"), F.first("_top").alias("_top"), F.first("_used").alias("_used"),
+    )
+    merged = parts.withColumn("start", F.col("f.start")).withColumn("category", F.coalesce("_rule", "f.category"))
+    grown = (F.col("end") != F.col("f.end")) | (F.col("category") != F.col("f.category"))
+    keeps = ~grown & F.col("f.replacement").isNotNull()
+    merged = merged.withColumn("decision", F.when(grown | (F.col("_open") == 1), "pending").otherwise(F.col("f.decision"))).withColumns({c: F.when(keeps, F.col(f"f.{c}")) for c in ("group", "number", "replacement")})
+    phrase = F.substring(F.col("_text"), F.col("start") + 1, F.col("end") - F.col("start"))
+    merged = merged.join(counters, [DOC, "category"], "left").join(notes.select(DOC, F.col(text).alias("_text")), DOC).withColumn("phrase", phrase).drop("_text", "f", "_rule", "_open")
+    same, kind = Window.partitionBy(DOC, "category", "phrase"), Window.partitionBy(DOC, "category")
+    named = F.struct("start", "group", "number", "replacement")
+    merged = merged.withColumn("_like", F.min(F.when(F.col("replacement").isNotNull(), named)).over(same)).withColumn("_at", F.min("start").over(same))
+    fresh = F.col("_like").isNull()
+    # Phrases without any label, in the order of their first places: the nth of
+    # a category gets the nth free number above those that were given.
+    merged = merged.withColumn("_nth", F.dense_rank().over(kind.orderBy(F.when(fresh, F.col("_at")).asc_nulls_last()))).withColumn("_count", F.coalesce("_count", F.lit(0)))
+    named_as = lambda n: F.concat(F.lit("["), F.col("category"), F.lit("_"), n.cast("string"), F.lit("]"))
+    free = F.filter(F.sequence(F.col("_count") + 1, F.col("_count") + F.col("_nth") + F.size("_used")), lambda n: ~F.array_contains("_used", named_as(n)))
+    merged = merged.withColumn("_number", F.when(fresh, F.get(free, F.col("_nth") - 1))).withColumn("_own", F.min("item").over(same))
+    lacks = F.col("replacement").isNull()
+    out = merged.withColumns({
+        "group": F.when(lacks, F.coalesce("_like.group", F.col("_top") + F.col("_own"))).otherwise(F.col("group")),
+        "number": F.when(lacks, F.coalesce("_like.number", "_number")).otherwise(F.col("number")),
+        "replacement": F.when(lacks, F.coalesce("_like.replacement", named_as(F.col("_number")))).otherwise(F.col("replacement")),
+    })
+    return reopen(out.select(DOC, "item", "start", "end", "category", "stages", "confidence", "phrase", "group", "number", "replacement", "decision"))
+
+
+def finish_scan(notes: DataFrame, items: DataFrame, text: str = "text", find=detect.detect) -> DataFrame:
+    """Items after the rescan: what it finds comes in as pending evidence."""
+    return add_evidence(items, rescan(notes, items, text, find), notes, text)
+
+
+def grouped_view(items: DataFrame) -> DataFrame:
+    """(doc_id, group, place, start, n_items, manual, items): the groups as a
+    reviewer meets them, those without manual items first, then by first place."""
+    row = F.struct("start", "end", "item")
+    groups = items.groupBy(DOC, "group").agg(F.min("start").alias("start"), F.count(F.lit(1)).alias("n_items"), F.max(F.array_contains("stages", "manual")).alias("manual"), F.sort_array(F.collect_list(row)).alias("items"))
+    return groups.withColumn("place", F.row_number().over(Window.partitionBy(DOC).orderBy("manual", "start", "group")))
+
+
 def egress(items: DataFrame) -> DataFrame:
     """Items that leave under a placeholder: accepted or edited ones."""
     return output_positions(items).where(F.col("decision").isin("accept", "edit"))
@@ -194,12 +267,22 @@ def snapshot(items: DataFrame) -> DataFrame:
 SNAPSHOT = "array<struct<item:bigint,start:int,end:int,category:string,group:bigint,replacement:string,decision:string>>"
 
 
+def _read_snapshots(snapshots: DataFrame, notes: DataFrame, text: str) -> DataFrame:
+    read = snapshots.withColumn("_items", F.from_json("snapshot", SNAPSHOT)).join(notes.select(DOC, F.length(text).alias("_n")), DOC, "left")
+    ok = F.forall("_items", lambda x: x["item"].isNotNull() & (x["start"] >= 0) & (x["start"] < x["end"]) & (x["end"] <= F.col("_n")))
+    return read.withColumn("valid", F.coalesce(ok, F.lit(False)))
+
+
+def restorable(snapshots: DataFrame, notes: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id and ``valid`` of every snapshot: false for a record that can't be
+    read, a span outside its note, and a note that is gone."""
+    return _read_snapshots(snapshots, notes, text).select(DOC, "valid")
+
+
 def restore(snapshots: DataFrame, notes: DataFrame, text: str = "text") -> DataFrame:
-    """Items from JSON. A broken record, or a span outside its note, makes the
-    whole document's ``valid`` false and its items are left out."""
-    read = snapshots.withColumn("_items", F.from_json("snapshot", SNAPSHOT)).join(notes.select(DOC, F.length(text).alias("_n")), DOC)
-    ok = F.coalesce(F.forall("_items", lambda x: (x["start"] >= 0) & (x["start"] < x["end"]) & (x["end"] <= F.col("_n"))), F.lit(False))
-    return read.where(ok).select(DOC, F.inline("_items"))
+    """Items from JSON, of the snapshots that are ``restorable``; of the others
+    no item is restored."""
+    return _read_snapshots(snapshots, notes, text).where("valid").select(DOC, F.inline("_items"))
 
 
 def check_revision(edits: DataFrame, notes: DataFrame) -> DataFrame:

@@ -436,7 +436,7 @@ def note_merge(spark, d):
 @query("SELECT s_suppkey AS patient_id, lower(s_name) AS normalized_name FROM supplier")
 def patient_create(spark, d):
     new = N.table(spark, d, "supplier").select(F.col("s_suppkey").alias("patient_id"), F.col("s_name").alias("name"))
-    clash = N.patients(spark, d).limit(5).select("patient_id", F.upper("name").alias("name"))
+    clash = N.patients(spark, d).select("patient_id", F.upper("name").alias("name"))
     accepted, _ = relational.create_patients(N.patients(spark, d), new.unionByName(clash))
     return accepted.select("patient_id", "normalized_name")
 
@@ -782,9 +782,9 @@ def placeholder_labels(spark, d):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection, merging, labels and the rewritten text of every note."""
     notes, items = _labelled(spark, sf_dir)
-    accepted = items.withColumn("decision", F.lit("accept"))
-    kinds = items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.sort_array(F.collect_set("category")), ",").alias("categories"))
-    return review.render(notes, accepted).select("doc_id", "output").join(kinds, "doc_id", "left").select("doc_id", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("categories", F.lit("")).alias("categories"), "output")
+    shown = review.render(notes, items.withColumn("decision", F.lit("accept")))
+    kinds = F.array_join(F.sort_array(F.array_distinct(F.transform("pieces", lambda p: p["category"]))), ",")
+    return shown.select("doc_id", F.size("pieces").cast("bigint").alias("n_items"), kinds.alias("categories"), "output")
 
 
 QUERIES["deidentified_notes"] = flagship
