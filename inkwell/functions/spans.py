@@ -12,7 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MARK, STAND_IN = "\ue000", "\ue001"
-BLOCK = 256
+#: Pieces that one fold takes.
+FEW = 16
 SPAN = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
 
 
@@ -33,26 +34,33 @@ def running(lengths: Column) -> Column:
 
 
 def running_sums(lengths: Column) -> Column:
-    """Running sums of an array of any length, in blocks of ``BLOCK``.
+    """Running sums of an array of any length, in blocks.
+
+    Sums within blocks cost the blocks' length squared, those over blocks their
+    number squared: a block of the cube root of twice the length keeps both low.
 
     Every intermediate array is the argument of a function, never a captured
     variable of a lambda: Spark would evaluate it again for each element.
     """
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), (F.size(lengths) - 1).cast("int")), F.lit(BLOCK)),
-        lambda b: b,
-    )
-    cut = F.transform(
-        F.arrays_zip(blocks.alias("at"), F.array_repeat(lengths, F.size(blocks)).alias("all")),
-        lambda z: F.slice(z["all"], z["at"] + 1, BLOCK),
-    )
-    sums = F.transform(cut, running)
-    before = F.concat(F.array(F.lit(0)), running(F.transform(cut, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x))))
-    shifted = F.transform(
-        F.arrays_zip(sums.alias("sums"), F.slice(before, 1, F.size(before) - 1).alias("before")),
-        lambda z: F.transform(z["sums"], lambda x: x + z["before"]),
-    )
-    return F.flatten(shifted)
+
+    def by(block: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.lit(0), (F.size(lengths) - 1).cast("int")), block)
+        cut = F.transform(
+            F.arrays_zip(at.alias("at"), F.array_repeat(lengths, F.size(at)).alias("all")),
+            lambda z: F.slice(z["all"], z["at"] + 1, block),
+        )
+        return let(cut, shifted)
+
+    def shifted(cut: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), running(F.transform(cut, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x))))
+        return F.flatten(
+            F.transform(
+                F.arrays_zip(F.transform(cut, running).alias("sums"), F.slice(before, 1, F.size(before) - 1).alias("before")),
+                lambda z: F.transform(z["sums"], lambda x: x + z["before"]),
+            )
+        )
+
+    return let(F.greatest(F.lit(8), F.cbrt(2 * F.size(lengths))).cast("int"), by)
 
 
 def find_spans(text: Column, pattern: str, cue: Column | None = None, context: int = 40, probe: bool = True) -> Column:
@@ -68,7 +76,7 @@ def find_spans(text: Column, pattern: str, cue: Column | None = None, context: i
     safe = F.replace(text, F.lit(MARK), F.lit(STAND_IN))
 
     def spans(pieces: Column) -> Column:
-        ends = let(F.transform(pieces, F.length), lambda n: F.when(F.size(n) <= BLOCK, running(n)).otherwise(running_sums(n)))
+        ends = let(F.transform(pieces, F.length), lambda n: F.when(F.size(n) <= FEW, running(n)).otherwise(running_sums(n)))
         rows = F.arrays_zip(
             pieces.alias("value"),
             ends.alias("end"),
@@ -97,7 +105,7 @@ def find_spans(text: Column, pattern: str, cue: Column | None = None, context: i
         )
 
     def marked(pieces: Column) -> Column:
-        return spans(pieces) if context else F.when(F.size(pieces) <= BLOCK, plain(pieces)).otherwise(spans(pieces))
+        return spans(pieces) if context else F.when(F.size(pieces) <= FEW, plain(pieces)).otherwise(spans(pieces))
 
     found = let(F.split(F.regexp_replace(safe, pattern, f"{MARK}$0{MARK}"), MARK, -1), marked)
     has = text.isNotNull() if cue is None else cue

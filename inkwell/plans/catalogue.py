@@ -17,6 +17,7 @@ from inkwell.plans import oracles as O
 from inkwell.plans import tables as S
 from inkwell.sources import documents as D
 from inkwell.sources import notes as N
+from inkwell.sources.shared import written
 from inkwell.streaming import dictation as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -287,7 +288,8 @@ pool AS (SELECT * FROM evidence UNION ALL SELECT doc_id, 1000000 + row_number()
 SELECT l.doc_id, l.item, l.category, l.stages, coalesce(e.new, l.replacement) AS replacement, CASE WHEN e.new IS NULL THEN 'pending' ELSE 'accept' END AS decision FROM labelled l LEFT JOIN exact e ON e.doc_id = l.doc_id AND e.grp = l.grp""")
 def library_defaults(spark, d):
     notes = N.notes(spark, d)
-    saved = library.library_evidence(notes, S.mappings(spark), S.patient_mappings(spark, d))
+    # Evidence now, defaults later: found once.
+    saved = written(library.library_evidence(notes, S.mappings(spark), S.patient_mappings(spark, d)), "library")
     seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "end", "category")).cast("bigint")
     evidence = detect.detect(notes).drop("phrase")
     pool = detect.combined(evidence, saved.withColumn("seq", seq).select(*evidence.columns))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 KEY = "spark.checkpoint.dir"
 _made: list[str] = []
@@ -37,6 +38,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids, digests or short phrases (under 150 bytes each) that are sent
+#: to all executors rather than joined by a shuffle of the texts: 15 MB at most.
+BROADCAST_ROWS = 100_000
+
+
+def hinted(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it is counted and found small, else as it
+    is, for a join by shuffle. ``weight`` counts a row as several. The count
+    runs ``df``'s plan, so that should be a written table or close to one."""
+    size = df.agg(F.coalesce(F.sum(F.lit(1) if weight is None else weight), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_ROWS else df
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
