@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.sources.shared import hinted, remove, shared_dir, written
+
+__all__ = ["ascii_lower", "hinted", "literal_table", "remove", "shared_dir", "small_batches", "table", "words", "written"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Space and U+0009 to U+000D separate words, in every operator here.
 SEPARATORS = "\t\n\x0b\x0c\r"
@@ -25,19 +27,6 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")))
 
 
-#: Rows of ids and digests (under 150 bytes each) that are sent to all
-#: executors rather than joined by a shuffle of the texts: 15 MB at most.
-BROADCAST_ROWS = 100_000
-
-
-def hinted(df: DataFrame, weight: Column | None = None) -> DataFrame:
-    """``df`` marked for broadcast if it is counted and found small, else as it
-    is, for a join by shuffle. ``weight`` counts a row as several. The count
-    runs ``df``'s plan, so that should be a written table or close to one."""
-    size = df.agg(F.coalesce(F.sum(F.lit(1) if weight is None else weight), F.lit(0))).first()[0]
-    return F.broadcast(df) if size <= BROADCAST_ROWS else df
-
-
 def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
     """Let Arrow batches hold ``limit`` bytes at most, from now on in this
     session. The default of 64 MB, doubled while a batch grows and held twice,
@@ -47,35 +36,6 @@ def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
         spark.conf.set(key, str(limit))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder that the driver and every executor can reach.
-
-    It lies under ``spark.checkpoint.dir``; only where the session has none
-    (tests in local mode) a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="inkwell-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/inkwell-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: later jobs don't
-    repeat the work, and a lost executor takes nothing with it."""
-    path = f"{shared_dir(df.sparkSession)}/{label}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(df: DataFrame) -> None:
-    """Delete the files of a table from ``written`` that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)
