@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.spans import let
 
-from .common import words, written
+from .common import hinted, words, written
 
 #: Signals, each in thousandths, and the cutoffs that may be chosen, mildest first.
 GRID = (950, 900, 800, 700, 600, 500, 400, 300, 200, 150, 100)
@@ -32,8 +32,6 @@ SIGNALS = {
     "short_words": "1000 - least(1000, 200 * word_chars div greatest(1, n_words))",
 }
 RISK, DELTA = 0.02, 0.05
-#: A stratum needs this many labelled good documents to have any cutoff.
-MAX_STRATA = 4096
 WINDOW = 5
 
 
@@ -97,14 +95,40 @@ def certified(k: int, n: int, risk: float, delta: float) -> bool:
     return n > 0 and binomial_tail(k, n, risk) <= delta
 
 
-def choose_cutoffs(measures: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA, key: str = "doc_id") -> list[tuple[str, str, int]]:
-    """(stratum, signal, cutoff) for all that are used.
+def _log_gamma(z: Column) -> Column:
+    """Stirling's series eight places up; below 1e-12 off for z >= 1."""
+    up = z + 8
+    shift = sum((F.log(z + i) for i in range(8)), F.lit(0.0))
+    series = 1 / (12 * up) - 1 / (360 * up**3) + 1 / (1260 * up**5) - 1 / (1680 * up**7)
+    return (up - 0.5) * F.log(up) - up + 0.5 * math.log(2 * math.pi) + series - shift
+
+
+def certified_column(k: Column, n: Column, risk: float, level: Column) -> Column:
+    """``certified`` as an expression. The tail is summed from its largest term
+    down; what lies nine standard deviations below adds nothing to a double."""
+    k, n = k.cast("double"), n.cast("double")
+    top = F.exp(_log_gamma(n + 1) - _log_gamma(k + 1) - _log_gamma(n - k + 1) + k * math.log(risk) + (n - k) * math.log1p(-risk))
+    terms = F.least(k, F.ceil(9 * F.sqrt(n * risk)) + 20).cast("int")
+    odds = (1 - risk) / risk
+
+    def step(a: Column, i: Column) -> Column:
+        j = k - i + 1
+        term = a["term"] * j / (n - j + 1) * odds
+        return F.struct(term.alias("term"), (a["total"] + term).alias("total"))
+
+    one = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    total = F.when(terms < 1, 1.0).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), terms)), one, step, lambda a: a["total"]))
+    return F.coalesce((n > 0) & (k <= n * risk) & (top * total <= level), F.lit(False))
+
+
+def cutoff_table(measures: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA, key: str = "doc_id") -> DataFrame:
+    """(stratum, and for each signal its cutoff or null) for all strata with one.
 
     ``labels`` has ``key`` and ``quality`` (1: good); repeated labels of a
     document count once, as good if any says so, and null ones don't count. A
     signal that no labelled bad document shows gets no cutoff. Documents that the base rules
-    reject aren't part of the holdout. What comes to the driver are counts,
-    one row for each stratum with enough labels to certify anything.
+    reject aren't part of the holdout. Any number of strata is corrected for
+    and gets its cutoffs; their number is all that reaches the driver.
     """
     marks = labels.groupBy(key).agg((F.max("quality") == 1).alias("_good")).where("_good is not null")
     held = measures.where(~base_failed()).join(marks, key).withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
@@ -112,36 +136,43 @@ def choose_cutoffs(measures: DataFrame, labels: DataFrame, stratum: str = "lang"
     each = risk / len(SIGNALS)
     least = math.ceil(math.log(delta / len(SIGNALS)) / math.log1p(-each))
     per = held.groupBy("_stratum").agg(F.count_if("_good").alias("n"), *[v.alias(k) for k, v in counts.items()])
-    rows = per.where(F.col("n") >= least).orderBy(F.desc("n"), "_stratum").limit(MAX_STRATA + 1).collect()
-    if len(rows) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata have enough labels for a cutoff")
-    level = delta / (len(SIGNALS) * max(1, len(rows)))
-    chosen = []
-    for row in rows:
-        for s in SIGNALS:
-            usable = []
-            for c in GRID:
-                if not certified(row[f"{s}_{c}_1"], row["n"], each, level):
-                    break
-                usable.append(c)
-            caught = row[f"{s}_{usable[-1]}_0"] if usable else 0
-            if caught:
-                chosen.append((row["_stratum"], s, next(c for c in usable if row[f"{s}_{c}_0"] == caught)))
-    return chosen
-
-
-def method_rejects(cutoffs: list[tuple[str, str, int]], stratum: str = "lang") -> Column:
-    """True where a certified cutoff of the row's stratum is reached."""
-    by: dict[str, list[tuple[str, int]]] = {}
-    for name, signal, cutoff in cutoffs:
-        by.setdefault(name, []).append((signal, cutoff))
-    out = F.lit(False)
-    for name, rules in sorted(by.items()):
-        hit = F.lit(False)
-        for signal, cutoff in rules:
-            hit = hit | (F.expr(SIGNALS[signal]) >= cutoff)
-        out = out | ((F.coalesce(F.col(stratum).cast("string"), F.lit("")) == name) & hit)
-    return out
+    per = written(per.where(F.col("n") >= least), "strata")
+    level = F.lit(delta / (len(SIGNALS) * max(1, per.count())))
+
+    def cutoff(signal: str) -> Column:
+        grid = F.array(*[F.struct(F.lit(c).alias("cutoff"), F.col(f"{signal}_{c}_1").alias("good"), F.col(f"{signal}_{c}_0").alias("bad")) for c in GRID])
+        tested = F.transform(grid, lambda x: F.struct(x["cutoff"].alias("cutoff"), x["bad"].alias("bad"), certified_column(x["good"], F.col("n"), each, level).alias("ok")))
+
+        def mildest(x: Column) -> Column:
+            # Fixed sequence: up to the first that fails; of these the mildest
+            # that catches as many as the last.
+            usable = F.slice(x, F.lit(1), F.coalesce(F.nullif(F.array_position(F.transform(x, lambda y: y["ok"]), False), F.lit(0)).cast("int") - 1, F.lit(len(GRID))))
+            caught = F.coalesce(F.array_max(F.transform(usable, lambda y: y["bad"])), F.lit(0))
+            return F.when(caught > 0, F.array_max(F.transform(F.filter(usable, lambda y: y["bad"] == caught), lambda y: y["cutoff"])))
+
+        return let(tested, mildest).cast("int").alias(signal)
+
+    chosen = per.select(F.col("_stratum").alias("stratum"), *[cutoff(s) for s in SIGNALS])
+    return chosen.where(" or ".join(f"{s} is not null" for s in SIGNALS))
+
+
+def choose_cutoffs(measures: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA, key: str = "doc_id") -> list[tuple[str, str, int]]:
+    """``cutoff_table`` as (stratum, signal, cutoff), for a look at a few strata."""
+    rows = cutoff_table(measures, labels, stratum, risk, delta, key).orderBy("stratum").collect()
+    return [(r["stratum"], s, r[s]) for r in rows for s in SIGNALS if r[s] is not None]
+
+
+def with_rejects(measured_rows: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
+    """``measured_rows`` with ``_rejected``: whether a certified cutoff of the
+    row's stratum is reached. The cutoffs are one short row for each stratum,
+    broadcast only after they were counted and found few."""
+    own = {s: f"_cut_{s}" for s in SIGNALS}
+    table = hinted(cutoffs.select(F.col("stratum").alias("_stratum"), *[F.col(s).alias(c) for s, c in own.items()]))
+    rows = measured_rows.withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit(""))).join(table, "_stratum", "left")
+    hit = F.lit(False)
+    for signal, column in own.items():
+        hit = hit | F.coalesce(F.expr(SIGNALS[signal]) >= F.col(column), F.lit(False))
+    return rows.withColumn("_rejected", hit).drop("_stratum", *own.values())
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", key: str = "doc_id", risk: float = RISK, delta: float = DELTA, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -155,5 +186,6 @@ def judge_quality(docs: DataFrame, labels: DataFrame, text: str = "text", stratu
     """
     own = docs.select(F.col(key), F.col(stratum), *carry, F.col(text).alias("_text"))
     measures = written(measured(own, "_text").drop("_text"), "quality")
-    cutoffs = choose_cutoffs(measures, labels, stratum, risk, delta, key)
-    return measures.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~method_rejects(cutoffs, stratum))
+    cutoffs = written(cutoff_table(measures, labels, stratum, risk, delta, key), "cutoffs")
+    judged = with_rejects(measures.withColumn("base_failed", base_failed()), cutoffs, stratum)
+    return judged.withColumn("kept", ~F.col("base_failed") & ~F.col("_rejected")).drop("_rejected")

@@ -83,15 +83,6 @@ def test_near_copies_around_the_threshold(spark):
     assert got == brute.components(texts)
 
 
-def test_too_many_strata_are_an_error(spark, monkeypatch):
-    monkeypatch.setattr(quality, "MAX_STRATA", 1)
-    words = " ".join("word%d" % i for i in range(20))
-    docs = spark.range(4000).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'en', 'de') AS lang").withColumn("text", F.lit(words))
-    labels = spark.range(4000).selectExpr("id AS doc_id", "1 AS quality")
-    with pytest.raises(ValueError, match="strata"):
-        quality.judge_quality(docs, labels)
-
-
 def test_long_tokens_are_found_whole(spark):
     import corpus_pipeline as P
 
@@ -320,6 +311,86 @@ def test_cutoffs_limit_false_rejections(spark):
     assert sum(not kept[i] for i in good) <= quality.RISK * len(good)
 
 
+def test_bound_as_an_expression(spark):
+    cases = [(k, n) for n in (1, 5, 300, 1149, 5000, 250_000) for k in {0, 1, 2, int(n * 0.002), int(n * 0.0035), int(n * 0.004), n}]
+    levels = (0.01, 1e-4)
+    df = spark.createDataFrame(cases, "k long, n long")
+    got = df.select("k", "n", *[quality.certified_column(F.col("k"), F.col("n"), 0.004, F.lit(x)).alias(f"l{i}") for i, x in enumerate(levels)]).collect()
+    for r in got:
+        assert (r.l0, r.l1) == tuple(quality.certified(r.k, r.n, 0.004, x) for x in levels), r
+
+
+def plain_verdicts(docs, labels):
+    """{id: kept} by the method in plain Python, from (id, text, lang)."""
+
+    def measure(text):
+        ws, lines = brute.WORD.findall(text or ""), [x for x in (text or "").split("\n") if brute.WORD.search(x)]
+        n, chars, symbols, dup, repeat, failed = brute.quality(text)
+        upper = sum("A" <= c <= "Z" for c in text or "")
+        by = (1000 * symbols // max(1, n), 1000 * dup // max(1, len(lines)), 1000 * repeat // max(1, n), 1000 * upper // max(1, chars), 1000 - min(1000, 200 * chars // max(1, n)))
+        assert n == len(ws)
+        return failed, by
+
+    seen = {i: (*measure(t), lang or "") for i, t, lang in docs}
+    good = {}
+    for i, g in labels:
+        good[i] = good.get(i, False) or bool(g)
+    each, cuts = quality.RISK / 5, {}
+    by_lang = {}
+    for i, g in good.items():
+        if i in seen and not seen[i][0]:
+            by_lang.setdefault(seen[i][2], []).append((seen[i][1], g))
+    least = math.ceil(math.log(quality.DELTA / 5) / math.log1p(-each))
+    usable = {lang: rows for lang, rows in by_lang.items() if sum(g for _, g in rows) >= least}
+    for lang, rows in usable.items():
+        n = sum(g for _, g in rows)
+        for s in range(5):
+            passed = []
+            for c in quality.GRID:
+                if not quality.certified(sum(g and x[s] >= c for x, g in rows), n, each, quality.DELTA / (5 * len(usable))):
+                    break
+                passed.append((c, sum(not g and x[s] >= c for x, g in rows)))
+            if passed and passed[-1][1]:
+                cuts[lang, s] = next(c for c, b in passed if b == passed[-1][1])
+    return cuts, {i: not failed and not any(x[s] >= cuts.get((lang, s), 10**9) for s in range(5)) for i, (failed, x, lang) in seen.items()}
+
+
+def test_certified_cutoffs_through_query_and_pipeline(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = random.Random(15)
+    docs, labels = [], []
+    for i in range(18000):
+        good, lang = rng.random() < 0.8, ("en", "en", "de", "de", None, "xx%d" % (i % 40))[i % 6]
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.choice((3, 5, 7)))) for _ in range(rng.randrange(9, 16))]
+        if not good:
+            kind = rng.randrange(4)
+            words = [w + "$$$" for w in words] if kind == 0 else [w.upper() for w in words] if kind == 1 else words
+        docs.append((i, " ".join(words) + ("\nsame\nsame\nsame" if not good and rng.random() < 0.3 else ""), lang))
+        labels += [(i, int(good))] * (1 + (i % 50 == 0))
+    rows = [(i, t, lang, "s", len(t)) for i, t, lang in docs] + [(18000, None, "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, q, 0) for i, q in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    cuts, want = plain_verdicts([*docs, (18000, None, "en")], labels)
+    assert {"en", "de", ""} == {lang for lang, _ in cuts}
+    got = {r.doc_id: r.kept for r in Q.op7_quality_rules(spark, str(tmp_path)).collect()}
+    assert got == want and sum(not k for k in got.values()) > 500
+    base = {r[0] for r in rows if brute.quality(r[1])[5]}
+    assert any(not k and i not in base for i, k in got.items())
+    docs_table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in P.quality_rules(spark, docs_table, str(tmp_path)).collect()} == {i for i, k in want.items() if k}
+
+
+def test_any_number_of_strata(spark):
+    words = " ".join("word%d" % i for i in range(20))
+    docs = spark.range(6000).selectExpr("id AS doc_id", "concat('l', id) AS lang").withColumn("text", F.lit(words))
+    labels = spark.range(6000).selectExpr("id AS doc_id", "1 AS quality")
+    # With a risk this wide one good document would be enough for a cutoff.
+    measures = quality.measured(docs.select("doc_id", "lang", "text"), "text").drop("text")
+    assert quality.judge_quality(docs, labels, risk=4.999, delta=0.9999).where("kept").count() == 6000
+    assert quality.cutoff_table(measures, labels.selectExpr("doc_id", "0 AS quality")).count() == 0
+
+
 # Personal data
 
 
