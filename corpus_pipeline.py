@@ -19,11 +19,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Drop documents that a quality rule rejects. Rows that repeat an id are
     judged by their own texts; a null text fails."""
     counts = quality.measured(docs.select("doc_id", "lang", F.col("text").alias("_text")), "_text").drop("_text")
-    cutoffs = quality.choose_cutoffs(written(counts, "quality"), table(spark, sf_dir, "labels"))
+    cutoffs = written(quality.cutoff_table(written(counts, "quality"), table(spark, sf_dir, "labels")), "cutoffs")
     # Counting again costs less than moving the texts to join the verdicts.
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "lang", F.col("text").alias("_text"))
-    kept = quality.measured(rows, "_text").where(~quality.base_failed() & ~quality.method_rejects(cutoffs))
-    return kept.select("_row.*")
+    kept = quality.with_rejects(quality.measured(rows, "_text").where(~quality.base_failed()), cutoffs)
+    return kept.where("not _rejected").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
