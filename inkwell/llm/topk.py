@@ -1,16 +1,21 @@
 """Exact top-k inner products without random access (NRA).
 
-Vectors are packed into blocks; every pair of a query block and a vector block
-is one piece of work. In a block each component's values form a sorted list,
-read from the end that favours a query, in rounds of a common depth. What was
-read gives every vector's lower and upper score bound; reading stops for a
-query once no more than a few vectors' upper bounds reach the k-th lower
-bound. Those resolve to final scores. The best k of all blocks are then taken
-in SQL. Scores are integers, held exactly in double precision.
+The vectors are dealt into parts that fit in memory; every query visits every
+part once, and a part's best k for it go on. In a part each component's values
+form a sorted list. For a query the lists are read one after another from the
+end that favours it, in rounds of a common depth. What was read adds up to
+partial scores; what wasn't lies between the reading's frontier and the list's
+far end, which gives every vector a lower and an upper bound. A query is done
+with a block when the vectors that can still be among its k best are read
+whole: their scores are then sums of what was read, and nothing is looked up.
+The k-th score of the blocks so far is a bound for the next block, so that most
+are left early.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,76 +24,149 @@ from pyspark.sql import functions as F
 from .common import written
 
 K, SCALE, EVERY = 10, 1024, 100
-VECTORS, QUERIES = 4096, 256
-#: Share of the lists read after each round; candidates that end the reading.
-DEPTHS = (0.25, 0.5, 0.7, 0.85, 1.0)
-FEW = 64
+#: Bytes of vectors in a part; vectors whose lists are read together; queries
+#: that read side by side.
+PART_BYTES, VECTORS, QUERIES = 64 << 20, 4096, 64
+#: Share of the lists that is read after each round.
+DEPTHS = (0.125, 0.25, 0.5, 0.75, 1.0)
 EXACT = 1 << 53
-PACKED = "array<struct<id:bigint,v:array<bigint>>>"
+LONG = (1 << 63) - 1
+DIGIT = 50
+FOUND = ("query_id", "vec_id", "score", "s2", "s1", "s0")
 
 
-def nra_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int = K) -> list[tuple[int, int, int]]:
-    """(query, vector, score): at least each query's k best of this block, by
-    (score, smaller id), but for vectors with the query's own id."""
-    n, dims = vectors.shape
-    out: list[tuple[int, int, int]] = []
-    if not n or not len(queries):
-        return out
-    x = vectors.astype(np.float64)
-    order = np.argsort(x, axis=0, kind="stable")
-    rank = np.empty_like(order)  # from the smallest value of its list
-    np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
-    ends = np.sort(x, axis=0)
-    live = np.arange(len(queries))
+class Lists:
+    """The sorted lists of a block of vectors (whole numbers)."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray):
+        self.ids, self.whole = ids, vectors
+        x = vectors.astype(np.float64)
+        self.order = np.argsort(x, axis=0, kind="stable")
+        self.values = np.take_along_axis(x, self.order, axis=0)
+        self.rank = np.empty(x.shape, np.int32)  # from the smallest value of its list
+        np.put_along_axis(self.rank, self.order, np.arange(len(x), dtype=np.int32)[:, None], axis=0)
+        #: The largest size of a value in each list.
+        self.most = np.abs(x).max(axis=0, initial=0.0)
+
+
+def _scores(lists: Lists, near: np.ndarray, partial: np.ndarray, query: np.ndarray, exact: bool) -> list[int]:
+    """Final scores of vectors that were read whole. Beyond what doubles hold
+    exactly, the values that were read are added up as whole numbers."""
+    if exact:
+        return [int(s) for s in partial[near]]
+    numbers = [int(v) for v in query]
+    return [sum(a * int(b) for a, b in zip(numbers, lists.whole[i], strict=True)) for i in near]
+
+
+def read_lists(lists: Lists, queries: np.ndarray, query_ids: np.ndarray, k: int, floors: np.ndarray) -> list[list[tuple[int, int]]]:
+    """For each query (score, id) of every vector of the block that can be among
+    its k best, its own id left out. ``floors``: scores that k vectors of other
+    blocks reach already."""
+    n, dims = lists.values.shape
+    q = queries.astype(np.float64)
+    size = np.abs(q) @ lists.most
+    exact = bool((2 * size < EXACT).all()) and int(np.abs(queries).max(initial=0)) < EXACT and float(lists.most.max(initial=0)) < EXACT
+    # How far sums of doubles may be off.
+    off = np.zeros(len(q)) if exact else size * (dims + 4) * 2.0**-50
+    found: list[list[tuple[int, int]]] = [[] for _ in q]
+    partial = np.zeros((len(q), n))
+    live, read = np.arange(len(q)), 0
     for share in DEPTHS:
-        depth = min(n, max(k, int(share * n)))
-        q = queries[live].astype(np.float64)
-        up, down = np.maximum(q, 0), np.minimum(q, 0)
-        # Lists are read from the top for positive weights, from the bottom for negative.
-        seen_up, seen_down = rank >= n - depth, rank < depth
-        partial = (x * seen_up) @ up.T + (x * seen_down) @ down.T
-        rest_up, rest_down = (~seen_up).astype(np.float64), (~seen_down).astype(np.float64)
-        # Unread values lie between the frontier and the list's far end.
-        upper = partial + rest_up @ (ends[n - depth][:, None] * up.T) + rest_down @ (ends[depth - 1][:, None] * down.T)
-        lower = partial + rest_up @ (ends[0][:, None] * up.T) + rest_down @ (ends[-1][:, None] * down.T)
-        own = ids[:, None] == query_ids[live][None, :]
-        upper[own] = lower[own] = -np.inf
-        kth = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(live), -np.inf)
-        may = (upper >= kth) & ~own
-        done = (may.sum(axis=0) <= FEW) | (depth == n)
-        for j in np.flatnonzero(done):
-            near = np.flatnonzero(may[:, j])
-            score = x[near] @ q[j]
-            best = np.lexsort((ids[near], -score))[:k]
-            out += [(int(query_ids[live[j]]), int(ids[near[b]]), int(score[b])) for b in best]
+        depth = n if share >= 1 else min(n, max(k, int(share * n)))
+        for j in range(dims):
+            # From the top for positive weights, from the bottom for negative ones.
+            for rows, part in ((live[q[live, j] > 0], slice(n - depth, n - read)), (live[q[live, j] < 0], slice(read, depth))):
+                if len(rows) and depth > read:
+                    partial[np.ix_(rows, lists.order[part, j])] += q[rows, j][:, None] * lists.values[part, j][None, :]
+        read = depth
+        own, w = partial[live], q[live]
+        up, down = np.maximum(w, 0), np.minimum(w, 0)
+        rest_up, rest_down = (lists.rank < n - depth).T.astype(np.float64), (lists.rank >= depth).T.astype(np.float64)
+        if depth < n:
+            upper = own + (up * lists.values[n - depth]) @ rest_up + (down * lists.values[depth - 1]) @ rest_down
+            lower = own + (up * lists.values[0]) @ rest_up + (down * lists.values[-1]) @ rest_down
+        else:
+            upper, lower = own.copy(), own.copy()
+        upper, lower = upper + off[live][:, None], lower - off[live][:, None]
+        itself = lists.ids[None, :] == query_ids[live][:, None]
+        lower[itself] = -np.inf
+        kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(live), -np.inf)
+        may = (upper >= np.maximum(kth, floors[live])[:, None]) & ~itself
+        unread = (up > 0).astype(np.float64) @ rest_up + (down < 0).astype(np.float64) @ rest_down
+        done = ~(may & (unread > 0)).any(axis=1)
+        for i in np.flatnonzero(done):
+            near = np.flatnonzero(may[i])
+            scores = _scores(lists, near, partial[live[i]], queries[live[i]], exact)
+            found[live[i]] = [(s, int(lists.ids[v])) for s, v in zip(scores, near, strict=True)]
         live = live[~done]
         if not live.size:
             break
-    return out
+    return found
+
 
+def best_of(blocks: list[Lists], queries: np.ndarray, query_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(query, vector, score): each query's k best of all blocks, by (score,
+    smaller id)."""
+    best: list[list[tuple[int, int]]] = [[] for _ in queries]
+    floors = np.full(len(queries), -np.inf)
+    for lists in blocks:
+        for i, got in enumerate(read_lists(lists, queries, query_ids, k, floors)):
+            if got:
+                best[i] = sorted(best[i] + got, key=lambda x: (-x[0], x[1]))[:k]
+                if len(best[i]) == k:
+                    # A double below the score, where it can't be held.
+                    floors[i] = math.nextafter(float(best[i][-1][0]), -math.inf) if abs(best[i][-1][0]) >= EXACT else best[i][-1][0]
+    return [(int(query), v, s) for query, own in zip(query_ids, best, strict=True) for s, v in own]
 
-def _matrix(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and zero-padded components of one packed block."""
-    ids = rows.field("id").to_numpy(zero_copy_only=False)
-    lists = rows.field("v")
+
+def nra_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int = K) -> list[tuple[int, int, int]]:
+    """(query, vector, score): each query's k best of one block, but for
+    vectors with the query's own id."""
+    if not len(vectors) or not len(queries):
+        return []
+    return best_of([Lists(vectors, ids)], queries, query_ids, k)
+
+
+def _matrix(lists: pa.Array, dims: int) -> np.ndarray:
+    """Whole components of a column of vectors, padded with zeros."""
     length = lists.value_lengths().to_numpy(zero_copy_only=False)
-    out = np.zeros((len(ids), int(length.max(initial=0))), np.int64)
-    out[np.arange(out.shape[1])[None, :] < length[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
-    return ids, out
+    out = np.zeros((len(lists), dims), np.int64)
+    out[np.arange(dims)[None, :] < length[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out
+
 
+def _work(k: int, dims: int):
+    """Over partitions whose rows are ordered by part, the vectors of a part
+    (kind 0) before the queries that visit it (kind 1)."""
+
+    def answers(blocks: list[Lists], queries: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        got = [x for at in range(0, len(ids), QUERIES) for x in best_of(blocks, queries[at : at + QUERIES], ids[at : at + QUERIES], k)]
+        # A score in three longs, in whose order scores order; as one long it
+        # ends at the longs' ends.
+        digits = (lambda s: max(-LONG - 1, min(LONG, s)), lambda s: s >> 2 * DIGIT, lambda s: s >> DIGIT & (1 << DIGIT) - 1, lambda s: s & (1 << DIGIT) - 1)
+        columns = [[g[0] for g in got], [g[1] for g in got], *[[f(g[2]) for g in got] for f in digits]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], list(FOUND))
 
-def _work(k: int):
     def run(batches):
+        part, blocks, held = None, None, []
         for batch in batches:
-            for row in range(batch.num_rows):
-                ids, x = _matrix(batch["vectors"][row].values)
-                query_ids, q = _matrix(batch["queries"][row].values)
-                dims = max(x.shape[1], q.shape[1])
-                x, q = (np.pad(m, ((0, 0), (0, dims - m.shape[1]))) for m in (x, q))
-                if dims * int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0)) * 2 >= EXACT:
-                    raise ValueError("scores are too large for exact bounds")
-                got = nra_block(x, ids, q, query_ids, k)
-                yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
+            parts, kinds = batch["part"].to_numpy(zero_copy_only=False), batch["kind"].to_numpy(zero_copy_only=False)
+            ids = batch["id"].to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((np.diff(parts) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), len(ids)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                x = _matrix(batch["v"].slice(a, b - a), dims)
+                if parts[a] != part:
+                    part, blocks, held = parts[a], None, []
+                if kinds[a] == 0:
+                    held.append((x, ids[a:b]))
+                    continue
+                if blocks is None:
+                    every, names = (np.concatenate(c) for c in zip(*held, strict=True)) if held else (np.empty((0, dims), np.int64), np.empty(0, np.int64))
+                    held = []
+                    blocks = [Lists(every[i : i + VECTORS], names[i : i + VECTORS]) for i in range(0, len(names), VECTORS)]
+                yield answers(blocks, x, ids[a:b])
 
     return run
 
@@ -102,21 +180,24 @@ def top_k(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding",
     zeros. Ties go to the smaller id. Rows that repeat an id are rows of their
     own, as candidates; as queries, equal ids are answered together: the
     repeated rows' scores compete. A null id is left out. No rows, no result.
+    Components of any finite size rank exactly up to the ends of 64 bits, at
+    which components and scores stop.
+
+    A part takes ``PART_BYTES`` of vectors; what is shuffled is every vector
+    once and every query once for each part.
     """
+    spark = vectors.sparkSession
     x = F.col(embedding).cast("array<double>")
     usable = F.col(embedding).isNotNull() & F.col(key).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     ints = F.transform(x, lambda c: F.floor(c * float(scale)))
     # Row numbers are the deal: repeated ids or vectors spread like others.
     rows = written(vectors.where(usable).select(F.col(key).cast("bigint").alias("id"), ints.alias("v")).withColumn("deal", F.xxhash64(F.monotonically_increasing_id())), "vectors")
-    asked = rows.where(F.col("id") % every == 0)
-    n, m = rows.count(), asked.count()
-    blocks, query_blocks = max(1, -(-n // VECTORS)), max(1, -(-m // QUERIES))
-    pack = F.collect_list(F.struct("id", "v"))
-    left = rows.groupBy(F.pmod("deal", F.lit(blocks)).alias("block")).agg(pack.alias("vectors"))
-    right = asked.groupBy(F.pmod("deal", F.lit(query_blocks)).alias("query_block")).agg(pack.alias("queries"))
-    # Every query against every row, by blocks: each vector block goes to each query block.
-    grid = left.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<bigint>"))).join(right, "query_block")
-    work = grid.select("vectors", "queries").repartition(min(4096, blocks * query_blocks))
-    found = work.mapInArrow(_work(k), "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    n, dims = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    # Parts are as large as memory allows, but all cores get one.
+    parts = max(1, -(-n * max(1, dims) * 8 // PART_BYTES), min(spark.sparkContext.defaultParallelism, -(-n // VECTORS)))
+    left = rows.select(F.pmod("deal", F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), "id", "v")
+    right = rows.where(F.col("id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), "id", "v")
+    met = left.unionByName(right).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind")
+    found = met.mapInArrow(_work(k, dims), ", ".join(f"{c} bigint" for c in FOUND))
+    order = Window.partitionBy("query_id").orderBy(F.desc("s2"), F.desc("s1"), F.desc("s0"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

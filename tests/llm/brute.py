@@ -70,7 +70,7 @@ def shingles(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
 
 
-def components(texts):
+def components(texts, threshold=85):
     """{id: text} to {id: (set size, smallest id reachable)}."""
     sets = {i: shingles(t) for i, t in texts.items()}
     owners = {}
@@ -90,7 +90,7 @@ def components(texts):
             for b in own[a + 1 :]:
                 shared[own[a], b] += 1
     for (a, b), n in shared.items():
-        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+        if 100 * n >= threshold * (len(sets[a]) + len(sets[b]) - n):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     return {i: (len(sets[i]), find(i)) for i in texts}

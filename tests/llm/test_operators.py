@@ -273,6 +273,36 @@ def test_nra_blocks():
             assert sorted(got.get(int(name), [])) == want
 
 
+def test_large_components(spark):
+    rng = random.Random(2)
+    for size, dims in ((1e6, 64), (1e9, 3), (8200.0, 64)):
+        rows = [(i, [rng.uniform(-size, size) / (8 if size == 1e6 else 1) for _ in range(dims)]) for i in range(260)]
+        ints = {i: [math.floor(1024 * v) for v in x] for i, x in rows}
+        got = {}
+        for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        clamp = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+        for q in (0, 100, 200):
+            best = sorted((-sum(a * b for a, b in zip(ints[q], y, strict=True)), v) for v, y in ints.items() if v != q)[:10]
+            assert [(a, b) for a, b, _ in sorted(got[q])] == [(i + 1, v) for i, (_, v) in enumerate(best)]
+            assert [c for _, _, c in sorted(got[q])] == [clamp(-s) for s, _ in best]
+
+
+def test_blocks_hand_on_their_bounds(monkeypatch):
+    monkeypatch.setattr(topk, "VECTORS", 50)
+    rng = np.random.default_rng(9)
+    x = rng.integers(-9, 10, (400, 12))
+    x[200:260] = x[3]  # copies: ties over blocks
+    ids = rng.permutation(400)
+    blocks = [topk.Lists(x[i : i + 50], ids[i : i + 50]) for i in range(0, 400, 50)]
+    got = {}
+    for q, v, s in topk.best_of(blocks, x[:40], ids[:40], 7):
+        got.setdefault(q, []).append((-s, v))
+    for q, name in zip(x[:40], ids[:40], strict=True):
+        want = sorted((-int(x[i] @ q), int(ids[i])) for i in range(400) if ids[i] != name)[:7]
+        assert sorted(got[int(name)]) == want
+
+
 def test_repeated_vectors(spark):
     rows = [(i % 40, [float(i % 3), 1.0]) for i in range(120)]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=40, k=5).collect()
@@ -498,7 +528,7 @@ def test_pipeline_against_plain_python(spark):
     good = {i: r.text for i, r in rows.items() if not brute.quality(r.text)[5]}
     assert {r.doc_id for r in first.collect()} == set(good)
     second = stages["near_duplicates"](spark, first, folder)
-    kept = {i for i, (_, c) in brute.components(good).items() if i == c}
+    kept = {i for i, (_, c) in brute.components(good, 80).items() if i == c}
     assert {r.doc_id for r in second.collect()} == kept
     third = {r.doc_id: r.text for r in stages["secret_scan"](spark, second, folder).collect()}
     assert set(third) == kept and all(brute.secrets(t)[:3] == (0, 0, 0) for t in third.values())
