@@ -12,7 +12,7 @@ from inkwell.llm.queries import DOMAIN, MIX_WEIGHTS, tokenizer_path
 #: Share of the words that reach the mixing stage and leave it, at most.
 MIX_SHARE = "0.8"
 #: Percent of similarity from which documents are near duplicates.
-NEAR = near_dup.THRESHOLD
+NEAR = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
