@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.sources.shared import hinted, remove, shared_dir, written
 
-__all__ = ["ascii_lower", "hinted", "literal_table", "remove", "shared_dir", "small_batches", "table", "words", "written"]
+__all__ = ["BATCH", "ascii_lower", "hinted", "literal_table", "remove", "set_batches", "shared_dir", "small_batches", "table", "words", "written"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Space and U+0009 to U+000D separate words, in every operator here.
@@ -27,13 +28,30 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")))
 
 
-def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
-    """Let Arrow batches hold ``limit`` bytes at most, from now on in this
-    session. The default of 64 MB, doubled while a batch grows and held twice,
-    in the JVM and in Python, is much for an executor with many cores."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m"))) > limit:
-        spark.conf.set(key, str(limit))
+BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def set_batches(spark: SparkSession, limit: int) -> str | None:
+    """Let Arrow batches hold ``limit`` bytes at most; returns the old setting."""
+    before = spark.conf.get(BATCH_KEY, None)
+    if int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before or "64m")) > limit:
+        spark.conf.set(BATCH_KEY, str(limit))
+    return before
+
+
+@contextmanager
+def small_batches(spark: SparkSession, limit: int = BATCH):
+    """Let Arrow batches hold ``limit`` bytes at most in what runs inside. The
+    default of 64 MB, doubled while a batch grows and held twice, in the JVM and
+    in Python, is much for an executor with many cores."""
+    before = set_batches(spark, limit)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_KEY)
+        else:
+            spark.conf.set(BATCH_KEY, before)
 
 
 def ascii_lower(text: Column) -> Column:

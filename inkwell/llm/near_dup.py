@@ -6,11 +6,21 @@ pairs; the same values, folded into a parity bitmap (odd sketch), estimate a
 pair's similarity from the population count of the bitmaps' XOR and drop pairs
 far below the threshold; whatever passes is confirmed on the full sets.
 
-Pairs of a band's bucket are not all emitted. First every member is compared
-with the bucket's head only (the member that meets most others over all bands). Links found so far are joined into
-components, and only members of the same bucket in different components are
-compared with each other: no pair that could still change a component is left
-out, and a large group of near copies costs as many pairs as it has members.
+Pairs of a band's bucket are not all compared. First every member is compared
+with the bucket's head only (the member that meets most others over all bands).
+Links found so far are joined into components, and only members of one bucket
+in different components are looked at again: no pair that could still change a
+component is left out, and a large group of near copies costs as many pairs as
+it has members.
+
+In a small bucket those members are compared with each other. In a large one,
+as texts around one boilerplate make, they share most shingles and link with
+nothing, so pairs come from what is rare among them: with shingles ordered from
+the rarest on, two sets that link have one in common among the first
+``n - threshold * n + 1`` of each. A rare one there proposes its few owners. A
+pair without such a one consists, on both sides, of frequent shingles up to the
+threshold at least; only those sets are still compared within their bucket.
+Both steps lose no pair.
 """
 
 from __future__ import annotations
@@ -21,10 +31,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import hinted, remove, small_batches, written
 from .components import connected_components
 
 WORDS = 5
@@ -40,7 +50,12 @@ PARITY = 2048
 #: errors at a threshold of 0.85 with 24 bands, and at 0.80 with 35.
 SLACK = 0.27
 CACHE = 200_000
-SIGNATURE = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>, parity array<bigint>"
+#: Members up to which a bucket is compared within itself, and sets up to which
+#: a shingle counts as rare. They move work from one step to the other; neither
+#: drops a pair.
+SMALL, RARE = 128, 32
+KEYS = ("row", "doc_id", "text_hash")
+SIGNATURE = "row bigint, doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>, parity array<bigint>"
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _rng.integers(1, 1 << 32, ROWS * BANDS, dtype=np.uint64)
@@ -123,23 +138,32 @@ def _sign(batches, bands: int):
     hashes = WordHashes()
     for batch in batches:
         rows: list[tuple] = []
-        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()), strict=True):
+        for text in batch["text"].cast(pa.binary()):
             s = shingle_set(text.as_py(), hashes)
             if len(s):
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                rows.append((doc, len(s), digest, *signature(s, bands)))
+                rows.append((len(s), digest, *signature(s, bands)))
             else:
-                rows.append((doc, 0, None, None, None, None))
-        names = ["doc_id", "n_shingles", "digest", "bands", "sketch", "parity"]
-        kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+                rows.append((0, None, None, None, None))
+        kinds = [pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3]
+        made = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([*[batch[k] for k in KEYS], *made], [*KEYS, "n_shingles", "digest", "bands", "sketch", "parity"])
 
 
 def _sets(batches):
+    """Each text's set, as bytes for comparing."""
     hashes = WordHashes()
     for batch in batches:
         sets = [shingle_set(t.as_py(), hashes).tobytes() for t in batch["text"].cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.large_binary()).cast(pa.binary())], ["doc_id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(sets, pa.large_binary()).cast(pa.binary())], ["id", "shingles"])
+
+
+def _lists(batches):
+    """Each text's set, as numbers for joining."""
+    hashes = WordHashes()
+    for batch in batches:
+        sets = [shingle_set(t.as_py(), hashes).view(np.int64) for t in batch["text"].cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
 
 def _confirm(batches, threshold: int):
@@ -162,7 +186,7 @@ def _facts(classes: DataFrame) -> DataFrame:
     """The bitmaps as columns that are never null: a join condition over arrays
     of this length is too long a method for the JVM to compile."""
     words = [(f"{c[0]}{i}", F.get(c, F.lit(i))) for c, n in (("sketch", BITS), ("parity", PARITY)) for i in range(n // 64)]
-    return classes.select(F.col("class_id").alias("id"), *[F.coalesce(v, F.lit(0)).alias(k) for k, v in [("n_shingles", F.col("n_shingles")), *words]])
+    return classes.select("id", *[F.coalesce(v, F.lit(0)).alias(k) for k, v in [("n_shingles", F.col("n_shingles")), *words]])
 
 
 def _near(x: str, y: str, threshold: int) -> Column:
@@ -181,33 +205,69 @@ def _side(facts: DataFrame, name: str, key: str | None = None) -> DataFrame:
     return facts.select(*[F.col(c).alias(key if key and c == "id" else f"{name}{c}") for c in facts.columns])
 
 
-def _links(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) whose full sets link."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id bigint, shingles binary"), "sets")
-    one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("a_set")), "a")
-    two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("b_set")), "b")
-    return two.select("a", "b", "a_set", "b_set").mapInArrow(lambda batches: _confirm(batches, threshold), "a bigint, b bigint")
+def _texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text) of classes' representatives. What finds a text is its row's
+    id and hash: few as a rule, so that the texts needn't move."""
+    keys = hinted(written(ids.join(classes, "id").select("id", "doc_id", "text_hash"), "keys"))
+    return docs.join(keys, ["doc_id", "text_hash"]).dropDuplicates(["id"]).select("id", "text")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``class_id``, ``component_id`` and ``kept`` of every row.
+def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) whose full sets link."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = written(_texts(ids, classes, docs).mapInArrow(_sets, "id bigint, shingles binary"), "sets")
+    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("a_set")), "a")
+    two = one.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("b_set")), "b")
+    found = written(two.select("a", "b", "a_set", "b_set").mapInArrow(lambda batches: _confirm(batches, threshold), "a bigint, b bigint"), "links")
+    remove(sets)
+    return found
+
+
+def _rare(ids: DataFrame, classes: DataFrame, docs: DataFrame, threshold: int, rare: int) -> tuple[DataFrame, DataFrame]:
+    """Of the sets ``ids``: (id, shingle) of rare shingles among the first that
+    links need, and (id, frequent) of sets that could link without one."""
+    lists = written(_texts(ids, classes, docs).mapInArrow(_lists, "id bigint, shingles array<bigint>"), "lists")
+    rows = lists.select("id", F.explode("shingles").alias("shingle"))
+    owners = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= rare)
+    few = written(rows.join(owners, "shingle"), "few")
+    first = F.row_number().over(Window.partitionBy("id").orderBy("n", "shingle"))
+    size = lists.select("id", F.size("shingles").alias("size"))
+    # size - ceil(threshold * size / 100) + 1, in whole numbers.
+    reach = F.expr(f"size - (({threshold} * size + 99) div 100) + 1")
+    prefix = few.withColumn("_at", first).join(size, "id").where(F.col("_at") <= reach).where("n > 1").select("id", "shingle")
+    own = few.groupBy("id").agg(F.count(F.lit(1)).alias("_few"))
+    frequent = size.join(own, "id", "left").withColumn("frequent", F.col("size") - F.coalesce("_few", F.lit(0)))
+    return prefix, frequent.where(100 * F.col("frequent") >= threshold * F.col("size")).select("id", F.col("frequent").cast("bigint").alias("frequent"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, small: int = SMALL, rare: int = RARE) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``class_id``, ``component_id``, ``kept``,
+    ``text_hash`` and ``first`` of every row.
 
     ``class_id`` is the smallest id with an equal set, ``component_id`` the
     smallest id that links reach; sets link from ``threshold`` percent on. Null, empty and blank texts have the empty
-    set and are linked with nothing. Rows that repeat an id belong together:
-    they should hold one text; each gets its row, and all but the first of a
-    repeated id have the same values. A row without an id is compared through
+    set and are linked with nothing. Rows are told apart, also where they
+    repeat an id: each belongs where its own text does. ``kept`` is true for
+    rows whose id is their component's; ``first`` for exactly one of each
+    component's rows, ``text_hash`` (xxhash64 of the text) tells rows of one id
+    apart. A row without an id is compared through
     an equal set only: it has that class, or none, and is kept if it has none.
     """
-    small_batches(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, key, text, threshold, small, rare)
+
+
+def _near_duplicates(docs: DataFrame, key: str, text: str, threshold: int, small: int, rare: int) -> DataFrame:
     bands = bands_for(threshold)
-    own = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    signed = written(own.mapInArrow(lambda batches: _sign(batches, bands), SIGNATURE), "signatures")
-    # A repeated id is told apart by its set; the digest stands for it in classes.
-    classes = written(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")).where("class_id is not null"), "classes")
+    own = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
+    numbered = own.withColumn("row", F.monotonically_increasing_id())
+    signed = written(numbered.mapInArrow(lambda batches: _sign(batches, bands), SIGNATURE), "signatures")
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row", "text_hash"))).alias("m")
+    made = signed.where("digest is not null").groupBy("digest").agg(least, *[F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch", "parity")])
+    # A class is known by a row of its own: ids may repeat.
+    classes = written(made.where("m is not null").select("digest", F.col("m.row").alias("id"), F.col("m.doc_id").alias("doc_id"), F.col("m.text_hash").alias("text_hash"), "n_shingles", "bands", "sketch", "parity"), "classes")
     facts = _facts(classes)
-    banded = classes.select(F.explode("bands").alias("band"), F.col("class_id").alias("id"))
+    banded = classes.select(F.explode("bands").alias("band"), "id")
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(banded.join(shared, "band"), "members")
     # A bucket's head is the member that meets most others over all bands: the
@@ -215,29 +275,53 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     degree = members.groupBy("id").agg(F.sum("n").alias("degree"))
     heads = members.join(degree, "id").groupBy("band").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("m")).select("band", (-F.col("m.minus")).alias("head"))
     buckets = written(members.select("band", "id").join(heads, "band"), "buckets")
+    remove(members)
 
     def close(pairs: DataFrame) -> DataFrame:
         """(a, b) with a sketch that leaves room for a link."""
         return pairs.join(_side(facts, "x_", "a"), "a").join(_side(facts, "y_", "b"), "b").where(_near("x_", "y_", threshold)).select("a", "b")
 
-    stars = close(buckets.where("id <> head").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct())
-    first = written(_links(written(stars, "stars"), own, threshold), "links")
+    stars = written(close(buckets.where("id <> head").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct()), "stars")
+    first = _links(stars, classes, own, threshold)
     known = written(connected_components(first), "components")
 
-    # What is left: members of one bucket in different components. Of those in
-    # the component of the bucket's head the rest are compared with each other's.
+    # What is left: members of one bucket in different components.
     placed = buckets.join(known.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high and members > 2").select("band")
-    rest = written(placed.join(open_bands, "band").join(facts, "id"), "open")
-    x, y = _side(rest, "x_"), _side(rest, "y_")
-    fresh = (F.col("x_id") < F.col("y_id")) & (F.col("x_component") != F.col("y_component")) & (F.col("x_id") != F.col("x_head")) & (F.col("y_id") != F.col("x_head"))
-    across = x.join(y, (F.col("x_band") == F.col("y_band")) & fresh & _near("x_", "y_", threshold))
-    pairs = across.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
-    second = written(_links(written(pairs, "across"), own, threshold), "links")
+    per = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
+    open_bands = per.where("low < high and members > 2").select("band", "members")
+    rest = written(placed.join(open_bands, "band"), "open")
+
+    def within(side: DataFrame, extra: Column | None = None) -> DataFrame:
+        """Pairs in one bucket and different components, but for those with its head."""
+        x, y = _side(side, "x_"), _side(side, "y_")
+        fresh = (F.col("x_id") < F.col("y_id")) & (F.col("x_component") != F.col("y_component")) & (F.col("x_id") != F.col("x_head")) & (F.col("y_id") != F.col("x_head"))
+        fresh = fresh & _near("x_", "y_", threshold)
+        met = x.join(y, (F.col("x_band") == F.col("y_band")) & (fresh if extra is None else fresh & extra))
+        return met.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
+
+    pairs = within(rest.where(F.col("members") <= small).drop("members").join(facts, "id"))
+    wide = rest.where(F.col("members") > small).drop("members")
+    ids = written(wide.select("id").distinct(), "wide")
+    if ids.limit(1).count():
+        prefix, mostly = _rare(ids, classes, own, threshold, rare)
+        prefix = written(prefix, "prefix")
+        mine, yours = prefix.select(F.col("id").alias("a"), "shingle"), prefix.select(F.col("id").alias("b"), "shingle")
+        pairs = pairs.unionByName(close(mine.join(yours, "shingle").where("a < b").select("a", "b").distinct()))
+        n, m, f, g = (F.col(c) for c in ("x_n_shingles", "y_n_shingles", "x_frequent", "y_frequent"))
+        enough = (100 + threshold) * F.least(f, g) >= threshold * (n + m)
+        pairs = pairs.unionByName(within(wide.join(written(mostly, "mostly"), "id").join(facts, "id"), enough))
+    second = _links(written(pairs.distinct(), "across"), classes, own, threshold)
     final = written(connected_components(first.unionByName(second)), "components")
-
-    classed = signed.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "class_id"), "digest", "left")
-    classed = classed.withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    out = classed.join(final.select(F.col("node").alias("class_id"), F.col("component").alias("component_id")), "class_id", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "class_id"))
-    return out.select("doc_id", "n_shingles", "class_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    remove(buckets, stars, rest, known)
+
+    named = final.select(F.col("node").alias("id"), "component").join(classes.select("id", "doc_id"), "id")
+    lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    tops = named.join(lowest, "component").select("id", "component", "component_id")
+    known_classes = classes.select("digest", "id", F.col("doc_id").alias("class_id")).join(tops, "id", "left")
+    known_classes = known_classes.select("digest", "class_id", F.coalesce("component", "id").alias("component"), F.coalesce("component_id", "class_id").alias("component_id"))
+    classed = signed.select("row", "doc_id", "text_hash", "n_shingles", "digest").join(known_classes, "digest", "left")
+    classed = classed.withColumn("class_id", F.coalesce("class_id", "doc_id")).withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    classed = classed.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = classed.where("kept and component is not null").groupBy("component").agg(F.min("row").alias("_first"))
+    out = classed.join(chosen, "component", "left").withColumn("first", F.col("kept") & (F.col("component").isNull() | (F.col("row") == F.col("_first"))))
+    return out.select("doc_id", "n_shingles", "class_id", "component_id", "kept", "text_hash", F.coalesce("first", F.lit(False)).alias("first"))

@@ -55,7 +55,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sentencepiece
 
-    return sentencepiece.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ids=False)
+    return sentencepiece.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ its file instead of adding to it.
 from __future__ import annotations
 
 import itertools
+import json
 import struct
 import unicodedata
 import uuid
@@ -91,6 +92,31 @@ _TAIL = f"([{_ENDS}]+)([ \\n]|$)"
 _UNSAFE = f"(?:_|[^\\pL\\pN \\n\\t\\r{_ENDS}])[{_ENDS}]|[\\x{{300}}-\\x{{36f}}\\x{{130}}]|<[|]"
 
 
+#: The steps of a tokenizer for which texts may be taken apart: what it does to
+#: a text before its merges, and how its merges mark a word's end.
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None,
+    "padding": None,
+}
+
+
+def separable(tokenizer) -> bool:
+    """Whether ``parts_of`` and ``WordCache`` hold for a tokenizer. Others
+    encode whole texts."""
+    made = json.loads(tokenizer.to_str())
+    marks = all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] for t in made["added_tokens"])
+    model = made["model"]
+    return marks and all(made[k] == v for k, v in STEPS.items()) and (model["type"], model["end_of_word_suffix"], model["continuing_subword_prefix"], model["dropout"]) == ("BPE", "</w>", None, None)
+
+
 def parts_of(texts: pa.Array) -> pa.Array:
     """Texts in parts that the tokenizer encodes one by one as it would the
     whole: it drops white space and never joins what a space or a line feed
@@ -121,6 +147,7 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
+        self.separable = separable(self.tokenizer)
         self.size = len(vocabulary)
         #: Ids that end a word.
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -154,6 +181,9 @@ class WordCache:
 
     def encode(self, texts: pa.Array, end: int) -> list[np.ndarray]:
         """Ids of every text with ``end`` behind them."""
+        if not self.separable:
+            got = self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+            return [np.array([*x.ids, end], np.uint32) for x in got]
         parts = parts_of(texts)
         coded = parts.flatten().dictionary_encode()
         known = coded.dictionary.to_pylist()
@@ -188,7 +218,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = 1, key
     side by side, in no order among them; a null id stands as ``NULL_ID``, before
     all others. No rows, no files. ``parts`` follows from the characters unless given.
     """
-    small_batches(docs.sparkSession)
     own = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).alias("text"))
     if parts is None:
         n, chars = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -236,7 +265,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = 1, key
             system.move(name, final)
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/tokens-{part:06d}"], "first": [first], "n_docs": [n_docs], "n_tokens": [n_tokens]}, pa.schema([("part", pa.int32()), ("path", pa.string()), ("first", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    return written(dealt.mapInArrow(run, MANIFEST), "manifest")
+    with small_batches(docs.sparkSession):
+        return written(dealt.mapInArrow(run, MANIFEST), "manifest")
 
 
 def read_tokens(manifest: DataFrame, width: int = 2) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import struct
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -105,6 +106,51 @@ def test_threshold_is_a_parameter(spark):
     assert all(r.kept for r in near_dup.near_duplicates(docs).collect())
 
 
+def boilerplate(n, shared, private, seed=5):
+    """Texts around one passage, of which every tenth has a near copy."""
+    rng = random.Random(seed)
+    passage = ["b%d" % i for i in range(shared)]
+    texts = {}
+    for i in range(n):
+        if i % 10 == 9:
+            words = texts[i - 1].split()
+            words[-1] = "z%d" % i
+        else:
+            words = passage + ["p%d" % rng.randrange(10**9) for _ in range(private)]
+        texts[i] = " ".join(words)
+    return texts
+
+
+@pytest.mark.parametrize("private,small,rare", [(30, 4, 2), (30, 4, 32), (18, 4, 2), (12, 2, 1), (30, 128, 32)])
+def test_buckets_of_boilerplate(spark, private, small, rare):
+    texts = boilerplate(150, 100, private)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, small=small, rare=rare).collect()}
+    assert got == brute.components(texts)
+
+
+def test_much_boilerplate_in_proportionate_time(spark):
+    # Any two texts are 0.7 alike: one bucket of each band holds thousands.
+    texts = boilerplate(20_000, 100, 22)
+    seconds = {}
+    for n in (2_000, 20_000):
+        df = spark.createDataFrame([(i, t) for i, t in texts.items() if i < n], "doc_id long, text string").repartition(8)
+        began = time.time()
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()}
+        seconds[n] = time.time() - began
+        assert got == {i: i - 1 if i % 10 == 9 else i for i in range(n)}
+    assert seconds[20_000] < 10 * seconds[2_000]
+
+
+def test_rows_that_repeat_an_id(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    near = one.replace("a59", "other")
+    rows = [(5, one), (5, two), (5, one), (7, near), (9, two), (9, one.upper()), (9, "")]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(5, 5, True), (5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False), (9, 5, False), (9, 9, True)]
+    assert sum(r.first for r in got) == 3
+
+
 def test_bounds_at_each_threshold():
     rng = np.random.default_rng(3)
     assert near_dup.bands_for(85) == near_dup.BANDS and near_dup.bands_for(80) == 35
@@ -257,6 +303,23 @@ def test_parts_against_the_library():
     assert [x.tolist() for x in cache.encode(pa.array(texts), 1)] == want
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    import pyarrow as pa
+
+    made = json.load(open(Q.tokenizer_path("word_bpe_49k.json")))
+    assert token_files.WordCache(Q.tokenizer_path("word_bpe_49k.json")).separable
+    made["normalizer"] = None
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(made))
+    cache = token_files.WordCache(str(path))
+    texts = ["Some Words, twice", None, "", "some words"]
+    assert not cache.separable
+    want = [x.ids + [1] for x in cache.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in cache.encode(pa.array(texts), 1)] == want
+
+
 # Search
 
 
@@ -539,6 +602,17 @@ def test_pipeline_against_plain_python(spark):
     assert all(r.token_ids == lib.encode(third[r.doc_id]) and r.round_trip for r in out)
 
 
+def test_near_duplicates_stage_keeps_other_texts_of_an_id(spark):
+    import corpus_pipeline as P
+
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, t, "en", "s", 0) for i, t in ((5, one), (5, two), (5, one), (5, one.upper()), (7, one.replace("a59", "x")), (8, "lone words"), (8, None), (None, one), (None, "free words"))]
+    got = [(r.doc_id, r.text) for r in P.near_duplicates(spark, spark.createDataFrame(rows, schema), "").collect()]
+    assert sorted((i, t) for i, t in got if i is not None and t) == sorted([(5, two), (8, "lone words"), next(x for x in got if x[0] == 5 and x[1] != two)])
+    assert (8, None) in got and {t for i, t in got if i is None} == {one, "free words"} and len(got) == 6
+
+
 def test_stages_take_repeated_and_empty_rows(spark):
     import corpus_pipeline as P
 
