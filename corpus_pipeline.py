@@ -27,16 +27,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate group.
-    Documents without an id belong to no group and stay; of rows that repeat
-    an id one stays."""
+    """Keep one document of each near-duplicate group, one with the smallest
+    id. Rows are told apart by id and text: one that repeats an id with a text
+    that is no copy stays, of equal rows one stays. Documents without an id
+    belong to no group and stay."""
     named = docs.where("doc_id is not null")
-    groups = written(near_dup.near_duplicates(named, threshold=NEAR).select("doc_id", "kept"), "groups")
-    gone = hinted(groups.where(~F.col("kept")).select("doc_id").distinct())
-    one = named.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if groups.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        one = one.dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    judged = near_dup.near_duplicates(named, threshold=NEAR).select("doc_id", "text_hash", "first")
+    # A row that goes, by what its copies have in common; where one of equal
+    # rows stays the others go by being repeated.
+    groups = written(judged.groupBy("doc_id", "text_hash").agg(F.max("first").alias("stays"), F.count(F.lit(1)).alias("n")), "groups")
+    gone = hinted(groups.where("not stays").select("doc_id", "text_hash"))
+    rows = named.withColumn("_hash", F.xxhash64("text"))
+    one = rows.join(gone.withColumnRenamed("text_hash", "_hash"), ["doc_id", "_hash"], "left_anti")
+    if groups.where("stays and n > 1").limit(1).count():
+        one = one.dropDuplicates(["doc_id", "_hash"])
+    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
