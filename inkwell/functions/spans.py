@@ -8,6 +8,8 @@ running sums of their lengths are the offsets. Offsets count code points.
 
 from __future__ import annotations
 
+import operator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,19 +24,20 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def running(lengths: Column) -> Column:
-    """Running sums of a short array; a longer one costs its square in copies."""
+def running(numbers: Column, op=operator.add) -> Column:
+    """Running sums (or another fold of whole numbers, from 0) of a short array;
+    a longer one costs its square in copies."""
     none = F.array().cast("array<int>")
     return F.aggregate(
-        lengths,
+        numbers,
         F.struct(F.lit(0).alias("total"), none.alias("ends")),
-        lambda a, x: F.struct((a["total"] + x).alias("total"), F.concat(a["ends"], F.array(a["total"] + x)).alias("ends")),
+        lambda a, x: let(op(a["total"], x), lambda t: F.struct(t.alias("total"), F.concat(a["ends"], F.array(t)).alias("ends"))),
         lambda a: a["ends"],
     )
 
 
-def running_sums(lengths: Column) -> Column:
-    """Running sums of an array of any length, in blocks.
+def running_sums(numbers: Column, op=operator.add) -> Column:
+    """``running`` for an array of any length, in blocks.
 
     Sums within blocks cost the blocks' length squared, those over blocks their
     number squared: a block of the cube root of twice the length keeps both low.
@@ -44,23 +47,42 @@ def running_sums(lengths: Column) -> Column:
     """
 
     def by(block: Column) -> Column:
-        at = F.sequence(F.lit(0), F.greatest(F.lit(0), (F.size(lengths) - 1).cast("int")), block)
+        at = F.sequence(F.lit(0), F.greatest(F.lit(0), (F.size(numbers) - 1).cast("int")), block)
         cut = F.transform(
-            F.arrays_zip(at.alias("at"), F.array_repeat(lengths, F.size(at)).alias("all")),
+            F.arrays_zip(at.alias("at"), F.array_repeat(numbers, F.size(at)).alias("all")),
             lambda z: F.slice(z["all"], z["at"] + 1, block),
         )
         return let(cut, shifted)
 
     def shifted(cut: Column) -> Column:
-        before = F.concat(F.array(F.lit(0)), running(F.transform(cut, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x))))
+        before = F.concat(F.array(F.lit(0)), running(F.transform(cut, lambda c: F.aggregate(c, F.lit(0), lambda a, x: op(a, x))), op))
         return F.flatten(
             F.transform(
-                F.arrays_zip(F.transform(cut, running).alias("sums"), F.slice(before, 1, F.size(before) - 1).alias("before")),
-                lambda z: F.transform(z["sums"], lambda x: x + z["before"]),
+                F.arrays_zip(F.transform(cut, lambda c: running(c, op)).alias("own"), F.slice(before, 1, F.size(before) - 1).alias("before")),
+                lambda z: F.transform(z["own"], lambda x: op(z["before"], x)),
             )
         )
 
-    return let(F.greatest(F.lit(8), F.cbrt(2 * F.size(lengths))).cast("int"), by)
+    return let(F.greatest(F.lit(8), F.cbrt(2 * F.size(numbers))).cast("int"), by)
+
+
+CUT = 4096
+
+
+def cut_out(text: Column, body) -> Column:
+    """``body(piece)``, where ``piece(start, end)`` cuts code points out of
+    ``text`` at the cost of what it cuts: Spark counts characters from a text's
+    beginning, here from that of a block."""
+
+    def inside(blocks: Column) -> Column:
+        def piece(start: Column, end: Column) -> Column:
+            first = (start / CUT).cast("int")
+            whole = F.array_join(F.slice(blocks, first + 1, F.greatest(F.lit(1), ((end - 1) / CUT).cast("int") - first + 1)), "")
+            return F.when(end > start, F.substring(whole, start - first * CUT + 1, end - start)).otherwise("")
+
+        return body(piece)
+
+    return let(F.when(F.length(text) <= CUT, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))), inside)
 
 
 def find_spans(text: Column, pattern: str, cue: Column | None = None, context: int = 40, probe: bool = True) -> Column:

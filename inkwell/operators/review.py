@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.functions.spans import cut_out
 from inkwell.operators import detect
 from inkwell.sources.shared import written
 
@@ -125,11 +126,14 @@ def pieces(items: DataFrame) -> DataFrame:
 def spliced(text: Column, parts: Column, put) -> Column:
     """``text`` with ``put(part)`` in place of each of ``parts`` (ordered, with
     ``start`` and ``end``). Pieces are cut out side by side and joined once."""
-    # Each part beside the one before it: the text between them, then what is put in.
-    pairs = F.arrays_zip(parts.alias("own"), F.slice(F.concat(F.array(F.lit(0)), F.transform(parts, lambda x: x["end"])), F.lit(1), F.size(parts)).alias("after"))
-    cut = F.transform(pairs, lambda z: F.concat(F.substring(text, z["after"] + 1, z["own"]["start"] - z["after"]), put(z["own"])))
-    tail = F.substring(text, F.coalesce(F.try_element_at(parts, F.lit(-1))["end"], F.lit(0)) + 1, F.length(text))
-    return F.concat(F.array_join(cut, ""), tail)
+
+    def joined(piece) -> Column:
+        # Each part beside the one before it: the text between them, then what is put in.
+        pairs = F.arrays_zip(parts.alias("own"), F.slice(F.concat(F.array(F.lit(0)), F.transform(parts, lambda x: x["end"])), F.lit(1), F.size(parts)).alias("after"))
+        cut = F.transform(pairs, lambda z: F.concat(piece(z["after"], z["own"]["start"]), put(z["own"])))
+        return F.concat(F.array_join(cut, ""), piece(F.coalesce(F.try_element_at(parts, F.lit(-1))["end"], F.lit(0)), F.length(text)))
+
+    return cut_out(text, joined)
 
 
 def _masked(x: Column) -> Column:
