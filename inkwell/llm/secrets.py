@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.spans import find_spans
+from inkwell.functions.spans import cut_out, find_spans, let, running_sums
 
 from .common import hinted, written
 
@@ -86,20 +86,33 @@ def scan_versions(versions: DataFrame, path: str, text: str, ledger: DataFrame |
     """
     docs = versions.select(F.col(path).alias("path"), F.col(text).alias("text")).withColumn("blob", blob_of(F.col("text")))
     seen = written(docs.select("path", "blob"), "versions")
-    # What needs no scan: versions that repeat a blob, and blobs that the ledger
-    # has. Few as a rule, so that the texts needn't move to drop them.
+    # One row of each blob is scanned: that of its first path, unless the ledger
+    # has the blob. What is scanned and what isn't is settled without the texts.
     shared = written(seen.groupBy("blob").agg(F.min("path").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared")
-    skip = seen.join(hinted(shared), "blob").where(~F.col("path").eqNullSafe(F.col("first"))).select("path", "blob")
+    marked = seen.join(hinted(shared).withColumn("_many", F.lit(True)), "blob", "left")
     if ledger is not None:
-        known = ledger.where(F.col("rule_version") == rule_version)
-        skip = skip.unionByName(seen.join(known.select("blob"), "blob", "left_semi").select("path", "blob"))
-    skip = hinted(written(skip.distinct().select(F.col("path").alias("_path"), F.col("blob").alias("_blob")), "skip"))
-    texts = docs.join(skip, docs["path"].eqNullSafe(skip["_path"]) & (docs["blob"] == skip["_blob"]), "left_anti")
+        known = written(ledger.where(F.col("rule_version") == rule_version).groupBy("blob").agg(F.first("findings").alias("findings")), "known")
+        marked = marked.join(known.select("blob", F.lit(True).alias("_known")), "blob", "left")
+    else:
+        marked = marked.withColumn("_known", F.lit(None).cast("boolean"))
+    todo = F.col("_known").isNull() & (F.col("_many").isNull() | F.col("path").eqNullSafe(F.col("first")))
+    marked = written(marked.groupBy("path", "blob", todo.alias("todo")).agg(F.count(F.lit(1)).alias("n")), "marked")
+    sides = {t: marked.where("todo" if t else "not todo").select(F.col("path").alias("_path"), F.col("blob").alias("_blob")) for t in (True, False)}
+    same = lambda side: docs["path"].eqNullSafe(side["_path"]) & (docs["blob"] == side["_blob"])
+    # The smaller side is joined, so that as a rule the texts needn't move.
+    few = min(sides, key=lambda t: sides[t].count())
+    side = hinted(sides[few])
+    texts = docs.join(side, same(side), "left_semi" if few else "left_anti").select("blob", "text")
+    # Equal rows of one path, and rows without a path, can't be told apart.
+    again = hinted(marked.where("todo and n > 1").select("blob").distinct())
+    if again.limit(1).count():
+        alike = texts.join(again, "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
+        texts = texts.join(again, "blob", "left_anti").unionByName(alike)
     scanned = texts.select("blob", scan(F.col("text"), rules).alias("findings"))
     rows = written(scanned.withColumn("rule_version", F.lit(rule_version)).select("blob", "rule_version", "findings"), "ledger")
-    every = rows if ledger is None else rows.unionByName(known.select("blob", "rule_version", "findings"))
-    # Blobs without findings need no row in this join; equal rows of one path scan alike.
-    hits = every.where(F.size("findings") > 0).groupBy("blob").agg(F.first("findings").alias("findings"))
+    every = rows.select("blob", "findings") if ledger is None else rows.select("blob", "findings").unionByName(known)
+    # Blobs without findings need no row in this join.
+    hits = every.where(F.size("findings") > 0)
     back = seen.join(hits, "blob", "left").select(F.col("path").alias(path), "blob", F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
     return back, rows
 
@@ -110,17 +123,17 @@ def append_ledger(rows: DataFrame, folder: str) -> None:
 
 
 def redact(text: Column, findings: Column, label: str = "[SECRET]") -> Column:
-    """The text with every finding replaced by ``label``; findings that overlap
-    become one. Linear in the text: pieces between findings are cut out once."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(
-        findings,
-        state,
-        lambda a, x: F.struct(
-            F.greatest(a["at"], x["end"]).alias("at"),
-            F.when(x["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit(label))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
+    """The text with every finding (ordered by start) replaced by ``label``;
+    findings that overlap become one. Linear in the text: what lies between
+    findings is cut out in blocks and joined once."""
 
+    def joined(piece) -> Column:
+        def put(reach: Column) -> Column:
+            # Each finding beside how far those before it reach.
+            pairs = F.arrays_zip(findings.alias("own"), F.slice(F.concat(F.array(F.lit(0)), reach), F.lit(1), F.size(findings)).alias("after"))
+            cut = F.transform(pairs, lambda z: F.when(z["own"]["start"] >= z["after"], F.concat(piece(z["after"], z["own"]["start"]), F.lit(label))).otherwise(""))
+            return F.concat(F.array_join(cut, ""), piece(F.coalesce(F.try_element_at(reach, F.lit(-1)), F.lit(0)), F.length(text)))
 
+        return let(running_sums(F.transform(findings, lambda x: x["end"]), F.greatest), put)
+
+    return F.when(F.size(findings) > 0, cut_out(text, joined)).otherwise(text)

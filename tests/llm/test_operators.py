@@ -40,6 +40,31 @@ def test_more_secrets_and_redaction(spark):
     assert {r.path: r.t for r in clean.collect()} == {1: "a [SECRET] [SECRET] [SECRET] [SECRET]' z", 2: "", 3: None}
 
 
+def test_a_blob_is_scanned_once(spark):
+    rows = [(1, "x"), (1, "x"), (None, "x"), (None, "y"), (None, "y"), (2, "y2"), (2, "y2"), (2, "z"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "path long, text string")
+    found, ledger = secrets.scan_versions(df, "path", "text")
+    assert ledger.count() == ledger.select("blob").distinct().count() == 5 and found.count() == len(rows)
+    found, fresh = secrets.scan_versions(df, "path", "text", ledger)
+    assert fresh.count() == 0 and found.count() == len(rows)
+
+
+def test_redaction_of_many_long_findings(spark):
+    rng = random.Random(4)
+    text = "".join(rng.choice("ab é😀") for _ in range(30_000))
+    spans, at = [], 0
+    while at < 29_000:
+        spans.append((at, min(29_990, at + rng.randrange(1, 9))))
+        at += rng.randrange(1, 12)
+    want, reach = [], 0
+    for a, b in spans:
+        if a >= reach:
+            want.append(text[reach:a] + "[SECRET]")
+        reach = max(reach, b)
+    df = spark.createDataFrame([(text, [(a, 0, "hex", b) for a, b in spans])], f"t string, f {secrets.FINDING}")
+    assert df.select(secrets.redact(F.col("t"), F.col("f")).alias("r")).first().r == "".join(want) + text[reach:]
+
+
 def test_many_findings(spark):
     text = " ".join("password=abcdefgh%d" % i for i in range(3000))
     df = spark.createDataFrame([(1, text)], "path long, text string")
