@@ -3,11 +3,17 @@
 A multinomial logistic regression over sparse word n-grams (one to three
 words) names the licence family of a paragraph, ``unknown`` for a licence of no family,
 or ``none``. Its temperature and the threshold under which a family becomes
-``unknown`` too are calibrated on held-out rows. A prediction counts as confirmed when the
+``unknown`` too are calibrated on held-out rows, the threshold on wordings of
+strange licences that training never sees. A prediction counts as confirmed when the
 paragraph holds enough of a template of that family. The model is fitted on
 the driver from a bounded set of labelled rows made from the templates here;
 paragraphs are scored in SQL: n-grams are joined with the weights.
 
+Paragraphs are blocks of lines between blank ones. A licence may be a line of
+its own among others or a text wrapped over many, so each line of a block is
+classified, and the block as a whole; the whole counts where a template
+confirms it.
+
 Every n-gram that can carry a weight contains an anchor, so paragraphs without
 one score the bias alone (``none``) and need no scoring.
 """
@@ -19,7 +25,7 @@ import random
 import re
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.spans import let
@@ -175,6 +181,7 @@ TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: Labelled rows that the model is fitted on, at most.
 TRAINING_ROWS, SEED, PASSES = 1800, 11, 40
 COVERED = 60  # percent of a template's n-grams
+HELD_STRANGE = 4  # of the strange wordings, for the threshold alone
 FALSE_KNOWN = 0.02  # share of held-out strangers that may pass as known
 
 
@@ -191,11 +198,10 @@ def tokens_of(text: str) -> list[str]:
     return re.findall(TOKEN, text)
 
 
-def training_rows(n: int = TRAINING_ROWS, seed: int = SEED) -> list[tuple[str, list[str]]]:
-    """(family, tokens): templates with words lost, swapped and put around them."""
+def _varied(pool: list[tuple[str, str]], n: int, seed: int) -> list[tuple[str, list[str]]]:
+    """(family, tokens): wordings with words lost, swapped and put around them."""
     rng = random.Random(seed)
     noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8))) for _ in range(300)]
-    pool = [(f, t) for f, ts in TEMPLATES.items() for t in ts] + [(UNKNOWN, t) for t in STRANGE] + [(NONE, t) for t in PLAIN]
     rows = []
     for i in range(n):
         family, text = pool[i % len(pool)]
@@ -207,6 +213,10 @@ def training_rows(n: int = TRAINING_ROWS, seed: int = SEED) -> list[tuple[str, l
     return rows
 
 
+def training_rows(n: int = TRAINING_ROWS, seed: int = SEED, strange: tuple[str, ...] = STRANGE) -> list[tuple[str, list[str]]]:
+    return _varied([(f, t) for f, ts in TEMPLATES.items() for t in ts] + [(UNKNOWN, t) for t in strange] + [(NONE, t) for t in PLAIN], n, seed)
+
+
 def _softmax(score: dict[str, float], heat: float = 1.0) -> dict[str, float]:
     top = max(score.values())
     up = {k: math.exp((v - top) / heat) for k, v in score.items()}
@@ -218,12 +228,14 @@ def _softmax(score: dict[str, float], heat: float = 1.0) -> dict[str, float]:
 def fit(n: int = TRAINING_ROWS, seed: int = SEED) -> tuple[dict[tuple[str, str], float], dict[str, float], float, float, float]:
     """Weights by (family, n-gram), biases, temperature, threshold, held-out accuracy.
 
-    A third of the rows is held out for the temperature and the threshold: of
-    the strangers there, which are of no family, few may pass as one.
+    A third of the rows is held out for the temperature. The threshold comes
+    from rows of their own, made of strange wordings that no other row has: few
+    of them may pass as a family.
     """
-    rows = [(f, grams(t)) for f, t in training_rows(n, seed)]
+    rows = [(f, grams(t)) for f, t in training_rows(n, seed, STRANGE[:-HELD_STRANGE])]
     random.Random(seed).shuffle(rows)
     held, train = rows[: n // 3], rows[n // 3 :]
+    strangers = [grams(t) for _, t in _varied([(UNKNOWN, t) for t in STRANGE[-HELD_STRANGE:]], n // 6, seed + 1)]
     classes = CLASSES
     weights: dict[tuple[str, str], float] = {}
     # Without any n-gram a paragraph is no licence, whatever its length.
@@ -243,9 +255,8 @@ def fit(n: int = TRAINING_ROWS, seed: int = SEED) -> tuple[dict[tuple[str, str],
                     weights[c, g] = weights.get((c, g), 0.0) * (1 - 1e-4) + scale * error
     known = [(f, score(g)) for f, g in held]
     heat = min((x / 4 for x in range(2, 21)), key=lambda h: -sum(math.log(max(1e-12, _softmax(s, h)[f])) for f, s in known))
-    best = sorted(max((p, c) for c, p in _softmax(score(g), heat).items() if c in TEMPLATES)[0] for f, g in held if f == UNKNOWN)
-    threshold = max(0.5, best[min(len(best) - 1, int((1 - FALSE_KNOWN) * len(best)))]) if best else 0.5
-    threshold = min(threshold, 0.9)
+    best = sorted(max((p, c) for c, p in _softmax(score(g), heat).items() if c in TEMPLATES)[0] for g in strangers)
+    threshold = max(0.5, best[min(len(best) - 1, int((1 - FALSE_KNOWN) * len(best)))])
     right = sum(max(s, key=s.get) == f for f, s in known) / max(1, len(known))
     kept = {k: round(w, 6) for k, w in weights.items() if abs(w) >= 0.02}
     return kept, bias, heat, threshold, right
@@ -312,20 +323,39 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     among them), ``n_paragraphs`` that are licence-like, ``confirmed`` (all known
     ones match a template) and the lowest ``confidence``.
 
-    Paragraphs are lines. A null or empty text has none: no licences, null
-    confidence. Each distinct paragraph is classified once. Repeated rows and
-    repeated keys are treated row by row.
+    Paragraphs are blocks of lines between blank ones; ``n_paragraphs`` counts
+    those with a licence. Where a template confirms a block as a whole, its
+    lines that are of no family are parts of it and don't count as ``unknown``.
+    A null or empty text has none: no licences, null confidence. Each distinct
+    line and block is classified once. Repeated rows and repeated keys are
+    treated row by row.
     """
-    lines = let(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: F.filter(x, lambda p: p.rlike(GATE)))
-    own = F.when(F.col(text).rlike(GATE), F.transform(lines, lambda p: F.struct(F.sha2(p, 256).alias("digest"), p.alias("paragraph"))))
-    gated = written(docs.select(F.col(key).alias("_key"), F.coalesce(own, F.array().cast("array<struct<digest:string,paragraph:string>>")).alias("lines")).withColumn("_row", F.monotonically_increasing_id()), "licenses")
-    parts = gated.select("_row", F.explode("lines").alias("x")).select("_row", "x.digest", "x.paragraph")
+    unit = "struct<digest:string,paragraph:string,whole:boolean>"
+    made = lambda p, whole: F.struct(F.sha2(p, 256).alias("digest"), p.alias("paragraph"), F.lit(whole).alias("whole"))
+
+    def units(block: Column) -> Column:
+        return let(
+            F.filter(F.split(block, "\n", -1), lambda p: p.rlike("\\S")),
+            lambda lines: F.concat(
+                F.transform(F.filter(lines, lambda p: p.rlike(GATE)), lambda p: made(p, False)),
+                F.when(F.size(lines) > 1, F.array(made(F.array_join(lines, " "), True))).otherwise(F.array().cast(f"array<{unit}>")),
+            ),
+        )
+
+    blocks = F.filter(F.split(F.col(text), r"\n[ \t\r\f\x0B]*\n", -1), lambda p: p.rlike(GATE))
+    own = F.when(F.col(text).rlike(GATE), F.transform(blocks, units))
+    gated = written(docs.select(F.col(key).alias("_key"), F.coalesce(own, F.array().cast(f"array<array<{unit}>>")).alias("blocks")).withColumn("_row", F.monotonically_increasing_id()), "licenses")
+    parts = gated.select("_row", F.posexplode("blocks").alias("_block", "x")).select("_row", "_block", F.inline("x"))
     distinct = parts.groupBy("digest").agg(F.first("paragraph").alias("paragraph"))
     # Written, so that the join below has a known size and can split a hot paragraph.
     families = written(classify_paragraphs(distinct).where(F.col("family") != NONE), "families")
-    per = parts.select("_row", "digest").join(families, "digest").groupBy("_row").agg(
+    judged = parts.select("_row", "_block", "digest", "whole").join(families, "digest")
+    sure = F.col("whole") & F.col("confirmed") & (F.col("family") != UNKNOWN)
+    judged = judged.where(~F.col("whole") | sure).withColumn("_sure", F.max(F.col("whole")).over(Window.partitionBy("_row", "_block")))
+    judged = judged.where(~(F.col("_sure") & (F.col("family") == UNKNOWN)))
+    per = judged.groupBy("_row").agg(
         F.sort_array(F.collect_set("family")).alias("licenses"),
-        F.count(F.lit(1)).alias("n_paragraphs"),
+        F.size(F.collect_set("_block")).alias("n_paragraphs"),
         F.bool_and((F.col("family") == UNKNOWN) | F.col("confirmed")).alias("confirmed"),
         F.round(F.min("confidence"), 4).alias("confidence"),
     )

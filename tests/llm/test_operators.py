@@ -244,6 +244,72 @@ def test_license_short_forms_and_languages(spark):
     assert {t: got[i] for i, t in enumerate(want)} == {t: [f] if f else [] for t, f in want.items()}
 
 
+#: Wordings that no template, stranger or plain sentence has.
+UNSEEN = {
+    "You can use this code under the MIT license.": "mit", "The library ships with an MIT license file.": "mit", "Source code: Apache License 2.0.": "apache", "Apache 2.0 licensed, see the NOTICE file.": "apache",
+    "Covered by the GNU GPL, version 3 or later.": "gpl", "The GNU General Public License applies to all files here.": "gpl", "BSD-style license, see COPYING.": "bsd", "Provided under the 3-clause BSD license by its authors.": "bsd",
+    "Made available under the Mozilla Public License 2.0.": "mpl", "Photos by the author, Creative Commons Attribution 4.0.": "cc-by", "Figures: CC BY-SA 4.0 license": "cc-by-sa", "For non-commercial use, CC BY-NC 4.0 license.": "cc-by-nc",
+    "Dedicated to the public domain under CC0 1.0.": "cc0", "Copyright 2019 Some Press. All rights reserved worldwide.": "proprietary", "No unauthorized copying. All rights reserved.": "proprietary",
+    "Use is subject to the Lakeside Data License, third edition.": "unknown", "Distributed under the Orchard Source License.": "unknown", "Published under the Meridian Community License terms.": "unknown",
+    "The museum licence shop closes at noon.": "none", "Her permission came too late for the trip.": "none", "The commons were full of sheep that spring.": "none", "They reserved two seats at the back.": "none",
+}
+
+
+def test_license_wordings_never_seen(spark):
+    df = spark.createDataFrame(list(enumerate(UNSEEN)), "doc_id long, text string")
+    got = {r.doc_id: (r.licenses or ["none"])[0] for r in licenses.scan_licenses(df).collect()}
+    right = {kind: [got[i] == want for i, want in enumerate(UNSEEN.values()) if (want if want in ("unknown", "none") else "known") == kind] for kind in ("known", "unknown", "none")}
+    print({kind: f"{sum(x)} of {len(x)}" for kind, x in right.items()}, [(t, got[i]) for i, (t, w) in enumerate(UNSEEN.items()) if got[i] != w])
+    assert sum(right["known"]) >= 0.7 * len(right["known"])
+    # A family is never named in place of another, nor for plain prose.
+    assert all(got[i] in (want, "unknown", "none") for i, want in enumerate(UNSEEN.values()))
+
+
+def test_wrapped_licenses(spark):
+    mit = "Permission is hereby granted, free\nof charge, to any person obtaining\na copy of this software and associated\ndocumentation files (the Software)"
+    bsd = "Redistribution and use in source\nand binary forms, with or without\nmodification, are permitted provided\nthat the following conditions are met"
+    texts = [f"some prose\n\n{mit}\n\nmore prose", f"{mit}\n \n{bsd}", "plain\nlines\n\nno licence", f"x\n\nReleased under the MIT License.\nprose\n\n{bsd}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.licenses, r.n_paragraphs, r.confirmed) for r in licenses.scan_licenses(df).collect()}
+    assert got == {0: (["mit"], 1, True), 1: (["bsd", "mit"], 2, True), 2: ([], 0, False), 3: (["bsd", "mit"], 2, True)}
+
+
+def test_licenses_against_plain_python(spark):
+    """Every row of a table, scored once more in Python."""
+    rows = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] + list(UNSEEN)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(df).collect()}
+    weights, bias, heat, threshold, _ = licenses.fit()
+    own = {f: [(t, licenses.grams(t.split())) for t in ts] for f, ts in licenses.TEMPLATES.items()}
+    gate = re.compile(licenses.GATE.replace("(?iu)", ""), re.I)
+
+    def judge(text):
+        found = licenses.grams(licenses.tokens_of(text))
+        if not found:
+            return licenses.NONE, False
+        score = {c: bias[c] + sum(round(weights.get((c, g), 0.0), 6) for g in found) for c in licenses.CLASSES}
+        if not any((c, g) in weights for c in licenses.CLASSES for g in found):
+            return licenses.NONE, False
+        best, chance = max(score, key=score.get), licenses._softmax(score, heat)
+        confirmed = best in own and any(100 * len(found & g) >= licenses.COVERED * len(g) for _, g in own[best] if g)
+        if best in (licenses.NONE, licenses.UNKNOWN):
+            return best, confirmed
+        return (best if confirmed or chance[best] >= threshold else licenses.UNKNOWN), confirmed
+
+    for i, text in enumerate(rows):
+        want = set()
+        for block in re.split(r"\n[ \t\r\f\x0b]*\n", text or ""):
+            lines = [x for x in block.split("\n") if re.search(r"[^\x20\t\n\x0b\f\r]", x)]
+            if not gate.search(block):
+                continue
+            each = {judge(x)[0] for x in lines if gate.search(x)} - {licenses.NONE}
+            family, confirmed = judge(" ".join(lines)) if len(lines) > 1 else (licenses.NONE, False)
+            if confirmed and family in own:
+                each = each - {licenses.UNKNOWN} | {family}
+            want |= each
+        assert sorted(want) == got[i], (i, text[:200])
+
+
 def test_license_lines(spark):
     texts = ["Released under the MIT License.\nprose here", "x\nLicensed under the Apache License, Version 2.0.\nThis work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-SA 4.0.", "just prose", "", None, "she asked for permission to leave", "license " * 20000]
     df = spark.createDataFrame([(i, t, "a", "b") for i, t in enumerate(texts)] + [(0, texts[0], "a", "b")], "doc_id long, text string, digest string, family string")
