@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from inkwell.sources.shared import hinted, remove, shared_dir, written
 
-__all__ = ["BATCH", "ascii_lower", "hinted", "literal_table", "remove", "set_batches", "shared_dir", "small_batches", "table", "words", "written"]
+__all__ = ["ascii_lower", "hinted", "literal_table", "remove", "set_batches", "shared_dir", "small_batches", "table", "words", "written"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Space and U+0009 to U+000D separate words, in every operator here.
@@ -31,7 +31,7 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
 BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
-def set_batches(spark: SparkSession, limit: int) -> str | None:
+def set_batches(spark: SparkSession, limit: int = BATCH) -> str | None:
     """Let Arrow batches hold ``limit`` bytes at most; returns the old setting."""
     before = spark.conf.get(BATCH_KEY, None)
     if int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before or "64m")) > limit:

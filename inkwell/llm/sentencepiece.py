@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BATCH, set_batches
+from .common import set_batches
 
 SPACE = "▁"
 CHUNK = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -358,7 +358,7 @@ def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text
     from pyspark.sql import functions as F
 
     # The result is computed when it is read, so the setting stays.
-    set_batches(docs.sparkSession, BATCH)
+    set_batches(docs.sparkSession)
     own = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     key_type = own.schema["_key"].dataType.simpleString()
 
