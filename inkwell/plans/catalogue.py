@@ -271,6 +271,15 @@ hits AS (SELECT doc_id, phrase, category, replacement, level, normalized_phrase,
 matches AS (SELECT * FROM hits WHERE NOT regexp_matches(CASE WHEN start = 0 THEN '' ELSE substr(text, start, 1) END, '{_WORD}') AND NOT regexp_matches(substr(text, "end" + 1, 1), '{_WORD}'))"""
 
 
+#: The same rows, places found by splitting: no phrase here overlaps itself.
+_PLACES = f"""{N.NOTES_SQL}, {S.MAPPINGS_SQL}, {S.PATIENT_MAPPINGS_SQL},
+phrases AS (SELECT NULL::BIGINT AS patient_id, phrase, normalized_phrase, category, replacement, 0 AS level FROM mappings UNION ALL SELECT patient_id, phrase, normalized_phrase, category, replacement, 1 FROM patient_mappings),
+pairs AS (SELECT n.doc_id, n.text, p.* FROM notes n JOIN phrases p ON p.patient_id = n.patient_id UNION ALL SELECT n.doc_id, n.text, p.* FROM notes n JOIN phrases p ON p.patient_id IS NULL),
+cuts AS (SELECT *, string_split(lower(text), lower(phrase)) AS gs FROM pairs WHERE contains(lower(text), lower(phrase))),
+hits AS (SELECT doc_id, phrase, category, replacement, level, normalized_phrase, i::INT AS start, (i + length(phrase))::INT AS "end", text FROM (SELECT *, unnest(list_transform(range(1, len(gs)), lambda j: list_sum(list_transform(gs[1:j], lambda g: length(g))) + (j - 1) * length(phrase))) AS i FROM cuts)),
+matches AS (SELECT * FROM hits WHERE NOT regexp_matches(CASE WHEN start = 0 THEN '' ELSE substr(text, start, 1) END, '{_WORD}') AND NOT regexp_matches(substr(text, "end" + 1, 1), '{_WORD}'))"""
+
+
 @query(f'WITH {_MATCHES} SELECT doc_id, phrase, category, start, "end" FROM matches WHERE level = 0')
 def phrase_matches(spark, d):
     return library.phrase_matches(N.notes(spark, d), S.mappings(spark).select("phrase", "category"))
@@ -281,8 +290,8 @@ def library_matches(spark, d):
     return library.library_evidence(N.notes(spark, d), S.mappings(spark), S.patient_mappings(spark, d)).select("doc_id", "start", "end", "category", "replacement")
 
 
-@query(f"""WITH {O.EVIDENCE_SQL}, {_MATCHES.replace(N.NOTES_SQL + ", ", "")},
-lib AS (SELECT doc_id, start, "end", category, arg_max(replacement, level) AS replacement FROM matches GROUP BY ALL),
+@query(f"""WITH {O.EVIDENCE_SQL}, {_PLACES.replace(N.NOTES_SQL + ", ", "")},
+lib AS MATERIALIZED (SELECT doc_id, start, "end", category, arg_max(replacement, level) AS replacement FROM matches GROUP BY ALL),
 pool AS (SELECT * FROM evidence UNION ALL SELECT doc_id, 1000000 + row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", category), category, start, "end", '', 1.0, 'library' FROM lib),
 {O.ITEMS_SQL}, exact AS (SELECT l.doc_id, l.grp, arg_max(b.replacement, {{'a': b.start, 'b': b."end"}}) AS new FROM labelled l JOIN lib b ON l.doc_id = b.doc_id AND l.start = b.start AND l."end" = b."end" AND l.category = b.category GROUP BY ALL)
 SELECT l.doc_id, l.item, l.category, l.stages, coalesce(e.new, l.replacement) AS replacement, CASE WHEN e.new IS NULL THEN 'pending' ELSE 'accept' END AS decision FROM labelled l LEFT JOIN exact e ON e.doc_id = l.doc_id AND e.grp = l.grp""")
@@ -767,12 +776,66 @@ def level_meter(spark, d):
     return V.level_meter(samples, 16).withColumn("level", F.round("level", 6))
 
 
-@query()
+_FRAMES = "frames AS (SELECT user_id % 7 AS stream_id, row_number() OVER (PARTITION BY user_id % 7 ORDER BY ts, event_id) - 1 AS n, least(value / 40, 1.0)::DOUBLE AS v FROM events)"
+
+
+@query(f"""WITH {_FRAMES}, size AS (SELECT stream_id, count(*) AS total FROM frames GROUP BY 1),
+outs AS (SELECT stream_id, total, unnest(range(0, greatest(0, (total - 16 + 2) // 3))) AS k FROM size),
+taps AS (SELECT stream_id, k, 3 * k + j AS n, (-j)::DOUBLE AS d FROM outs, range(-15, 17) r(j)),
+weighed AS (SELECT stream_id, k, v, (0.5 + 0.5 * cos(pi() * d / 16)) * CASE WHEN d = 0 THEN 1 ELSE sin(pi() * d * 0.3) / (pi() * d * 0.3) END AS w FROM taps JOIN frames USING (stream_id, n))
+SELECT stream_id, k AS pos, round(sum(v * w) / sum(w), 6) AS sample FROM weighed GROUP BY 1, 2""")
 def resampled_audio(spark, d):
     f = S.frames(spark, d)
     chunk = F.floor(F.col("frame_no") / 64)
     chunks = f.groupBy("stream_id", chunk.alias("chunk")).agg(F.transform(F.sort_array(F.collect_list(F.struct("frame_no", "probability"))), lambda x: x["probability"]).alias("samples"))
-    return V.resample(chunks, 48_000).select("stream_id", "chunk", F.size("samples").alias("n_samples"))
+    made = V.resample(chunks, 48_000).select("stream_id", "chunk", F.posexplode("samples").alias("i", "sample"))
+    place = F.row_number().over(Window.partitionBy("stream_id").orderBy("chunk", "i")) - 1
+    return made.select("stream_id", place.cast("bigint").alias("pos"), F.round("sample", 6).alias("sample"))
+
+
+@query("SELECT user_id AS stream_id, h AS hop, 8 * h AS first, least(8, n - 8 * h) AS n_frames, least(16, 8 * h) AS context FROM (SELECT user_id, n, unnest(range(0, (n + 7) // 8)) AS h FROM (SELECT user_id, count(*) * 700 // 512 AS n FROM events GROUP BY 1))")
+def hop_plan(spark, d):
+    sizes = N.table(spark, d, "events").groupBy(F.col("user_id").alias("stream_id")).agg((F.count(F.lit(1)) * 700).alias("n_samples"))
+    return V.hop_plan(sizes).select("stream_id", F.col("hop").cast("bigint").alias("hop"), "first", "n_frames", "context")
+
+
+@query("""WITH e AS (SELECT user_id % 500 AS stream_id, event_id AS seq, CASE WHEN event_type = 'error' THEN 'fail' WHEN event_type = 'purchase' AND event_id % 9 = 0 THEN 'cancel' ELSE 'note' END AS kind FROM events)
+SELECT stream_id, CASE WHEN bool_or(kind = 'cancel') THEN 'cancelled' WHEN bool_or(kind = 'fail') THEN 'failed' ELSE 'finished' END AS kind, CASE WHEN NOT bool_or(kind = 'cancel') THEN 'error ' || min(seq) FILTER (kind = 'fail') END AS message FROM e GROUP BY 1""")
+def terminal_events(spark, d):
+    e = N.table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "error", "fail").when((F.col("event_type") == "purchase") & (F.col("event_id") % 9 == 0), "cancel").otherwise("note")
+    return V.terminal(e.select((F.col("user_id") % 500).alias("stream_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("error "), F.col("event_id").cast("string")).alias("message")))
+
+
+@query(f"""WITH {_POOL} SELECT doc_id, grp, row_number() OVER (PARTITION BY doc_id ORDER BY min(start), grp) AS place, count(*) AS n_items FROM labelled GROUP BY doc_id, grp""")
+def grouped_view(spark, d):
+    _, items = _labelled(spark, d)
+    return review.grouped_view(items).select("doc_id", F.col("group").alias("grp"), F.col("place").cast("bigint").alias("place"), "n_items")
+
+
+@query(f"WITH {S.MAPPINGS_SQL} SELECT id, phrase, normalized_phrase, category, replacement FROM mappings")
+def mapping_listing(spark, d):
+    return library.mapping_listing(S.mappings(spark)).select("id", "phrase", "normalized_phrase", "category", "replacement")
+
+
+@query(f"WITH {N.NOTES_SQL} SELECT patient_id, CASE WHEN patient_id % 3 = 0 THEN 'Patient  ' || patient_id ELSE name END AS name, CASE WHEN patient_id % 3 = 0 THEN 'patient ' || patient_id ELSE normalized_name END AS normalized_name, CASE WHEN patient_id % 3 = 0 THEN NULL ELSE patient_reference END AS patient_reference FROM patients")
+def patient_update(spark, d):
+    p = N.patients(spark, d).select("patient_id", "name", "normalized_name", "patient_reference")
+    renamed = p.where("patient_id % 3 = 0").select("patient_id", F.concat(F.lit("Patient  "), F.col("patient_id").cast("string")).alias("name"), F.lit(None).cast("string").alias("patient_reference"))
+    # A name that another patient has changes nothing.
+    taken = p.where("patient_id % 3 = 1").select("patient_id", F.lit("Customer#000000002").alias("name"), "patient_reference")
+    now, _ = relational.update_patients(p, renamed.unionByName(taken))
+    return relational.patient_listing(now)
+
+
+@query("""WITH l AS (SELECT conv_id * 1000 + turn AS document_id, string_split(text || chr(10) || chr(13) || chr(10) || 'end', chr(10)) AS parts FROM conversations)
+SELECT document_id, 0 AS block, i - 1 AS line, rtrim(parts[i], chr(13)) AS text FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM l)""")
+def export_lines(spark, d):
+    c = S.conversations(spark, d)
+    run = lambda t, b: F.struct(t.alias("text"), F.lit(b).alias("bold"))
+    body = F.array(F.struct(F.array(run(F.col("text"), False), run(F.lit("\n\r\nend"), True)).alias("runs")))
+    lines = D.export_lines(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("document_id"), body.alias("blocks")), "document_id")
+    return lines.select("document_id", "block", "line", "text")
 
 
 @query("SELECT c_custkey AS id, '[' || upper(replace(c_name, '#', '_')) || ']' AS label, upper(substr(c_mktsegment, 1, 1)) || substr(c_mktsegment, 2) AS title FROM customer")

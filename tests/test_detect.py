@@ -170,6 +170,36 @@ def test_rescan(spark):
     assert review.rescan(notes2, kept).count() == 0
 
 
+def evidence_of(spark, rows):
+    return spark.createDataFrame([(0, i, c, a, b, 1.0, s) for i, (c, a, b, s) in enumerate(rows)], "doc_id long, seq long, category string, start int, end int, confidence double, stage string")
+
+
+def test_another_occurrence_reopens_its_group(spark):
+    notes, items = built(spark, "Sam met Sam.", [(0, "PERSON", 0, 3, "ner")])
+    items = accepted(items)
+    find = lambda t: evidence_of(spark, [("PERSON", 8, 11, "ner")])
+    # The rendered text has "[PERSON_1] met Sam.", masked: Sam stands at 15.
+    shown = review.finish_scan(notes, items, find=lambda t: evidence_of(spark, [("PERSON", 15, 18, "ner")]))
+    assert {(r.start, r.group, r.replacement, r.decision) for r in shown.collect()} == {(0, 1, "[PERSON_1]", "pending"), (8, 1, "[PERSON_1]", "pending")}
+    again = review.finish_scan(notes, accepted(review.add_evidence(items, find(None), notes)), find=lambda t: evidence_of(spark, [("X", 0, 5, "ner")]).limit(0))
+    assert {r.decision for r in again.collect()} == {"accept"}
+
+
+def test_an_occurrence_that_grows_leaves_its_group(spark):
+    text = "Sam Smith met Sam."
+    notes, items = built(spark, text, [(0, "PERSON", 0, 3, "ner"), (0, "PERSON", 14, 17, "ner")])
+    grown = review.add_evidence(accepted(items), evidence_of(spark, [("PERSON", 0, 9, "manual")]), notes).collect()
+    first, second = sorted(grown, key=lambda r: r.start)
+    assert (first.start, first.end, first.decision, first.phrase) == (0, 9, "pending", "Sam Smith") and second.decision == "accept"
+    assert first.group != second.group and first.replacement == "[PERSON_2]" and second.replacement == "[PERSON_1]" and first.stages == ["manual", "ner"]
+
+
+def test_rules_decide_the_category_on_entry(spark):
+    notes, items = built(spark, "ab cdefgh", [(0, "PERSON", 3, 9, "ner")])
+    out = review.add_evidence(accepted(items), evidence_of(spark, [("POSTCODE", 3, 9, "rules"), ("MISC", 0, 2, "ner")]), notes).collect()
+    assert {(r.start, r.category, r.replacement, r.decision) for r in out} == {(3, "POSTCODE", "[POSTCODE_1]", "pending"), (0, "MISC", "[MISC_1]", "pending")}
+
+
 def test_random_islands(spark):
     rng = random.Random(9)
     text = "".join(rng.choice("abcde ") for _ in range(200))

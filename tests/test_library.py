@@ -3,6 +3,7 @@
 import io
 import math
 import random
+import re
 import time
 import zipfile
 
@@ -232,6 +233,26 @@ def test_docx(spark, tmp_path):
     assert (got["c.txt"].error, got["d.exe"].error, got["e.txt"].error) == ("encoding", "format", "empty")
 
 
+def test_docx_parts_and_warnings():
+    body = "<w:p><w:ins><w:r><w:t>current</w:t></w:r></w:ins><w:del><w:r><w:delText>gone</w:delText></w:r></w:del></w:p><w:p/><w:p><w:r><w:pict><w:p><w:r><w:t>box</w:t></w:r></w:p></w:pict><w:t>end</w:t></w:r></w:p>"
+    extra = [("word/header1.xml", "<hdr><p><r><t>Top</t></r></p></hdr>"), ("word/footnotes.xml", "<footnotes><footnote><p><r><t>Note</t></r></p></footnote></footnotes>"), ("word/comments.xml", "not even xml"), ("word/media/a.png", "x")]
+    blocks, warnings, error = D.read_docx(docx(body, extra))
+    assert error is None and warnings == ["comments", "embedded", "media", "tracked_changes"]
+    # A blank paragraph is a line; comments and text boxes are none.
+    assert [b[:2] for b in blocks] == [("paragraph", "current"), ("paragraph", ""), ("paragraph", "end"), ("heading", "Footnotes"), ("paragraph", "Note"), ("heading", "Header"), ("paragraph", "Top")]
+    assert D.read_docx(docx(body, [("word/footer1.xml", "<other/>")]))[2] == "structure"
+    assert D.read_docx(docx("<w:p><w:r><w:t><![CDATA[x]]></w:t></w:r></w:p>"))[2] == "structure"
+    assert D.read_docx(docx(f"<w:p><w:r><w:t>{'x' * 100_001}</w:t></w:r></w:p>"))[2] == "length"
+
+
+def test_long_files_are_not_loaded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(D, "MAX_FILE", 10)
+    for name, size in (("a.txt", 5), ("b.txt", 50), ("c.exe", 50)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    got = {r.name: (r.error, r.bytes and len(r.bytes), r.byte_length) for r in D.read_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": (None, 5, 5), "b.txt": ("size", None, 50), "c.exe": ("format", None, 50)}
+
+
 def test_pages(spark):
     rows = [(1, 2, "b"), (1, 1, "a"), (1, 3, " "), (2, 1, None)]
     got = {r.doc_id: r for r in D.from_pages(spark.createDataFrame(rows, "doc_id long, page_no int, text string")).collect()}
@@ -319,6 +340,91 @@ def test_resampler():
     assert np.abs(V.Resampler(48_000).push(high)[100:-100]).max() < 0.1
 
 
+def plain_resample(x, source, target):
+    """One output after the other, as far as its inputs go."""
+    step, out, k = source / target, [], 0
+    if source == target:
+        return list(x)
+    while k * source + 16 * target < len(x) * target:
+        at, total, weights = k * step, 0.0, 0.0
+        for i in range(math.floor(at) - 15, math.floor(at) + 17):
+            if 0 <= i < len(x):
+                d = at - i
+                z = 0.9 * min(1.0, target / source) * d
+                w = (0.5 + 0.5 * math.cos(math.pi * d / 16)) * (math.sin(math.pi * z) / (math.pi * z) if abs(z) > 1e-9 else 1.0)
+                total, weights = total + x[i] * w, weights + w
+        out.append(total / weights)
+        k += 1
+    return out
+
+
+@pytest.mark.parametrize("rate", [48_000, 44_100, 32_000, 16_000, 8_000])
+def test_resampled_chunks(spark, rate):
+    rng = random.Random(rate)
+    rows, want = [], {}
+    for stream in (1, 2):
+        x = [rng.uniform(-1, 1) for _ in range(900)]
+        want[stream] = plain_resample(x, rate, 16_000)
+        at, chunk = 0, 0
+        while at < len(x):
+            n = rng.choice((0, 1, 2, 7, 40, 300))
+            rows.append((stream, chunk, x[at : at + n]))
+            at, chunk = at + n, chunk + 1
+    got = V.resample(spark.createDataFrame(rows, "stream_id long, chunk long, samples array<double>"), rate).collect()
+    assert len(got) == len(rows)
+    for stream, values in want.items():
+        made = [v for r in sorted(got, key=lambda r: r.chunk) if r.stream_id == stream for v in r.samples]
+        assert made == pytest.approx(values, abs=1e-9)
+
+
+def test_phrases_with_one_first_word(spark):
+    """Thousands of phrases that begin alike, and phrases without a word."""
+    notes = spark.createDataFrame([(i, i, f"see syn-{i:05d}, and SYN-{i + 1:05d}; wait... *** done") for i in range(300)], "doc_id long, patient_id long, text string")
+    phrases = spark.createDataFrame([(f"SYN-{i:05d}",) for i in range(5000)] + [("...",), ("***",), ("",)], "phrase string")
+    got = library.phrase_matches(notes, phrases)
+    # Three in each; "..." stands behind a letter.
+    assert got.count() == 300 * 3
+    assert {(r.start, r.end) for r in got.where("phrase = '***'").collect()} == {(38, 41)}
+
+
+def test_tables_that_grow(spark):
+    patients = spark.createDataFrame([(1, "Ann", "ann", "R1"), (2, "Bob", "bob", None)], "patient_id long, name string, normalized_name string, patient_reference string")
+    changes = spark.createDataFrame([(1, "Ann  B", "R2"), (2, "ANN b", None), (3, "Cy", None)], "patient_id long, name string, patient_reference string")
+    now, conflicts = relational.update_patients(patients, changes)
+    assert sorted(map(tuple, now.collect())) == [(1, "Ann  B", "ann b", "R2"), (2, "Bob", "bob", None)] and [r.patient_id for r in conflicts.collect()] == [2]
+    notes = spark.createDataFrame([(1, 1, "t", "R1", "x y")], "doc_id long, patient_id long, title string, patient_reference string, text string")
+    tables = {"patients": patients, "notes": notes, "postings": search.postings(notes), "originals": spark.createDataFrame([], "doc_id long, name string")}
+    new = spark.createDataFrame([(2, 1, "u", None, "z"), (3, 9, "lost", None, "w")], notes.schema)
+    out = relational.insert_notes(tables, new, spark.createDataFrame([(2, "a.txt"), (3, "b.txt")], "doc_id long, name string"))
+    assert [(r.doc_id, r.patient_reference) for r in out["notes"].orderBy("doc_id").collect()] == [(1, "R1"), (2, "R1")]
+    assert {r.doc_id for r in out["postings"].collect()} == {1, 2} and [r.name for r in out["originals"].collect()] == ["a.txt"]
+    none = F.lit(None).cast("string")
+    old = spark.range(1).select(F.col("id").alias("document_id"), F.lit("t").alias("title"), F.lit("x").alias("text"), F.lit(1).cast("bigint").alias("revision"), F.lit(False).alias("reviewed"), F.lit(False).alias("include_signature"), none.alias("clinician_snapshot"), none.alias("signature_snapshot"), F.lit(0).cast("bigint").alias("updated_at"))
+    edits = spark.createDataFrame([(7, "new", "body", True, False)], "document_id long, title string, text string, reviewed boolean, include_signature boolean")
+    saved = {r.document_id: (r.revision, r.clinician_snapshot) for r in lifecycle.save_documents(old, edits, F.lit("Dr"), F.lit("s"), 5).collect()}
+    assert saved == {0: (1, None), 7: (1, "Dr")}
+    bridge = spark.createDataFrame([(7, 1, False), (8, 1, False)], "document_id long, doc_id long, deleted_warning boolean")
+    sources = spark.createDataFrame([(7, 2), (7, 2), (7, 99)], "document_id long, doc_id long")
+    left = lifecycle.rewrite_sources(bridge, edits, sources, out["notes"]).collect()
+    assert sorted(map(str, map(tuple, left))) == ["(7, 2, False)", "(7, None, True)", "(8, 1, False)"]
+
+
+def test_the_end_of_a_long_note_is_covered(spark):
+    """Windows over 100,000 characters reach a name at the very end."""
+    text = "No new concerns. " * 5881 + " " * 11 + "Alex Morgan."
+    words = [(m.start(), m.end()) for m in re.finditer(r"\w+", text)]
+    plan = ner.window_plan(spark.createDataFrame([(0, len(words))], "doc_id long, n_tokens long")).collect()
+    assert len(plan) > 1 and {i for w in plan for i in range(w.start, w.end)} == set(range(len(words)))
+    name = lambda i: [0.0] * 3 + [9.0 * (text[words[i][0] :].startswith("Alex")), 9.0 * (text[words[i][0] :].startswith("Morgan"))] + [0.0] * 4
+    logits = lambda i: [8.0, *name(i)[1:]]
+    rows = [(0, w.window, i - w.start, *words[i], logits(i)) for w in plan for i in range(max(w.start, len(words) - 600), w.end)]
+    tokens = spark.createDataFrame(rows, "doc_id long, window int, position int, start int, end int, logits array<double>")
+    found = ner.decode(tokens, spark.createDataFrame([(0, text)], "doc_id long, text string")).collect()
+    at = text.index("Alex Morgan")
+    covered = {i for e in found for i in range(e.start, e.end)}
+    assert all(i in covered or text[i] == " " for i in range(at, at + 11))
+
+
 def test_queue(spark):
     rows = [(1, 1, False), (1, 2, True), (1, 3, False), (1, 4, True)]
     got = V.queue_order(spark.createDataFrame(rows, "stream_id long, seq long, is_final boolean")).orderBy("turn").collect()
