@@ -41,10 +41,11 @@ class Lists:
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
         self.ids, self.whole = ids, vectors
         x = vectors.astype(np.float64)
-        self.order = np.argsort(x, axis=0, kind="stable")
-        self.values = np.take_along_axis(x, self.order, axis=0)
-        self.rank = np.empty(x.shape, np.int32)  # from the smallest value of its list
-        np.put_along_axis(self.rank, self.order, np.arange(len(x), dtype=np.int32)[:, None], axis=0)
+        #: A row for each list, from its smallest value on.
+        self.order = np.argsort(x.T, axis=1, kind="stable")
+        self.values = np.take_along_axis(x.T, self.order, axis=1)
+        self.rank = np.empty(x.shape, np.int32)
+        np.put_along_axis(self.rank, self.order.T, np.arange(len(x), dtype=np.int32)[:, None], axis=0)
         #: The largest size of a value in each list.
         self.most = np.abs(x).max(axis=0, initial=0.0)
 
@@ -62,45 +63,46 @@ def read_lists(lists: Lists, queries: np.ndarray, query_ids: np.ndarray, k: int,
     """For each query (score, id) of every vector of the block that can be among
     its k best, its own id left out. ``floors``: scores that k vectors of other
     blocks reach already."""
-    n, dims = lists.values.shape
+    dims, n = lists.values.shape
     q = queries.astype(np.float64)
     size = np.abs(q) @ lists.most
     exact = bool((2 * size < EXACT).all()) and int(np.abs(queries).max(initial=0)) < EXACT and float(lists.most.max(initial=0)) < EXACT
     # How far sums of doubles may be off.
     off = np.zeros(len(q)) if exact else size * (dims + 4) * 2.0**-50
     found: list[list[tuple[int, int]]] = [[] for _ in q]
-    partial = np.zeros((len(q), n))
-    live, read = np.arange(len(q)), 0
+    # A row for each vector: what is read of a list is added to whole rows.
+    partial, live, read = np.zeros((n, len(q))), np.arange(len(q)), 0
+    up, down = np.maximum(q, 0).T.copy(), np.minimum(q, 0).T.copy()
     for share in DEPTHS:
         depth = n if share >= 1 else min(n, max(k, int(share * n)))
-        for j in range(dims):
+        for j in range(dims if depth > read else 0):
             # From the top for positive weights, from the bottom for negative ones.
-            for rows, part in ((live[q[live, j] > 0], slice(n - depth, n - read)), (live[q[live, j] < 0], slice(read, depth))):
-                if len(rows) and depth > read:
-                    partial[np.ix_(rows, lists.order[part, j])] += q[rows, j][:, None] * lists.values[part, j][None, :]
+            for weights, part in ((up[j], slice(n - depth, n - read)), (down[j], slice(read, depth))):
+                if weights.any():
+                    partial[lists.order[j, part]] += lists.values[j, part][:, None] * weights
         read = depth
-        own, w = partial[live], q[live]
-        up, down = np.maximum(w, 0), np.minimum(w, 0)
-        rest_up, rest_down = (lists.rank < n - depth).T.astype(np.float64), (lists.rank >= depth).T.astype(np.float64)
         if depth < n:
-            upper = own + (up * lists.values[n - depth]) @ rest_up + (down * lists.values[depth - 1]) @ rest_down
-            lower = own + (up * lists.values[0]) @ rest_up + (down * lists.values[-1]) @ rest_down
+            rest_up, rest_down = (lists.rank < n - depth).astype(np.float64), (lists.rank >= depth).astype(np.float64)
+            upper = partial + rest_up @ (up * lists.values[:, n - depth][:, None]) + rest_down @ (down * lists.values[:, depth - 1][:, None])
+            lower = partial + rest_up @ (up * lists.values[:, :1]) + rest_down @ (down * lists.values[:, -1:])
+            unread = rest_up @ (up > 0).astype(np.float64) + rest_down @ (down < 0).astype(np.float64)
         else:
-            upper, lower = own.copy(), own.copy()
-        upper, lower = upper + off[live][:, None], lower - off[live][:, None]
-        itself = lists.ids[None, :] == query_ids[live][:, None]
+            upper, lower, unread = partial.copy(), partial.copy(), np.zeros(partial.shape)
+        upper, lower = upper + off[live], lower - off[live]
+        itself = lists.ids[:, None] == query_ids[live]
         lower[itself] = -np.inf
-        kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(live), -np.inf)
-        may = (upper >= np.maximum(kth, floors[live])[:, None]) & ~itself
-        unread = (up > 0).astype(np.float64) @ rest_up + (down < 0).astype(np.float64) @ rest_down
-        done = ~(may & (unread > 0)).any(axis=1)
+        kth = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(live), -np.inf)
+        may = (upper >= np.maximum(kth, floors[live])) & ~itself
+        done = ~(may & (unread > 0)).any(axis=0)
         for i in np.flatnonzero(done):
-            near = np.flatnonzero(may[i])
-            scores = _scores(lists, near, partial[live[i]], queries[live[i]], exact)
+            near = np.flatnonzero(may[:, i])
+            scores = _scores(lists, near, partial[:, i], queries[live[i]], exact)
             found[live[i]] = [(s, int(lists.ids[v])) for s, v in zip(scores, near, strict=True)]
-        live = live[~done]
-        if not live.size:
+        if done.all():
             break
+        if done.any():
+            live = live[~done]
+            partial, up, down = (np.compress(~done, a, axis=1) for a in (partial, up, down))
     return found
 
 
