@@ -26,7 +26,7 @@ from .common import written
 K, SCALE, EVERY = 10, 1024, 100
 #: Bytes of vectors in a part; vectors whose lists are read together; queries
 #: that read side by side.
-PART_BYTES, VECTORS, QUERIES = 64 << 20, 4096, 64
+PART_BYTES, VECTORS, QUERIES = 64 << 20, 2048, 64
 #: Share of the lists that is read after each round.
 DEPTHS = (0.125, 0.25, 0.5, 0.75, 1.0)
 EXACT = 1 << 53
