@@ -173,14 +173,20 @@ def split_groups(spark, d):
     return review.split_item(pending, second).select("doc_id", "item", "replacement")
 
 
-@query()
+@query(f"""WITH {_POOL}, kept AS (SELECT *, CASE category WHEN 'DATE' THEN phrase WHEN 'PHONE' THEN '' ELSE repeat(' ', length(replacement)) END AS out FROM labelled),
+cut AS (SELECT k.*, substr(n.text, coalesce(lag(k."end") OVER w, 0) + 1, k.start - coalesce(lag(k."end") OVER w, 0)) AS gap, n.text AS whole FROM kept k JOIN notes n USING (doc_id) WINDOW w AS (PARTITION BY k.doc_id ORDER BY k.start)),
+laid AS (SELECT *, (sum(length(gap) + length(out)) OVER (PARTITION BY doc_id ORDER BY start))::INT AS oe FROM cut),
+masked AS (SELECT doc_id, string_agg(gap || out, '' ORDER BY start) || substr(any_value(whole), max("end") + 1) AS text FROM laid GROUP BY doc_id),
+{O.evidence_of("masked", "_again")},
+shown AS (SELECT e.doc_id, count(*) AS n FROM evidence_again e WHERE NOT EXISTS (SELECT 1 FROM laid k WHERE k.doc_id = e.doc_id AND k.category = 'DATE' AND k.oe - length(k.out) <= e.start AND e."end" <= k.oe) AND trim(e.phrase) <> '' GROUP BY 1)
+SELECT doc_id, 0::BIGINT AS pending, coalesce(s.n, 0) AS found_again, s.n IS NULL AS may_copy FROM notes LEFT JOIN shown s USING (doc_id)""")
 def rescan_gate(spark, d):
     notes, items = _labelled(spark, d)
     kept = items.withColumn("decision", F.when(F.col("category") == "DATE", "keep").when(F.col("category") == "PHONE", "remove").otherwise("accept"))
     return review.gate(notes, kept).select("doc_id", "pending", "found_again", "may_copy")
 
 
-@query()
+@query(f"""WITH {_POOL}, {O.DECIDED_SQL} SELECT doc_id, item, start, "end", category, shown AS replacement, decision FROM decided""")
 def snapshot_restore(spark, d):
     notes, items = _decided(spark, d)
     back = review.restore(review.snapshot(items), notes)
@@ -368,7 +374,10 @@ def search_blank(spark, d):
     return S.corpus(spark, d).select("doc_id", "title", F.substring("text", 1, 180).alias("preview")).orderBy(F.desc("doc_id"))
 
 
-@query()
+@query(rf"""WITH {S.CORPUS_SQL}, parts AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS p FROM corpus WHERE doc_id IN (SELECT doc_id FROM postings WHERE term = 'license')),
+folded AS (SELECT *, list_transform(p, lambda x: regexp_extract(lower(strip_accents(x)), '[\p{{L}}\p{{N}}]+')) AS f FROM parts),
+starts AS (SELECT *, greatest(1, least(coalesce(list_position(f, 'license'), 0) - 11, len(p) - 11)) AS s FROM folded)
+SELECT doc_id, CASE WHEN s > 1 THEN '…' ELSE '' END || array_to_string(p[s:s + 11], ' ') || CASE WHEN s + 12 <= len(p) THEN '…' ELSE '' END AS snippet FROM starts""")
 def search_snippets(spark, d):
     hits = search.search(S.corpus(spark, d), search.compile_query("license"))
     return hits.join(S.corpus(spark, d), "doc_id").select("doc_id", search.snippet(F.col("text"), ["license"]).alias("snippet"))
@@ -498,22 +507,12 @@ def average_cost(spark, d):
     return a.join(r, "document_id").select("document_id", usage.average_nanos(F.col("known_nanos"), F.col("unknown"), F.col("reports")).cast("double").alias("average_nanos"))
 
 
-@query(f"""WITH {N.NOTES_SQL}, {S.MODELS_SQL} SELECT doc_id, model, strlen(title) + strlen(text) + 128 AS allowance, (strlen(title) + strlen(text) + 128) * (CASE WHEN long_context THEN input_nanos * 5 // 4 ELSE input_nanos END) + 4096 * output_nanos AS estimate_nanos FROM notes JOIN models ON model LIKE 'gpt-4.1%' OR model = 'gpt-6-sol'""")
-def cost_estimate(spark, d):
-    # Its SQL has three models; cost_estimate_all has all.
-    return _estimates(spark, d, pricing.models(spark).where("model like 'gpt-4.1%' or model = 'gpt-6-sol'"))
-
-
 @query(f"""WITH {N.NOTES_SQL}, {S.MODELS_SQL}, a AS (SELECT doc_id, model, input_nanos, output_nanos, long_context, strlen(title) + strlen(text) + 128 AS allowance FROM notes CROSS JOIN models)
 SELECT doc_id, model, allowance, allowance * (CASE WHEN long_context THEN input_nanos * 5 // 4 ELSE input_nanos END) * (CASE WHEN long_context AND allowance > 272000 THEN 2 ELSE 1 END) + 4096 * output_nanos * (CASE WHEN long_context AND allowance > 272000 THEN 3 ELSE 2 END) // 2 AS estimate_nanos FROM a""")
-def cost_estimate_all(spark, d):
-    return _estimates(spark, d, pricing.models(spark))
-
-
-def _estimates(spark, d, chosen):
+def cost_estimate(spark, d):
     allowance, cost = pricing.estimate_nanos(F.col("title"), F.col("text"))
     # A few constant rates for each note: an array beside it, no join.
-    rates = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in r.asDict().items()]) for r in chosen.collect()])
+    rates = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in r.asDict().items()]) for r in pricing.models(spark).collect()])
     return N.notes(spark, d).select("doc_id", "title", "text", F.inline(rates)).select("doc_id", "model", allowance.alias("allowance"), cost.alias("estimate_nanos"))
 
 
@@ -533,45 +532,38 @@ def attempt_lifecycle(spark, d):
 
 # Preparation and restoration
 
-_PREPARED = f"""{_POOL}, {O.DECIDED_SQL}, placed AS (SELECT *, (start + coalesce(sum(length(out) - ("end" - start)) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS output_start FROM outs),
-chosen AS (SELECT doc_id, row_number() OVER (ORDER BY created_at, doc_id) AS ordinal FROM notes WHERE patient_id = 7),
-tok AS (SELECT p.*, ordinal, row_number() OVER (ORDER BY ordinal, output_start DESC) AS n FROM placed p JOIN chosen USING (doc_id) WHERE decision IN ('accept', 'edit') AND regexp_matches(out, '^\\[[A-Z0-9_]+\\]$')),
-named AS (SELECT *, '⟪CV_prep_' || CASE WHEN n < 10000 THEN lpad(n::VARCHAR, 4, '0') ELSE n::VARCHAR END || '⟫' AS token FROM tok)"""
-
-
-#: The same for all patients, one submission for each.
+#: Each patient's notes as a submission.
 _SUBMITTED = f"""{_POOL}, {O.DECIDED_SQL}, placed AS (SELECT *, (start + coalesce(sum(length(out) - ("end" - start)) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS output_start FROM outs),
 chosen AS (SELECT doc_id, 'prep-' || patient_id AS preparation_id, row_number() OVER (PARTITION BY patient_id ORDER BY created_at, doc_id) AS ordinal FROM notes),
 tok AS (SELECT p.*, preparation_id, ordinal, row_number() OVER (PARTITION BY preparation_id ORDER BY ordinal, output_start DESC) AS n FROM placed p JOIN chosen USING (doc_id) WHERE decision IN ('accept', 'edit') AND regexp_matches(out, '^\\[[A-Z0-9_]+\\]$')),
-named AS (SELECT *, '⟪CV_' || preparation_id || '_' || CASE WHEN n < 10000 THEN lpad(n::VARCHAR, 4, '0') ELSE n::VARCHAR END || '⟫' AS token FROM tok)"""
+named AS (SELECT *, '⟪CV_' || preparation_id || '_' || CASE WHEN n < 10000 THEN lpad(n::VARCHAR, 4, '0') ELSE n::VARCHAR END || '⟫' AS token FROM tok),
+put AS (SELECT c.doc_id, c.start, c."end", c.gap, c.out, n.token, n.phrase, c.text AS whole FROM cut c LEFT JOIN named n USING (doc_id, item)),
+texts AS (SELECT doc_id, preparation_id, ordinal, string_agg(gap || coalesce(token, out), '' ORDER BY start) || substr(any_value(whole), max("end") + 1) AS prepared,
+string_agg(gap || coalesce(phrase, out), '' ORDER BY start) || substr(any_value(whole), max("end") + 1) AS original, count(token) AS tokens FROM put JOIN chosen USING (doc_id) GROUP BY ALL)"""
 
 
-def _prepared(spark, d, patient=None):
-    """Each patient's notes as a submission, or those of one ``patient`` as
-    the submission ``prep``."""
+def _prepared(spark, d):
     notes, items = _decided(spark, d)
     ordinal = F.row_number().over(Window.partitionBy("patient_id").orderBy("created_at", "doc_id")).alias("ordinal")
-    name = F.concat(F.lit("prep-"), F.col("patient_id").cast("string")) if patient is None else F.lit("prep")
-    chosen = (notes if patient is None else notes.where(F.col("patient_id") == patient)).select(name.alias(generation.KEY), "doc_id", ordinal)
+    chosen = notes.select(F.concat(F.lit("prep-"), F.col("patient_id").cast("string")).alias(generation.KEY), "doc_id", ordinal)
     tokens = generation.token_items(review.egress(items), chosen)
     texts = review.render(notes, items).select("doc_id", "output").join(chosen.select(generation.KEY, "doc_id"), "doc_id")
     return notes, chosen, tokens, texts
 
 
-@query(f"WITH {_PREPARED} SELECT doc_id, item, n AS number, token, phrase FROM named")
-def payload_tokens(spark, d):
-    # Its SQL has one patient; payload_tokens_all has all.
-    _, _, tokens, _ = _prepared(spark, d, 7)
-    return tokens.select("doc_id", "item", "number", "token", "phrase")
-
-
 @query(f"WITH {_SUBMITTED} SELECT preparation_id, doc_id, item, n AS number, token, phrase FROM named")
-def payload_tokens_all(spark, d):
+def payload_tokens(spark, d):
     _, _, tokens, _ = _prepared(spark, d)
     return tokens.select("preparation_id", "doc_id", "item", "number", "token", "phrase")
 
 
-@query()
+def _framed(*parts: str) -> str:
+    """Every part behind its length in eight bytes."""
+    return " || ".join(f"unhex(printf('%016X', strlen({p}))) || encode({p})" for p in parts)
+
+
+@query(f"""WITH {_SUBMITTED}, inputs AS (SELECT preparation_id, string_agg('<reviewed-note index="' || ordinal || '">' || chr(10) || prepared || chr(10) || '</reviewed-note>', chr(10) || chr(10) ORDER BY ordinal) AS input FROM texts GROUP BY 1)
+SELECT preparation_id, input, strlen(input) <= {generation.MAX_BYTES} AS fits, sha256({_framed("'Write a letter.'", "input", "'gpt-6-luna'", "'origin'", "'purpose'")}) AS digest FROM inputs""")
 def payload_digest(spark, d):
     _, chosen, tokens, texts = _prepared(spark, d)
     payload = generation.assemble(generation.tokenised(texts, tokens), chosen)
@@ -586,15 +578,19 @@ def _responses(spark, d):
     return generation.with_known(prepared, tokens)
 
 
-@query()
+_RESTORED = f"WITH {_SUBMITTED} SELECT preparation_id, doc_id, original || ' ⟪CV_prep_9999⟫ ⟪CV_open' AS restored, tokens AS exact_replacements, '⟪CV_prep_9999⟫' AS unknown_tokens FROM texts"
+
+
+@query(_RESTORED)
 def restore_tokens(spark, d):
-    return generation.restore(_responses(spark, d), ("preparation_id", "doc_id"))
+    out = generation.restore(_responses(spark, d), ("preparation_id", "doc_id"))
+    return out.withColumn("unknown_tokens", F.array_join("unknown_tokens", ","))
 
 
-@query()
+@query(_RESTORED)
 def restore_tokens_native(spark, d):
     out, count, unknown = generation.restore_native(F.col("text"), F.coalesce("tokens", F.create_map().cast("map<string,string>")))
-    return _responses(spark, d).select("preparation_id", "doc_id", out.alias("restored"), count.alias("exact_replacements"), unknown.alias("unknown_tokens"))
+    return _responses(spark, d).select("preparation_id", "doc_id", out.alias("restored"), count.alias("exact_replacements"), F.array_join(unknown, ",").alias("unknown_tokens"))
 
 
 @query(f"""WITH {N.NOTES_SQL} SELECT o_orderkey AS preparation_id, (o_orderkey % 4 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 2 AND EXISTS (SELECT 1 FROM notes n WHERE n.doc_id = o_orderkey)) AS usable FROM orders""")

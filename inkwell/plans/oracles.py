@@ -21,7 +21,7 @@ _DIGIT = "substr(d, {}, 1)::INT"
 _NHS = "(SELECT NOT regexp_matches(d, '^(0+|1+|2+|3+|4+|5+|6+|7+|8+|9+)$') AND (11 - (" + " + ".join(f"substr(d, {i + 1}, 1)::INT * {10 - i}" for i in range(9)) + ") % 11) % 11 = substr(d, 10, 1)::INT)"
 
 
-def _rule(number: int, rule: detect.Rule) -> str:
+def _rule(number: int, rule: detect.Rule, source: str) -> str:
     p = duck(rule.pattern)
     value = f"regexp_extract(value, '{p}', 1)" if rule.tail else "rtrim(value, '.,;)!?')" if rule.category == "URL" else "value"
     start = f"start + length(value) - length({value})" if rule.tail else "start"
@@ -31,16 +31,22 @@ def _rule(number: int, rule: detect.Rule) -> str:
     if rule.category == "NI_NUMBER":
         keep = "WHERE upper(substr(phrase, 1, 2)) NOT IN (" + ", ".join(f"'{x}'" for x in detect.NI_DENIED) + ")"
     return f"""SELECT doc_id, {number} AS rule, category, start, start + length(phrase) AS "end", phrase, {rule.confidence}::DOUBLE AS confidence FROM
-(SELECT *, regexp_replace(phrase, '[^0-9]', '', 'g') AS d FROM (SELECT doc_id, '{rule.category}' AS category, ({start})::INT AS start, {value} AS phrase FROM ({spans("notes", p)}))) {keep}"""
+(SELECT *, regexp_replace(phrase, '[^0-9]', '', 'g') AS d FROM (SELECT doc_id, '{rule.category}' AS category, ({start})::INT AS start, {value} AS phrase FROM ({spans(source, p)}))) {keep}"""
+
+
+def evidence_of(source: str = "notes", mark: str = "") -> str:
+    """Tables that end in ``evidence``, from the texts of ``source``; ``mark``
+    ends their names."""
+    plain = "\nUNION ALL ".join(_rule(i, r, source) for i, r in enumerate(detect.RULES))
+    return f"""plain{mark} AS ({plain}),
+context{mark} AS ({_rule(90, detect.NHS_CONTEXT, source)}),
+found{mark} AS (SELECT * FROM plain{mark} UNION ALL SELECT c.* FROM context{mark} c WHERE NOT EXISTS (SELECT 1 FROM plain{mark} p WHERE p.doc_id = c.doc_id AND p.category = c.category AND p.start = c.start AND p."end" = c."end") UNION ALL {_rule(91, detect.ADDRESS_LEAD, source)}),
+evidence{mark} AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY rule, start) - 1)::BIGINT AS seq, category, start, "end", phrase, confidence, 'rules' AS stage FROM found{mark})"""
 
 
-_PLAIN = "\nUNION ALL ".join(_rule(i, r) for i, r in enumerate(detect.RULES))
 #: Notes and their evidence.
 EVIDENCE_SQL = f"""{NOTES_SQL},
-plain AS ({_PLAIN}),
-context AS ({_rule(90, detect.NHS_CONTEXT)}),
-found AS (SELECT * FROM plain UNION ALL SELECT c.* FROM context c WHERE NOT EXISTS (SELECT 1 FROM plain p WHERE p.doc_id = c.doc_id AND p.category = c.category AND p.start = c.start AND p."end" = c."end") UNION ALL {_rule(91, detect.ADDRESS_LEAD)}),
-evidence AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY rule, start) - 1)::BIGINT AS seq, category, start, "end", phrase, confidence, 'rules' AS stage FROM found)"""
+{evidence_of()}"""
 
 #: Merged items of the table ``pool`` (evidence of all stages), then labels.
 ITEMS_SQL = """reach AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end", seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM pool),

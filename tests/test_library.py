@@ -99,7 +99,7 @@ def test_restore(spark):
 def test_estimates_have_every_model(spark):
     from inkwell.plans import catalogue
 
-    got = {r.model for r in catalogue.QUERIES["cost_estimate_all"](spark, "/root/testdata/sf0.001").select("model").distinct().collect()}
+    got = {r.model for r in catalogue.QUERIES["cost_estimate"](spark, "/root/testdata/sf0.001").select("model").distinct().collect()}
     assert got == {m[0] for m in pricing.MODELS}
 
 
