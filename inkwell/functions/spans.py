@@ -85,6 +85,47 @@ def cut_out(text: Column, body) -> Column:
     return let(F.when(F.length(text) <= CUT, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))), inside)
 
 
+def _pieces(text: Column, pattern: str) -> Column:
+    """Gaps and matches in turn, the first and the last a gap."""
+    safe = F.replace(text, F.lit(MARK), F.lit(STAND_IN))
+    return F.split(F.regexp_replace(safe, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+
+
+def _spans(pieces: Column, context: int) -> Column:
+    ends = let(F.transform(pieces, F.length), lambda n: F.when(F.size(n) <= FEW, running(n)).otherwise(running_sums(n)))
+    rows = F.arrays_zip(
+        pieces.alias("value"),
+        ends.alias("end"),
+        F.slice(F.concat(F.array(F.lit("")), pieces), F.lit(1), F.size(pieces)).alias("left"),
+        F.concat(F.slice(pieces, F.lit(2), F.size(pieces)), F.array(F.lit(""))).alias("right"),
+    )
+    return F.transform(
+        F.filter(rows, lambda _, i: i % 2 == 1),
+        lambda z: F.struct(
+            (z["end"] - F.length(z["value"])).alias("start"),
+            z["end"].alias("end"),
+            z["value"].alias("value"),
+            F.right(z["left"], F.lit(context)).alias("left"),
+            F.left(z["right"], F.lit(context)).alias("right"),
+        ),
+    )
+
+
+def _plain(pieces: Column) -> Column:
+    """The same in one fold, for few pieces and no context."""
+    span = lambda a, x: F.struct(a["at"].alias("start"), (a["at"] + F.length(x)).alias("end"), x.alias("value"), F.lit("").alias("left"), F.lit("").alias("right"))
+    return F.aggregate(
+        pieces,
+        F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.array().cast(SPAN).alias("out")),
+        lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), (~a["match"]).alias("match"), F.when(a["match"], F.concat(a["out"], F.array(span(a, x)))).otherwise(a["out"]).alias("out")),
+        lambda a: a["out"],
+    )
+
+
+def _marked(pieces: Column, context: int) -> Column:
+    return _spans(pieces, context) if context else F.when(F.size(pieces) <= FEW, _plain(pieces)).otherwise(_spans(pieces, context))
+
+
 def find_spans(text: Column, pattern: str, cue: Column | None = None, context: int = 40, probe: bool = True) -> Column:
     """All leftmost non-overlapping matches: start, end, value and up to
     ``context`` code points on either side (cut at the neighbouring match).
@@ -95,46 +136,20 @@ def find_spans(text: Column, pattern: str, cue: Column | None = None, context: i
     is marked: better where few texts match, a second pass where most do. A
     null text has no spans.
     """
-    safe = F.replace(text, F.lit(MARK), F.lit(STAND_IN))
-
-    def spans(pieces: Column) -> Column:
-        ends = let(F.transform(pieces, F.length), lambda n: F.when(F.size(n) <= FEW, running(n)).otherwise(running_sums(n)))
-        rows = F.arrays_zip(
-            pieces.alias("value"),
-            ends.alias("end"),
-            F.slice(F.concat(F.array(F.lit("")), pieces), F.lit(1), F.size(pieces)).alias("left"),
-            F.concat(F.slice(pieces, F.lit(2), F.size(pieces)), F.array(F.lit(""))).alias("right"),
-        )
-        return F.transform(
-            F.filter(rows, lambda _, i: i % 2 == 1),
-            lambda z: F.struct(
-                (z["end"] - F.length(z["value"])).alias("start"),
-                z["end"].alias("end"),
-                z["value"].alias("value"),
-                F.right(z["left"], F.lit(context)).alias("left"),
-                F.left(z["right"], F.lit(context)).alias("right"),
-            ),
-        )
-
-    def plain(pieces: Column) -> Column:
-        """The same in one fold, for few pieces and no context."""
-        span = lambda a, x: F.struct(a["at"].alias("start"), (a["at"] + F.length(x)).alias("end"), x.alias("value"), F.lit("").alias("left"), F.lit("").alias("right"))
-        return F.aggregate(
-            pieces,
-            F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.array().cast(SPAN).alias("out")),
-            lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), (~a["match"]).alias("match"), F.when(a["match"], F.concat(a["out"], F.array(span(a, x)))).otherwise(a["out"]).alias("out")),
-            lambda a: a["out"],
-        )
-
-    def marked(pieces: Column) -> Column:
-        return spans(pieces) if context else F.when(F.size(pieces) <= FEW, plain(pieces)).otherwise(spans(pieces))
-
-    found = let(F.split(F.regexp_replace(safe, pattern, f"{MARK}$0{MARK}"), MARK, -1), marked)
+    found = let(_pieces(text, pattern), lambda p: _marked(p, context))
     has = text.isNotNull() if cue is None else cue
     has = has & text.rlike(pattern) if probe else has
     return F.when(has, found).otherwise(F.array().cast(SPAN))
 
 
+def find_each(text: Column, patterns: list[tuple[str, Column]]) -> Column:
+    """``find_spans`` without context for each (pattern, cue), as an array in
+    their order. What follows the search is one expression for all of them, so
+    the plan stays small."""
+    pieces = [F.when(cue, _pieces(text, pattern)).otherwise(F.array().cast("array<string>")) for pattern, cue in patterns]
+    return F.transform(F.array(*pieces), lambda p: _marked(p, 0))
+
+
 #: Characters of words, in a pattern's character class.
 WORDCHAR = r"\p{IsAlphabetic}\p{N}_"
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.spans import find_spans, let
+from inkwell.functions.spans import find_each, find_spans, let
 
 
 @dataclass(frozen=True)
@@ -60,10 +60,12 @@ def ni_allowed(value: Column) -> Column:
     return ~F.upper(F.substring(value, 1, 2)).isin(*NI_DENIED)
 
 
-def rule_spans(text: Column, rule: Rule) -> Column:
-    """A rule's evidence in a text, by position."""
-    cue = text.contains(rule.cue) if rule.cue.isalnum() or rule.cue == "@" else text.rlike(rule.cue)
-    found = find_spans(text, rule.pattern, cue, context=0, probe=False)
+def _cue(text: Column, rule: Rule) -> Column:
+    return text.contains(rule.cue) if rule.cue.isalnum() or rule.cue == "@" else text.rlike(rule.cue)
+
+
+def _kept(found: Column, rule: Rule) -> Column:
+    """Evidence from a rule's matches: those that pass its check."""
 
     def evidence(x: Column) -> Column:
         value = F.regexp_extract(x["value"], rule.pattern, 1) if rule.tail else x["value"]
@@ -80,17 +82,26 @@ def rule_spans(text: Column, rule: Rule) -> Column:
     return out
 
 
+def rule_spans(text: Column, rule: Rule) -> Column:
+    """A rule's evidence in a text, by position."""
+    return _kept(find_spans(text, rule.pattern, _cue(text, rule), context=0, probe=False), rule)
+
+
 def rule_evidence(text: Column) -> Column:
     """All evidence of a text: the rules in order, then the contextual ones.
     A labelled number counts only where no rule found the same span."""
-    plain = F.concat(*[rule_spans(text, r) for r in RULES])
-    context = rule_spans(text, NHS_CONTEXT)
+    rules = (*RULES, NHS_CONTEXT, ADDRESS_LEAD)
+
+    def collected(found: Column) -> Column:
+        *plain, context, address = (_kept(F.get(found, F.lit(i)), r) for i, r in enumerate(rules))
+
+        def both(own: Column) -> Column:
+            fresh = F.filter(context, lambda x: ~F.exists(own, lambda y: (y["category"] == "NHS_NUMBER") & (y["start"] == x["start"]) & (y["end"] == x["end"])))
+            return F.concat(own, fresh)
 
-    def both(found: Column) -> Column:
-        fresh = F.filter(context, lambda x: ~F.exists(found, lambda y: (y["category"] == "NHS_NUMBER") & (y["start"] == x["start"]) & (y["end"] == x["end"])))
-        return F.concat(found, fresh)
+        return F.concat(let(F.concat(*plain), both), address)
 
-    return F.concat(let(plain, both), rule_spans(text, ADDRESS_LEAD))
+    return let(find_each(text, [(r.pattern, _cue(text, r)) for r in rules]), collected)
 
 
 def detect(notes: DataFrame, key: str = "doc_id", text: str = "text", stage: str = "rules") -> DataFrame:

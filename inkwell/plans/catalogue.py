@@ -578,19 +578,18 @@ def _responses(spark, d):
     return generation.with_known(prepared, tokens)
 
 
-_RESTORED = f"WITH {_SUBMITTED} SELECT preparation_id, doc_id, original || ' ⟪CV_prep_9999⟫ ⟪CV_open' AS restored, tokens AS exact_replacements, '⟪CV_prep_9999⟫' AS unknown_tokens FROM texts"
+_RESTORED = f"WITH {_SUBMITTED} SELECT preparation_id, doc_id, original || ' ⟪CV_prep_9999⟫ ⟪CV_open' AS restored, tokens AS exact_replacements, ['⟪CV_prep_9999⟫'] AS unknown_tokens FROM texts"
 
 
 @query(_RESTORED)
 def restore_tokens(spark, d):
-    out = generation.restore(_responses(spark, d), ("preparation_id", "doc_id"))
-    return out.withColumn("unknown_tokens", F.array_join("unknown_tokens", ","))
+    return generation.restore(_responses(spark, d), ("preparation_id", "doc_id"))
 
 
 @query(_RESTORED)
 def restore_tokens_native(spark, d):
     out, count, unknown = generation.restore_native(F.col("text"), F.coalesce("tokens", F.create_map().cast("map<string,string>")))
-    return _responses(spark, d).select("preparation_id", "doc_id", out.alias("restored"), count.alias("exact_replacements"), F.array_join(unknown, ",").alias("unknown_tokens"))
+    return _responses(spark, d).select("preparation_id", "doc_id", out.alias("restored"), count.alias("exact_replacements"), unknown.alias("unknown_tokens"))
 
 
 @query(f"""WITH {N.NOTES_SQL} SELECT o_orderkey AS preparation_id, (o_orderkey % 4 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 2 AND EXISTS (SELECT 1 FROM notes n WHERE n.doc_id = o_orderkey)) AS usable FROM orders""")
