@@ -124,5 +124,67 @@ def _mix(mix: Mix) -> str:
     return f"WITH {', '.join(parts)} SELECT doc_id, unnest(range(0, copies::BIGINT)) AS epoch, concat_ws('/', {names}) AS leaf, tokens::BIGINT AS n_tokens FROM taken WHERE copies > 0"
 
 
+#: Rows below which no answer is given, quantiles asked for, parts and distinct
+#: values of a summary, as op12 has them.
+_Q, _PARTS, _DISTINCT = 20, 100, 20
+
+
+def _quantiles() -> str:
+    bits = "list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)"
+    crc = lambda s: f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({s}, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: {bits}), 4294967295)"
+    return f"""
+WITH raw AS (
+  SELECT 'value' AS stream, CAST(client_id AS VARCHAR) AS grp, CAST(click_id AS VARCHAR) AS id, value AS money
+  FROM (SELECT click_id, max(client_id) AS client_id, max(value) AS value FROM clicks GROUP BY click_id)
+  UNION ALL
+  SELECT 'price', i.brand, coalesce(CAST(l.vendor_id AS VARCHAR), ''), i.price FROM sale_lines l JOIN items i ON l.item_id = i.item_id),
+ids AS (SELECT id, CASE WHEN id = '' THEN 0 ELSE {crc("id")} % 16 END AS batch FROM (SELECT DISTINCT id FROM raw)),
+part AS (
+  SELECT r.stream, r.grp, CAST(d.batch AS INTEGER) AS batch, CAST(floor(100 * r.money + 0.5) AS BIGINT) + 1000 * d.batch AS x
+  FROM raw r JOIN ids d ON r.id = d.id WHERE r.grp IS NOT NULL AND r.money IS NOT NULL AND isfinite(r.money)),
+both_levels AS (SELECT * FROM part UNION ALL SELECT stream, grp, -1, x FROM part),
+cells AS (SELECT stream, grp, batch, x, count(*) AS c FROM both_levels GROUP BY ALL),
+ranked AS (
+  SELECT stream, grp, batch, x, CAST(sum(c) OVER w - c AS BIGINT) AS below, CAST(sum(c) OVER w AS BIGINT) AS upto,
+    row_number() OVER w AS dr, CAST(sum(c) OVER g AS BIGINT) AS n, count(*) OVER g AS d
+  FROM cells WINDOW w AS (PARTITION BY stream, grp, batch ORDER BY x), g AS (PARTITION BY stream, grp, batch)),
+cuts AS (
+  SELECT * FROM ranked
+  WHERE batch >= 0 AND (d <= {_PARTS + _DISTINCT}
+    OR greatest(1, (({_PARTS} * upto) // n * n + {_PARTS - 1}) // {_PARTS}) > below
+    OR (({_DISTINCT} * dr) // d > 0 AND (({_DISTINCT} * dr) // d * d + {_DISTINCT - 1}) // {_DISTINCT} = dr))),
+steps AS (
+  SELECT stream, grp, x, sum(d_lo) AS d_lo, sum(d_hi) AS d_hi FROM (
+    SELECT stream, grp, x, upto - coalesce(lag(upto) OVER w, 0) AS d_lo, coalesce(lead(below) OVER w, n) - below AS d_hi
+    FROM cuts WINDOW w AS (PARTITION BY stream, grp, batch ORDER BY x)) GROUP BY ALL),
+points AS (
+  SELECT stream, grp, batch, n, x, below AS below_hi, upto AS upto_lo FROM cuts
+  UNION ALL
+  SELECT stream, grp, -1, CAST(sum(d_lo) OVER (PARTITION BY stream, grp) AS BIGINT), x,
+    CAST(sum(d_hi) OVER w - d_hi AS BIGINT), CAST(sum(d_lo) OVER w AS BIGINT)
+  FROM steps WINDOW w AS (PARTITION BY stream, grp ORDER BY x)),
+asked AS (
+  SELECT stream, grp, batch, i, n, (i * n + {_Q - 1}) // {_Q} AS target, count(*) AS points,
+    min({{'off': greatest(0, below_hi + 1 - (i * n + {_Q - 1}) // {_Q}, (i * n + {_Q - 1}) // {_Q} - upto_lo), 'x': x}}).x AS answer
+  FROM points, (SELECT CAST(unnest(range(1, {_Q})) AS INTEGER) AS i) WHERE n >= {_Q} GROUP BY stream, grp, batch, i, n),
+exact AS (
+  SELECT a.*, e.x AS exact_x, r.below AS n_below, r.upto AS n_upto,
+    greatest(0, r.below + 1 - a.target, a.target - r.upto) AS rank_error
+  FROM asked a
+  JOIN ranked e ON e.stream = a.stream AND e.grp = a.grp AND e.batch = a.batch AND e.below < a.target AND a.target <= e.upto
+  JOIN ranked r ON r.stream = a.stream AND r.grp = a.grp AND r.batch = a.batch AND r.x = a.answer)
+SELECT stream, grp, batch, i, CAST(n AS BIGINT) AS n, CAST(target AS BIGINT) AS target, exact_x, points, answer, n_below, n_upto,
+  CAST(rank_error AS BIGINT) AS rank_error, 1000 * rank_error <= 10 * n AS within
+FROM exact"""
+
+
+COPIES = """
+WITH named AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first(doc_id) OVER (w ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER w AS group_size,
+  doc_id = first(doc_id) OVER (w ORDER BY n DESC, doc_id) AS kept, text_sha256
+FROM named WINDOW w AS (PARTITION BY text_sha256)"""
+
+
 def oracles(rules: list[tuple[str, str, str]], mix: Mix) -> dict[str, str]:
-    return {"op1_secret_scan": _secrets(), "op2_near_duplicates": NEAR, "op6_topk_search": TOP, "op7_quality_rules": _quality(), "op9_url_filter": _urls(rules), "op10_source_mixing": _mix(mix)}
+    return {"op1_secret_scan": _secrets(), "op2_near_duplicates": NEAR, "op6_topk_search": TOP, "op7_quality_rules": _quality(), "op9_url_filter": _urls(rules), "op10_source_mixing": _mix(mix), "op12_quantile_summaries": _quantiles(), "op13_exact_dedup": COPIES}

@@ -1,4 +1,4 @@
-"""The ten queries, and SQL for those that SQL can express."""
+"""The queries, one for each operator, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import literal_table, shared_dir, table
+from .common import literal_table, shared_dir, table, written
 
 # The rules of the URL query.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -109,8 +109,41 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), source_mix()).select("doc_id", "epoch", "leaf", "n_tokens")
 
 
+def value_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stream, grp, batch, x) of clicks and sale lines. Rows that repeat a
+    click_id are equal but for their time of arrival; if not, each column's
+    greatest value counts. A null vendor is in batch 0; money that is no finite
+    number has no x."""
+    clicks = table(spark, sf_dir, "clicks").groupBy("click_id").agg(F.max("client_id").alias("client_id"), F.max("value").alias("money"))
+    value = clicks.select(F.lit("value").alias("stream"), F.col("client_id").cast("string").alias("grp"), F.col("click_id").alias("id"), "money", F.lit(1).cast("long").alias("c"))
+    # Lines are counted before the join, so that a hot item is a row for each vendor.
+    lines = table(spark, sf_dir, "sale_lines").where("item_id is not null").groupBy("item_id", "vendor_id").agg(F.count(F.lit(1)).alias("c"))
+    items = table(spark, sf_dir, "items").where("item_id is not null").select("item_id", "brand", "price")
+    price = lines.join(items.hint("shuffle_hash"), "item_id").select(F.lit("price").alias("stream"), F.col("brand").alias("grp"), F.col("vendor_id").alias("id"), F.col("price").alias("money"), "c")
+    rows = value.unionByName(price).where("grp is not null and money > double('-Infinity') and money < double('Infinity')")
+    batch = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(16)), F.lit(0)).cast("int")
+    return rows.select("stream", "grp", batch.alias("batch"), F.expr("cast(floor(100 * money + 0.5) as bigint)").alias("x"), "c").withColumn("x", F.col("x") + 1000 * F.col("batch"))
+
+
+def op12_quantile_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quantiles
+
+    own, whole = ["stream", "grp", "batch"], ["stream", "grp"]
+    cells = written(quantiles.counted(value_streams(spark, sf_dir), own, count="c"), "cells")
+    blocks = quantiles.blocks_of(cells, own)
+    parts = quantiles.summarise(blocks, own)
+    merged = quantiles.merge(parts.drop("batch"), whole)
+    # Summaries answer first; then passes over the rows count what is exact.
+    of_parts = quantiles.with_exact(quantiles.answers(parts, own, 20, 20), blocks, own, 20)
+    of_whole = quantiles.with_exact(quantiles.answers(merged, whole, 20, 20), quantiles.blocks_of(quantiles.counted(cells, whole, count="c"), whole), whole, 20)
+    found = of_parts.unionByName(of_whole.withColumn("batch", F.lit(-1)))
+    error = F.greatest(F.lit(0).cast("long"), F.col("n_below") + 1 - F.col("target"), F.col("target") - F.col("n_upto"))
+    found = found.withColumn("rank_error", error).withColumn("within", F.col("rank_error") * 1000 <= F.col("n") * 10)
+    return found.select("stream", "grp", "batch", "i", "n", "target", "exact_x", F.col("kept").alias("points"), "answer", "n_below", "n_upto", "rank_error", "within")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secret_scan, op2_near_duplicates, op3_license_scan, op4_sentencepiece, op5_token_files, op6_topk_search, op7_quality_rules, op8_personal_data, op9_url_filter, op10_source_mixing)
+    own = (op1_secret_scan, op2_near_duplicates, op3_license_scan, op4_sentencepiece, op5_token_files, op6_topk_search, op7_quality_rules, op8_personal_data, op9_url_filter, op10_source_mixing, op12_quantile_summaries)
     return {f.__name__: f for f in own}
 
 
