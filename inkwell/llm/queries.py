@@ -142,8 +142,15 @@ def op12_quantile_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("stream", "grp", "batch", "i", "n", "target", "exact_x", F.col("kept").alias("points"), "answer", "n_below", "n_upto", "rank_error", "within")
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import exact_dedup
+
+    found = exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet", f"{shared_dir(spark)}/exact")
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secret_scan, op2_near_duplicates, op3_license_scan, op4_sentencepiece, op5_token_files, op6_topk_search, op7_quality_rules, op8_personal_data, op9_url_filter, op10_source_mixing, op12_quantile_summaries)
+    own = (op1_secret_scan, op2_near_duplicates, op3_license_scan, op4_sentencepiece, op5_token_files, op6_topk_search, op7_quality_rules, op8_personal_data, op9_url_filter, op10_source_mixing, op12_quantile_summaries, op13_exact_dedup)
     return {f.__name__: f for f in own}
 
 
