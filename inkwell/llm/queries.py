@@ -109,6 +109,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), source_mix()).select("doc_id", "epoch", "leaf", "n_tokens")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import alignment
+
+    return alignment.link_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def value_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(stream, grp, batch, x) of clicks and sale lines. Rows that repeat a
     click_id are equal but for their time of arrival; if not, each column's
@@ -150,7 +156,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secret_scan, op2_near_duplicates, op3_license_scan, op4_sentencepiece, op5_token_files, op6_topk_search, op7_quality_rules, op8_personal_data, op9_url_filter, op10_source_mixing, op12_quantile_summaries, op13_exact_dedup)
+    own = (op1_secret_scan, op2_near_duplicates, op3_license_scan, op4_sentencepiece, op5_token_files, op6_topk_search, op7_quality_rules, op8_personal_data, op9_url_filter, op10_source_mixing, op11_token_alignment, op12_quantile_summaries, op13_exact_dedup)
     return {f.__name__: f for f in own}
 
 
