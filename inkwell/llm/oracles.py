@@ -10,7 +10,7 @@ from __future__ import annotations
 from inkwell.plans.oracles import spans
 
 from .mixing import Mix
-from .quality import DELTA, GRID, RISK, SIGNALS
+from .quality import DELTA, GRID, RISK, SCORE
 
 WORDS = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,25 +61,23 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 
 
 def _quality() -> str:
-    each, m = RISK / len(SIGNALS), len(SIGNALS)
-    names = {k: v.replace(" div ", " // ") for k, v in SIGNALS.items()}
-    tests = "\nUNION ALL ".join(f"SELECT stratum, '{s}' AS signal, {c} AS cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND {e} >= {c}) AS k, count(*) FILTER (NOT good AND {e} >= {c}) AS bad FROM held GROUP BY stratum" for s, e in names.items() for c in GRID)
-    reject = " OR ".join(f"(c.signal = '{s}' AND {e} >= c.cutoff)" for s, e in names.items())
+    score = SCORE.replace(" div ", " // ")
+    grid = ", ".join(f"({c})" for c in GRID)
     return rf"""WITH {DOCS}, d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(lang, '') AS stratum, body, regexp_extract_all(body, '{WORDS}') AS ws, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '{WORDS}')) AS ls FROM docs),
 win AS (SELECT row_id, i, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT row_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) > 5)),
 rep AS (SELECT row_id, i FROM win QUALIFY count(*) OVER (PARTITION BY row_id, s) > 1),
 cov AS (SELECT row_id, count(DISTINCT i + k) AS n FROM rep, range(0, 5) r(k) GROUP BY row_id),
 meas AS (SELECT d.row_id, doc_id, stratum, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(body, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines, length(regexp_replace(body, '[^A-Z]', '', 'g'))::BIGINT AS n_upper FROM d LEFT JOIN cov USING (row_id)),
-m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM meas),
+m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {score} AS score FROM meas),
 marks AS (SELECT doc_id, max(quality) = 1 AS good FROM labels GROUP BY doc_id HAVING max(quality) IS NOT NULL),
 held AS (SELECT m.*, good FROM m JOIN marks USING (doc_id) WHERE NOT base_failed),
-big AS (SELECT stratum FROM held GROUP BY stratum HAVING count(*) FILTER (good) >= ceil(ln({DELTA} / {m}) / ln(1 - {each}))),
-tests AS ({tests}),
-fit AS (SELECT t.*, k <= n * {each} AND coalesce(list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({each}) + (n - i) * ln(1 - {each})))), 0) <= {DELTA} / ({m} * greatest(1, (SELECT count(*) FROM big))) AS ok FROM tests t SEMI JOIN big USING (stratum)),
-usable AS (SELECT * FROM (SELECT *, max(cutoff) FILTER (NOT ok) OVER (PARTITION BY stratum, signal) AS worst FROM fit) WHERE cutoff > coalesce(worst, -1)),
-cuts AS (SELECT stratum, signal, max(cutoff) AS cutoff FROM (SELECT *, max(bad) OVER (PARTITION BY stratum, signal) AS caught FROM usable) WHERE bad = caught AND caught > 0 GROUP BY ALL)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT EXISTS (SELECT 1 FROM cuts c WHERE c.stratum = m.stratum AND ({reject})) AS kept FROM m"""
+big AS (SELECT stratum, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS n_bad FROM held GROUP BY stratum HAVING count(*) FILTER (good) >= ceil(ln({DELTA}) / ln(1 - {RISK}))),
+tests AS (SELECT stratum, n, n_bad, cutoff, count(*) FILTER (good AND score >= cutoff) AS k, count(*) FILTER (NOT good AND score >= cutoff) AS bad FROM held JOIN big USING (stratum), (VALUES {grid}) g(cutoff) GROUP BY ALL),
+fit AS (SELECT *, k <= n * {RISK} AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK})))) <= {DELTA} / (SELECT count(*) FROM big) AS ok FROM tests),
+usable AS (SELECT * FROM (SELECT *, max(cutoff) FILTER (NOT ok) OVER (PARTITION BY stratum) AS worst FROM fit) WHERE cutoff > coalesce(worst, -1)),
+cuts AS (SELECT stratum, max({{'gain': bad * n - k * n_bad, 'cutoff': cutoff}}).cutoff AS cutoff FROM usable WHERE bad * n > k * n_bad GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(score < cutoff, true) AS kept FROM m LEFT JOIN cuts USING (stratum)"""
 
 
 def _urls(rules: list[tuple[str, str, str]]) -> str:
