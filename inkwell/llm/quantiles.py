@@ -30,18 +30,19 @@ ties count as often as they occur.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
 
 #: Parts of a summary by rank and by value, and the most points after a merge.
 PARTS, DISTINCT, POINTS = 100, 20, 2000
-#: Distinct values in a block, about, and steps of bisection in one pass.
-BLOCK, STEPS = 8192, 3
+#: Distinct values in a block, about (4 MB), and steps of bisection in one pass.
+BLOCK, STEPS = 1 << 18, 3
 CUT = "x bigint, below_lo bigint, below_hi bigint, upto_lo bigint, upto_hi bigint"
 POINT_LIST = f"array<struct<{CUT.replace(' ', ':').replace(',:', ',')}>>"
 _CUTS = pa.list_(pa.struct([(c.split()[0], pa.int64()) for c in CUT.split(", ")]))
@@ -104,21 +105,33 @@ def counted(rows: DataFrame, keys: list[str], x: str = "x", count: str | None =
     return rows.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("bigint").alias("x")).agg((F.count(F.lit(1)) if count is None else F.sum(count)).alias("c"))
 
 
-def blocks_of(cells: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
-    """Written (keys, n, d, least, most, blocks, xs, cs): a group's values in as
-    many blocks as it needs, dealt by hash."""
-    cells = written(cells, "cells")
+@dataclass
+class Blocks:
+    """(keys, xs, cs) of groups in one block each, and (keys, n, d, least, most,
+    xs, cs) of the blocks of larger groups, or None if there are none."""
+
+    local: DataFrame
+    wide: DataFrame | None
+
+
+def blocks_of(cells: DataFrame, keys: list[str], block: int = BLOCK) -> Blocks:
+    """Pack written ``counted`` rows. What groups exceed a block is known from
+    a count; only their rows are dealt by hash."""
+    arrays = [F.col("z.x").alias("xs"), F.col("z.c").alias("cs")]
+    packed = F.collect_list(F.struct("x", "c")).alias("z")
     sizes = cells.groupBy(*keys).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d"), F.min("x").alias("least"), F.max("x").alias("most"))
-    joined = _joined(cells, sizes, keys).withColumn("blocks", F.ceil(F.col("d") / block))
-    dealt = joined.withColumn("_salt", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("x"), "blocks")).otherwise(F.lit(0)))
-    own = [*keys, "n", "d", "least", "most", "blocks"]
-    # The second exchange is asked for, so that the join's skewed keys may be split.
-    spread = dealt.repartition(*keys, "_salt")
-    out = spread.groupBy(*own, "_salt").agg(F.collect_list(F.struct("x", "c")).alias("cells"))
-    return written(out.select(*own, F.col("cells.x").alias("xs"), F.col("cells.c").alias("cs")), "blocks")
+    large = written(sizes.where(F.col("d") > block), "large")
+    if large.limit(1).count() == 0:
+        return Blocks(written(cells.groupBy(*keys).agg(packed).select(*keys, *arrays), "blocks"), None)
+    few = _joined(cells, large.select(*keys), keys, "left_anti")
+    salted = _joined(cells, large, keys).withColumn("_salt", F.pmod(F.xxhash64("x"), F.ceil(F.col("d") / block)))
+    own = [*keys, "n", "d", "least", "most"]
+    # An exchange of its own, so that the join's skewed keys may be split.
+    dealt = salted.repartition(*keys, "_salt").groupBy(*own, "_salt").agg(packed).select(*own, *arrays)
+    return Blocks(written(few.groupBy(*keys).agg(packed).select(*keys, *arrays), "blocks"), written(dealt, "wide"))
 
 
-def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null keys match; ``right`` has one row for each key and
     is never broadcast, for it grows with the data."""
     names = {k: f"_r_{k}" for k in keys}
@@ -127,7 +140,7 @@ def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     for k, n in names.items():
         same = F.col(k).eqNullSafe(F.col(n))
         on = same if on is None else on & same
-    return left.join(right.hint("shuffle_hash"), on).drop(*names.values())
+    return left.join(right.hint("shuffle_hash"), on, how).drop(*names.values())
 
 
 def _passed(df: DataFrame, keys: list[str], run, added: list[tuple[str, str]], kept: list[str]) -> DataFrame:
@@ -190,48 +203,54 @@ def count_at(blocks: DataFrame, keys: list[str], asked: DataFrame) -> DataFrame:
 # ---- summaries ----------------------------------------------------------
 
 
-def summarise(blocks: DataFrame, keys: list[str], parts: int = PARTS, distinct: int = DISTINCT, steps: int = STEPS) -> DataFrame:
+def summarise(blocks: Blocks, keys: list[str], parts: int = PARTS, distinct: int = DISTINCT, steps: int = STEPS) -> DataFrame:
     """(keys, n, points): one summary for each group of ``blocks_of``."""
-    own = [*keys, "n", "d", "least", "most"]
-    local = blocks.where("blocks = 1")
-    wide = blocks.where("blocks > 1")
 
     def in_block(batch):
         xs, ends = _lists(batch["xs"])
         cs, _ = _lists(batch["cs"])
-        ns, ds = batch["n"].to_numpy(), batch["d"].to_numpy()
-        cuts = []
-        for i in range(batch.num_rows):
-            x, c = xs[ends[i] : ends[i + 1]], cs[ends[i] : ends[i + 1]]
-            if ds[i] > parts + distinct:
-                at = np.unique(select_in_block(x, c, *ranks_of(int(ns[i]), int(ds[i]), parts, distinct)))
-                upto = counts_upto(x, c, at)
-                below = counts_upto(x, c, at - 1)
+        ns, cuts = [], []
+        for a, b in zip(ends, ends[1:], strict=False):
+            x, c = xs[a:b], cs[a:b]
+            n, d = int(c.sum()), len(x)
+            if d > parts + distinct:
+                at = np.unique(select_in_block(x, c, *ranks_of(n, d, parts, distinct)))
+                upto, below = counts_upto(x, c, at), counts_upto(x, c, at - 1)
             else:
                 # Every value is a cut point.
                 order = np.argsort(x)
                 at, upto = x[order], np.cumsum(c[order])
                 below = upto - c[order]
+            ns.append(n)
             cuts.append((at, below, upto))
-        return (_cut_lists(cuts),)
+        return pa.array(ns, pa.int64()), _cut_lists(cuts)
 
-    with small_batches(blocks.sparkSession):
-        found = _passed(local, keys, in_block, [("points", POINT_LIST)], ["n"])
-        found = written(found, "summaries")
-    few = wide.agg(F.max(F.col("most").cast("decimal(20)") - F.col("least"))).first()[0]
-    if few is None:
+    with small_batches(blocks.local.sparkSession):
+        found = written(_passed(blocks.local, keys, in_block, [("n", "bigint"), ("points", POINT_LIST)], []), "summaries")
+    if blocks.wide is None:
         return found
-    # Groups of several blocks: each pass asks for `steps` halvings of every interval.
-    state = written(_passed(wide.select(*own).distinct(), keys, _first_state(parts, distinct), [("low", "array<bigint>"), ("high", "array<bigint>")], ["n", "d"]), "state")
-    for _ in range(-(-(int(few) + 1).bit_length() // steps)):
+    return found.unionByName(select_ranks(blocks.wide, keys, parts, distinct, steps))
+
+
+def select_ranks(wide: DataFrame, keys: list[str], parts: int, distinct: int, steps: int = STEPS) -> DataFrame:
+    """``summarise`` for groups of several blocks: each pass over them asks for
+    ``steps`` halvings of every interval of every group."""
+    own = [*keys, "n", "d", "least", "most"]
+    span = wide.agg(F.max(F.col("most").cast("decimal(20)") - F.col("least"))).first()[0] or 0
+    arrays = [("low", "array<bigint>"), ("high", "array<bigint>")]
+    state = written(_passed(wide.select(*own).distinct(), keys, _first_state(parts, distinct), arrays, ["n", "d"]), "state")
+    for _ in range(-(-(int(span) + 1).bit_length() // steps)):
         asked = _passed(state, keys, _ask(steps), [("probes", "array<bigint>")], [])
-        counts = count_at(wide, keys, asked)
-        state = written(_passed(_joined(state, counts, keys), keys, _update(parts, distinct), [("low", "array<bigint>"), ("high", "array<bigint>")], ["n", "d"]), "state")
+        state = written(_passed(_joined(state, count_at(wide, keys, asked), keys), keys, _update(parts, distinct), arrays, ["n", "d"]), "state")
     at = state.select(*keys, F.array_sort(F.array_distinct("high")).alias("at"))
-    asked = at.select(*keys, F.array_sort(F.array_distinct(F.concat("at", F.transform("at", lambda x: x - 1)))).alias("probes"))
-    counts = count_at(wide, keys, asked)
-    ends = _passed(_joined(_joined(state.select(*keys, "n"), at, keys), counts, keys), keys, _cuts_from_counts, [("points", POINT_LIST)], ["n"])
-    return found.unionByName(written(ends, "summaries"))
+    counts = count_at(wide, keys, _with_before(at, keys))
+    ends = _joined(_joined(state.select(*keys, "n"), at, keys), counts, keys)
+    return written(_passed(ends, keys, _cuts_from_counts, [("points", POINT_LIST)], ["n"]), "summaries")
+
+
+def _with_before(at: DataFrame, keys: list[str]) -> DataFrame:
+    """Probes that count what is below and up to each value of ``at``."""
+    return at.select(*keys, F.array_sort(F.array_distinct(F.concat("at", F.transform("at", lambda x: x - 1)))).alias("probes"))
 
 
 def _first_state(parts: int, distinct: int):
@@ -335,37 +354,92 @@ def merge(summaries: DataFrame, keys: list[str], limit: int = POINTS) -> DataFra
         return written(out, "merged")
 
 
-def estimate(points: Column, target: Column) -> Column:
-    """The point whose rank is off from ``target`` by least, at worst; of equals
-    the smallest. It doesn't fall as the target rises."""
-    off = F.transform(points, lambda p: F.struct(F.greatest(F.lit(0).cast("long"), p["below_hi"] + 1 - target, target - p["upto_lo"]).alias("off"), p["x"].alias("x")))
-    return F.array_min(off)["x"]
+def estimates(points: tuple[np.ndarray, np.ndarray, np.ndarray], targets: np.ndarray) -> np.ndarray:
+    """For each target the place of the point whose rank is off from it by
+    least, at worst; of equals the first. It doesn't fall as the target rises.
+    ``points``: x, below_hi, upto_lo."""
+    _, below, upto = points
+    # A point at or behind the first that surely reaches the target is never
+    # better than it, so the search may stop there.
+    stop = int(np.searchsorted(upto, targets[-1])) + 1
+    off = np.maximum(np.maximum(below[None, :stop] + 1 - targets[:, None], targets[:, None] - upto[None, :stop]), 0)
+    return off.argmin(axis=1)
 
 
 def answers(summaries: DataFrame, keys: list[str], quantiles: int, least: int) -> DataFrame:
-    """(keys, n, kept, i, target, answer) for i in 1..quantiles-1, of summaries of at least ``least`` rows."""
-    asked = summaries.where(F.col("n") >= least).select(*keys, "n", "points", F.explode(F.sequence(F.lit(1), F.lit(quantiles - 1))).alias("i"))
-    asked = asked.withColumn("target", F.expr(f"(i * n + {quantiles - 1}) div {quantiles}"))
-    return asked.select(*keys, "n", F.size("points").cast("long").alias("kept"), "i", "target", estimate(F.col("points"), F.col("target")).alias("answer"))
-
+    """(keys, n, kept, found) of summaries of at least ``least`` rows; ``found``
+    has for each i in 1..quantiles-1 the target ceil(i*n/quantiles), the answer,
+    and the answer's rank bounds."""
 
-def with_exact(answered: DataFrame, blocks: DataFrame, keys: list[str], quantiles: int) -> DataFrame:
-    """``answers`` with exact_x, the least value with ``target`` rows at or below
-    it, and with the rows below and up to each answer: a selection and a counting
-    pass over the rows in ``blocks``."""
+    def run(batch):
+        lists = batch["points"]
+        ends = lists.offsets.to_numpy()
+        x, below_lo, below_hi, upto_lo, upto_hi = (lists.values.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+        i = np.arange(1, quantiles)
+        columns = [[] for _ in range(6)]
+        for n, a, b in zip(batch["n"].to_pylist(), ends, ends[1:], strict=False):
+            targets = -(-i * n // quantiles)
+            at = a + estimates((x[a:b], below_hi[a:b], upto_lo[a:b]), targets)
+            for column, values in zip(columns, (i, targets, x[at], below_lo[at], upto_lo[at], np.maximum(below_hi[at] - below_lo[at], upto_hi[at] - upto_lo[at])), strict=True):
+                column.append(values)
+        flat = [pa.array(np.concatenate(c), pa.int64()) for c in columns]
+        rows = pa.StructArray.from_arrays(flat, fields=[pa.field(n, pa.int64()) for n in ANSWER])
+        return pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (quantiles - 1), pa.int32()), rows)
+
+    kind = f"array<struct<{','.join(f'{n}:bigint' for n in ANSWER)}>>"
+    return _passed(summaries.where(F.col("n") >= least), keys, run, [("kept", "bigint"), ("found", kind)], ["n"])
+
+
+#: i, target, answer, its least rank bounds, and how far apart bounds are.
+ANSWER = ("i", "target", "answer", "n_below", "n_upto", "open")
+EXACT = ("i", "target", "answer", "exact_x", "n_below", "n_upto")
+
+
+def exact_of_points(answered: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, kept, EXACT) of single summaries, whose ranks were counted.
+    Their own ranks hold the targets, so the answer is the exact value; where
+    that isn't so (other ranks were asked for) exact_x is null."""
+    rows = answered.select(*keys, "n", "kept", F.inline("found"))
+    hit = (F.col("n_below") < F.col("target")) & (F.col("target") <= F.col("n_upto")) & (F.col("open") == 0)
+    return rows.select(*keys, "n", "kept", "i", "target", "answer", F.when(hit, F.col("answer")).alias("exact_x"), "n_below", "n_upto")
+
+
+def with_exact(answered: DataFrame, blocks: Blocks, keys: list[str], quantiles: int) -> DataFrame:
+    """(keys, n, kept, EXACT): ``answers`` with exact_x, the least value with
+    ``target`` rows at or below it, and the rows below and up to each answer,
+    counted anew over all rows."""
     answered = written(answered, "answers")
-    asked_keys = answered.select(*keys).distinct()
-    own = _joined(blocks, asked_keys, keys)
-    exact = summarise(own, keys, parts=quantiles, distinct=0)
-    at = answered.groupBy(*keys).agg(F.collect_set("answer").alias("at"))
-    probes = at.select(*keys, F.array_sort(F.array_distinct(F.concat("at", F.transform("at", lambda x: x - 1)))).alias("probes"))
-    counts = count_at(own, keys, probes)
-    seen = F.map_from_arrays("probes", "rows")
-    got = _joined(_joined(answered, exact.select(*keys, F.col("points").alias("exact")), keys), counts, keys)
+
+    def in_block(batch):
+        xs, ends = _lists(batch["xs"])
+        cs, _ = _lists(batch["cs"])
+        found = batch["found"]
+        at = found.offsets.to_numpy()
+        i, target, answer = (found.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        exact, below, upto = (np.zeros(len(i), np.int64) for _ in range(3))
+        for k in range(batch.num_rows):
+            order = np.argsort(xs[ends[k] : ends[k + 1]])
+            x, c, own = xs[ends[k] : ends[k + 1]][order], cs[ends[k] : ends[k + 1]][order], slice(at[k], at[k + 1])
+            total = np.cumsum(c)
+            exact[own] = x[np.searchsorted(total, target[own])]
+            place = np.searchsorted(x, answer[own])
+            upto[own], below[own] = total[place], total[place] - c[place]
+        own = slice(at[0], at[-1])
+        flat = [pa.array(v[own], pa.int64()) for v in (i, target, answer, exact, below, upto)]
+        rows = pa.StructArray.from_arrays(flat, fields=[pa.field(n, pa.int64()) for n in EXACT])
+        return (pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32), pa.int32()), rows),)
+
+    kind = f"array<struct<{','.join(f'{n}:bigint' for n in EXACT)}>>"
+    with small_batches(blocks.local.sparkSession):
+        got = _passed(_joined(blocks.local, answered, keys), keys, in_block, [("exact", kind)], ["n", "kept"])
+        local = written(got.select(*keys, "n", "kept", F.inline("exact")), "exact")
+    if blocks.wide is None:
+        return local
+    own = _joined(blocks.wide, answered.select(*keys), keys)
+    exact = select_ranks(own, keys, quantiles, 0).select(*keys, F.col("points").alias("exact"))
+    asked = _joined(answered, blocks.wide.select(*keys).distinct(), keys)
+    counts = count_at(own, keys, _with_before(asked.select(*keys, F.array_distinct("found.answer").alias("at")), keys))
+    rows = _joined(_joined(asked, exact, keys), counts, keys).select(*keys, "n", "kept", "exact", F.map_from_arrays("probes", "rows").alias("seen"), F.inline("found"))
     hit = F.filter("exact", lambda p: p["upto_lo"] >= F.col("target"))
-    return got.select(
-        *answered.columns,
-        F.get(hit, F.lit(0))["x"].alias("exact_x"),
-        F.element_at(seen, F.col("answer") - 1).alias("n_below"),
-        F.element_at(seen, F.col("answer")).alias("n_upto"),
-    )
+    counted_rows = [F.get(hit, F.lit(0))["x"].alias("exact_x"), F.element_at("seen", F.col("answer") - 1).alias("n_below"), F.element_at("seen", F.col("answer")).alias("n_upto")]
+    return local.unionByName(rows.select(*keys, "n", "kept", "i", "target", "answer", *counted_rows))

@@ -136,13 +136,14 @@ def op12_quantile_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     own, whole = ["stream", "grp", "batch"], ["stream", "grp"]
     cells = written(quantiles.counted(value_streams(spark, sf_dir), own, count="c"), "cells")
-    blocks = quantiles.blocks_of(cells, own)
-    parts = quantiles.summarise(blocks, own)
+    parts = quantiles.summarise(quantiles.blocks_of(cells, own), own)
     merged = quantiles.merge(parts.drop("batch"), whole)
-    # Summaries answer first; then passes over the rows count what is exact.
-    of_parts = quantiles.with_exact(quantiles.answers(parts, own, 20, 20), blocks, own, 20)
-    of_whole = quantiles.with_exact(quantiles.answers(merged, whole, 20, 20), quantiles.blocks_of(quantiles.counted(cells, whole, count="c"), whole), whole, 20)
-    found = of_parts.unionByName(of_whole.withColumn("batch", F.lit(-1)))
+    # Summaries answer first. What a batch's says was counted; for the merged
+    # ones a pass over the rows counts what is exact.
+    of_parts = quantiles.exact_of_points(quantiles.answers(parts, own, 20, 20), own)
+    all_cells = written(quantiles.counted(cells, whole, count="c"), "cells")
+    of_whole = quantiles.with_exact(quantiles.answers(merged, whole, 20, 20), quantiles.blocks_of(all_cells, whole), whole, 20)
+    found = of_parts.unionByName(of_whole.withColumn("batch", F.lit(-1))).withColumn("i", F.col("i").cast("int"))
     error = F.greatest(F.lit(0).cast("long"), F.col("n_below") + 1 - F.col("target"), F.col("target") - F.col("n_upto"))
     found = found.withColumn("rank_error", error).withColumn("within", F.col("rank_error") * 1000 <= F.col("n") * 10)
     return found.select("stream", "grp", "batch", "i", "n", "target", "exact_x", F.col("kept").alias("points"), "answer", "n_below", "n_upto", "rank_error", "within")

@@ -25,7 +25,7 @@ def case(request, spark):
     """Groups in many blocks and groups in one."""
     rows = rows_for(1)
     df = spark.createDataFrame(rows, "g string, b int, x long")
-    blocks = Q.blocks_of(Q.counted(df, KEYS), KEYS, block=request.param)
+    blocks = Q.blocks_of(Q.counted(df, KEYS).cache(), KEYS, block=request.param)
     groups = {}
     for g, b, x in rows:
         if x is not None:
@@ -68,7 +68,7 @@ def test_merge_keeps_bounds_and_answers_within_one_percent(case):
     assert len(again.first().points) <= 150
     for summary, of in ((merged, whole), (again, {"all": everything})):
         last = {}
-        for r in Q.answers(summary, ["g"], 20, 20).orderBy("g", "i").collect():
+        for r in Q.answers(summary, ["g"], 20, 20).select("g", F.inline("found")).orderBy("g", "i").collect():
             xs = of[r.g]
             assert r.target == math.ceil(r.i * len(xs) / 20) and xs[0] <= r.answer <= xs[-1] and r.answer >= last.get(r.g, r.answer)
             last[r.g] = r.answer
@@ -79,8 +79,9 @@ def test_merge_keeps_bounds_and_answers_within_one_percent(case):
 def test_exact_check_counts_rows(case, spark):
     blocks, groups = case
     got = Q.with_exact(Q.answers(Q.summarise(blocks, KEYS), KEYS, 20, 20), blocks, KEYS, 20).collect()
-    assert {(r.g, r.b) for r in got} == {k for k, v in groups.items() if len(v) >= 20}
-    for r in got:
+    same = Q.exact_of_points(Q.answers(Q.summarise(blocks, KEYS), KEYS, 20, 20), KEYS).collect()
+    assert {(r.g, r.b) for r in got} == {(r.g, r.b) for r in same} == {k for k, v in groups.items() if len(v) >= 20}
+    for r in [*got, *same]:
         xs = groups[r.g, r.b]
         assert r.exact_x == r.answer == xs[r.target - 1]
         assert (r.n_below, r.n_upto) == (bisect.bisect_left(xs, r.answer), bisect.bisect_right(xs, r.answer))
