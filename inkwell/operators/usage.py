@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TERMINAL = ("completed", "failed", "unknown")
+#: Outcomes that end an attempt; a started one has none yet.
+TERMINAL = ("completed", "failed", "cancelled")
+#: Every character that Unicode calls white space.
+_BLANK = r"^\p{IsWhite_Space}*$"
 
 
 def summary(attempts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -47,18 +50,22 @@ def lifecycle(events: DataFrame) -> DataFrame:
 RESPONSE = "status string, model string, service_tier string, output array<struct<type:string,content:array<struct<type:string,text:string>>>>, usage struct<input_tokens:bigint,output_tokens:bigint,input_tokens_details:struct<cached_tokens:bigint,cache_write_tokens:bigint>>"
 
 
-def parse_responses(responses: DataFrame, body: str = "body") -> DataFrame:
+def parse_responses(responses: DataFrame, body: str = "body", model: str = "model", cancelled: str | None = None) -> DataFrame:
     """Text and usage of each provider response. The text is that of all output
-    parts, by lines, of a completed response; usage is null when a part of it
-    is missing, when cache writes were billed, or when the counts can't be."""
+    parts, by lines, of a completed response that wasn't ``cancelled`` (a
+    boolean column) meanwhile, and null if it is blank. Usage counts only for
+    the ``model`` that was asked for, in the default service tier; it is null
+    when a part of it is missing, when cache writes were billed, or when the
+    counts can't be."""
     r = responses.withColumn("_r", F.from_json(F.col(body), RESPONSE))
     parts = F.flatten(F.transform(F.coalesce("_r.output", F.array()), lambda o: F.coalesce(o["content"], F.array().cast("array<struct<type:string,text:string>>"))))
     text = F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "output_text"), lambda p: p["text"]), "\n")
     u = F.col("_r.usage")
     i, c, o = u["input_tokens"], u["input_tokens_details"]["cached_tokens"], u["output_tokens"]
-    ok = i.isNotNull() & c.isNotNull() & o.isNotNull() & (F.coalesce(u["input_tokens_details"]["cache_write_tokens"], F.lit(0)) == 0) & (c <= i) & (c >= 0) & (o >= 0)
-    done = F.coalesce(F.col("_r.status") == "completed", F.lit(False))
-    return r.select(*responses.columns, F.when(done & (text != ""), text).alias("text"), *[F.when(ok, x).alias(n) for n, x in (("input_tokens", i), ("cached_tokens", c), ("output_tokens", o))])
+    priced = F.coalesce(F.col("_r.model") == F.col(model), F.lit(False)) & F.coalesce(F.col("_r.service_tier") == "default", F.lit(True))
+    ok = priced & i.isNotNull() & c.isNotNull() & o.isNotNull() & (F.coalesce(u["input_tokens_details"]["cache_write_tokens"], F.lit(0)) == 0) & (c <= i) & (c >= 0) & (o >= 0)
+    done = F.coalesce(F.col("_r.status") == "completed", F.lit(False)) & (F.lit(True) if cancelled is None else ~F.coalesce(F.col(cancelled), F.lit(False)))
+    return r.select(*responses.columns, F.when(done & ~text.rlike(_BLANK), text).alias("text"), *[F.when(ok, x).alias(n) for n, x in (("input_tokens", i), ("cached_tokens", c), ("output_tokens", o))])
 
 
 def month_of(at: Column) -> Column:

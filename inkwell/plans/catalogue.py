@@ -521,11 +521,11 @@ def currency_format(spark, d):
     return S.attempts(spark, d).select("attempt_id", usage.currency(F.col("cost_nanos")).alias("cost"))
 
 
-@query("""WITH e AS (SELECT event_id, user_id AS attempt_id, epoch_us(ts) AS t_us, event_type FROM events), k AS (SELECT *, CASE WHEN event_type IN ('signup', 'view') THEN 'started' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'completed' ELSE 'note' END AS outcome FROM e)
-SELECT attempt_id, coalesce(arg_min(outcome, {'a': t_us, 'b': event_id}) FILTER (WHERE outcome IN ('completed', 'failed')), 'started') AS outcome, min(t_us) FILTER (WHERE outcome = 'started') AS attempted_at FROM k GROUP BY attempt_id""")
+@query("""WITH e AS (SELECT event_id, user_id AS attempt_id, epoch_us(ts) AS t_us, event_type FROM events), k AS (SELECT *, CASE WHEN event_type IN ('signup', 'view') THEN 'started' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'completed' WHEN event_id % 7 = 0 THEN 'cancelled' ELSE 'note' END AS outcome FROM e)
+SELECT attempt_id, coalesce(arg_min(outcome, {'a': t_us, 'b': event_id}) FILTER (WHERE outcome IN ('completed', 'failed', 'cancelled')), 'started') AS outcome, min(t_us) FILTER (WHERE outcome = 'started') AS attempted_at FROM k GROUP BY attempt_id""")
 def attempt_lifecycle(spark, d):
     e = N.table(spark, d, "events")
-    kind = F.when(F.col("event_type").isin("signup", "view"), "started").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").otherwise("note")
+    kind = F.when(F.col("event_type").isin("signup", "view"), "started").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").when(F.col("event_id") % 7 == 0, "cancelled").otherwise("note")
     rows = e.select(F.col("user_id").alias("attempt_id"), kind.alias("outcome"), F.lit("gpt-6-luna").alias("model"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"), F.lit(None).cast("bigint").alias("cost_nanos"))
     return usage.lifecycle(rows).select("attempt_id", "outcome", "attempted_at")
 
@@ -602,17 +602,27 @@ def stale_submissions(spark, d):
     return generation.stale(submissions, sources, N.notes(spark, d), templates).select("preparation_id", "usable")
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 4 <> 3 AND text <> '' THEN text || chr(10) || 'end' END AS text, CASE WHEN turn % 5 <> 4 THEN length(text) + 10 END AS input_tokens FROM conversations""")
+@query("""WITH c AS (SELECT *, conv_id % 11 = 3 AS blank, length(text) + 10 AS i FROM conversations),
+u AS (SELECT *, turn % 5 <> 4 AND conv_id % 4 <> 1 AND conv_id % 3 <> 2 AND text IS NOT NULL AS priced FROM c)
+SELECT conv_id, turn, CASE WHEN turn % 4 <> 3 AND NOT (turn % 6 = 5) AND NOT blank THEN coalesce(text || chr(10), '') || 'end' END AS text,
+CASE WHEN priced THEN i END AS input_tokens, CASE WHEN priced THEN 5::BIGINT END AS cached_tokens, CASE WHEN priced THEN 7::BIGINT END AS output_tokens FROM u""")
 def response_parse(spark, d):
+    """Bodies with other models, other tiers, blank texts, and some cancelled."""
     c = S.conversations(spark, d)
     part = lambda t: F.struct(F.lit("output_text").alias("type"), t.alias("text"))
     other = F.struct(F.lit("refusal").alias("type"), F.lit("no").alias("text"))
-    out = F.array(F.struct(F.lit("message").alias("type"), F.array(part(F.col("text")), other).alias("content")), F.struct(F.lit("message").alias("type"), F.array(part(F.lit("end"))).alias("content")))
+    blank = F.col("conv_id") % 11 == 3
+    shown = lambda t: F.when(blank, F.lit(" \u00a0\t")).otherwise(t)
+    out = F.array(F.struct(F.lit("message").alias("type"), F.array(part(shown(F.col("text"))), other).alias("content")), F.struct(F.lit("message").alias("type"), F.array(part(shown(F.lit("end")))).alias("content")))
     details = F.struct(F.lit(5).alias("cached_tokens"), F.when(F.col("turn") % 5 == 4, 3).otherwise(0).alias("cache_write_tokens"))
     counts = F.struct((F.length("text") + 10).alias("input_tokens"), F.lit(7).alias("output_tokens"), details.alias("input_tokens_details"))
-    body = F.to_json(F.struct(F.when(F.col("turn") % 4 == 3, "incomplete").otherwise("completed").alias("status"), out.alias("output"), counts.alias("usage")))
-    parsed = usage.parse_responses(c.select("conv_id", "turn", body.alias("body")))
-    return parsed.select("conv_id", "turn", "text", "input_tokens")
+    status = F.when(F.col("turn") % 4 == 3, "incomplete").otherwise("completed")
+    model = F.when(F.col("conv_id") % 4 == 1, "gpt-4.1").otherwise("gpt-4.1-mini")
+    tier = F.when(F.col("conv_id") % 3 == 2, "priority").when(F.col("conv_id") % 3 == 1, "default")
+    body = F.to_json(F.struct(status.alias("status"), model.alias("model"), tier.alias("service_tier"), out.alias("output"), counts.alias("usage")))
+    asked = c.select("conv_id", "turn", body.alias("body"), F.lit("gpt-4.1-mini").alias("model"), (F.col("turn") % 6 == 5).alias("cancelled"))
+    parsed = usage.parse_responses(asked, cancelled="cancelled")
+    return parsed.select("conv_id", "turn", "text", "input_tokens", "cached_tokens", "output_tokens")
 
 
 @query(f"WITH {_POOL}, {O.DECIDED_SQL} SELECT doc_id, NOT contains(output, '⟪CV_') AS reviewable FROM shown_text")

@@ -76,10 +76,12 @@ def test_usage(spark):
 
 
 def test_lifecycle(spark):
-    rows = [(1, "started", 1, 0, "m", None), (1, "failed", 2, 1, None, None), (1, "completed", 3, 2, None, 9), (2, "started", 5, 3, "m", None)]
+    rows = [(1, "started", 1, 0, "m", None), (1, "failed", 2, 1, None, None), (1, "completed", 3, 2, None, 9), (2, "started", 5, 3, "m", None), (3, "started", 1, 4, "m", None), (3, "cancelled", 2, 5, None, 7), (3, "completed", 3, 6, None, 9)]
     events = spark.createDataFrame(rows, "attempt_id long, outcome string, at long, seq long, model string, cost_nanos long")
     got = {r.attempt_id: (r.outcome, r.attempted_at, r.cost_nanos) for r in usage.lifecycle(events).collect()}
-    assert got == {1: ("failed", 1, None), 2: ("started", 5, None)}
+    assert got == {1: ("failed", 1, None), 2: ("started", 5, None), 3: ("cancelled", 1, 7)}
+    done = spark.createDataFrame([(7, "completed", 5), (7, "completed", 3), (7, "failed", 1), (8, "failed", 1)], "report_id long, outcome string, at long")
+    assert {tuple(r) for r in usage.first_completed(done).collect()} == {(7, 3), (8, None)}
 
 
 def test_restore(spark):
