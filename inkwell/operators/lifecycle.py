@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import trimmed
-from inkwell.operators.search import COLUMNS, postings
 
 # The templates that an empty table starts with.
 STARTERS = (
@@ -139,13 +138,6 @@ def append_audit(outcomes: DataFrame, folder: str) -> None:
     outcomes.write.mode("append").parquet(folder)
 
 
-def reindex(index: DataFrame, changed: DataFrame, gone: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
-    """Postings after changes: those of changed and deleted notes go, the
-    changed ones' new ones come."""
-    stale = changed.select("doc_id").unionByName(gone.select("doc_id")).distinct()
-    return index.join(stale, "doc_id", "left_anti").unionByName(postings(changed, columns))
-
-
 def lookup(table: DataFrame, key: str, value) -> DataFrame:
     """One row by its key; the condition reaches the scan."""
     return table.where(F.col(key) == value)

@@ -17,7 +17,8 @@ from inkwell.plans import oracles as O
 from inkwell.plans import tables as S
 from inkwell.sources import documents as D
 from inkwell.sources import notes as N
-from inkwell.sources.shared import written
+from inkwell.operators.index import KeptIndex
+from inkwell.sources.shared import shared_dir, written
 from inkwell.streaming import dictation as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -249,12 +250,11 @@ def submission_consume(spark, d):
 
 @query(f"WITH {S.CORPUS_SQL} SELECT doc_id, count(*) AS tokens FROM postings WHERE doc_id % 3 <> 0 GROUP BY 1 UNION ALL SELECT doc_id, count(*) FROM postings WHERE doc_id % 3 = 0 AND doc_id % 2 = 0 AND col = 1 GROUP BY 1")
 def index_maintenance(spark, d):
+    """Of every sixth note the title alone is left; every other third one is deleted."""
     docs = S.corpus(spark, d)
-    old = search.postings(docs)
     changed = docs.where("doc_id % 3 = 0 and doc_id % 2 = 0").select("doc_id", "title", F.lit(None).cast("string").alias("patient_reference"), F.lit("").alias("text"))
-    # Of the changed notes the title alone is left; every other third note is deleted.
-    now = lifecycle.reindex(old, changed, docs.where("doc_id % 3 = 0"))
-    return now.where((F.col("col") < 2) | (F.col("doc_id") % 3 != 0)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"))
+    now = _index(spark, d).copy(shared_dir(spark)).apply(changed, docs.where("doc_id % 3 = 0 and doc_id % 2 <> 0"))
+    return now.find().groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"))
 
 
 @query("SELECT doc_id, 0::BIGINT AS seq, 1::INT AS start, 4::INT AS \"end\" FROM documents WHERE length(text) >= 4")
@@ -348,8 +348,19 @@ def _bm25_sql(phrases: list[list[str]], scope: str = "") -> str:
     return f"WITH {S.CORPUS_SQL}, {', '.join(parts)}, st AS (SELECT count(*) AS nd, avg(tokens) AS mean FROM sizes) SELECT z.doc_id, round(-({' + '.join(score)}), 6) AS score FROM sizes z CROSS JOIN st {' '.join(joins)} {scope}"
 
 
+_KEPT: dict[tuple[str, str], KeptIndex] = {}
+
+
+def _index(spark, d):
+    """The kept index of a corpus, built once in a session and then read."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _KEPT or not _KEPT[key].log.version():
+        _KEPT[key] = KeptIndex(spark, f"{shared_dir(spark)}/index").apply(S.corpus(spark, d))
+    return _KEPT[key]
+
+
 def _searched(spark, d, words, scope=None):
-    found = search.search(S.corpus(spark, d), search.compile_query(words), scope=scope)
+    found = search.search(S.corpus(spark, d), search.compile_query(words), _index(spark, d), scope)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -374,19 +385,58 @@ def search_blank(spark, d):
     return S.corpus(spark, d).select("doc_id", "title", F.substring("text", 1, 180).alias("preview")).orderBy(F.desc("doc_id"))
 
 
-@query(rf"""WITH {S.CORPUS_SQL}, parts AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS p FROM corpus WHERE doc_id IN (SELECT doc_id FROM postings WHERE term = 'license')),
-folded AS (SELECT *, list_transform(p, lambda x: regexp_extract(lower(strip_accents(x)), '[\p{{L}}\p{{N}}]+')) AS f FROM parts),
-starts AS (SELECT *, greatest(1, least(coalesce(list_position(f, 'license'), 0) - 11, len(p) - 11)) AS s FROM folded)
-SELECT doc_id, CASE WHEN s > 1 THEN '…' ELSE '' END || array_to_string(p[s:s + 11], ' ') || CASE WHEN s + 12 <= len(p) THEN '…' ELSE '' END AS snippet FROM starts""")
+_PIECE = r"[^\p{L}\p{N}\p{Co}]*[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\x{300}-\x{36F}]*"
+
+
+@query(rf"""WITH {S.CORPUS_SQL}, hit AS (SELECT doc_id FROM postings WHERE term = 'of' INTERSECT SELECT doc_id FROM postings WHERE term = 'the'),
+ranked AS (SELECT doc_id, col, pos, count(DISTINCT term) OVER (PARTITION BY doc_id, col ORDER BY pos RANGE BETWEEN 11 PRECEDING AND CURRENT ROW) AS n FROM postings WHERE term IN ('of', 'the')),
+best AS (SELECT doc_id, col, arg_max(pos, {{'n': n, 'p': -pos}}) AS pos FROM ranked GROUP BY ALL),
+texts AS (SELECT doc_id, c AS col, ['title', 'patient_reference', 'text'][c] AS name, coalesce([title, patient_reference, text][c], '') AS body FROM corpus SEMI JOIN hit USING (doc_id), range(1, 4) r(c)),
+cut AS (SELECT t.*, greatest(0, coalesce(pos, 0) - 11) AS s, regexp_extract_all(body, '{_PIECE}') AS p FROM texts t LEFT JOIN best b ON b.doc_id = t.doc_id AND b.col = t.col)
+SELECT doc_id, name AS "column", CASE WHEN s > 0 THEN '…' || regexp_replace(array_to_string(p[s + 1:s + 12], ''), '^[^\p{{L}}\p{{N}}\p{{Co}}]+', '') ELSE array_to_string(p[1:12], '') END
+|| CASE WHEN s + 12 < len(p) THEN '…' ELSE substr(body, 1 + length(array_to_string(p, ''))) END AS snippet FROM cut""")
 def search_snippets(spark, d):
-    hits = search.search(S.corpus(spark, d), search.compile_query("license"))
-    return hits.join(S.corpus(spark, d), "doc_id").select("doc_id", search.snippet(F.col("text"), ["license"]).alias("snippet"))
+    """Both words must occur; each column has its own window."""
+    query, index, docs = search.compile_query("of the"), _index(spark, d), S.corpus(spark, d)
+    hits = search.search(docs, query, index).select("doc_id")
+    found = index.find(["of", "the"])
+    shown = [search.snippets(docs.join(hits, "doc_id", "left_semi"), c, found).withColumn("column", F.lit(c)) for c in search.COLUMNS]
+    return shown[0].unionByName(shown[1]).unionByName(shown[2])
 
 
 @query(f"WITH {S.CORPUS_SQL} SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM postings GROUP BY term")
 def search_vocabulary(spark, d):
-    per = search.postings(S.corpus(spark, d)).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("term").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("documents"))
+    return _index(spark, d).vocabulary()
+
+
+_ROUNDS = S.CORPUS_SQL.replace("corpus AS (SELECT doc_id, source AS title, lang AS patient_reference, text FROM documents)", """corpus AS (
+SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'returned' WHEN doc_id % 7 = 2 THEN source || ' of the' ELSE source END AS title, CASE WHEN doc_id % 5 <> 1 THEN lang END AS patient_reference,
+CASE WHEN doc_id % 5 = 1 THEN substr(text, 1, 300) WHEN doc_id % 7 = 2 THEN text || ' and of the' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 1 OR doc_id % 3 = 0)""")
+
+
+def _rounds(spark, d):
+    """Three rounds of change: deletions, new texts, and deleted notes that return."""
+    docs = S.corpus(spark, d)
+    index = _index(spark, d).copy(shared_dir(spark))
+    index = index.apply(docs.limit(0), docs.where("doc_id % 5 = 1"), key="deleted")
+    # A retried job finds its change applied.
+    index = index.apply(docs.limit(0), docs.where("doc_id % 5 = 1"), key="deleted")
+    index = index.apply(docs.where("doc_id % 7 = 2 and doc_id % 5 <> 1").withColumns({"title": F.concat("title", F.lit(" of the")), "text": F.concat("text", F.lit(" and of the"))}))
+    back = docs.where("doc_id % 5 = 1 and doc_id % 3 = 0")
+    return docs, index.apply(back.select("doc_id", F.lit("returned").alias("title"), F.lit(None).cast("string").alias("patient_reference"), F.substring("text", 1, 300).alias("text")))
+
+
+@query(_bm25_sql([["of", "the"], ["and"]]).replace(S.CORPUS_SQL, _ROUNDS))
+def index_rounds(spark, d):
+    docs, index = _rounds(spark, d)
+    found = search.search(docs, search.Query(("of the", "and")), index)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_ROUNDS} SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM postings GROUP BY term")
+def index_compaction(spark, d):
+    """One segment in place of four, with the same content."""
+    return _rounds(spark, d)[1].compact().vocabulary()
 
 
 # The library as tables
