@@ -36,6 +36,8 @@ _SPACE = "[\\x20\\x09-\\x0D]+"
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Files grow as they are written: many small stores would each reserve megabytes.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Rows of one class that are compared with one copy of the anchor's text.
 TOGETHER = 500
