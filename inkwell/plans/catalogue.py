@@ -410,7 +410,7 @@ def search_vocabulary(spark, d):
 
 
 _ROUNDS = S.CORPUS_SQL.replace("corpus AS (SELECT doc_id, source AS title, lang AS patient_reference, text FROM documents)", """corpus AS (
-SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'returned' WHEN doc_id % 7 = 2 THEN source || ' of the' ELSE source END AS title, CASE WHEN doc_id % 5 <> 1 THEN lang END AS patient_reference,
+SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'returned' WHEN doc_id % 7 = 2 THEN source || ' of the' ELSE source END AS title, CASE WHEN doc_id % 5 <> 1 THEN lang ELSE '' END AS patient_reference,
 CASE WHEN doc_id % 5 = 1 THEN substr(text, 1, 300) WHEN doc_id % 7 = 2 THEN text || ' and of the' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 1 OR doc_id % 3 = 0)""")
 
 
