@@ -2,77 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.spans import MARK, STAND_IN, find_spans, let, running_sums
+from inkwell.operators.intervals import swept
 
 
 def occurrences(notes: DataFrame, entities: DataFrame, text: str = "text") -> DataFrame:
     """Gold spans: every non-overlapping place of each annotated string."""
-    own = entities.join(notes.select("doc_id", F.col(text).alias("_text")), "doc_id").where("phrase <> ''")
-    parts = F.split(F.replace(F.replace(F.col("_text"), F.lit(MARK), F.lit(STAND_IN)), F.col("phrase"), F.lit(MARK)), MARK, -1)
-    # A place begins where the gaps before it and the places among them end.
-    sizes = let(parts, lambda p: running_sums(F.transform(p, F.length)))
-    own = own.select("doc_id", "category", "phrase", sizes.alias("_ends"))
-    spots = own.select("doc_id", "category", "phrase", F.posexplode(F.slice("_ends", F.lit(1), F.size("_ends") - 1)).alias("_i", "_end"))
-    spots = spots.select("doc_id", "category", "phrase", (F.col("_end") + F.col("_i") * F.length("phrase")).alias("start"))
-    return spots.withColumn("end", F.col("start") + F.length("phrase"))
+    own = entities.groupBy("doc_id").agg(F.collect_list(F.struct("category", "phrase")).alias("entities"))
+    return places_of(notes.select("doc_id", F.col(text).alias("text")).join(own, "doc_id"))
 
 
-def _overlap(a: str, b: str) -> Column:
-    return (F.col(f"{a}.start") < F.col(f"{b}.end")) & (F.col(f"{b}.start") < F.col(f"{a}.end"))
+def places_of(notes: DataFrame) -> DataFrame:
+    """``occurrences`` of notes (doc_id, text, entities: array of category and
+    phrase), in their own rows."""
+
+    def places(e: Column) -> Column:
+        parts = F.split(F.replace(F.col("text"), e["phrase"], F.lit(MARK)), MARK, -1)
+        # A place begins where the gaps before it and the places among them end.
+        ends = let(parts, lambda p: running_sums(F.transform(p, F.length)))
+        begins = let(ends, lambda x: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda v, i: v + i * F.length(e["phrase"])))
+        return F.transform(begins, lambda v: F.struct(e["category"].alias("category"), e["phrase"].alias("phrase"), v.alias("start"), (v + F.length(e["phrase"])).alias("end")))
+
+    plain = notes.withColumn("text", F.replace("text", F.lit(MARK), F.lit(STAND_IN)))
+    found = F.flatten(F.transform(F.filter("entities", lambda e: e["phrase"] != ""), places))
+    return plain.select("doc_id", F.inline(found))
 
 
 def score_gold(gold: DataFrame, proposals: DataFrame) -> DataFrame:
     """Gold spans with ``covered`` (some proposal contains it, whatever its
     category) and ``exact`` (same span and category)."""
-    g = gold.withColumn("_id", F.monotonically_increasing_id()).alias("g")
-    p = proposals.select("doc_id", "start", "end", "category").alias("p")
-    near = g.join(p, (F.col("g.doc_id") == F.col("p.doc_id")) & _overlap("g", "p"), "left")
-    covers = (F.col("p.start") <= F.col("g.start")) & (F.col("g.end") <= F.col("p.end"))
-    equal = (F.col("p.start") == F.col("g.start")) & (F.col("g.end") == F.col("p.end")) & (F.col("p.category") == F.col("g.category"))
-    flags = [F.max(F.coalesce(c, F.lit(False))).alias(n) for c, n in ((covers, "covered"), (equal, "exact"))]
-    return near.groupBy("_id", "g.doc_id", "g.category", "g.start", "g.end").agg(*flags).drop("_id")
+    return _scored(gold, proposals).where("side = 'gold'").select("doc_id", "category", "start", "end", F.col("within_proposal").alias("covered"), F.col("same_proposal").alias("exact"))
 
 
 def unexpected(gold: DataFrame, proposals: DataFrame) -> DataFrame:
     """Proposals that overlap no gold span."""
-    return proposals.alias("p").join(gold.alias("g"), (F.col("g.doc_id") == F.col("p.doc_id")) & _overlap("g", "p"), "left_anti")
+    return _scored(gold, proposals).where("side = 'proposal' and not overlap_gold").select("doc_id", "category", "start", "end")
+
+
+def _scored(gold: DataFrame, proposals: DataFrame) -> DataFrame:
+    """Gold spans and proposals with what they meet of each other, by one sweep."""
+    sets = {"gold": gold.select("doc_id", "start", "end", "category"), "proposal": proposals.select("doc_id", "start", "end", "category")}
+    met = swept(sets, {"gold": {"within": ("proposal",)}, "proposal": {"overlap": ("gold",)}})
+    same = Window.partitionBy("doc_id", "start", "end", "category")
+    return met.withColumn("same_proposal", F.max(F.col("side") == "proposal").over(same) & F.col("doc_id").isNotNull())
 
 
 def by_category(gold: DataFrame, proposals: DataFrame) -> DataFrame:
     """category, gold, covered, exact, proposals, unexpected."""
-    a = score_gold(gold, proposals).groupBy("category").agg(F.count(F.lit(1)).alias("gold"), F.count_if("covered").alias("covered"), F.count_if("exact").alias("exact"))
-    b = proposals.groupBy("category").agg(F.count(F.lit(1)).alias("proposals"))
-    c = unexpected(gold, proposals).groupBy("category").agg(F.count(F.lit(1)).alias("unexpected"))
-    out = a.join(b, "category", "full_outer").join(c, "category", "full_outer")
-    return out.select("category", *[F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in ("gold", "covered", "exact", "proposals", "unexpected")])
+    mine = F.col("side") == "gold"
+    tests = {"gold": mine, "covered": mine & F.col("within_proposal"), "exact": mine & F.col("same_proposal"), "proposals": ~mine, "unexpected": ~mine & ~F.col("overlap_gold")}
+    return _scored(gold, proposals).groupBy("category").agg(*[F.count_if(t).alias(n) for n, t in tests.items()])
 
 
 def token_fpr(notes: DataFrame, gold: DataFrame, proposals: DataFrame, text: str = "text") -> DataFrame:
     """Of the white-space tokens outside gold spans: how many there are, how
     many a proposal touches, and the rate."""
     tokens = notes.select("doc_id", F.explode(find_spans(F.col(text), r"[^\s\x{85}\p{Z}]+", context=0)).alias("t")).select("doc_id", "t.start", "t.end")
-    free = tokens.alias("t").join(gold.alias("g"), (F.col("t.doc_id") == F.col("g.doc_id")) & _overlap("t", "g"), "left_anti")
-    hit = free.alias("t").join(proposals.alias("p"), (F.col("t.doc_id") == F.col("p.doc_id")) & _overlap("t", "p"), "left_semi")
-    n = free.agg(F.count(F.lit(1)).alias("negative_tokens"))
-    m = hit.agg(F.count(F.lit(1)).alias("false_positive_tokens"))
-    return n.join(m).withColumn("rate", F.when(F.col("negative_tokens") > 0, F.col("false_positive_tokens") / F.col("negative_tokens")))
+    sets = {"token": tokens, "gold": gold.select("doc_id", "start", "end"), "proposal": proposals.select("doc_id", "start", "end")}
+    free = swept(sets, {"token": {"overlap": ("gold", "proposal")}}).where("not overlap_gold")
+    counts = free.agg(F.count(F.lit(1)).alias("negative_tokens"), F.count_if("overlap_proposal").alias("false_positive_tokens"))
+    return counts.withColumn("rate", F.when(F.col("negative_tokens") > 0, F.col("false_positive_tokens") / F.col("negative_tokens")))
 
 
-def stage_contribution(gold: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Gold spans that each stage alone covers."""
-    g, e = gold.withColumn("_id", F.monotonically_increasing_id()).alias("g"), evidence.alias("e")
-    hit = g.join(e, (F.col("g.doc_id") == F.col("e.doc_id")) & (F.col("e.start") <= F.col("g.start")) & (F.col("g.end") <= F.col("e.end")))
-    return hit.select("e.stage", "_id").distinct().groupBy("stage").agg(F.count(F.lit(1)).alias("covered"))
+def stage_contribution(gold: DataFrame, evidence: DataFrame, stages: tuple[str, ...] = ("rules", "ner", "library", "manual")) -> DataFrame:
+    """How many gold spans each of the ``stages`` alone covers; those that cover
+    none have no row."""
+    found = evidence.select("doc_id", "start", "end", F.col("stage").alias("side"))
+    met = swept({"gold": gold.select("doc_id", "start", "end")}, {"gold": {"within": stages}}, mixed=found)
+    counts = met.agg(*[F.count_if(f"within_{s}").alias(s) for s in stages])
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.col(s).alias("covered")) for s in stages])).alias("x")
+    return counts.select(each).select("x.*").where("covered > 0")
 
 
 def timing_summary(timings: DataFrame, by: tuple[str, ...], value: str, order: str) -> DataFrame:
     """Upper median, maximum and first value of each group. The median comes
     from counts of distinct values, so no group is held in one row."""
-    from pyspark.sql import Window
-
     counts = timings.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*by)
     ranked = counts.withColumn("_upto", F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(w))

@@ -695,8 +695,7 @@ def _gold(spark, d):
     cols = notes.join(p, "patient_id")
     pair = lambda c, v: F.struct(F.lit(c).alias("category"), v.alias("phrase"))
     named = F.array(pair("CASE_REFERENCE", F.col("patient_reference")), pair("EMAIL", F.concat(F.replace(F.lower("name"), F.lit("#"), F.lit(".")), F.lit("@example.invalid"))), pair("MANUAL", F.lit("No change")))
-    entities = cols.select("doc_id", F.inline(named))
-    return notes, items, evaluate.occurrences(notes, entities)
+    return notes, items, evaluate.places_of(cols.select("doc_id", "text", named.alias("entities")))
 
 
 @query(f"""WITH {_GOLD}, g AS (SELECT category, count(*) AS gold, count(*) FILTER (EXISTS (SELECT 1 FROM items i WHERE i.doc_id = g.doc_id AND i.start <= g.start AND g."end" <= i."end")) AS covered, count(*) FILTER (EXISTS (SELECT 1 FROM items i WHERE i.doc_id = g.doc_id AND i.start = g.start AND g."end" = i."end" AND i.category = g.category)) AS exact FROM gold g GROUP BY 1),
@@ -708,10 +707,10 @@ def eval_by_category(spark, d):
 
 
 @query(f"""WITH {_GOLD}, t AS (SELECT doc_id, start, start + length(value) AS "end" FROM ({O.spans("notes", "[^ " + chr(10) + "]+")})), free AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = t.doc_id AND g.start < t."end" AND t.start < g."end"))
-SELECT count(*) AS negative_tokens, count(*) FILTER (EXISTS (SELECT 1 FROM items i WHERE i.doc_id = free.doc_id AND i.start < free."end" AND free.start < i."end")) AS false_positive_tokens FROM free""")
+SELECT *, CASE WHEN negative_tokens > 0 THEN false_positive_tokens / negative_tokens END AS rate FROM (SELECT count(*) AS negative_tokens, count(*) FILTER (EXISTS (SELECT 1 FROM items i WHERE i.doc_id = free.doc_id AND i.start < free."end" AND free.start < i."end")) AS false_positive_tokens FROM free)""")
 def token_fpr(spark, d):
     notes, items, gold = _gold(spark, d)
-    return evaluate.token_fpr(notes, gold, items).drop("rate")
+    return evaluate.token_fpr(notes, gold, items)
 
 
 @query(f"""WITH {_GOLD} SELECT stage, count(DISTINCT (g.doc_id, g.category, g.start)) AS covered FROM gold g JOIN evidence e ON e.doc_id = g.doc_id AND e.start <= g.start AND g."end" <= e."end" GROUP BY stage""")
