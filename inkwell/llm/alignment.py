@@ -22,6 +22,8 @@ is null. Texts of any length are encoded whole.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +36,7 @@ from .common import small_batches, written
 from .token_files import slices
 
 #: Bytes of text that are aligned together, and links expanded at once.
-AT_ONCE, LINKS = 1 << 20, 1 << 21
+AT_ONCE, LINKS = 1 << 18, 1 << 19
 #: Pairs that are broadcast at most: 24 bytes each.
 HOT = 100_000
 #: What stands before every text.
@@ -52,8 +54,17 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+#: How a byte-level tokenizer takes a text apart, where its file says so.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters whose class is the same for every library: texts with others go
+#: through the file's own one.
+PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u024f]*+")
+
+
 class ByteLevel:
-    """A byte-level tokenizer from a ``tokenizers`` file."""
+    """A byte-level tokenizer from a ``tokenizers`` file. Where its ids are the
+    ranks of its merges, plain texts are encoded by those ranks, which gives the
+    same ids in a quarter of the time and without an object for every token."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -66,9 +77,25 @@ class ByteLevel:
         self.pieces = [b""] * (max(vocabulary.values()) + 1)
         for entry, i in vocabulary.items():
             self.pieces[i] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
+        self.ranks = self._by_rank(vocabulary)
+
+    def _by_rank(self, vocabulary: dict[str, int]):
+        made = json.loads(self.tokenizer.to_str())
+        steps, model = made["pre_tokenizer"] or {}, made["model"]
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", ())]
+        plain = made["normalizer"] is None and (steps.get("type"), steps.get("add_prefix_space"), steps.get("use_regex", True)) == ("ByteLevel", False, True)
+        if not (plain and model["type"] == "BPE" and not model["dropout"] and all(vocabulary["".join(m)] == 256 + k for k, m in enumerate(merges))):
+            return None
+        import tiktoken
+
+        own = {self.pieces[i]: i for i in range(256 + len(merges))}
+        return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=own, special_tokens={}) if len(own) == 256 + len(merges) else None
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch([LEAD + t for t in texts], add_special_tokens=False)]
+        texts = [LEAD + t for t in texts]
+        if self.ranks is None:
+            return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [self.ranks.encode_ordinary(t) if PLAIN.fullmatch(t) else self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 class SentencePieces:

@@ -1,6 +1,7 @@
 """Alignment of two tokenizers, against offsets in plain Python."""
 
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -74,6 +75,19 @@ def test_given_documents(spark):
     assert seen(Q.op11_token_alignment(spark, sf)) == dict(zip([r.doc_id for r in rows], brute([r.text for r in rows]), strict=True))
 
 
+def test_ids_by_rank_are_the_library_s(spark):
+    """Over all different words of a table, with what stands before them."""
+    one = A.tokenizer_of(FIRST)
+    assert one.ranks is not None
+    words = set()
+    for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect():
+        words.update(re.findall(r"\s?\S+", r.text or ""))
+    words = sorted(words)
+    for i in range(0, len(words), 50_000):
+        own = words[i : i + 50_000]
+        assert one.encode(own) == [e.ids for e in one.tokenizer.encode_batch([" " + w for w in own], add_special_tokens=False)]
+
+
 def test_links_in_small_runs_and_long_groups(spark, hard, monkeypatch):
     one, two = A.tokenizer_of(FIRST), A.tokenizer_of(SECOND)
     good, a, b, sizes = A._kept_ids([t or "" for t in HARD], one, two)
