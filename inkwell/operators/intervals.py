@@ -62,3 +62,16 @@ def swept(sets: dict[str, DataFrame], asks: dict[str, dict[str, tuple[str, ...]]
             asking = [s for s, a in asks.items() if t in a.get(what, ())]
             flags[f"{what}_{t}"] = F.when((F.col("kind") == kind) & F.col("side").isin(*asking), F.coalesce(hit & F.col(key).isNotNull(), F.lit(False)))
     return ran.select(key, "start", "end", "side", *[F.col(f"own.{c}").alias(c) for c, _ in extra], *[f.alias(n) for n, f in flags.items()])
+
+
+def last_run(positions: DataFrame, runs: DataFrame, at: str, inclusive: bool = False, key: str = "doc_id") -> DataFrame:
+    """``positions`` with run_start and run_end of the last of the ``runs``
+    (key, start, end: disjoint, ascending) that begins before the position in
+    column ``at``, or at it if ``inclusive``; null where none does. Both sets
+    are sorted together once."""
+    own = F.struct(*positions.columns).alias("own")
+    asks = positions.select(F.col(key), F.col(at).alias("pos"), F.lit(2 if inclusive else 0).alias("kind"), own, F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"))
+    given = runs.select(F.col(key), F.col("start").alias("pos"), F.lit(1).alias("kind"), F.lit(None).cast(asks.schema["own"].dataType).alias("own"), F.col("start").alias("a"), F.col("end").alias("b"))
+    here = Window.partitionBy(key).orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    ran = asks.unionByName(given).select("kind", "own", F.max("a").over(here).alias("run_start"), F.max("b").over(here).alias("run_end"))
+    return ran.where("kind <> 1").select("own.*", "run_start", "run_end")

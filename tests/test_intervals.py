@@ -55,3 +55,21 @@ def test_one_long_document_with_many_spans(spark):
 def test_no_spans(spark):
     none = spark.createDataFrame([], "doc_id long, start int, end int, category string, stage string")
     assert evaluate.by_category(none, none).count() == 0 and evaluate.stage_contribution(none, none).count() == 0
+
+
+def test_a_long_note_of_entities_is_decoded_in_linear_time(spark):
+    """Every word of a note of 240,000 characters is an entity of its own."""
+    from inkwell.operators import ner
+
+    took = {}
+    for n in (10_000, 40_000, 80_000):
+        text = spark.range(1).select(F.lit(1).cast("long").alias("doc_id"), F.repeat(F.lit("ab "), n).alias("text"))
+        logits = F.array(*[F.lit(5.0 if j == 3 else 0.0) for j in range(9)])
+        tokens = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).alias("window"), F.col("id").cast("int").alias("position"), (F.col("id") * 3).cast("int").alias("start"), (F.col("id") * 3 + 1).cast("int").alias("end"), logits.alias("logits"))
+        began = time.time()
+        row = ner.decode(tokens, text).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("end") - F.col("start")).alias("short"), F.max("end").alias("last")).first()
+        took[n] = time.time() - began
+        # Each is widened to its word.
+        assert tuple(row) == (n, 2, 3 * n - 1)
+    print(took)
+    assert took[80_000] < 8 * max(took[10_000], took[40_000] / 3, 2)
