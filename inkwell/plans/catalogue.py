@@ -40,19 +40,26 @@ def _evidence(spark, d):
     return detect.detect(N.notes(spark, d))
 
 
-def _labelled(spark, d):
-    notes = N.notes(spark, d)
+def _labelled_of(notes):
     return notes, review.label(review.merge(detect.detect(notes)), notes)
 
 
-def _decided(spark, d):
-    notes, items = _labelled(spark, d)
+def _labelled(spark, d):
+    return _labelled_of(N.notes(spark, d))
+
+
+def _decided_of(notes):
+    notes, items = _labelled_of(notes)
     g = F.col("group") % 5
     decision = F.when(g == 0, "pending").when(g == 1, "accept").when(g == 2, "keep").when(g == 3, "remove").otherwise("edit")
     chosen = items.select("doc_id", "group").distinct().select("doc_id", "group", decision.alias("decision"), F.concat(F.lit("[EDITED_"), F.col("group").cast("string"), F.lit("]")).alias("label"))
     return notes, review.decide(items, chosen)
 
 
+def _decided(spark, d):
+    return _decided_of(N.notes(spark, d))
+
+
 # Sources and predicates
 
 
@@ -107,9 +114,58 @@ def address_leads(spark, d):
     return _evidence(spark, d).where("category = 'LOCATION'").select("doc_id", "start", "end", "phrase")
 
 
-@query(f"""WITH {O.EVIDENCE_SQL} SELECT doc_id, seq, start AS start_byte, "end" AS end_byte, start AS start_utf16, "end" AS end_utf16 FROM evidence""")
+#: Documents in four languages and of any length as notes; a sign of four bytes stands before each.
+_DOCS = """notes AS (SELECT doc_id, text FROM documents)"""
+_MARKED = """notes AS (SELECT doc_id, '😀é ' || text AS text FROM documents)"""
+_DOC_EVIDENCE = f"{_DOCS}, {O.evidence_of()}"
+
+
+def _doc_notes(spark, d):
+    return N.table(spark, d, "documents").select("doc_id", "text")
+
+
+def _units(at: str) -> str:
+    """Bytes and UTF-16 units before a code point."""
+    before = f"substr(text, 1, {at})"
+    return f"strlen({before})::INT, ({at} + length(regexp_replace({before}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))::INT"
+
+
+@query(f"""WITH {_MARKED}, {O.evidence_of()}, units AS (SELECT doc_id, seq, [{_units("start")}] AS s, [{_units('"end"')}] AS e FROM evidence JOIN notes USING (doc_id))
+SELECT doc_id, seq, s[1] AS start_byte, e[1] AS end_byte, s[2] AS start_utf16, e[2] AS end_utf16 FROM units""")
 def evidence_offsets(spark, d):
-    return detect.output_offsets(_evidence(spark, d), N.notes(spark, d)).select("doc_id", "seq", "start_byte", "end_byte", "start_utf16", "end_utf16")
+    """Texts with letters of two bytes and a sign of four: the offsets differ."""
+    notes = N.table(spark, d, "documents").select("doc_id", F.concat(F.lit("😀é "), "text").alias("text"))
+    return detect.output_offsets(detect.detect(notes), notes).select("doc_id", "seq", "start_byte", "end_byte", "start_utf16", "end_utf16")
+
+
+@query(f'WITH {_DOC_EVIDENCE} SELECT doc_id, seq, category, start, "end", phrase, confidence, stage FROM evidence')
+def document_evidence(spark, d):
+    return detect.detect(_doc_notes(spark, d))
+
+
+@query(f"""WITH notes AS (SELECT page_id AS doc_id, html AS text FROM pages), {O.evidence_of()} SELECT doc_id AS page_id, seq, category, start, "end", phrase FROM evidence""")
+def page_evidence(spark, d):
+    pages = N.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    return detect.detect(pages).select(F.col("doc_id").alias("page_id"), "seq", "category", "start", "end", "phrase")
+
+
+@query(f"""WITH notes AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations), {O.evidence_of()} SELECT doc_id, seq, category, start, "end", phrase FROM evidence""")
+def conversation_evidence(spark, d):
+    turns = S.conversations(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return detect.detect(turns).select("doc_id", "seq", "category", "start", "end", "phrase")
+
+
+@query(f"WITH {_DOC_EVIDENCE}, pool AS (SELECT * FROM evidence), {O.ITEMS_SQL} SELECT doc_id, item, start, \"end\", category, phrase, number, replacement FROM labelled")
+def document_items(spark, d):
+    notes = _doc_notes(spark, d)
+    items = review.label(review.merge(detect.detect(notes)), notes)
+    return items.select("doc_id", "item", "start", "end", "category", "phrase", "number", "replacement")
+
+
+@query(f"WITH {_DOC_EVIDENCE}, pool AS (SELECT * FROM evidence), {O.ITEMS_SQL}, {O.DECIDED_SQL} SELECT doc_id, coalesce(output, text) AS output, coalesce(pending, 0) AS pending, coalesce(retained, 0) AS retained FROM notes LEFT JOIN shown_text USING (doc_id)")
+def document_rendered(spark, d):
+    notes, items = _decided_of(_doc_notes(spark, d))
+    return review.render(notes, items).select("doc_id", "output", "pending", "retained")
 
 
 @query(r"SELECT doc_id, u AS phrase FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\b[A-Z0-9._%+-]{1,64}@[A-Z0-9.-]{1,253}\.[A-Z]{2,24}\b')) AS u FROM documents)")
@@ -313,14 +369,40 @@ def library_defaults(spark, d):
     return out.select("doc_id", "item", "category", F.array_join("stages", ",").alias("stages"), "replacement", "decision")
 
 
-_NEW_MAPPINGS = [("Fictional row", "fictional row", "LOCATION", "[ROAD]", 1), ("No change", "no change", "MISC", "[STEADY]", 2), ("June", "june", "DATE", "[MONTH]", 3), ("June", "june", "DATE", "[SUMMER]", 4)]
+_SAVED = """saved AS (SELECT min(p_partkey) AS id, min(p_name) AS phrase, lower(p_name) AS normalized_phrase, p_brand AS category, '[' || p_brand || ']' AS replacement, 0::BIGINT AS updated_at FROM part WHERE p_partkey % 3 = 0 GROUP BY lower(p_name), p_brand),
+new AS (SELECT arg_max(upper(p_name), p_partkey) AS phrase, lower(p_name) AS normalized_phrase, p_brand AS category, arg_max('[' || p_size || ']', p_partkey) AS replacement FROM part WHERE p_partkey % 2 = 0 GROUP BY lower(p_name), p_brand)"""
+
 
+def _saved(spark, d):
+    """Saved phrases: a third of the parts by name and brand."""
+    part = N.table(spark, d, "part").where("p_partkey % 3 = 0").groupBy(F.lower("p_name").alias("normalized_phrase"), F.col("p_brand").alias("category"))
+    rows = part.agg(F.min("p_partkey").alias("id"), F.min("p_name").alias("phrase"))
+    zero = F.lit(0).cast("bigint")
+    return rows.select("id", "phrase", "normalized_phrase", "category", F.concat(F.lit("["), "category", F.lit("]")).alias("replacement"), zero.alias("created_at"), zero.alias("updated_at"))
 
-@query(f"""WITH {S.MAPPINGS_SQL} SELECT id, phrase, normalized_phrase, category, replacement, updated_at FROM mappings WHERE id > 2
-UNION ALL SELECT * FROM (VALUES (1::BIGINT, 'Fictional row', 'fictional row', 'LOCATION', '[ROAD]', 9::BIGINT), (2, 'No change', 'no change', 'MISC', '[STEADY]', 9), (5, 'June', 'june', 'DATE', '[SUMMER]', 9))""")
+
+@query(f"""WITH {_SAVED} SELECT id, phrase, normalized_phrase, category, replacement, updated_at FROM saved s ANTI JOIN new USING (normalized_phrase, category)
+UNION ALL SELECT s.id, n.phrase, normalized_phrase, category, n.replacement, 9 FROM saved s JOIN new n USING (normalized_phrase, category)
+UNION ALL SELECT (SELECT max(id) FROM saved) + row_number() OVER (ORDER BY normalized_phrase, category), phrase, normalized_phrase, category, replacement, 9 FROM new ANTI JOIN saved USING (normalized_phrase, category)""")
 def mapping_upsert(spark, d):
-    new = spark.createDataFrame(_NEW_MAPPINGS, "phrase string, normalized_phrase string, category string, replacement string, seq int")
-    return library.upsert(S.mappings(spark), new, ("normalized_phrase", "category"), 9).drop("created_at")
+    """Every second part is saved again, repeated names more than once."""
+    part = N.table(spark, d, "part").where("p_partkey % 2 = 0")
+    new = part.select(F.upper("p_name").alias("phrase"), F.lower("p_name").alias("normalized_phrase"), F.col("p_brand").alias("category"), F.concat(F.lit("["), F.col("p_size").cast("string"), F.lit("]")).alias("replacement"), F.col("p_partkey").alias("seq"))
+    return library.upsert(_saved(spark, d), new, ("normalized_phrase", "category"), 9).drop("created_at")
+
+
+@query(f"""WITH {N.NOTES_SQL}, {S.PATIENT_MAPPINGS_SQL}, new AS (SELECT patient_id, patient_reference AS phrase, lower(patient_reference) AS normalized_phrase, CASE WHEN patient_id % 4 = 0 THEN 'MISC' ELSE 'CASE_REFERENCE' END AS category, '[SAVED]' AS replacement FROM patients WHERE patient_id % 2 = 0),
+kept AS (SELECT m.patient_id, m.id, m.phrase, category, coalesce(n.replacement, m.replacement) AS replacement FROM patient_mappings m LEFT JOIN new n USING (patient_id, normalized_phrase, category)),
+fresh AS (SELECT n.* FROM new n ANTI JOIN patient_mappings m USING (patient_id, normalized_phrase, category))
+SELECT * FROM kept UNION ALL SELECT patient_id, (SELECT max(id) FROM patient_mappings) + row_number() OVER (ORDER BY patient_id, normalized_phrase, category), phrase, category, replacement FROM fresh""")
+def patient_mapping_upsert(spark, d):
+    """A patient's phrases are their own: the same phrase may be saved for others."""
+    p = N.patients(spark, d).where("patient_id % 2 = 0")
+    ref, kind = F.col("patient_reference"), F.when(F.col("patient_id") % 4 == 0, "MISC").otherwise("CASE_REFERENCE")
+    new = p.select("patient_id", ref.alias("phrase"), F.lower(ref).alias("normalized_phrase"), kind.alias("category"), F.lit("[SAVED]").alias("replacement"), F.lit(0).alias("seq"))
+    zero = F.lit(0).cast("bigint")
+    old = S.patient_mappings(spark, d).withColumns({"created_at": zero, "updated_at": zero})
+    return library.upsert(old, new, ("patient_id", "normalized_phrase", "category"), 9).select("patient_id", "id", "phrase", "category", "replacement")
 
 
 @query(f"WITH {N.NOTES_SQL}, {S.MAPPINGS_SQL}, {S.PATIENT_MAPPINGS_SQL} SELECT patient_id, phrase, EXISTS (SELECT 1 FROM mappings m WHERE lower(m.phrase) = lower(p.phrase) AND m.category = p.category) AS overrides FROM patient_mappings p")
@@ -824,12 +906,24 @@ def job_queue(spark, d):
 @query("""WITH s AS (SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value / 1000 AS v FROM events), m AS (SELECT stream_id, pos // 16 AS "window", avg(v * v) AS m FROM s GROUP BY 1, 2)
 SELECT stream_id, "window", round(CASE WHEN m > 0 THEN least(1, greatest(0, (10 * log10(m) + 60) / 60)) ELSE 0 END, 6) AS level FROM m""")
 def level_meter(spark, d):
+    """Recordings of the table are short; the window of 1,024 is in level_windows."""
     e = N.table(spark, d, "events")
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     samples = e.select(F.col("user_id").alias("stream_id"), n.cast("bigint").alias("pos"), (F.col("value") / 1000).alias("sample"))
     return V.level_meter(samples, 16).withColumn("level", F.round("level", 6))
 
 
+@query("""WITH s AS (SELECT floor(l_suppkey / 100) AS stream_id, row_number() OVER (PARTITION BY floor(l_suppkey / 100) ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_discount, l_tax) - 1 AS pos, l_discount - l_tax AS v FROM lineitem), m AS (SELECT stream_id, pos // 1024 AS "window", avg(v * v) AS m FROM s GROUP BY 1, 2)
+SELECT stream_id::BIGINT AS stream_id, "window", round(CASE WHEN m > 0 THEN least(1, greatest(0, (10 * log10(m) + 60) / 60)) ELSE 0 END, 6) AS level FROM m""")
+def level_windows(spark, d):
+    """Long recordings in the meter's own windows."""
+    rows = N.table(spark, d, "lineitem")
+    stream = F.floor(F.col("l_suppkey") / 100).alias("stream_id")
+    n = F.row_number().over(Window.partitionBy(stream).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_discount", "l_tax")) - 1
+    samples = rows.select(stream, n.cast("bigint").alias("pos"), (F.col("l_discount") - F.col("l_tax")).alias("sample"))
+    return V.level_meter(samples).withColumn("level", F.round("level", 6))
+
+
 _FRAMES = "frames AS (SELECT user_id % 7 AS stream_id, row_number() OVER (PARTITION BY user_id % 7 ORDER BY ts, event_id) - 1 AS n, least(value / 40, 1.0)::DOUBLE AS v FROM events)"
 
 
@@ -867,9 +961,9 @@ def grouped_view(spark, d):
     return review.grouped_view(items).select("doc_id", F.col("group").alias("grp"), F.col("place").cast("bigint").alias("place"), "n_items")
 
 
-@query(f"WITH {S.MAPPINGS_SQL} SELECT id, phrase, normalized_phrase, category, replacement FROM mappings")
+@query(f"WITH {_SAVED} SELECT id, phrase, normalized_phrase, category, replacement FROM saved")
 def mapping_listing(spark, d):
-    return library.mapping_listing(S.mappings(spark)).select("id", "phrase", "normalized_phrase", "category", "replacement")
+    return library.mapping_listing(_saved(spark, d)).select("id", "phrase", "normalized_phrase", "category", "replacement")
 
 
 @query(f"WITH {N.NOTES_SQL} SELECT patient_id, CASE WHEN patient_id % 3 = 0 THEN 'Patient  ' || patient_id ELSE name END AS name, CASE WHEN patient_id % 3 = 0 THEN 'patient ' || patient_id ELSE normalized_name END AS normalized_name, CASE WHEN patient_id % 3 = 0 THEN NULL ELSE patient_reference END AS patient_reference FROM patients")
