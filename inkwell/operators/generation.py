@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
+from inkwell.functions.spans import let
 from inkwell.operators.review import spliced
 
 # The token's marks, its longest offset, the payload's limit.
@@ -56,31 +56,6 @@ def digest(*parts: Column) -> Column:
     return F.sha2(F.concat(*framed), 256)
 
 
-def restore_text(text: str | None, known: dict[str, str]) -> tuple[str | None, int, list[str]]:
-    """Replace known tokens in one pass; what is put in isn't searched again.
-    A token's end must begin at most ``REACH`` bytes behind its start."""
-    if text is None:
-        return None, 0, []
-    out, unknown, count, at = [], [], 0, 0
-    while (start := text.find(OPEN, at)) >= 0:
-        out.append(text[at:start])
-        close = text.find(CLOSE, start)
-        if close < 0 or len(text[start:close].encode()) > REACH:
-            out.append(OPEN)
-            at = start + len(OPEN)
-            continue
-        at = close + len(CLOSE)
-        token = text[start:at]
-        if token in known:
-            out.append(known[token])
-            count += 1
-        else:
-            out.append(token)
-            if token not in unknown:
-                unknown.append(token)
-    return "".join([*out, text[at:]]), count, unknown
-
-
 def with_known(responses: DataFrame, tokens: DataFrame) -> DataFrame:
     """``responses`` with ``tokens``, the map from all tokens of their
     submission (``preparation_id``) to the originals."""
@@ -88,32 +63,44 @@ def with_known(responses: DataFrame, tokens: DataFrame) -> DataFrame:
     return responses.join(known, KEY, "left")
 
 
-def restore(responses: DataFrame, key: str | tuple[str, ...] = "response_id", text: str = "text", tokens: str = "tokens") -> DataFrame:
-    """restored, exact_replacements, unknown_tokens of each response; its
-    column ``tokens`` maps tokens to originals. ``key`` names the columns that
-    are kept. Exact, in Arrow batches."""
-    keys = (key,) if isinstance(key, str) else key
+def _as_bytes(text: Column) -> Column:
+    """A text with one character for each of its bytes, for patterns that count bytes."""
+    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+
+
+def _as_text(chars: Column) -> Column:
+    return F.decode(F.encode(chars, "ISO-8859-1"), "UTF-8")
 
-    @pandas_udf("struct<restored:string,exact_replacements:bigint,unknown_tokens:array<string>>")
-    def run(texts, maps):
-        import pandas as pd
 
-        rows = [restore_text(t, dict(m) if m is not None else {}) for t, m in zip(texts, maps, strict=True)]
-        return pd.DataFrame(rows, columns=["restored", "exact_replacements", "unknown_tokens"])
+_OPEN, _CLOSE = (x.encode().decode("latin-1") for x in (OPEN, CLOSE))
+#: A token: from an opening mark to the next closing one, which begins at most
+#: REACH bytes behind the opening mark's begin.
+_TOKEN = f"{_OPEN}(?:(?!{_CLOSE})[\\s\\S]){{0,{REACH - len(_OPEN)}}}{_CLOSE}"
 
-    return responses.select(*keys, run(F.col(text), F.col(tokens)).alias("r")).select(*keys, "r.*")
 
+def restored(text: Column, tokens: Column) -> Column:
+    """restored, exact_replacements and unknown_tokens of a text as a struct;
+    ``tokens`` maps tokens to originals. Tokens are cut out first and put
+    together with the gaps between them, so what is put in isn't searched again."""
+    tokens = F.coalesce(tokens, F.create_map().cast("map<string,string>"))
+    chars = _as_bytes(text)
+    found = F.transform(F.regexp_extract_all(chars, F.lit(_TOKEN), F.lit(0)), _as_text)
+    gaps = F.transform(F.split(chars, _TOKEN, -1), _as_text)
 
-def restore_native(text: Column, tokens: Column) -> tuple[Column, Column, Column]:
-    """The same without Python for tokens that are whole: between two open
-    marks there is at most one close mark within reach."""
-    pattern = f"{OPEN}[^⟪⟫]{{0,80}}{CLOSE}"
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    value = lambda t: F.coalesce(F.try_element_at(tokens, t), t)
-    out = F.array_join(F.flatten(F.zip_with(gaps, found, lambda g, t: F.array(g, F.when(t.isNull(), "").otherwise(value(t))))), "")
-    known = F.size(F.filter(found, lambda t: F.map_contains_key(tokens, t)))
-    return out, known.cast("bigint"), F.array_distinct(F.filter(found, lambda t: ~F.map_contains_key(tokens, t)))
+    def filled(cut: Column) -> Column:
+        shown = F.transform(cut["found"], lambda t: F.coalesce(F.try_element_at(tokens, t), t))
+        out = F.array_join(F.flatten(F.zip_with(cut["gaps"], shown, lambda g, t: F.array(g, F.coalesce(t, F.lit(""))))), "")
+        unknown = F.filter(cut["found"], lambda t: ~F.map_contains_key(tokens, t))
+        return F.struct(out.alias("restored"), (F.size(cut["found"]) - F.size(unknown)).cast("bigint").alias("exact_replacements"), F.array_distinct(unknown).alias("unknown_tokens"))
+
+    none = F.struct(F.lit(None).cast("string").alias("restored"), F.lit(0).cast("bigint").alias("exact_replacements"), F.array().cast("array<string>").alias("unknown_tokens"))
+    return F.when(text.isNull(), none).otherwise(let(F.struct(found.alias("found"), gaps.alias("gaps")), filled))
+
+
+def restore(responses: DataFrame, key: str | tuple[str, ...] = "response_id", text: str = "text", tokens: str = "tokens") -> DataFrame:
+    """``restored`` of each response as columns; ``key`` names those that are kept."""
+    keys = (key,) if isinstance(key, str) else key
+    return responses.select(*keys, restored(F.col(text), F.col(tokens)).alias("r")).select(*keys, "r.*")
 
 
 def may_be_reviewed(text: Column) -> Column:

@@ -720,8 +720,9 @@ def restore_tokens(spark, d):
 
 @query(_RESTORED)
 def restore_tokens_native(spark, d):
-    out, count, unknown = generation.restore_native(F.col("text"), F.coalesce("tokens", F.create_map().cast("map<string,string>")))
-    return _responses(spark, d).select("preparation_id", "doc_id", out.alias("restored"), count.alias("exact_replacements"), unknown.alias("unknown_tokens"))
+    """The same from a plain expression over the responses' own columns."""
+    r = generation.restored(F.col("text"), F.col("tokens"))
+    return _responses(spark, d).select("preparation_id", "doc_id", r.alias("r")).select("preparation_id", "doc_id", "r.*")
 
 
 @query(f"""WITH {N.NOTES_SQL} SELECT o_orderkey AS preparation_id, (o_orderkey % 4 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 2 AND EXISTS (SELECT 1 FROM notes n WHERE n.doc_id = o_orderkey)) AS usable FROM orders""")

@@ -87,14 +87,17 @@ def test_restore(spark):
     text = "Dear ⟪CV_nonce_0001⟫; literal [PERSON]; altered ⟪CV_nonce_9999⟫."
     tokens = {"⟪CV_nonce_0001⟫": "⟪CV_nonce_0002⟫", "⟪CV_nonce_0002⟫": "never"}
     want = ("Dear ⟪CV_nonce_0002⟫; literal [PERSON]; altered ⟪CV_nonce_9999⟫.", 1, ["⟪CV_nonce_9999⟫"])
-    assert generation.restore_text(text, tokens) == want
-    df = spark.createDataFrame([(1, text, tokens), (2, None, tokens), (3, "⟪CV_open " + "x" * 200 + "⟫", None)], "response_id long, text string, tokens map<string,string>")
-    rows = {r.response_id: r for r in generation.restore(df).collect()}
-    assert tuple(rows[1])[1:] == want and rows[2].restored is None and rows[3].exact_replacements == 0
-    native = df.where("response_id = 1").select(*generation.restore_native(F.col("text"), F.col("tokens"))).first()
-    assert tuple(native) == want
-    long = "⟪CV_" * 25_000
-    assert generation.restore_text(long, {})[0] == long
+    fits, over = ("⟪CV_" + c * n + "⟫" for c, n in (("é", 45), ("é", 46)))
+    rows = [
+        (1, text, tokens), (2, None, tokens), (3, "⟪CV_open " + "x" * 200 + "⟫", None), (4, "⟪CV_" * 25_000, None),
+        # The reach counts bytes; an opening mark within it belongs to the token.
+        (5, f"{fits} {over}", {fits: "A", over: "B"}), (6, "⟪CV_a ⟪CV_b⟫ ⟪CV_c⟫", {"⟪CV_b⟫": "no", "⟪CV_a ⟪CV_b⟫": "yes"}),
+        (7, "⟪CV_" + "x" * 91 + "⟪CV_b⟫", {"⟪CV_b⟫": "later"}), (8, "", {}),
+    ]
+    df = spark.createDataFrame(rows, "response_id long, text string, tokens map<string,string>")
+    got = {r.response_id: tuple(r)[1:] for r in generation.restore(df).collect()}
+    assert got[1] == want and got[2] == (None, 0, []) and got[3][:2] == (rows[2][1], 0) and got[4] == (rows[3][1], 0, [])
+    assert got[5] == (f"A {over}", 1, []) and got[6] == ("yes ⟪CV_c⟫", 1, ["⟪CV_c⟫"]) and got[7] == ("⟪CV_" + "x" * 91 + "later", 1, []) and got[8] == ("", 0, [])
 
 
 def test_estimates_have_every_model(spark):
