@@ -1,12 +1,11 @@
 """Dictation: speech probabilities to utterances, in batch and as a stream.
 
-One step function serves both. A recording is the key; its state is small and
-bounded (an open utterance has at most 875 frames), whatever its length.
+One function takes in chunks of any size and serves both. A recording is the
+key; its state is small and bounded (an open utterance has at most 875 frames), whatever its length.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,95 +40,96 @@ class Policy:
 
 
 @dataclass
-class State:
-    """What a recording carries from frame to frame; JSON in the stream."""
+class Recording:
+    """What is kept of a recording between chunks: how many frames it had, the
+    frames that may still matter (those before an utterance, or the open one),
+    the number of utterances so far, whether one is open, its length when its
+    last provisional result was asked for, and whether the recording is over."""
 
     seen: int = 0
-    run: int = 0
-    next_id: int = 1
-    limited: bool = False
-    idle: list[float] = field(default_factory=list)
-    #: Open utterance: its number, first frame, probabilities, trailing
-    #: silence, frames since the last provisional result.
-    open_id: int = 0
-    first: int = 0
-    heard: list[float] = field(default_factory=list)
-    silence: int = 0
-    since: int = 0
+    number: int = 0
+    open: bool = False
+    asked_at: int = 0
+    over: bool = False
+    kept: np.ndarray = field(default_factory=lambda: np.empty(0))
 
 
 #: (kind, utterance, first frame, frames)
 Event = tuple[str, int, int, int]
 
 
-class Segmenter:
-    """Hysteresis over frame probabilities with pre-roll, padding and splits."""
-
-    def __init__(self, policy: Policy = Policy(), state: State | None = None):
-        self.p, self.s = policy, state or State()
-        self.need, self.quiet = frames(policy.min_speech), frames(policy.end_silence)
-        self.lead = frames(policy.pre_roll) + self.need
-
-    def push(self, probability: float) -> list[Event]:
-        s, p, out = self.s, self.p, []
-        if s.limited:
-            return out
-        s.seen += 1
-        if not s.open_id:
-            s.idle = [*s.idle, probability][-self.lead :]
-            s.run = s.run + 1 if probability >= p.start else 0
-            if s.run >= self.need:
-                self._open(s.seen - len(s.idle), s.idle, 0)
-                s.idle, s.run = [], 0
-                out.append(("started", s.open_id, s.first, 0))
+def run_lengths(hit: np.ndarray) -> np.ndarray:
+    """For each place how many hits in a row end there."""
+    places = np.arange(1, len(hit) + 1)
+    return places - np.maximum.accumulate(np.where(hit, 0, places)) if len(hit) else places
+
+
+def _first(condition: np.ndarray, since: int) -> int:
+    """The first place from ``since`` on, or one behind the end."""
+    found = np.flatnonzero(condition[since:])
+    return since + int(found[0]) if len(found) else len(condition)
+
+
+def advance(rec: Recording, probabilities: np.ndarray, policy: Policy = Policy()) -> list[Event]:
+    """Take in a chunk of frames; returns what happened, and leaves in ``rec``
+    what the next chunk needs. Work is done for each transition, over arrays."""
+    if rec.over:
+        return []
+    need, quiet, longest = frames(policy.min_speech), frames(policy.end_silence), frames(policy.max_utterance)
+    lead, limit = frames(policy.pre_roll) + need, frames(policy.max_session)
+    x = np.concatenate((rec.kept, probabilities[: limit - rec.seen]))
+    new, begin = len(rec.kept), rec.seen - len(rec.kept)
+    events: list[Event] = []
+    while new < len(x):
+        if not rec.open:
+            # Speech: enough loud frames in a row. It takes the frames before along.
+            at = _first(run_lengths(x >= policy.start) >= need, new)
+            if at == len(x):
+                break
+            cut = max(0, at + 1 - lead)
+            x, begin, new = x[cut:], begin + cut, at + 1 - cut
+            rec.open, rec.asked_at, rec.number = True, new, rec.number + 1
+            events.append(("started", rec.number, begin, 0))
+            continue
+        silence = run_lengths(x < policy.end)
+        ends = _first(silence >= quiet, new)
+        asks = max(rec.asked_at + frames(policy.provisional_every), frames(policy.min_provisional), new + 1) - 1
+        at = min(ends, max(longest - 1, new), asks)
+        if at >= len(x):
+            break
+        if at == ends:
+            # The end: trailing silence is cut to the padding.
+            events.append(("final", rec.number, begin, at + 1 - int(silence[at]) + min(int(silence[at]), frames(policy.post_pad))))
+            rec.open, x, begin, new = False, x[at + 1 :], begin + at + 1, 0
+        elif at + 1 >= longest:
+            # Too long: cut at the quietest of the last frames, the latest of equal ones.
+            low = max(1, at + 1 - frames(policy.split_search))
+            cut = at - int(np.argmin(x[low : at + 1][::-1]))
+            events.append(("final", rec.number, begin, cut))
+            x, begin, new = x[cut:], begin + cut, at + 1 - cut
+            rec.number, rec.asked_at = rec.number + 1, new
         else:
-            s.heard.append(probability)
-            s.since += 1
-            s.silence = s.silence + 1 if probability < p.end else 0
-            if s.silence >= self.quiet:
-                out.append(self._final())
-            elif len(s.heard) >= frames(p.max_utterance):
-                out.append(self._split())
-            elif s.since >= frames(p.provisional_every) and len(s.heard) >= frames(p.min_provisional):
-                s.since = 0
-                out.append(("provisional", s.open_id, s.first, len(s.heard)))
-        if s.seen >= frames(p.max_session):
-            out += self.finish()
-            s.limited = True
-            out.append(("limit", 0, s.seen, 0))
-        return out
-
-    def _open(self, first: int, heard: list[float], silence: int) -> None:
-        s = self.s
-        s.open_id, s.first, s.heard, s.silence, s.since = s.next_id, first, list(heard), silence, 0
-        s.next_id += 1
-
-    def _final(self) -> Event:
-        s = self.s
-        kept = len(s.heard) - s.silence + min(s.silence, frames(self.p.post_pad))
-        event = ("final", s.open_id, s.first, kept)
-        s.open_id, s.heard, s.idle, s.run = 0, [], [], 0
-        return event
-
-    def _split(self) -> Event:
-        """Cut at the quietest of the last frames, the latest of equal ones;
-        the rest stays open."""
-        s = self.s
-        low = max(1, len(s.heard) - frames(self.p.split_search))
-        at = min(range(low, len(s.heard)), key=lambda i: (s.heard[i], -i))
-        event, rest = ("final", s.open_id, s.first, at), s.heard[at:]
-        trailing = next((i for i, x in enumerate(reversed(rest)) if x >= self.p.end), len(rest))
-        self._open(s.first + at, rest, trailing)
-        return event
-
-    def finish(self) -> list[Event]:
-        """The open utterance's end; one with too little speech is dropped."""
-        s = self.s
-        out = [self._final()] if s.open_id and len(s.heard) - s.silence >= self.need else []
-        s.open_id, s.heard, s.idle, s.run = 0, [], [], 0
-        return out
-
-
+            rec.asked_at = new = at + 1
+            events.append(("provisional", rec.number, begin, new))
+    rec.seen = begin + len(x)
+    rec.kept = x if rec.open else x[-lead:]
+    if rec.seen >= limit:
+        events += finished(rec, policy) + [("limit", 0, rec.seen, 0)]
+        rec.over = True
+    return events
+
+
+def finished(rec: Recording, policy: Policy = Policy()) -> list[Event]:
+    """The open utterance's end; one with too little speech is dropped."""
+    x, was, rec.open, rec.kept = rec.kept, rec.open, False, np.empty(0)
+    silence = int(run_lengths(x < policy.end)[-1]) if len(x) else 0
+    if not was or len(x) - silence < frames(policy.min_speech):
+        return []
+    return [("final", rec.number, rec.seen - len(x), len(x) - silence + min(silence, frames(policy.post_pad)))]
+
+
+#: A recording's state in the stream.
+STATE = "seen bigint, number bigint, open boolean, asked_at bigint, over boolean, kept array<double>, seq bigint"
 EVENTS = "stream_id bigint, seq bigint, kind string, utterance bigint, start_ms bigint, length_ms bigint"
 
 
@@ -157,10 +157,8 @@ def segment(frames_table: DataFrame, policy: Policy = Policy()) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame_no")
-        machine, rows = Segmenter(policy), []
-        for x in pdf["probability"].tolist():
-            rows += machine.push(x)
-        rows += machine.finish()
+        rec = Recording()
+        rows = advance(rec, pdf["probability"].to_numpy(), policy) + finished(rec, policy)
         stream = int(pdf["stream_id"].iloc[0])
         return pd.DataFrame([_frame_of(stream, i, e) for i, e in enumerate(rows)], columns=[c.split()[0] for c in EVENTS.split(", ")])
 
@@ -179,21 +177,22 @@ def segment_stream(frames_stream: DataFrame, policy: Policy = Policy(), idle_ms:
     names = [c.split()[0] for c in EVENTS.split(", ")]
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        text, seq = state.get if state.exists else ("", 0)
-        machine, rows = Segmenter(policy, State(**json.loads(text)) if text else None), []
+        rec, seq = Recording(), 0
+        if state.exists:
+            *own, kept, seq = state.get
+            rec = Recording(*own, np.array(kept, float))
         if state.hasTimedOut:
-            rows = machine.finish()
+            rows = finished(rec, policy)
             state.remove()
         else:
             got = pd.concat(list(parts)).sort_values("frame_no")
-            for x in got["probability"].tolist():
-                rows += machine.push(x)
-            state.update((json.dumps(machine.s.__dict__), seq + len(rows)))
+            rows = advance(rec, got["probability"].to_numpy(), policy)
+            state.update((rec.seen, rec.number, rec.open, rec.asked_at, rec.over, rec.kept.tolist(), seq + len(rows)))
             state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([_frame_of(key[0], seq + i, e) for i, e in enumerate(rows)], columns=names)
 
     clean = frames_stream.withColumn("probability", clamp(F.col("probability")))
-    return clean.groupBy("stream_id").applyInPandasWithState(run, EVENTS, "state string, seq bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return clean.groupBy("stream_id").applyInPandasWithState(run, EVENTS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def replay(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:

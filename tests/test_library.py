@@ -7,6 +7,7 @@ import re
 import time
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,11 +268,26 @@ def seconds(*parts):
     return [p for n, p in parts for _ in range(math.ceil(n * 16 / 512))]
 
 
-def finals(frames):
-    machine, out = V.Segmenter(), []
-    for x in frames:
-        out += machine.push(x)
-    return [e for e in out + machine.finish()]
+def finals(frames, size=None):
+    """Events of a whole recording, taken in chunks."""
+    rec = V.Recording()
+    return run_open(frames, size, rec) + V.finished(rec)
+
+
+def run_open(frames, size=None, rec=None):
+    rec, size, out = rec or V.Recording(), size or max(1, len(frames)), []
+    for i in range(0, len(frames), size):
+        out += V.advance(rec, np.array(frames[i : i + size]))
+    return out
+
+
+def test_chunks_of_any_size_give_the_same_events():
+    for seed in range(6):
+        frames = frames_of(seed) * 3
+        want = finals(frames)
+        assert any(e[0] == "provisional" for e in want) and all(finals(frames, n) == want for n in (1, 7, 64, 1000))
+    over = finals([0.9] * 20_000, 999)
+    assert over[-1] == ("limit", 0, 18_750, 0) and over[-2][0] == "final"
 
 
 def test_segmenter():
@@ -316,13 +332,6 @@ def test_batch_and_stream_agree(spark, tmp_path):
     assert got == {(s, k, u, f * 32, n * 32) for s in range(3) for k, u, f, n in run_open(frames_of(s)) if k != "started"}
 
 
-def run_open(frames):
-    machine, out = V.Segmenter(), []
-    for x in frames:
-        out += machine.push(x)
-    return out
-
-
 def test_levels(spark):
     rows = [([0.0, 0.0],), ([1.0, -1.0],), ([float("nan")],), ([0.001],), ([],)]
     got = [r[0] for r in spark.createDataFrame(rows, "s array<double>").select(V.level(F.col("s"))).collect()]
