@@ -203,14 +203,6 @@ class WordCache:
         return np.split(ids, stops[:-1] + np.arange(1, len(stops)))
 
 
-def _bounds(docs: DataFrame, parts: int) -> list[int]:
-    """Ids that cut the id column into ``parts`` of about equal counts."""
-    if parts < 2:
-        return []
-    cuts = docs.select("doc_id").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts)
-    return sorted({int(x) for x in cuts})
-
-
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = 1, key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """Encode, frame and write; returns the manifest, one row for each file.
 
@@ -222,16 +214,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = 1, key
     if parts is None:
         n, chars = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
         parts = max(1, min(n, -(-chars // FILE_CHARS)))
-    cuts = _bounds(own, parts)
-    which = F.lit(0)
-    if cuts:
-        # The number of cuts at or below an id, by bisection over a sorted literal.
-        low, high = F.lit(0), F.lit(len(cuts))
-        table = F.array(*[F.lit(c) for c in cuts])
-        state = F.struct(low.alias("low"), high.alias("high"))
-        step = lambda s, _: F.when(s["low"] >= s["high"], s).when(F.get(table, ((s["low"] + s["high"]) / 2).cast("int")) <= F.col("doc_id"), F.struct((((s["low"] + s["high"]) / 2).cast("int") + 1).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), ((s["low"] + s["high"]) / 2).cast("int").alias("high")))
-        which = F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), state, step, lambda s: s["low"])
-    dealt = own.withColumn("part", which).repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("doc_id")
+    # Ranges of ids: equal ids fall into one, and the files' order is that of
+    # the partitions. No cut is part of the plan.
+    dealt = own.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
 
     def run(batches):
         cache = WordCache(tokenizer)
