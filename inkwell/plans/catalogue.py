@@ -847,7 +847,26 @@ def bio_decode(spark, d):
 # Documents as sources
 
 
-@query()
+def _html_sql() -> str:
+    text = "coalesce(html, '')"
+    for pattern in D.HIDDEN:
+        text = f"regexp_replace({text}, '{pattern}', ' ', 'g')"
+    for pattern, kind in D.BREAKING:
+        text = f"regexp_replace({text}, '{pattern}', chr(57344) || '{kind}', 'g')"
+    for pattern, value in D.INLINE:
+        text = f"regexp_replace({text}, '{pattern}', '{value}', 'g')"
+    decimal = "list_reduce(list_prepend(t, list_distinct(regexp_extract_all(t, '&#([0-9]{1,7});', 1))), lambda a, n: replace(a, '&#' || n || ';', chr(n::INT)))"
+    hexadecimal = "list_reduce(list_prepend(t, list_distinct(regexp_extract_all(t, '&#x([0-9A-Fa-f]{1,6});', 1))), lambda a, n: replace(a, '&#x' || n || ';', chr(('0x' || n)::INT)))"
+    named = "t"
+    for name, value in D.ENTITIES:
+        quoted = value.replace("'", "''")
+        named = f"replace({named}, '{name}', '{quoted}')"
+    pieces = "list_transform(string_split('p' || t, chr(57344)), lambda x: trim(regexp_replace(substr(x, 2), '[ \\t\\r\\n\\x{a0}]+', ' ', 'g')))"
+    return f"""WITH a AS (SELECT page_id, {text} AS t FROM pages), b AS (SELECT page_id, {decimal} AS t FROM a), c AS (SELECT page_id, {hexadecimal} AS t FROM b), e AS (SELECT page_id, {named} AS t FROM c),
+p AS (SELECT page_id, list_filter({pieces}, lambda x: x <> '') AS blocks FROM e) SELECT page_id, len(blocks)::INT AS n_blocks, array_to_string(blocks, chr(10)) AS text FROM p"""
+
+
+@query(_html_sql())
 def html_blocks(spark, d):
     blocks = D.html_blocks(F.col("html"))
     return N.table(spark, d, "pages").select("page_id", F.size(blocks).alias("n_blocks"), D.flatten(blocks).alias("text"))
