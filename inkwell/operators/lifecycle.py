@@ -133,9 +133,10 @@ def consume(submissions: DataFrame, requests: DataFrame) -> DataFrame:
     return joined.withColumn("granted", F.coalesce("_usable", F.lit(False)) & (F.col("_n") == 1)).drop("_n", "_usable")
 
 
-def append_audit(outcomes: DataFrame, folder: str) -> None:
-    """Outcomes of submissions are only ever added."""
-    outcomes.write.mode("append").parquet(folder)
+def append_audit(outcomes: DataFrame, folder: str, key: str) -> None:
+    """Outcomes of submissions are only ever added; a retried job writes its
+    ``key``'s rows over those of its first try."""
+    outcomes.write.mode("overwrite").parquet(f"{folder}/job={key}")
 
 
 def lookup(table: DataFrame, key: str, value) -> DataFrame:

@@ -17,7 +17,7 @@ from inkwell.plans import oracles as O
 from inkwell.plans import tables as S
 from inkwell.sources import documents as D
 from inkwell.sources import notes as N
-from inkwell.operators.index import KeptIndex
+from inkwell.operators.index import KeptIndex, NoteStore
 from inkwell.sources.shared import shared_dir, written
 from inkwell.streaming import dictation as V
 
@@ -521,6 +521,22 @@ def index_compaction(spark, d):
     return _rounds(spark, d)[1].compact().vocabulary()
 
 
+@query(f"""WITH {_ROUNDS}, n AS (SELECT doc_id, count(*) AS postings FROM postings GROUP BY 1) SELECT c.doc_id, title, coalesce(n.postings, 0) AS postings, c.doc_id % 4 = 0 AND c.doc_id % 5 <> 1 AND c.doc_id % 7 <> 2 AS original FROM corpus c LEFT JOIN n USING (doc_id)""")
+def note_store(spark, d):
+    """Notes saved with originals and postings in one commit each, through the
+    same rounds of change; an original goes with the note that it was saved with."""
+    docs = S.corpus(spark, d)
+    store = NoteStore(spark, shared_dir(spark)).save(docs, docs.where("doc_id % 4 = 0").select("doc_id", F.col("text").alias("content")), key="first")
+    store = store.save(docs.limit(0), gone=docs.where("doc_id % 5 = 1"), key="deleted").save(docs.limit(0), gone=docs, key="deleted")
+    store = store.save(docs.where("doc_id % 7 = 2 and doc_id % 5 <> 1").withColumns({"title": F.concat("title", F.lit(" of the")), "text": F.concat("text", F.lit(" and of the"))}))
+    back = docs.where("doc_id % 5 = 1 and doc_id % 3 = 0")
+    store = store.save(back.select("doc_id", F.lit("returned").alias("title"), F.lit(None).cast("string").alias("patient_reference"), F.substring("text", 1, 300).alias("text")))
+    counts = store.index.find().groupBy("doc_id").agg(F.count(F.lit(1)).alias("postings"))
+    own = store.table("originals").select("doc_id", F.lit(True).alias("original"))
+    rows = store.table("notes").select("doc_id", "title").join(counts, "doc_id", "left").join(own, "doc_id", "left")
+    return rows.select("doc_id", "title", F.coalesce("postings", F.lit(0)).alias("postings"), F.coalesce("original", F.lit(False)).alias("original"))
+
+
 # The library as tables
 
 _LIBRARY = f"{N.NOTES_SQL}, {S.ORIGINALS_SQL}, {S.DOCUMENTS_SQL}, {S.PATIENT_MAPPINGS_SQL}, {S.REPORTS_SQL}"
