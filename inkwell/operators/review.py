@@ -7,6 +7,8 @@ one document's evidence.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -249,6 +251,41 @@ def finish_scan(notes: DataFrame, items: DataFrame, text: str = "text", find=det
     return add_evidence(items, rescan(notes, items, text, find), notes, text)
 
 
+def accept_pending(items: DataFrame) -> DataFrame:
+    return items.withColumn("decision", F.when(F.col("decision") == "pending", "accept").otherwise(F.col("decision")))
+
+
+def settle(notes: DataFrame, items: DataFrame, text: str = "text", find=detect.detect, decide=accept_pending, rounds: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Rescan until nothing is found: (items, notes' (doc_id, rounds, settled)).
+
+    Each round renders, scans and merges only the notes in which the round
+    before found something; the others are done. ``decide`` takes the decisions
+    on what is pending. ``rounds`` tells how often something was found; a note
+    that still shows something after the last one isn't ``settled``, its items
+    are those of that round. One number, of notes still open, reaches the
+    driver in a round.
+    """
+    columns = [DOC, "item", "start", "end", "category", "stages", "confidence", "phrase", "group", "number", "replacement", "decision"]
+    open_notes, open_items = notes.select(DOC, F.col(text).alias("text")), written(decide(items).select(*columns), "items")
+    done_items, done = [], []
+    for n in range(rounds + 1):
+        found = written(rescan(open_notes, open_items, "text", find), "found")
+        still = written(found.select(DOC).distinct(), "open")
+        last = n == rounds or still.limit(1).count() == 0
+        over = still.limit(0) if last else still
+        done_items.append(open_items.join(over, DOC, "left_anti").select(*columns))
+        marked = open_notes.select(DOC).join(still.withColumn("_open", F.lit(True)), DOC, "left")
+        marked = marked if last else marked.where("_open is null")
+        done.append(marked.select(DOC, F.lit(n).alias("rounds"), F.col("_open").isNull().alias("settled")))
+        if last:
+            break
+        open_notes = written(open_notes.join(still, DOC, "left_semi"), "notes")
+        again = add_evidence(open_items.join(still, DOC, "left_semi"), found, open_notes)
+        open_items = written(decide(again).select(*columns), "items")
+    union = lambda dfs: functools.reduce(DataFrame.unionByName, dfs)
+    return union(done_items), union(done)
+
+
 def grouped_view(items: DataFrame) -> DataFrame:
     """(doc_id, group, place, start, n_items, manual, items): the groups as a
     reviewer meets them, those without manual items first, then by first place."""

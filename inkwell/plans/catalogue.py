@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import pricing, text as T
+from inkwell.functions.spans import find_spans
 from inkwell.operators import detect, evaluate, generation, library, lifecycle, ner, relational, review, search, usage
 from inkwell.plans import oracles as O
 from inkwell.plans import tables as S
@@ -243,6 +244,34 @@ def rescan_gate(spark, d):
     return review.gate(notes, kept).select("doc_id", "pending", "found_again", "may_copy")
 
 
+_NESTED = "repeat('(', (doc_id % 4)::INT) || repeat(')', (doc_id % 4)::INT) || replace(replace(text, '(', '<'), ')', '>') || CASE WHEN doc_id % 97 = 0 THEN repeat('tail ', 20000) || '(())' ELSE '' END"
+
+
+def _settled(spark, d):
+    """Documents with nested pairs of brackets, some behind a tail of 100,000
+    characters. Each round removes what the one before has brought together."""
+    depth = (F.col("doc_id") % 4).cast("int")
+    planted = F.concat(F.expr("repeat('(', cast(doc_id % 4 as int))"), F.expr("repeat(')', cast(doc_id % 4 as int))"), F.translate("text", "()", "<>"), F.when(F.col("doc_id") % 97 == 0, F.concat(F.repeat(F.lit("tail "), 20000), F.lit("(())"))).otherwise(""))
+    notes = N.table(spark, d, "documents").where(depth.isNotNull()).select("doc_id", planted.alias("text"))
+
+    def pairs(texts):
+        found = texts.select("doc_id", F.explode(find_spans(F.col("text"), r"\(\)", F.col("text").contains("()"), context=0)).alias("x"))
+        return found.select("doc_id", F.col("x.start").cast("bigint").alias("seq"), F.lit("MISC").alias("category"), "x.start", "x.end", F.col("x.value").alias("phrase"), F.lit(1.0).alias("confidence"), F.lit("rules").alias("stage"))
+
+    def remove(items):
+        return items.withColumn("decision", F.lit("remove"))
+
+    items, done = review.settle(notes, review.label(review.merge(pairs(notes)), notes).withColumn("decision", F.lit("pending")), find=pairs, decide=remove)
+    return notes, items, done
+
+
+@query(f"""WITH RECURSIVE planted AS (SELECT doc_id, {_NESTED} AS t FROM documents), r(doc_id, t, n) AS (SELECT doc_id, t, -1 FROM planted UNION ALL SELECT doc_id, replace(t, '()', ''), n + 1 FROM r WHERE contains(t, '()'))
+SELECT doc_id, greatest(0, max(n))::INT AS rounds, true AS settled, arg_max(t, n) AS output FROM r GROUP BY doc_id""")
+def rescan_until_stable(spark, d):
+    notes, items, done = _settled(spark, d)
+    return done.join(review.render(notes, items).select("doc_id", "output"), "doc_id")
+
+
 @query(f"""WITH {_POOL}, {O.DECIDED_SQL} SELECT doc_id, item, start, "end", category, shown AS replacement, decision FROM decided""")
 def snapshot_restore(spark, d):
     notes, items = _decided(spark, d)

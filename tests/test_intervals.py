@@ -73,3 +73,25 @@ def test_a_long_note_of_entities_is_decoded_in_linear_time(spark):
         assert tuple(row) == (n, 2, 3 * n - 1)
     print(took)
     assert took[80_000] < 8 * max(took[10_000], took[40_000] / 3, 2)
+
+
+def test_rescan_until_nothing_is_found(spark):
+    from inkwell.operators import detect, review
+
+    notes = spark.createDataFrame([(1, "Call 07700 900123 or write to a@b.example."), (2, "nothing here"), (3, "((()))")], "doc_id long, text string")
+    items, done = review.settle(notes, review.label(review.merge(detect.detect(notes)), notes))
+    assert {tuple(r) for r in done.collect()} == {(1, 0, True), (2, 0, True), (3, 0, True)}
+    assert {r.decision for r in items.collect()} == {"accept"} and items.count() == 2
+
+    def found(texts):
+        at = F.instr("text", "()") - 1
+        return texts.where("text like '%()%'").select("doc_id", F.lit(0).cast("long").alias("seq"), F.lit("MISC").alias("category"), at.cast("int").alias("start"), (at + 2).cast("int").alias("end"), F.lit("()").alias("phrase"), F.lit(1.0).alias("confidence"), F.lit("rules").alias("stage"))
+
+    remove = lambda x: x.withColumn("decision", F.lit("remove"))
+    first = review.label(review.merge(found(notes)), notes)
+    items, done = review.settle(notes, first.withColumn("decision", F.lit("pending")), find=found, decide=remove)
+    assert {tuple(r) for r in done.collect()} == {(1, 0, True), (2, 0, True), (3, 2, True)}
+    assert [(r.doc_id, r.start, r.end) for r in items.collect()] == [(3, 0, 6)]
+    # The bound ends it; the note is known to be unsettled.
+    _, done = review.settle(notes, first.withColumn("decision", F.lit("pending")), find=found, decide=remove, rounds=1)
+    assert {tuple(r) for r in done.where("doc_id = 3").collect()} == {(3, 1, False)}
