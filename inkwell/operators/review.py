@@ -260,12 +260,13 @@ def settle(notes: DataFrame, items: DataFrame, text: str = "text", find=detect.d
 
     Each round renders, scans and merges only the notes in which the round
     before found something; the others are done. ``decide`` takes the decisions
-    on what is pending. ``rounds`` tells how often something was found; a note
+    on what is pending, as all items are that come without one. ``rounds`` tells how often something was found; a note
     that still shows something after the last one isn't ``settled``, its items
     are those of that round. One number, of notes still open, reaches the
     driver in a round.
     """
     columns = [DOC, "item", "start", "end", "category", "stages", "confidence", "phrase", "group", "number", "replacement", "decision"]
+    items = items if "decision" in items.columns else items.withColumn("decision", F.lit("pending"))
     open_notes, open_items = notes.select(DOC, F.col(text).alias("text")), written(decide(items).select(*columns), "items")
     done_items, done = [], []
     for n in range(rounds + 1):
