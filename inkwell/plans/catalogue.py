@@ -21,6 +21,7 @@ from inkwell.sources import notes as N
 from inkwell.operators.index import KeptIndex, NoteStore
 from inkwell.sources.shared import shared_dir, written
 from inkwell.streaming import dictation as V
+from inkwell.streaming.attempts import AttemptTable, follow
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -707,6 +708,28 @@ def attempt_lifecycle(spark, d):
     return usage.lifecycle(rows).select("attempt_id", "outcome", "attempted_at")
 
 
+def _usage_events(spark, d):
+    e = N.table(spark, d, "events")
+    kind = F.when(F.col("event_type").isin("signup", "view"), "started").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").when(F.col("event_id") % 7 == 0, "cancelled").otherwise("note")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    return e.select((F.col("user_id") * 10 + F.col("event_id") % 10).alias("attempt_id"), kind.alias("outcome"), F.lit("gpt-6-luna").alias("model"), at.alias("at"), F.col("event_id").alias("seq"), (F.col("event_id") * 1000).alias("cost_nanos"), F.col("event_id"), F.timestamp_micros(at).alias("event_time"))
+
+
+@query("""WITH k AS (SELECT user_id * 10 + event_id % 10 AS attempt_id, event_id, epoch_us(ts) AS t_us, CASE WHEN event_type IN ('signup', 'view') THEN 'started' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'completed' WHEN event_id % 7 = 0 THEN 'cancelled' ELSE 'note' END AS outcome FROM events),
+a AS (SELECT attempt_id, arg_min({'o': outcome, 'c': event_id * 1000}, {'a': t_us, 'b': event_id}) FILTER (WHERE outcome IN ('completed', 'failed', 'cancelled')) AS e, min(t_us) FILTER (WHERE outcome = 'started') AS attempted_at FROM k GROUP BY attempt_id)
+SELECT attempt_id, coalesce(e.o, 'started') AS outcome, attempted_at, e.c AS cost_nanos FROM a""")
+def usage_stream(spark, d):
+    """The events shuffled, a third of them twice, in four micro-batches."""
+    folder = shared_dir(spark)
+    events = _usage_events(spark, d)
+    shuffled = events.unionByName(events.where("event_id % 3 = 0")).withColumn("_order", F.xxhash64("event_id", F.rand(7)))
+    shuffled.repartition(4, "_order").drop("_order").write.parquet(f"{folder}/events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+    table = AttemptTable(spark, f"{folder}/attempts")
+    follow(stream, table, f"{folder}/checkpoint", late="3650 days")
+    return table.attempts().select("attempt_id", "outcome", "attempted_at", "cost_nanos")
+
+
 # Preparation and restoration
 
 #: Each patient's notes as a submission.
