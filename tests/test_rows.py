@@ -37,6 +37,26 @@ def test_items_in_rows(spark, monkeypatch):
     assert same(review.labelled(notes), by_rows)
 
 
+def saved(spark):
+    columns = "patient_id bigint, phrase string, category string, replacement string, level int"
+    every = spark.createDataFrame(PHRASES, columns).withColumn("normalized_phrase", F.lower("phrase"))
+    return every.where("level = 0"), every.where("level = 1")
+
+
+def test_saved_phrases_in_rows(spark, monkeypatch):
+    notes = texts(spark)
+    found = library.library_evidence(notes, *saved(spark))
+    # Few first words: texts aren't taken apart into rows of words.
+    assert "posexplode" not in plan_of(found) and "_anchor" not in plan_of(found)
+    rows = found.collect()
+    assert {r["replacement"] for r in rows} == {"[SAME]", "[K]", "[ALL]", "[OWN]"}
+    items = library.reviewed(notes, found)
+    monkeypatch.setattr(library, "FEW_WORDS", 0)
+    assert same(library.library_evidence(notes, *saved(spark)), spark.createDataFrame(rows, found.schema))
+    monkeypatch.setattr(review, "SHORT", -1)
+    assert same(library.reviewed(notes, found), items)
+
+
 def test_split_by_condition(spark):
     items = review.labelled(texts(spark)).withColumn("decision", F.lit("accept"))
     assert same(review.split_item(items, F.col("item") == 2), review.split_item(items, items.where("item = 2").select("doc_id", "item")))
