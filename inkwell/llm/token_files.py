@@ -16,8 +16,10 @@ its file instead of adding to it.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
+import os
 import struct
 import unicodedata
 import uuid
@@ -38,7 +40,7 @@ NULL_ID = -(1 << 63)
 HEADER = struct.Struct("<QI")
 TRIPLE = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("length", "<i8")])
 #: Characters for each file, about; words that a worker's cache holds.
-FILE_CHARS, CACHE = 32_000_000, 200_000
+FILE_CHARS, CACHE = 32_000_000, 300_000
 READ = 4 << 20
 #: Bytes of text that are encoded together.
 AT_ONCE = 2 << 20
@@ -152,17 +154,29 @@ class WordCache:
         #: Ids that end a word.
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self._reset()
-
-    def _reset(self) -> None:
+        #: Words in order of their slots; how many batches held each one.
         self.index: dict[str, int] = {}
-        self.flat, self.begin, self.count = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat, self.begin, self.count, self.uses = np.empty(0, np.uint32), *(np.empty(0, np.int64) for _ in range(3))
+
+    def _trim(self) -> None:
+        """Keep the words that came again, half of the cache at most: nearly
+        all new words of a text are met once."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > CACHE // 2:
+            keep = np.sort(keep[np.argpartition(-self.uses[keep], CACHE // 2)[: CACHE // 2]])
+        words = list(self.index)
+        begin, count, uses = self.begin[keep], self.count[keep], self.uses[keep]
+        ends = np.cumsum(count)
+        flat = self.flat[np.repeat(begin - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        self.index = {words[i]: k for k, i in enumerate(keep.tolist())}
+        self.flat, self.begin, self.count, self.uses = flat, ends - count, count, uses >> 1
 
     def _store(self, parts: list[str], ids: np.ndarray, count: np.ndarray) -> None:
         self.index.update(zip(parts, range(len(self.count), len(self.count) + len(parts)), strict=True))
         self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(count) - count))
         self.count = np.concatenate((self.count, count))
         self.flat = np.concatenate((self.flat, ids))
+        self.uses = np.concatenate((self.uses, np.zeros(len(parts), np.int64)))
 
     def _add(self, fresh: list[str]) -> None:
         """Plain words are encoded side by side and told apart by the ids that
@@ -186,12 +200,15 @@ class WordCache:
             return [np.array([*x.ids, end], np.uint32) for x in got]
         parts = parts_of(texts)
         coded = parts.flatten().dictionary_encode()
-        known = coded.dictionary.to_pylist()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.index) >= CACHE:
-            self._reset()
-        if fresh := [w for w in known if w not in self.index]:
+            self._trim()
+        slots = np.fromiter(map(self.index.get, known, itertools.repeat(-1)), np.int64, len(known))
+        if len(missing := np.flatnonzero(slots < 0)):
+            fresh = [known[i] for i in missing.tolist()]
             self._add(fresh)
-        slots = np.fromiter(map(self.index.__getitem__, known), np.int64, len(known))
+            slots[missing] = np.fromiter(map(self.index.__getitem__, fresh), np.int64, len(fresh))
+        self.uses[slots] += 1
         which = slots[coded.indices.to_numpy()]
         count = self.count[which]
         ends = np.cumsum(count)
@@ -203,6 +220,12 @@ class WordCache:
         return np.split(ids, stops[:-1] + np.arange(1, len(stops)))
 
 
+@functools.lru_cache(1)
+def worker_cache(path: str, changed: float) -> WordCache:
+    """One cache for all tasks that a Python worker runs one after another."""
+    return WordCache(path)
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = 1, key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """Encode, frame and write; returns the manifest, one row for each file.
 
@@ -219,7 +242,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = 1, key
     dealt = own.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
 
     def run(batches):
-        cache = WordCache(tokenizer)
+        cache = worker_cache(tokenizer, os.path.getmtime(tokenizer))
         narrow = cache.size <= 1 << 16
         system, base = fs.FileSystem.from_uri(folder)
         system.create_dir(base, recursive=True)

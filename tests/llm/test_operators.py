@@ -395,6 +395,34 @@ def test_parts_against_the_library():
     assert [x.tolist() for x in cache.encode(pa.array(texts), 1)] == want
 
 
+def test_a_full_cache_keeps_words_that_come_again(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "CACHE", 60)
+    cache = token_files.WordCache(Q.tokenizer_path("word_bpe_49k.json"))
+    rng, encoded, add = random.Random(4), [], cache._add
+    monkeypatch.setattr(cache, "_add", lambda fresh: (encoded.extend(fresh), add(fresh)))
+    often = [f"often{c}" for c in "abcdefghijkl"]
+    for _ in range(40):
+        words = [*often, *("".join(rng.choices("abcdefgh", k=9)) for _ in range(10))]
+        texts = [" ".join(rng.sample(words, len(words))), None, "Often, " + words[-1]]
+        want = [x.ids + [1] for x in cache.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert [x.tolist() for x in cache.encode(pa.array(texts), 1)] == want
+        assert len(cache.index) == len(cache.begin) == len(cache.count) == len(cache.uses) < 60 + 30
+        assert list(cache.index.values()) == list(range(len(cache.index)))
+    assert all(encoded.count(w) == 1 for w in often)
+    # More words that come again than the cache may keep.
+    many = [f"word{'x' * i}" for i in range(100)]
+    for _ in range(4):
+        want = [cache.tokenizer.encode(" ".join(many), add_special_tokens=False).ids + [1]]
+        assert [x.tolist() for x in cache.encode(pa.array([" ".join(many)]), 1)] == want
+
+
+def test_tasks_of_a_worker_share_one_cache():
+    path = Q.tokenizer_path("word_bpe_49k.json")
+    assert token_files.worker_cache(path, 1.0) is token_files.worker_cache(path, 1.0)
+
+
 def test_other_tokenizers_encode_whole_texts(tmp_path):
     import json
 
