@@ -34,6 +34,28 @@ def token_items(items: DataFrame, ordinals: DataFrame) -> DataFrame:
     return own.withColumn("number", number).withColumn("token", token)
 
 
+def token_lists(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """``token_items`` of notes' own rows (preparation_id, doc_id, ``output``, and
+    ``items``, what leaves a note by position), as an array ``tokens`` by
+    position, with ``ordinal``, the place of a note in its submission by
+    ``order``, and ``known``, the map from all tokens of the submission to the
+    originals. Notes are moved once, to their submission."""
+    own = F.filter("items", lambda x: eligible(x["replacement"]))
+    by = Window.partitionBy(KEY)
+    before = F.coalesce(F.sum(F.size("_own")).over(by.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    numbered = rows.withColumn("_own", own).drop("items").withColumn("ordinal", F.row_number().over(by.orderBy(*order))).withColumn("_before", before)
+
+    def token(x: Column, i: Column) -> Column:
+        # Against the text's direction: the last of a note comes first.
+        number = F.col("_before") + F.size("_own") - i
+        digits = number.cast("string")
+        name = F.concat(F.lit(OPEN), F.col(KEY), F.lit("_"), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits), F.lit(CLOSE))
+        return F.struct(x["output_start"].cast("int").alias("start"), x["output_end"].cast("int").alias("end"), name.alias("token"), x["item"].alias("item"), number.alias("number"), x["phrase"].alias("phrase"))
+
+    named = numbered.withColumn("tokens", F.transform("_own", token)).drop("_own", "_before")
+    return named.withColumn("known", F.map_from_entries(F.flatten(F.collect_list(F.transform("tokens", lambda x: F.struct(x["token"], x["phrase"]))).over(by))))
+
+
 def tokenised(texts: DataFrame, tokens: DataFrame) -> DataFrame:
     """Rendered texts (preparation_id, doc_id, output) with their tokens in place."""
     piece = F.struct(F.col("output_start").cast("int").alias("start"), F.col("output_end").cast("int").alias("end"), "token")
@@ -44,8 +66,13 @@ def tokenised(texts: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def assemble(prepared: DataFrame, ordinals: DataFrame) -> DataFrame:
     """A row for each submission: its notes' blocks in order, and whether they fit the limit."""
+    return assembled(prepared.join(ordinals, [KEY, "doc_id"]))
+
+
+def assembled(prepared: DataFrame) -> DataFrame:
+    """``assemble`` of texts that have their ordinals."""
     block = F.concat(F.lit('<reviewed-note index="'), F.col("ordinal").cast("string"), F.lit('">\n'), F.col("prepared"), F.lit("\n</reviewed-note>"))
-    rows = prepared.join(ordinals, [KEY, "doc_id"]).select(KEY, "ordinal", block.alias("block"))
+    rows = prepared.select(KEY, "ordinal", block.alias("block"))
     joined = rows.groupBy(KEY).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "block"))), lambda x: x["block"]), "\n\n").alias("input"))
     return joined.withColumn("fits", F.octet_length("input") <= MAX_BYTES)
 
