@@ -6,9 +6,10 @@ import random
 import string
 
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from inkwell.operators import batches, detect, review
+from inkwell.operators import batches, detect, generation, review
 from tests.test_rows import plan_of, same
 
 PARTS = [
@@ -62,3 +63,18 @@ def test_review_in_rows(spark):
     saved = rows.select("doc_id", "text", review.snapshot_in(F.col("items")).alias("snapshot"))
     back = review.rows_of(saved.select("doc_id", review.restored_in(F.col("snapshot"), F.col("text")).alias("items")))
     assert same(back, review.restore(review.snapshot(items), notes))
+
+
+def test_tokens_in_rows(spark):
+    """Tokens of notes' own rows equal those of items' rows."""
+    spread = F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b").alias(generation.KEY)
+    notes = texts(spark, 40).where("doc_id is not null and text is not null and length(text) < 4000").select(spread, "doc_id", "text", (-F.col("doc_id")).alias("at"))
+    items = review.labelled(notes).withColumn("decision", F.when(F.col("group") % 3 == 0, "keep").otherwise("accept"))
+    ordinal = F.row_number().over(Window.partitionBy(generation.KEY).orderBy("at")).alias("ordinal")
+    by_items = generation.token_items(review.egress(items), notes.select(generation.KEY, "doc_id", ordinal))
+    rows = review.with_items(notes).withColumn("items", review.decided_in(F.col("items"), lambda x: F.when(x["group"] % 3 == 0, "keep").otherwise("accept"), lambda x: F.lit(None).cast("string")))
+    rows = generation.token_lists(rows.select(generation.KEY, "doc_id", "at", review.egress_in(F.col("items")).alias("items")), ("at",))
+    columns = [generation.KEY, "doc_id", "ordinal", "item", "number", "token", "phrase"]
+    assert same(rows.select(generation.KEY, "doc_id", "ordinal", F.inline("tokens")).select(*columns), by_items.select(*columns))
+    known = generation.with_known(notes.select(generation.KEY).distinct(), by_items)
+    assert {r[0]: r["tokens"] for r in known.collect()} == {r[0]: r["known"] for r in rows.collect()}
